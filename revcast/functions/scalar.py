@@ -34,7 +34,7 @@ def date_from_parts(year, month, day, strict: bool = False) -> Column:
     s = F.concat_ws("-", _c(year).cast("string"), zero_pad(month), zero_pad(day))
     if strict:
         return F.to_date(s, "yyyy-MM-dd")
-    return F.try_to_date(s, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(s, "yyyy-MM-dd")
 
 
 def clean_invoice(x) -> Column:

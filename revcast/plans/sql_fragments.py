@@ -121,3 +121,60 @@ DAILY_OUT = """series_id, "date", purchases, unique_invoices, unique_streams, to
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+def spark_percentile(arr: str, p: float) -> str:
+    """Exact percentile with the interpolation Spark's ``percentile`` uses:
+    position = (n - 1) * p; (hi - pos) * x[lo] + (pos - lo) * x[hi]."""
+    pos = f"((len({arr}) - 1) * {p})"
+    lo = f"{arr}[CAST(floor({pos}) AS BIGINT) + 1]"
+    hi = f"{arr}[CAST(ceil({pos}) AS BIGINT) + 1]"
+    return (f"(CASE WHEN floor({pos}) = ceil({pos}) OR {lo} = {hi} THEN {lo} "
+            f"ELSE (ceil({pos}) - {pos}) * {lo} + ({pos} - floor({pos})) * {hi} END)")
+
+
+def interpolated(src: str = "filled", value: str = "revenue", name: str = "interp",
+                 fill_trailing: bool = True, keys: str = "series_id") -> str:
+    """F11/F12 over ``src``: adds column ``y_interp``."""
+    trailing = "_y0" if fill_trailing else "CAST(NULL AS DOUBLE)"
+    return f"""
+{name}_k AS (
+  SELECT *, CAST({value} AS DOUBLE) AS _x, {DAYNUM} AS _dn FROM {src}
+),
+{name}_s AS (
+  SELECT *,
+    last_value(_x IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY "date"
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _y0,
+    last_value(CASE WHEN _x IS NOT NULL THEN _dn END IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY "date"
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _d0,
+    last_value(_x IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY "date" DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _y1,
+    last_value(CASE WHEN _x IS NOT NULL THEN _dn END IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY "date" DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _d1
+  FROM {name}_k
+),
+{name} AS (
+  SELECT *, CASE WHEN _x IS NOT NULL THEN _x
+                 WHEN _y0 IS NULL THEN CAST(NULL AS DOUBLE)
+                 WHEN _y1 IS NULL THEN {trailing}
+                 ELSE _y0 + (_y1 - _y0) * (_dn - _d0) / (_d1 - _d0) END AS y_interp
+  FROM {name}_s
+)"""
+
+
+def masked(src: str = "filled", value: str = "revenue", name: str = "masked",
+           lo: float = 0.25, hi: float = 0.75, keys: str = "series_id") -> str:
+    """P8 over ``src``: adds ``y_masked`` (values outside [q_lo, q_hi] nulled)."""
+    return f"""
+{name}_q AS (
+  SELECT {keys}, list_sort(list(CAST({value} AS DOUBLE)) FILTER (WHERE {value} IS NOT NULL)) AS _a
+  FROM {src} GROUP BY {keys}
+),
+{name}_b AS (
+  SELECT {keys}, {spark_percentile('_a', lo)} AS _qlo, {spark_percentile('_a', hi)} AS _qhi FROM {name}_q
+),
+{name} AS (
+  SELECT s.*, CASE WHEN CAST(s.{value} AS DOUBLE) BETWEEN b._qlo AND b._qhi
+                   THEN CAST(s.{value} AS DOUBLE) END AS y_masked
+  FROM {src} s JOIN {name}_b b USING ({keys})
+)"""

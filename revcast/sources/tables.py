@@ -58,7 +58,7 @@ def read_daily_csv(spark: SparkSession, path: str, series_id: str = "all") -> Da
 
     return df.select(
         F.lit(series_id).alias("series_id"),
-        F.try_to_date(F.col("date"), F.lit("yyyy-MM-dd")).alias("date"),
+        F.try_to_date(F.col("date"), "yyyy-MM-dd").alias("date"),
         num("purchases", "bigint").alias("purchases"),
         num("unique_invoices", "bigint").alias("unique_invoices"),
         num(streams, "bigint").alias("unique_streams"),
