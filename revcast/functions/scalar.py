@@ -97,3 +97,12 @@ def money(x) -> Column:
 def rounded_rmse(mse) -> Column:
     """``round(sqrt(mse))``."""
     return F.round(F.sqrt(_c(mse)))
+
+
+def to_cents(x) -> Column:
+    """A double amount rounded half up to whole cents, as decimal(18,2).
+
+    The rounding is done explicitly (``floor(x·100 + 0.5) / 100``) so every
+    engine produces the same cent for values that sit exactly on a tie.
+    """
+    return (F.floor(_c(x) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)).cast("decimal(18,2)")
