@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.scalar import clean_invoice, date_from_parts
-from .tables import read_table, sized_broadcast
+from .tables import read_table, sized_broadcast, spread
 
 
 class SchemaMismatchError(ValueError):
@@ -173,9 +173,9 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = order date. Orders are joined to their dimensions first so the
     big lineitem side is shuffled once, on the order key.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = sized_broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
                              max_rows=10_000)

@@ -19,6 +19,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows of an under-split scan over the session's cores.
+
+    A scan yields one task per file split; a single large row group gives one
+    task, and everything pipelined behind the scan (joins, regex, Expand,
+    partial aggregation) would run on one core. Only when the scan has
+    fewer splits than ``defaultParallelism`` are rows spread; on a cluster
+    reading many files the scan is already parallel and this is a no-op.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Temp views for SQL use (S5): ``SELECT * FROM daily_agg`` etc."""
     for n in names or DRIVER_TABLES:
