@@ -93,10 +93,11 @@ class Layout:
         """Position (years since series start) of hinge j (0-based)."""
         return (j + 1) * self.spec.changepoint_every / YEAR
 
-    def penalties(self) -> np.ndarray:
+    def penalties(self, changepoint_prior_scale: float | None = None) -> np.ndarray:
         lam = np.full(self.p, self.spec.season_penalty())
         lam[0:2] = 1e-9
-        lam[2:self.n_trend] = self.spec.hinge_penalty()
+        cps = changepoint_prior_scale or self.spec.changepoint_prior_scale
+        lam[2:self.n_trend] = (self.spec.noise_scale / cps) ** 2
         return lam
 
 
@@ -130,6 +131,7 @@ COEF_SCHEMA = T.StructType([
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("sigma", T.DoubleType()),
     T.StructField("hinges_used", T.IntegerType()),
+    T.StructField("cps", T.DoubleType()),
 ])
 
 _EPOCH = np.datetime64("1970-01-01", "D")
@@ -148,12 +150,14 @@ def design_matrix(layout: Layout, dn: np.ndarray, origin_dn: float) -> np.ndarra
     return np.column_stack(cols)
 
 
-def _series_fitter(layout: Layout):
+def _series_fitter(layout: Layout, prior_scales=None):
     """Per-series fit of every cutoff: segment Gram sums, cumulative sums,
     ridge solves. Input: one series' days (``_cut = 0``) and its cutoff
-    markers (``_cut = 1``); at most (days + cutoffs) rows."""
+    markers (``_cut = 1``); at most (days + cutoffs) rows. With several
+    ``prior_scales`` (M2 grid, J8) the same Gram sums are solved once per
+    scale: the grid costs p x p solves, not extra passes over the data."""
     p = layout.p
-    lam = layout.penalties()
+    scales = list(prior_scales or [layout.spec.changepoint_prior_scale])
     spec = layout.spec
     hinge_pos = np.array([layout.hinge_at(j) for j in range(layout.hinges)])
     idx = np.arange(p)
@@ -188,12 +192,16 @@ def _series_fitter(layout: Layout):
         G, b, yy = np.cumsum(G, 0), np.cumsum(b, 0), np.cumsum(yy)
         n = ends.astype(np.int64)
         span = (cuts - origin) / YEAR
-        A = G.copy()
-        A[:, idx, idx] += lam[None, :]
-        bb = b.copy()
         used = np.zeros((len(cuts), layout.hinges), dtype=bool)
         if layout.hinges:
             used = hinge_pos[None, :] <= spec.changepoint_range * span[:, None]
+        ok = n >= spec.min_rows
+        frames = []
+        for cps in scales:
+            lam = layout.penalties(cps)
+            A = G.copy()
+            A[:, idx, idx] += lam[None, :]
+            bb = b.copy()
             for j in range(layout.hinges):
                 r = ~used[:, j]
                 c = 2 + j
@@ -201,31 +209,33 @@ def _series_fitter(layout: Layout):
                 A[r, :, c] = 0.0
                 A[r, c, c] = 1.0
                 bb[r, c] = 0.0
-        ok = n >= spec.min_rows
-        beta = np.full((len(cuts), p), np.nan)
-        if ok.any():
-            try:
-                beta[ok] = np.linalg.solve(A[ok], bb[ok][..., None])[..., 0]
-            except np.linalg.LinAlgError:
-                for r in np.where(ok)[0]:
-                    beta[r] = np.linalg.lstsq(A[r], bb[r], rcond=None)[0]
-        rss = yy - 2 * np.einsum("ij,ij->i", beta, b) + np.einsum("ij,ijk,ik->i", beta, G, beta)
-        sigma = np.sqrt(np.clip(rss, 0, None) / np.maximum(n - p, 1))
-        return pd.DataFrame({
-            "series_id": sid,
-            "cutoff": (cuts + _EPOCH).astype("datetime64[D]").astype(object),
-            "origin": np.full(len(cuts), (np.int64(origin) + _EPOCH)).astype("datetime64[D]").astype(object),
-            "n": n,
-            "beta": [list(v) if o else None for o, v in zip(ok, beta)],
-            "sigma": np.where(ok, sigma, np.nan),
-            "hinges_used": used.sum(axis=1).astype("int32"),
-        })
+            beta = np.full((len(cuts), p), np.nan)
+            if ok.any():
+                try:
+                    beta[ok] = np.linalg.solve(A[ok], bb[ok][..., None])[..., 0]
+                except np.linalg.LinAlgError:
+                    for r in np.where(ok)[0]:
+                        beta[r] = np.linalg.lstsq(A[r], bb[r], rcond=None)[0]
+            rss = yy - 2 * np.einsum("ij,ij->i", beta, b) + np.einsum("ij,ijk,ik->i", beta, G, beta)
+            sigma = np.sqrt(np.clip(rss, 0, None) / np.maximum(n - p, 1))
+            frames.append(pd.DataFrame({
+                "series_id": sid,
+                "cutoff": (cuts + _EPOCH).astype("datetime64[D]").astype(object),
+                "origin": np.full(len(cuts), (np.int64(origin) + _EPOCH)).astype("datetime64[D]").astype(object),
+                "n": n,
+                "beta": [list(v) if o else None for o, v in zip(ok, beta)],
+                "sigma": np.where(ok, sigma, np.nan),
+                "hinges_used": used.sum(axis=1).astype("int32"),
+                "cps": float(cps),
+            }))
+        return pd.concat(frames, ignore_index=True)
 
     return fit
 
 
 def fit_forecaster(train: DataFrame, cutoffs: DataFrame, spec: ForecastSpec = ForecastSpec(),
-                   value: str = "y", layout: Layout | None = None, horizon: int = 30):
+                   value: str = "y", layout: Layout | None = None, horizon: int = 30,
+                   prior_scales=None):
     """M1: one fit per (series, cutoff) on the rows ``date <= cutoff``.
 
     ``train``: ``series_id, date, <value>`` (null = gap or masked, not used);
@@ -243,7 +253,7 @@ def fit_forecaster(train: DataFrame, cutoffs: DataFrame, spec: ForecastSpec = Fo
     marks = cutoffs.select("series_id", F.col("cutoff").alias("date"),
                            F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_cut"))
     coefs = (data.unionByName(marks).groupBy("series_id")
-             .applyInPandas(_series_fitter(layout), COEF_SCHEMA))
+             .applyInPandas(_series_fitter(layout, prior_scales), COEF_SCHEMA))
     return coefs, layout
 
 
@@ -280,6 +290,7 @@ def _components(j: DataFrame, layout: Layout) -> DataFrame:
             .drop("beta", "origin", "n", "hinges_used", "sigma"))
 
 
+
 def forecast_horizon(coefs: DataFrame, layout: Layout, horizon: int = 30) -> DataFrame:
     """M3 + M4: the ``horizon`` days after each cutoff, built from the
     coefficient rows themselves (explode), so no join is needed."""
