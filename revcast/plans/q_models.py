@@ -21,8 +21,13 @@ from .q_series import filled, lines
 from .registry import query
 
 
+# Bump when a streaming query's definition changes: a checkpoint belongs to
+# one query definition, and re-runs of the same definition are incremental.
+STREAM_VERSION = "v2"
+
+
 def _tag(sf: str) -> str:
-    return hashlib.sha1(sf.encode()).hexdigest()[:10]
+    return hashlib.sha1(f"{sf}|{STREAM_VERSION}".encode()).hexdigest()[:10]
 
 
 def training_features(spark, sf, training=True):

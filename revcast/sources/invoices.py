@@ -88,13 +88,13 @@ def _check_exists(spark: SparkSession, path: str) -> None:
 
 
 def file_column_profile(spark: SparkSession, path: str,
-                        sampling_ratio: float = 1.0) -> DataFrame:
+                        sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
     """P2 helper: per source file, how many rows carry each raw column.
 
     The scan infers the schema (optionally on a sample), so every key that
     any file uses shows up; a column that a file never fills counts 0.
     """
-    inferred = (spark.read.option("multiLine", True)
+    inferred = (spark.read.option("multiLine", not json_lines)
                 .option("pathGlobFilter", "*.json")
                 .option("recursiveFileLookup", "true")
                 .option("samplingRatio", sampling_ratio)
@@ -106,12 +106,12 @@ def file_column_profile(spark: SparkSession, path: str,
 
 
 def schema_violations(spark: SparkSession, path: str,
-                      sampling_ratio: float = 1.0) -> DataFrame:
+                      sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
     """One row per (file, problem) whose columns do not map to the canonical set.
 
     Problems are ``unknown column <name>`` and ``missing column <canonical>``.
     """
-    prof = file_column_profile(spark, path, sampling_ratio)
+    prof = file_column_profile(spark, path, sampling_ratio, json_lines)
     known = {n for names in (SPELLINGS.get(c, [c]) for c in CANONICAL_COLUMNS) for n in names}
     cols = [c for c in prof.columns if c != "source_file"]
     checks = []
@@ -129,21 +129,22 @@ def schema_violations(spark: SparkSession, path: str,
 
 
 def read_invoices(spark: SparkSession, path: str, validate: bool = True,
-                  sampling_ratio: float = 1.0) -> DataFrame:
+                  sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
     """S1 + S2 + P1-P3: read a directory of JSON month files as invoice lines.
 
-    Files are JSON arrays of records; each file may use any spelling of the
-    renamed columns. ``source_file`` records the file a line came from.
+    Files are JSON arrays of records (``json_lines=True``: one record per
+    line); each file may use any spelling of the renamed columns.
+    ``source_file`` records the file a line came from.
     """
     _check_exists(spark, path)
     if validate:
-        bad = schema_violations(spark, path, sampling_ratio)
+        bad = schema_violations(spark, path, sampling_ratio, json_lines)
         first = bad.limit(5).collect()  # at most five rows reach the driver
         if first:
             detail = ", ".join(f"{r.source_file}: {r.problem}" for r in first)
             raise SchemaMismatchError(f"columns could not be matched: {detail}")
     raw = (spark.read.schema(RAW_SCHEMA)
-           .option("multiLine", True)
+           .option("multiLine", not json_lines)
            .option("pathGlobFilter", "*.json")
            .option("recursiveFileLookup", "true")
            .json(path)

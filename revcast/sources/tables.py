@@ -63,7 +63,10 @@ DAILY_CSV_SCHEMA = T.StructType([
 
 
 def read_daily_csv(spark: SparkSession, path: str, series_id: str = "all") -> DataFrame:
-    """S3: a daily-series CSV (header row), dates re-parsed, counts re-typed."""
+    """S3: a daily-series CSV (header row), dates re-parsed, counts re-typed.
+
+    A ``series_id`` column is kept when the file has one; otherwise every
+    row gets ``series_id``."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     cols = set(df.columns)
     streams = "unique_streams" if "unique_streams" in cols else "streams"
@@ -71,8 +74,9 @@ def read_daily_csv(spark: SparkSession, path: str, series_id: str = "all") -> Da
     def num(c, t):
         return F.col(c).cast("double").cast(t) if c in cols else F.lit(None).cast(t)
 
+    sid = F.col("series_id") if "series_id" in cols else F.lit(series_id)
     return df.select(
-        F.lit(series_id).alias("series_id"),
+        sid.alias("series_id"),
         F.try_to_date(F.col("date"), "yyyy-MM-dd").alias("date"),
         num("purchases", "bigint").alias("purchases"),
         num("unique_invoices", "bigint").alias("unique_invoices"),
