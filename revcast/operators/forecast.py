@@ -26,6 +26,7 @@ row per day), bounded by the number of days, not by the data volume.
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,6 +133,7 @@ COEF_SCHEMA = T.StructType([
     T.StructField("sigma", T.DoubleType()),
     T.StructField("hinges_used", T.IntegerType()),
     T.StructField("cps", T.DoubleType()),
+    T.StructField("fit_seconds", T.DoubleType()),
 ])
 
 _EPOCH = np.datetime64("1970-01-01", "D")
@@ -163,6 +165,7 @@ def _series_fitter(layout: Layout, prior_scales=None):
     idx = np.arange(p)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        t_start = time.perf_counter()
         sid = pdf["series_id"].iloc[0]
         dn = (pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]") - _EPOCH).astype(np.int64)
         is_cut = pdf["_cut"].to_numpy() == 1
@@ -228,7 +231,10 @@ def _series_fitter(layout: Layout, prior_scales=None):
                 "hinges_used": used.sum(axis=1).astype("int32"),
                 "cps": float(cps),
             }))
-        return pd.concat(frames, ignore_index=True)
+        out = pd.concat(frames, ignore_index=True)
+        # wall time of this series' fits, shared out over its cutoffs (train log)
+        out["fit_seconds"] = (time.perf_counter() - t_start) / max(len(out), 1)
+        return out
 
     return fit
 
@@ -287,7 +293,7 @@ def _components(j: DataFrame, layout: Layout) -> DataFrame:
     return (out.withColumn("yhat", yhat)
             .withColumn("yhat_lower", F.col("yhat") - F.lit(z) * F.col("sigma"))
             .withColumn("yhat_upper", F.col("yhat") + F.lit(z) * F.col("sigma"))
-            .drop("beta", "origin", "n", "hinges_used", "sigma"))
+            .drop("beta", "origin", "n", "hinges_used", "sigma", "fit_seconds"))
 
 
 

@@ -52,7 +52,14 @@ def error_monitor(pva: DataFrame, window: int = 4) -> DataFrame:
 def feature_drift(features: DataFrame, split_date: str, cols) -> DataFrame:
     """M23 (data drift): standardised shift of each feature's mean between
     the rows before and from ``split_date``, per series."""
-    before = F.col("date") < F.lit(split_date).cast("date")
+    after = features.withColumn("_after", F.col("date") >= F.lit(split_date).cast("date"))
+    return feature_drift_flag(after, "_after", cols)
+
+
+def feature_drift_flag(features: DataFrame, flag: str, cols) -> DataFrame:
+    """M23 (data drift): per series and feature, (mean after - mean before) /
+    sd before, where ``flag`` marks the "after" rows. One aggregation."""
+    before = ~F.col(flag)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")

@@ -347,15 +347,16 @@ def m22_weekly_replay(spark, sf):
 
 @query("m24_train_log")
 def m24_train_log(spark, sf):
-    """Train-log records of the weekly fits (first/last day, in-sample
-    RMSE, model version, test flag)."""
+    """M24 + F14 + F15: train-log records of the weekly fits (first/last day,
+    in-sample RMSE, runtime as HHH:MM:SS, model version and name, test flag)."""
     s = series_y(spark, sf, checkpoint=True)
     cuts = sv.weekly_cutoffs(s, weekday=2)
     coefs, _ = fc.fit_forecaster(s, cuts)
     first = s.where(F.col("y").isNotNull()).groupBy("series_id").agg(F.min("date").alias("first_date"))
     return (coefs.join(first, on="series_id")
             .select("series_id", "first_date", F.col("cutoff").alias("last_date"),
-                    F.col("sigma").alias("rmse"), F.lit(None).cast("double").alias("runtime_s"),
+                    F.col("sigma").alias("rmse"), F.col("fit_seconds").alias("runtime_s"),
+                    sv.hms_duration("fit_seconds").alias("runtime"),
                     F.lit("0.1").alias("model_version"),
                     F.lit("additive trend + seasonality").alias("note"), F.lit(False).alias("is_test"),
                     sv.model_name("sl", "series_id", "0.1").alias("model_name")))

@@ -190,3 +190,29 @@ def st3_stream_scoring(spark, sf):
     s = st.file_stream(spark, sf, schema, glob="events.parquet")
     d = st.daily_window_rollup(s, "ts", "event_type", "value")
     return st.score_stream(d, ft, f"events_scored-{_tag(sf)}")
+
+
+# ------------------------------------------------------------------ approximate / drift
+
+@query("a13_approx_daily")
+def a13_approx_daily(spark, sf):
+    """The grouping-sets daily roll-up with HyperLogLog++ distinct counts
+    (no Expand of the input per distinct column; mergeable sketches)."""
+    from ..operators import daily as dly
+    return cal_double(dly.daily_grouping_sets(lines(spark, sf), exact_distinct=False))
+
+
+@query("m23_feature_drift")
+def m23_feature_drift(spark, sf):
+    """M23 (data drift): standardised shift of each feature's mean in the last
+    year of each series against the years before."""
+    from ..operators import monitor as mon
+    f = fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero"), training=False))
+    last = f.groupBy("series_id").agg(F.date_sub(F.max("date"), 365).alias("_split"))
+    g = f.join(last, on="series_id").withColumn("_after", F.col("date") >= F.col("_split"))
+    return mon.feature_drift_flag(g, "_after", fe.FEATURE_COLUMNS)
+
+
+def cal_double(df):
+    from ..operators import calendar as cal
+    return cal.series_to_double(df)
