@@ -7,7 +7,7 @@ number of invoice lines, so it never grows with the raw data volume.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import date_spine, money
@@ -45,25 +45,70 @@ def calendar_spine(daily: DataFrame, range_: str = "observed",
             .select("series_id", F.explode(date_spine("lo", "hi")).alias("date")))
 
 
+def _expand_gaps(daily: DataFrame, range_: str = "observed") -> DataFrame:
+    """Every observed day followed by the missing days up to the next one.
+
+    One window pass per series (``lead(date)`` → ``sequence`` → ``explode``):
+    no spine, no join, and the daily table is computed once. Adds ``_d``
+    (the calendar day) and ``_obs`` (``_d`` is the observed day itself).
+    """
+    w = Window.partitionBy("series_id").orderBy("date")
+    whole = Window.partitionBy("series_id")
+    staged = daily.select("*", F.lead("date").over(w).alias("_next"),
+                          F.min("date").over(whole).alias("_first"),
+                          F.max("date").over(whole).alias("_last"))
+    start = F.col("date")
+    if range_ == "full_months":
+        start = F.when(F.col("date") == F.col("_first"), F.trunc("date", "month")).otherwise(start)
+    elif range_ != "observed":
+        raise ValueError(f"unknown range {range_!r}")
+    stop = F.coalesce(F.date_sub("_next", 1), F.col("date"))
+    out = staged.select("*", F.explode(date_spine(start, stop)).alias("_d"))
+    if range_ == "full_months":  # the last (partial) month is excluded
+        out = out.where(F.col("_d") < F.trunc("_last", "month"))
+    return out.withColumn("_obs", F.col("_d") == F.col("date"))
+
+
 def fill_calendar(daily: DataFrame, fill: str = "null", range_: str = "observed",
                   scope: str = "series") -> DataFrame:
-    """J1 (+P11): gap-complete series; missing days get null or zero measures."""
-    spine = calendar_spine(daily, range_, scope)
-    out = spine.join(daily, on=["series_id", "date"], how="left")
-    if fill == "zero":
-        out = out.select(
-            "series_id", "date",
-            *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in COUNT_MEASURES],
-            F.coalesce(F.col("revenue"), F.lit(0).cast(daily.schema["revenue"].dataType)).alias("revenue"))
-    elif fill != "null":
+    """J1 (+P11): gap-complete series; missing days get null or zero measures.
+
+    ``scope='series'`` (default) completes each series between its own
+    bounds in a single window pass (:func:`_expand_gaps`); ``scope='global'``
+    uses one range for all series via a spine and a left join.
+    """
+    if fill not in ("null", "zero"):
         raise ValueError(f"unknown fill {fill!r}")
-    return out.select("series_id", "date", *MEASURES)
+    if scope == "global":
+        spine = calendar_spine(daily, range_, scope)
+        out = spine.join(daily, on=["series_id", "date"], how="left")
+        if fill == "zero":
+            out = out.select(
+                "series_id", "date",
+                *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in COUNT_MEASURES],
+                F.coalesce(F.col("revenue"), F.lit(0).cast(daily.schema["revenue"].dataType)).alias("revenue"))
+        return out.select("series_id", "date", *MEASURES)
+    g = _expand_gaps(daily, range_)
+    cols = []
+    for c in MEASURES:
+        v = F.when(F.col("_obs"), F.col(c))
+        if fill == "zero":
+            v = F.coalesce(v, F.lit(0).cast(daily.schema[c].dataType))
+        cols.append(v.alias(c))
+    return g.select("series_id", F.col("_d").alias("date"), *cols)
 
 
 def missing_days(daily: DataFrame, scope: str = "series") -> DataFrame:
-    """Days inside a series' range that have no invoices (anti-join)."""
-    spine = calendar_spine(daily, "observed", scope)
-    return spine.join(daily.select("series_id", "date"), on=["series_id", "date"], how="left_anti")
+    """Days inside a series' range that have no invoices.
+
+    Per series this is the gap part of :func:`_expand_gaps` (no anti-join);
+    the global scope anti-joins the global spine.
+    """
+    if scope == "global":
+        spine = calendar_spine(daily, "observed", scope)
+        return spine.join(daily.select("series_id", "date"), on=["series_id", "date"], how="left_anti")
+    g = _expand_gaps(daily.select("series_id", "date"))
+    return g.where(~F.col("_obs")).select("series_id", F.col("_d").alias("date"))
 
 
 def month_end_resample(filled: DataFrame, value: str = "revenue") -> DataFrame:

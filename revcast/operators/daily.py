@@ -85,16 +85,28 @@ def build_series(lines: DataFrame, top_k: int | None = 10, series: str = "countr
                  exact_distinct: bool = True) -> DataFrame:
     """``all`` plus the top-k countries by revenue (SD9), one frame (DM4).
 
-    J3: lines are restricted to the top-k set with a broadcast semi-join
-    (the set has at most ``top_k`` rows by construction) before aggregating.
+    One grouping-sets pass over the lines; the ranking uses the per-country
+    daily rows of that same aggregation (revenue is exact, so the totals
+    equal the line totals), ties broken by ``series_id``. J3: the kept
+    series are a broadcast semi-join with at most ``top_k`` rows.
     ``top_k=None`` keeps every country.
     """
-    all_daily = daily_rollup(lines, None, exact_distinct)
+    d = daily_grouping_sets(lines, series, exact_distinct)
     if top_k is None:
-        return daily_grouping_sets(lines, series, exact_distinct)
-    top = F.broadcast(top_series(lines, top_k, series).select(series))
-    kept = lines.join(top, on=series, how="left_semi")
-    return all_daily.unionByName(daily_rollup(kept, series, exact_distinct))
+        return d
+    return restrict_top(d, top_k)
+
+
+def restrict_top(d: DataFrame, top_k: int = 10) -> DataFrame:
+    """J3 + W7 on a daily frame: keep ``all`` and the ``top_k`` series with
+    the largest total revenue (ties by ``series_id``)."""
+    totals = (d.where(F.col("series_id") != ALL_SERIES)
+              .groupBy("series_id").agg(F.sum("revenue").alias("_total")))
+    w = Window.orderBy(F.desc("_total"), F.asc("series_id"))
+    keep = (totals.withColumn("_rank", F.row_number().over(w))
+            .where(F.col("_rank") <= top_k).select("series_id")
+            .unionByName(d.sparkSession.range(1).select(F.lit(ALL_SERIES).alias("series_id"))))
+    return d.join(F.broadcast(keep), on="series_id", how="left_semi")
 
 
 def restrict_series(df: DataFrame, ids: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import clean_series as cs
 from ..operators import daily as dly
 from ..operators import profiling as pr
 from ..sources.invoices import CANONICAL_COLUMNS, harmonise, union_sources
+from ..session import cut_lineage
 from . import sql_fragments as q
 from .q_series import daily, filled, lines
 from .registry import query
@@ -293,5 +294,5 @@ FROM base b LEFT JOIN cen c ON b.series_id = c.series_id AND b.phase = c.phase""
 def m17_decompose_additive(spark, sf):
     """M17 (F11 → W8 → W9): additive weekly decomposition of every series."""
     f = cal.series_to_double(filled(spark, sf, "null"))
-    i = cs.interpolate_time(f, out="y_interp")
+    i = cut_lineage(cs.interpolate_time(f, out="y_interp"))  # reused by three branches
     return cs.decompose_additive(i, "y_interp", period=7)

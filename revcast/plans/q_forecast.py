@@ -15,7 +15,11 @@ from .registry import query
 
 
 def series_y(spark, sf, checkpoint: bool = False):
-    """Gap-null daily revenue of every series as ``(series_id, date, y)``."""
+    """Gap-null daily revenue of every series as ``(series_id, date, y)``.
+
+    ``checkpoint=True`` materialises it once (series x days, small) in the
+    shared checkpoint directory, so a query that uses it in several branches
+    scans the invoice lines once."""
     s = filled(spark, sf, "null").select("series_id", "date",
                                          F.col("revenue").cast("double").alias("y"))
     return cut_lineage(s) if checkpoint else s
@@ -97,7 +101,7 @@ def m6_cv_cutoffs(spark, sf):
 SELECT * FROM base""")
 def m18_baseline_forecasts(spark, sf):
     """Naive / seasonal-naive / drift forecasts at every M6 cutoff."""
-    s = series_y(spark, sf)
+    s = series_y(spark, sf, checkpoint=True)
     return fc.baseline_forecasts(s, bt.cv_cutoffs(s))
 
 
@@ -114,7 +118,7 @@ SELECT horizon, {_metric_sql('mse')} AS mse, {_metric_sql('sqrt(mse)')} AS rmse,
 FROM a""")
 def m8_baseline_metrics(spark, sf):
     """M8 on the drift baseline: MSE/RMSE/MAE/MAPE by horizon (10 significant digits)."""
-    s = series_y(spark, sf)
+    s = series_y(spark, sf, checkpoint=True)
     return bt.performance_metrics(bt.baseline_cv(s), pred="yhat_drift")
 
 
@@ -138,7 +142,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mae, method)
 SELECT series_id, method, mae, n FROM r WHERE rn = 1""")
 def a12_best_baseline(spark, sf):
     """Per series, the baseline with the lowest backtest MAE (errors in cents)."""
-    s = series_y(spark, sf)
+    s = series_y(spark, sf, checkpoint=True)
     cv = bt.baseline_cv(s)
     return bt.best_method(cv, {"naive": "yhat_naive", "snaive": "yhat_snaive", "drift": "yhat_drift"})
 
@@ -177,11 +181,23 @@ v AS (SELECT r.country, r.year, r.month, r.day, r.series_id, r.target_date,
       FROM r LEFT JOIN fb ON fb.series_id = r.series_id)"""
 
 
-def requests_table(spark, sf):
+def shared_daily(spark, sf):
+    """The daily table materialised once for queries that read it in several
+    branches (requests, forecast table, actuals)."""
+    return cut_lineage(daily(spark, sf))
+
+
+def y_from_daily(d):
+    from ..operators import calendar as cal
+    return cal.fill_calendar(d, "null").select("series_id", "date",
+                                               F.col("revenue").cast("double").alias("y"))
+
+
+def requests_table(spark, sf, d=None):
     """Prediction requests derived from the data: for every series and month,
     day 1 (valid) and day 31 (invalid for short months), plus an unknown
     series for every month of the market series."""
-    d = daily(spark, sf)
+    d = d if d is not None else daily(spark, sf)
     ym = [F.date_format("date", "yyyy").alias("year"), F.month("date").cast("string").alias("month")]
     valid = (d.select(F.col("series_id").alias("country"), *ym,
                       F.explode(F.array(F.lit("1"), F.lit("31"))).alias("day")).distinct())
@@ -195,8 +211,9 @@ def requests_table(spark, sf):
 SELECT * FROM v""")
 def p13_request_validation(spark, sf):
     """P13 + J5: status of every request (bad date, unknown series, out of range, ok)."""
-    ft = fc.drift_forecast_table(series_y(spark, sf))
-    return sv.validate_requests(requests_table(spark, sf), ft)
+    d = shared_daily(spark, sf)
+    ft = fc.drift_forecast_table(y_from_daily(d))
+    return sv.validate_requests(requests_table(spark, sf, d), ft)
 
 
 @query("j6_lookup_requests", BASE + "," + DRIFT_TABLE + REQUESTS_SQL + """
@@ -204,8 +221,9 @@ SELECT v.*, CASE WHEN v.status = 'ok' THEN ft.yhat_30d END AS yhat_30d
 FROM v LEFT JOIN ft ON ft.series_id = v.series_id AND ft."date" = v.target_date""")
 def j6_lookup_requests(spark, sf):
     """Requests answered from the materialised forecast table."""
-    ft = fc.drift_forecast_table(series_y(spark, sf))
-    return sv.lookup_requests(requests_table(spark, sf), ft)
+    d = shared_daily(spark, sf)
+    ft = fc.drift_forecast_table(y_from_daily(d))
+    return sv.lookup_requests(requests_table(spark, sf, d), ft)
 
 
 @query("j9_asof_forecast", BASE + "," + DRIFT_TABLE + """,
@@ -216,7 +234,7 @@ FROM rq ASOF LEFT JOIN iss ON rq.series_id = iss.series_id AND rq.target_date >=
 def j9_asof_forecast(spark, sf):
     """J9 + M22: forecasts issued weekly (Mondays); each day takes the latest
     forecast issued on or before it."""
-    ft = fc.drift_forecast_table(series_y(spark, sf))
+    ft = fc.drift_forecast_table(series_y(spark, sf, checkpoint=True))
     issued = ft.where(F.dayofweek("date") == 2).select(
         "series_id", F.col("date").alias("issued"), "yhat_30d")
     req = ft.select("series_id", F.col("date").alias("target_date"))
@@ -240,13 +258,15 @@ pva AS (SELECT fc.series_id, fc.cutoff, fc.forecast_total, act.actual_total, act
 
 
 def _pva(spark, sf):
-    s = series_y(spark, sf)
+    from ..operators import calendar as cal
+    f = cut_lineage(filled(spark, sf, "null"))
+    s = f.select("series_id", "date", F.col("revenue").cast("double").alias("y"))
     ft = fc.drift_forecast_table(s)
     cuts = bt.cv_cutoffs(s)
     totals = (cuts.join(ft, (cuts.series_id == ft.series_id)
                         & (ft.date == F.date_add(cuts.cutoff, 1)))
               .select(cuts.series_id, cuts.cutoff, F.col("yhat_30d").alias("yhat_total")))
-    return mon.predicted_vs_actual(totals, filled(spark, sf, "null"))
+    return mon.predicted_vs_actual(totals, f)
 
 
 def _money_out(df, cols):
@@ -319,9 +339,10 @@ def m25_masked_vs_raw(spark, sf):
 def m7_thirty_day_forecast(spark, sf):
     """M7 + A11 + P7 + SD12: every valid request answered by a model fitted on
     the days before the requested date; Σ of the 30 daily predictions from it."""
-    s = series_y(spark, sf, checkpoint=True)
+    d = shared_daily(spark, sf)
+    s = cut_lineage(y_from_daily(d))
     ft = fc.drift_forecast_table(s)
-    ok = sv.validate_requests(requests_table(spark, sf), ft).where(F.col("status") == "ok")
+    ok = sv.validate_requests(requests_table(spark, sf, d), ft).where(F.col("status") == "ok")
     cuts = ok.select("series_id", F.date_sub("target_date", 1).alias("cutoff")).distinct()
     train = bt.masked_training(s, "causal")
     coefs, layout = fc.fit_forecaster(train, cuts)

@@ -8,6 +8,7 @@ from ..functions.scalar import ALL_SERIES
 from ..operators import calendar as cal
 from ..operators import daily as dly
 from ..operators import features as fe
+from ..session import cut_lineage
 from ..sources.invoices import invoice_lines
 from . import sql_fragments as q
 from .registry import query
@@ -96,16 +97,17 @@ def o3_top10_countries(spark, sf):
                     "revenue_rank")
 
 
-@query("j3_top10_daily", TOP10_SQL + f""",
-top_lines AS (SELECT * FROM clines WHERE country IN (SELECT country FROM ranked WHERE revenue_rank <= 10)),
-per_country AS (SELECT {q.SLUG_COUNTRY} AS series_id, "date",{q.MEASURES}
-                FROM top_lines GROUP BY {q.SLUG_COUNTRY}, "date"),
-whole AS (SELECT 'all' AS series_id, "date",{q.MEASURES} FROM clines GROUP BY "date"),
-daily AS (SELECT * FROM per_country UNION ALL SELECT * FROM whole)
-SELECT {q.DAILY_OUT} FROM daily""")
+@query("j3_top10_daily", q.with_(q.LINES, q.DAILY) + f""",
+totals AS (SELECT series_id, sum(revenue) AS total FROM daily WHERE series_id <> 'all' GROUP BY series_id),
+top AS (SELECT series_id FROM (SELECT series_id, row_number() OVER (ORDER BY total DESC, series_id ASC) AS rk
+                               FROM totals) t WHERE rk <= 10)
+SELECT {q.DAILY_OUT} FROM daily
+WHERE series_id = 'all' OR series_id IN (SELECT series_id FROM top)""")
 def j3_top10_daily(spark, sf):
-    """SD9: ``all`` plus the top-10 countries by revenue, in one frame."""
-    return _daily_out(dly.build_series(lines(spark, sf), top_k=10))
+    """SD9 + J3: ``all`` plus the top-10 countries by revenue, from one pass
+    over the lines (the daily table is materialised once, then ranked and
+    filtered)."""
+    return _daily_out(dly.restrict_top(cut_lineage(daily(spark, sf)), 10))
 
 
 @query("u5_test_mode_series", q.with_(q.LINES, q.DAILY) + f"""
@@ -230,7 +232,7 @@ def j4_band_join_previous_year(spark, sf):
 
     Probes are the observed days; the band [d-365, d-336] is W3's frame.
     """
-    d = daily(spark, sf)
-    out = fe.band_join_features(d.select("series_id", "date"), filled(spark, sf, "zero"),
+    d = cut_lineage(daily(spark, sf))  # probes and series from one pass over the lines
+    out = fe.band_join_features(d.select("series_id", "date"), cal.fill_calendar(d, "zero"),
                                 -365, -336)
     return out.select("series_id", "date", F.col("band_sum").cast("double").alias("band_sum"))
