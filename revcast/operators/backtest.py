@@ -47,7 +47,8 @@ def masked_training(series: DataFrame, mask: str = "none", value: str = "y") ->
       pipeline; looks past the cutoff);
     * ``causal``: each day is judged against the quantiles of the days
       strictly before it (expanding window, sketch-based), so a fit on days
-      ≤ c never sees anything after c.
+      ≤ c never sees anything after c. The forecaster applies the same rule
+      exactly inside its per-series step (``fit_forecaster(mask="causal")``).
     """
     if mask == "none":
         return series
@@ -64,6 +65,15 @@ def masked_training(series: DataFrame, mask: str = "none", value: str = "y") ->
     raise ValueError(f"unknown mask {mask!r}")
 
 
+def _train_and_mask(series: DataFrame, mask: str, value: str):
+    """Training frame and the mask left for the fitter: the causal mask is
+    applied exactly inside the per-series fit; the others as expressions."""
+    base = series.select("series_id", "date", value)
+    if mask == "causal":
+        return base, "causal"
+    return masked_training(base, mask, value), "none"
+
+
 def cross_validation(series: DataFrame, cutoffs: DataFrame | None = None,
                      spec: ForecastSpec = ForecastSpec(), horizon: int = HORIZON_DAYS,
                      initial: int = INITIAL_DAYS, mask: str = "none", value: str = "y") -> DataFrame:
@@ -73,8 +83,8 @@ def cross_validation(series: DataFrame, cutoffs: DataFrame | None = None,
     ``y`` is the unmasked value; the model is fitted on the masked values.
     """
     cutoffs = cutoffs if cutoffs is not None else cv_cutoffs(series, initial, horizon, value=value)
-    train = masked_training(series.select("series_id", "date", value), mask, value)
-    coefs, layout = fit_forecaster(train, cutoffs, spec, value=value, horizon=horizon)
+    train, fit_mask = _train_and_mask(series, mask, value)
+    coefs, layout = fit_forecaster(train, cutoffs, spec, value=value, horizon=horizon, mask=fit_mask)
     fc = forecast_horizon(coefs, layout, horizon)
     truth = series.select("series_id", F.col("date").alias("ds"), F.col(value).cast("double").alias("y"))
     return (fc.join(truth, on=["series_id", "ds"], how="left")
@@ -180,9 +190,9 @@ def prior_grid(series: DataFrame, scales=(0.01, 0.05, 0.1, 0.15, 0.2),
     adds solves, not passes over the data.
     """
     cutoffs = cv_cutoffs(series, initial, horizon, value=value)
-    train = masked_training(series.select("series_id", "date", value), mask, value)
+    train, fit_mask = _train_and_mask(series, mask, value)
     coefs, layout = fit_forecaster(train, cutoffs, spec, value=value, horizon=horizon,
-                                   prior_scales=list(scales))
+                                   prior_scales=list(scales), mask=fit_mask)
     fc = forecast_horizon(coefs, layout, horizon)
     truth = series.select("series_id", F.col("date").alias("ds"), F.col(value).cast("double").alias("y"))
     cv = fc.join(truth, on=["series_id", "ds"], how="left")

@@ -152,7 +152,36 @@ def design_matrix(layout: Layout, dn: np.ndarray, origin_dn: float) -> np.ndarra
     return np.column_stack(cols)
 
 
-def _series_fitter(layout: Layout, prior_scales=None):
+def causal_mask(y: np.ndarray, lo: float = 0.25, hi: float = 0.75) -> np.ndarray:
+    """Null every value outside [q_lo, q_hi] of the values *before* it.
+
+    Exact quantiles with linear interpolation at position (n-1)·p (the rule
+    of Spark's ``percentile``), kept in a running sorted array: O(n log n)
+    per series. The first value (nothing before it) is kept.
+    """
+    out = y.copy()
+    seen: list[float] = []
+    import bisect
+    for t, v in enumerate(y):
+        if np.isnan(v):
+            continue
+        if seen:
+            n = len(seen)
+
+            def q(p):
+                pos = (n - 1) * p
+                a, b = int(np.floor(pos)), int(np.ceil(pos))
+                if a == b or seen[a] == seen[b]:
+                    return seen[a]
+                return (b - pos) * seen[a] + (pos - a) * seen[b]
+
+            if not (q(lo) <= v <= q(hi)):
+                out[t] = np.nan
+        bisect.insort(seen, float(v))
+    return out
+
+
+def _series_fitter(layout: Layout, prior_scales=None, mask: str = "none"):
     """Per-series fit of every cutoff: segment Gram sums, cumulative sums,
     ridge solves. Input: one series' days (``_cut = 0``) and its cutoff
     markers (``_cut = 1``); at most (days + cutoffs) rows. With several
@@ -175,6 +204,13 @@ def _series_fitter(layout: Layout, prior_scales=None):
         if not len(cuts) or not days.any():
             return pd.DataFrame(columns=[f.name for f in COEF_SCHEMA.fields])
         origin = float(dn[days].min())
+        if mask == "causal":
+            # judge each day against the days before it (no look-ahead)
+            order_all = np.argsort(np.where(days, dn, np.iinfo(np.int64).max), kind="stable")
+            yd = y.copy()
+            idx_days = order_all[:days.sum()]
+            yd[idx_days] = causal_mask(y[idx_days])
+            y = yd
         obs = days & ~np.isnan(y)
         d_obs, y_obs = dn[obs], y[obs]
         order = np.argsort(d_obs, kind="stable")
@@ -241,7 +277,7 @@ def _series_fitter(layout: Layout, prior_scales=None):
 
 def fit_forecaster(train: DataFrame, cutoffs: DataFrame, spec: ForecastSpec = ForecastSpec(),
                    value: str = "y", layout: Layout | None = None, horizon: int = 30,
-                   prior_scales=None):
+                   prior_scales=None, mask: str = "none"):
     """M1: one fit per (series, cutoff) on the rows ``date <= cutoff``.
 
     ``train``: ``series_id, date, <value>`` (null = gap or masked, not used);
@@ -250,6 +286,9 @@ def fit_forecaster(train: DataFrame, cutoffs: DataFrame, spec: ForecastSpec = Fo
     row per calendar day of that series plus its cutoffs, so its size is
     set by the calendar, never by the invoice volume.
 
+    ``mask="causal"`` nulls, inside the per-series step, every day outside
+    the 25-75 % quantiles of the days before it (:func:`causal_mask`).
+
     Returns ``(coefficients, layout)``; one coefficient row per (series,
     cutoff): ``origin, n, beta[p], sigma, hinges_used``.
     """
@@ -259,15 +298,18 @@ def fit_forecaster(train: DataFrame, cutoffs: DataFrame, spec: ForecastSpec = Fo
     marks = cutoffs.select("series_id", F.col("cutoff").alias("date"),
                            F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_cut"))
     coefs = (data.unionByName(marks).groupBy("series_id")
-             .applyInPandas(_series_fitter(layout, prior_scales), COEF_SCHEMA))
+             .applyInPandas(_series_fitter(layout, prior_scales, mask), COEF_SCHEMA))
     return coefs, layout
 
 
 def _dot(beta: Column, xs: list[Column], lo: int, hi: int) -> Column:
-    arr = F.array(*xs[lo:hi])
-    part = F.slice(beta, lo + 1, hi - lo)
-    return F.aggregate(F.zip_with(part, arr, lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, v: acc + v)
+    """Σ beta[i]·x_i for i in [lo, hi): a plain expression tree, so it stays
+    inside whole-stage codegen (no lambda functions)."""
+    out = None
+    for i in range(lo, hi):
+        term = beta.getItem(i) * xs[i]
+        out = term if out is None else out + term
+    return out if out is not None else F.lit(0.0)
 
 
 def predict(coefs: DataFrame, frame: DataFrame, layout: Layout,

@@ -344,8 +344,7 @@ def m7_thirty_day_forecast(spark, sf):
     ft = fc.drift_forecast_table(s)
     ok = sv.validate_requests(requests_table(spark, sf, d), ft).where(F.col("status") == "ok")
     cuts = ok.select("series_id", F.date_sub("target_date", 1).alias("cutoff")).distinct()
-    train = bt.masked_training(s, "causal")
-    coefs, layout = fc.fit_forecaster(train, cuts)
+    coefs, layout = fc.fit_forecaster(s, cuts, mask="causal")
     tot = fc.thirty_day_total(fc.forecast_horizon(coefs, layout, 30))
     return (ok.join(tot.withColumn("target_date", F.date_add("cutoff", 1)),
                     on=["series_id", "target_date"], how="left")
@@ -359,7 +358,7 @@ def m22_weekly_replay(spark, sf):
     model (J9), compare with the truth (J7)."""
     s = series_y(spark, sf, checkpoint=True)
     cuts = sv.weekly_cutoffs(s, weekday=2)
-    coefs, layout = fc.fit_forecaster(bt.masked_training(s, "causal"), cuts)
+    coefs, layout = fc.fit_forecaster(s, cuts, mask="causal")
     fc7 = fc.forecast_horizon(coefs, layout, 7)
     truth = s.select("series_id", F.col("date").alias("ds"), "y")
     return (fc7.join(truth, on=["series_id", "ds"], how="left")

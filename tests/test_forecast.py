@@ -88,3 +88,22 @@ def test_cutoffs_rule(spark):
     cuts = sorted(r.cutoff for r in bt.cv_cutoffs(s, 90, 30).collect())
     assert len(cuts) == 33
     assert cuts[0] == dt.date(2018, 3, 8) and cuts[-1] == dt.date(2019, 7, 1)
+
+
+def test_causal_mask_matches_brute_force():
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=300)
+    y[[3, 50, 51]] = np.nan
+    got = fc.causal_mask(y)
+    seen = []
+    for t, v in enumerate(y):
+        if np.isnan(v):
+            assert np.isnan(got[t])
+            continue
+        if seen:
+            lo, hi = np.percentile(seen, [25, 75])
+            keep = lo <= v <= hi
+            assert (not np.isnan(got[t])) == keep
+        else:
+            assert got[t] == v
+        seen.append(v)
