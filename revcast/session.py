@@ -45,6 +45,7 @@ def get_spark(master: str | None = None, app_name: str = "revcast",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_code(spark)
     return spark
 
 
@@ -75,3 +76,42 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable on executors (once per application).
+
+    Python functions used by ``applyInPandas``/``mapInPandas`` are unpickled
+    on the executors, which must be able to import ``revcast``. The package
+    is zipped and added with ``addPyFile`` (what ``--py-files`` does).
+    """
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for root, _dirs, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(root, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode())
+            h.update(fh.read())
+    path = os.path.join(tempfile.gettempdir(), f"revcast-{h.hexdigest()[:12]}.zip")
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("revcast", os.path.relpath(f, pkg)))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
