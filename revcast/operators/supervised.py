@@ -62,19 +62,39 @@ def time_split(features: DataFrame, test_share: float = TEST_SHARE) -> tuple[Dat
 
 def random_split(features: DataFrame, test_share: float = TEST_SHARE,
                  seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """U4 (shuffled, as the studied pipeline): seeded ``randomSplit``."""
-    a, b = features.randomSplit([1 - test_share, test_share], seed)
-    return a, b
+    """U4 (shuffled, as the studied pipeline): a seeded shuffle of each
+    series' days; the first ``round((1 - test_share)·n)`` are the training rows.
+    The shuffle is the integer hash of :func:`sample_key`, so the split is
+    reproducible on any engine and any partitioning."""
+    w = Window.partitionBy("series_id").orderBy(sample_key(F.unix_date(F.col("date")), seed), "date")
+    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+    tagged = (features.withColumn("_rn", F.row_number().over(w)).withColumn("_n", n)
+              .withColumn("_train", F.col("_rn") <= F.round(F.col("_n") * F.lit(1.0 - test_share))))
+    return (tagged.where(F.col("_train")).drop("_rn", "_n", "_train"),
+            tagged.where(~F.col("_train")).drop("_rn", "_n", "_train"))
+
+
+# Fixed value: Knuth's multiplicative hashing constant (2^32 / golden ratio)
+HASH_MULTIPLIER = 2654435761
+
+
+def sample_key(day: "F.Column", seed: int) -> "F.Column":
+    """Seeded pseudo-random order of days: (day·2654435761 + seed) mod 2^32.
+
+    Integer arithmetic only, so every engine orders the rows the same way.
+    """
+    return (day.cast("bigint") * F.lit(HASH_MULTIPLIER) + F.lit(seed)) % F.lit(2 ** 32)
 
 
 def exact_sample(df: DataFrame, fraction: float = 0.3, seed: int = SEED,
                  key: str = "date") -> DataFrame:
     """Exactly ``round(fraction · n)`` rows of each series, without
-    replacement, chosen by a seeded hash order (deterministic, no driver)."""
-    w = Window.partitionBy("series_id").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    replacement, chosen by a seeded hash order of the day (deterministic,
+    per-series windows, nothing on the driver)."""
+    w = Window.partitionBy("series_id").orderBy(sample_key(F.unix_date(F.col(key)), seed), key)
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     return (df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", n)
-            .where(F.col("_rn") <= F.round(F.col("_n") * F.lit(fraction)))
+            .where(F.col("_rn") <= F.round(F.col("_n") * F.lit(float(fraction))))
             .drop("_rn", "_n"))
 
 

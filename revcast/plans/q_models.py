@@ -1,6 +1,6 @@
 """Queries: supervised model, candidate grids, recursive/direct forecasts,
-streaming (steps 9, 10, 12). All rows-only checks (fitted models, streams),
-except the test-mode sample whose rule DuckDB cannot hash the same way."""
+streaming (steps 9, 10, 12). Rows-only checks (fitted models, streams),
+except the test-mode sample, which has a DuckDB oracle."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming import stream as st
 from .q_forecast import requests_table, series_y
 from .q_series import filled, lines
+from . import sql_fragments as q
 from .registry import query
 
 
@@ -83,18 +84,44 @@ def m14_supervised_lookup(spark, sf):
     return sv.lookup_requests(requests_table(spark, sf), ft, value="y_pred")
 
 
-@query("u3_test_sample")
+U3_SQL = q.with_(q.LINES, q.DAILY, q.filled("zero"), q.window_features()) + f""",
+kept AS (SELECT * FROM feats WHERE {q.FEATURE_SUM} > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY "date" DESC) AS rn FROM kept),
+train AS (SELECT * FROM ranked WHERE rn > 30),
+s AS (SELECT *,
+        row_number() OVER (PARTITION BY series_id
+                           ORDER BY (CAST(datediff('day', DATE '1970-01-01', "date") AS BIGINT) * 2654435761 + 42)
+                                    % 4294967296, "date") AS srn,
+        count(*) OVER (PARTITION BY series_id) AS sn
+      FROM train)
+SELECT {q.FEATURES_OUT} FROM s WHERE srn <= round(sn * CAST(0.3 AS DOUBLE))"""
+
+
+@query("u3_test_sample", U3_SQL)
 def u3_test_sample(spark, sf):
     """Test-mode subsample, exactly 30 % of each series' training rows
-    (seeded hash order)."""
-    return sup.exact_sample(training_features(spark, sf), 0.3, seed=42)
+    (seeded multiplicative-hash order of the days)."""
+    return fe.features_to_double(sup.exact_sample(training_features(spark, sf), 0.3, seed=42))
+
+
+U4_SQL = U3_SQL.split(",\ns AS (")[0] + f""",
+s AS (SELECT *,
+        row_number() OVER (PARTITION BY series_id
+                           ORDER BY (CAST(datediff('day', DATE '1970-01-01', "date") AS BIGINT) * 2654435761 + 42)
+                                    % 4294967296, "date") AS srn,
+        count(*) OVER (PARTITION BY series_id) AS sn
+      FROM train)
+SELECT {q.FEATURES_OUT},
+       CASE WHEN srn <= round(sn * CAST(0.75 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+FROM s"""
 
 
-@query("u4_random_split")
+@query("u4_random_split", U4_SQL)
 def u4_random_split(spark, sf):
-    """U4: seeded 75/25 random split of the training matrix, tagged."""
-    a, b = sup.random_split(sup._double(training_features(spark, sf)))
-    return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+    """U4: seeded shuffled 75/25 split of each series' training rows, tagged."""
+    a, b = sup.random_split(training_features(spark, sf))
+    out = a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+    return fe.features_to_double(out)
 
 
 # ------------------------------------------------------------------ grids
