@@ -106,6 +106,7 @@ def restrict_top(d: DataFrame, top_k: int = 10) -> DataFrame:
     keep = (totals.withColumn("_rank", F.row_number().over(w))
             .where(F.col("_rank") <= top_k).select("series_id")
             .unionByName(d.sparkSession.range(1).select(F.lit(ALL_SERIES).alias("series_id"))))
+    # keep holds at most top_k + 1 rows by construction: a bounded broadcast
     return d.join(F.broadcast(keep), on="series_id", how="left_semi")
 
 

@@ -324,6 +324,8 @@ def predict(coefs: DataFrame, frame: DataFrame, layout: Layout,
 
 
 def _components(j: DataFrame, layout: Layout) -> DataFrame:
+    """trend / weekly / yearly / yhat / interval from ``beta`` and the design
+    row of ``ds`` as JVM expressions (any frame of days to predict)."""
     x = design(layout, day_number("ds"), day_number("origin"))
     nt, nw, p = layout.n_trend, layout.n_weekly, layout.p
     trend = _dot(F.col("beta"), x, 0, nt)
@@ -338,13 +340,70 @@ def _components(j: DataFrame, layout: Layout) -> DataFrame:
             .drop("beta", "origin", "n", "hinges_used", "sigma", "fit_seconds"))
 
 
+FORECAST_SCHEMA = T.StructType([
+    T.StructField("series_id", T.StringType()), T.StructField("cutoff", T.DateType()),
+    T.StructField("cps", T.DoubleType()), T.StructField("ds", T.DateType()),
+    T.StructField("trend", T.DoubleType()), T.StructField("weekly", T.DoubleType()),
+    T.StructField("yearly", T.DoubleType()), T.StructField("yhat", T.DoubleType()),
+    T.StructField("yhat_lower", T.DoubleType()), T.StructField("yhat_upper", T.DoubleType()),
+])
+
 
 def forecast_horizon(coefs: DataFrame, layout: Layout, horizon: int = 30) -> DataFrame:
-    """M3 + M4: the ``horizon`` days after each cutoff, built from the
-    coefficient rows themselves (explode), so no join is needed."""
-    fut = coefs.select("*", F.explode(F.sequence(F.date_add("cutoff", 1),
-                                                 F.date_add("cutoff", horizon))).alias("ds"))
-    return _components(fut, layout)
+    """M3 + M4 + M5: the ``horizon`` days after each cutoff.
+
+    Built from the coefficient rows themselves (no join): each batch of
+    coefficient rows becomes one numpy design matrix of ``rows x horizon``
+    days and three matrix-vector products. The coefficient table is small
+    (series x cutoffs), the output is ``horizon`` rows per coefficient row.
+    """
+    nt, nw, p = layout.n_trend, layout.n_weekly, layout.p
+    z = layout.spec.z()
+    hs = np.arange(1, horizon + 1)
+
+    def expand(batches):
+        for pdf in batches:
+            m = len(pdf)
+            if m == 0:
+                continue
+            ok = pdf["beta"].notna().to_numpy()
+            cut = (pd.to_datetime(pdf["cutoff"]).to_numpy().astype("datetime64[D]") - _EPOCH).astype(np.int64)
+            org = (pd.to_datetime(pdf["origin"]).to_numpy().astype("datetime64[D]") - _EPOCH).astype(np.int64)
+            dn = (cut[:, None] + hs[None, :]).reshape(-1)
+            X = design_matrix(layout, dn.astype(float), 0.0)
+            # the trend columns depend on the origin: rebuild them per row
+            t = (dn - np.repeat(org, horizon)) / YEAR
+            X[:, 1] = t
+            for j in range(layout.hinges):
+                X[:, 2 + j] = np.maximum(0.0, t - layout.hinge_at(j))
+            betas = [np.asarray(b, dtype=float) if o else np.zeros(p)
+                     for o, b in zip(ok, pdf["beta"].to_numpy())]
+            B = np.repeat(np.stack(betas), horizon, axis=0)
+            prod = X * B
+            trend = prod[:, :nt].sum(1)
+            weekly = prod[:, nt:nt + nw].sum(1)
+            yearly = prod[:, nt + nw:p].sum(1)
+            yhat = trend + weekly + yearly
+            sig = np.repeat(pdf["sigma"].to_numpy(dtype=float), horizon)
+            valid = np.repeat(ok, horizon)
+
+            def col(v):  # failed fits (no coefficients) give null forecasts
+                if valid.all():
+                    return v
+                out = pd.array(v, dtype="Float64")
+                out[~valid] = pd.NA
+                return out
+
+            yield pd.DataFrame({
+                "series_id": np.repeat(pdf["series_id"].to_numpy(), horizon),
+                "cutoff": np.repeat(pdf["cutoff"].to_numpy(), horizon),
+                "cps": np.repeat(pdf["cps"].to_numpy(dtype=float), horizon),
+                "ds": (dn + _EPOCH).astype("datetime64[D]").astype(object),
+                "trend": col(trend), "weekly": col(weekly), "yearly": col(yearly),
+                "yhat": col(yhat), "yhat_lower": col(yhat - z * sig), "yhat_upper": col(yhat + z * sig),
+            })
+
+    return coefs.mapInPandas(expand, FORECAST_SCHEMA)
 
 
 def future_frame(train: DataFrame, cutoffs: DataFrame, periods: int = 30,

@@ -189,13 +189,14 @@ def st1_stream_invoice_daily(spark, sf):
     """ST1 + ST2: line items as a stream joined to static order/customer/nation
     dimensions (stream-static join), daily revenue per country with a
     watermark on the order date."""
-    from ..sources.tables import read_table
+    from ..sources.tables import read_table, sized_broadcast
     schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
     li = st.file_stream(spark, sf, schema, glob="lineitem.parquet")
     dims = (read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
             .join(read_table(spark, sf, "customer").select("c_custkey", "c_nationkey"),
                   F.col("o_custkey") == F.col("c_custkey"))
-            .join(F.broadcast(read_table(spark, sf, "nation").select("n_nationkey", "n_name")),
+            .join(sized_broadcast(read_table(spark, sf, "nation").select("n_nationkey", "n_name"),
+                                  max_rows=10_000),
                   F.col("c_nationkey") == F.col("n_nationkey")))
     j = li.join(dims, li.l_orderkey == dims.o_orderkey).select(
         F.col("n_name").alias("country"), "o_orderdate",

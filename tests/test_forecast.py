@@ -107,3 +107,17 @@ def test_causal_mask_matches_brute_force():
         else:
             assert got[t] == v
         seen.append(v)
+
+
+def test_horizon_forecast_matches_jvm_predict(spark):
+    s = _synthetic(spark, noise=10.0)
+    cuts = spark.createDataFrame([("s1", dt.date(2019, 5, 1)), ("s1", dt.date(2019, 8, 1))],
+                                 "series_id string, cutoff date")
+    coefs, layout = fc.fit_forecaster(s, cuts)
+    a = {(r.cutoff, r.ds): r for r in fc.forecast_horizon(coefs, layout, 10).collect()}
+    frame = fc.future_frame(s, cuts, periods=10, include_history=False)
+    b = {(r.cutoff, r.ds): r for r in fc.predict(coefs, frame, layout).collect()}
+    assert a.keys() == b.keys() and len(a) == 20
+    for k in a:
+        for c in ("trend", "weekly", "yearly", "yhat", "yhat_lower", "yhat_upper"):
+            assert a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-6)
