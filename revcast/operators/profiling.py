@@ -52,8 +52,18 @@ def month_labels(monthly: DataFrame, date_col: str = "month_end") -> DataFrame:
                   .withColumn("mon_yr", month_label(date_col))
 
 
+def month_range(year: str, month: str) -> tuple[str, str]:
+    """First day of the month and of the next month (``yyyy-MM-dd``)."""
+    y, m = int(year), int(month)
+    ny, nm = (y + 1, 1) if m == 12 else (y, m + 1)
+    return f"{y:04d}-{m:02d}-01", f"{ny:04d}-{nm:02d}-01"
+
+
 def period_actuals(lines: DataFrame, year: str, month: str) -> DataFrame:
-    """Total revenue of one (year, month): conjunctive filter, then sum."""
+    """Total revenue of one (year, month): conjunctive filter, then sum.
+
+    Pair it with a source restricted to :func:`month_range` so the date
+    predicate is pushed to the scan; the string filter keeps it exact."""
     return (lines.where((F.col("year") == year) & (F.col("month") == month))
             .agg(F.sum(money("price")).alias("revenue")))
 

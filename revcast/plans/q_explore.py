@@ -77,8 +77,11 @@ def f8_month_labels(spark, sf):
 SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM lines WHERE year = '1998' AND month = '08'""")
 def p6_period_actuals(spark, sf):
-    """Actual revenue of one month (August 1998)."""
-    r = pr.period_actuals(lines(spark, sf), "1998", "08")
+    """Actual revenue of one month (August 1998); the month's date range
+    is pushed to the orders scan."""
+    from ..sources.invoices import invoice_lines
+    start, end = pr.month_range("1998", "08")
+    r = pr.period_actuals(invoice_lines(spark, sf, start, end), "1998", "08")
     return r.select(F.col("revenue").cast("double").alias("revenue"))
 
 
