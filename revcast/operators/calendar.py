@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import date_spine, money
+from ..functions.scalar import date_spine
 from .daily import MEASURES
 
 COUNT_MEASURES = ["purchases", "unique_invoices", "unique_streams", "total_views"]
@@ -129,4 +129,4 @@ def series_to_double(df: DataFrame, cols=("revenue",)) -> DataFrame:
 
 
 __all__ = ["calendar_spine", "fill_calendar", "missing_days", "month_end_resample",
-           "series_to_double", "money"]
+           "series_to_double"]

@@ -13,7 +13,6 @@ import math
 import sys
 import time
 
-from ..sources.tables import read_table  # noqa: F401  (re-export for callers)
 
 ORACLE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",

@@ -335,10 +335,7 @@ def m25_masked_vs_raw(spark, sf):
     return bt.masked_vs_raw(s, masks=("none", "causal", "whole"))
 
 
-@query("m7_thirty_day_forecast")
-def m7_thirty_day_forecast(spark, sf):
-    """M7 + A11 + P7 + SD12: every valid request answered by a model fitted on
-    the days before the requested date; Σ of the 30 daily predictions from it."""
+def _thirty_day_answers(spark, sf):
     d = shared_daily(spark, sf)
     s = cut_lineage(y_from_daily(d))
     ft = fc.drift_forecast_table(s)
@@ -346,10 +343,31 @@ def m7_thirty_day_forecast(spark, sf):
     cuts = ok.select("series_id", F.date_sub("target_date", 1).alias("cutoff")).distinct()
     coefs, layout = fc.fit_forecaster(s, cuts, mask="causal")
     tot = fc.thirty_day_total(fc.forecast_horizon(coefs, layout, 30))
+    fit_time = coefs.select("series_id", "cutoff", "fit_seconds")
     return (ok.join(tot.withColumn("target_date", F.date_add("cutoff", 1)),
                     on=["series_id", "target_date"], how="left")
-            .select("country", "year", "month", "day", "series_id", "target_date",
-                    "yhat_total", "yhat_lower_total", "yhat_upper_total"))
+            .join(fit_time, on=["series_id", "cutoff"], how="left"))
+
+
+@query("m7_thirty_day_forecast")
+def m7_thirty_day_forecast(spark, sf):
+    """M7 + A11 + P7 + SD12: every valid request answered by a model fitted on
+    the days before the requested date; Σ of the 30 daily predictions from it."""
+    return _thirty_day_answers(spark, sf).select(
+        "country", "year", "month", "day", "series_id", "target_date",
+        "yhat_total", "yhat_lower_total", "yhat_upper_total")
+
+
+@query("m24_predict_log")
+def m24_predict_log(spark, sf):
+    """M24 + F14: predict-log records of the answered requests (prediction,
+    probability (none for a regressor), target date, runtime, version)."""
+    a = _thirty_day_answers(spark, sf)
+    return a.select("series_id", F.col("yhat_total").alias("y_pred"),
+                    F.lit(None).cast("double").alias("y_proba"), "target_date",
+                    F.col("fit_seconds").alias("runtime_s"),
+                    sv.hms_duration("fit_seconds").alias("runtime"),
+                    F.lit("0.1").alias("model_version"), F.lit(False).alias("is_test"))
 
 
 @query("m22_weekly_replay")
