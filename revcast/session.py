@@ -85,8 +85,10 @@ def ship_code(spark: SparkSession) -> None:
     """Make this package importable on executors (once per application).
 
     Python functions used by ``applyInPandas``/``mapInPandas`` are unpickled
-    on the executors, which must be able to import ``revcast``. The package
-    is zipped and added with ``addPyFile`` (what ``--py-files`` does).
+    on the executors, which must be able to import ``revcast``. A source
+    checkout is zipped on the driver and added with ``addPyFile`` (what
+    ``--py-files`` does; Spark serves the file to every executor). An
+    installed package is left alone.
     """
     import hashlib
     import zipfile
@@ -96,6 +98,10 @@ def ship_code(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    if "site-packages" in pkg or "dist-packages" in pkg:
+        # installed as a library on the cluster image: executors import it already
+        _SHIPPED.add(app)
+        return
     files = []
     for root, _dirs, names in os.walk(pkg):
         for n in sorted(names):
