@@ -109,19 +109,6 @@ def centred_moving_average(x: Column, period: int, order_keys, part_keys) -> Col
     return total / F.lit(float(period))
 
 
-def ordered_sum(value: Column, order: Column) -> Column:
-    """Aggregate: Σ value in ``order`` (nulls skipped), as a left fold.
-
-    A plain ``sum`` of doubles depends on the order partial sums arrive in;
-    folding the sorted values gives the same bits on every run and every
-    partitioning. Use only on groups bounded by the calendar (here: the days
-    of one phase of one series).
-    """
-    pair = F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))
-    return F.aggregate(F.array_sort(F.collect_list(pair)), F.lit(0.0),
-                       lambda acc, s: acc + s["v"])
-
-
 def decompose_additive(df: DataFrame, value: str = "revenue", period: int = 7,
                        keys=None) -> DataFrame:
     """M17 (W8 + W9): additive decomposition ``y = trend + seasonal + resid``.
@@ -131,23 +118,36 @@ def decompose_additive(df: DataFrame, value: str = "revenue", period: int = 7,
       counted from the first row of the series, centred so the phase means
       sum to zero (W9).
 
-    Phase means are reproducible: each is an ordered fold (by date) over the
-    phase's days, and the centring folds the phase means by phase.
+    Three chained windows, all on the series partitioning (one shuffle, no
+    join, no second pass): the phase sums are running sums in date order
+    within (series, phase), read at the phase's last row; the centring sums
+    the phase means over the first row of each phase in phase order. Both
+    are sequential folds, so the result does not depend on partitioning.
     Expects a gap-free (interpolated) input.
     """
     k = _keys(df, keys)
     x = F.col(value).cast("double")
-    rn = F.row_number().over(Window.partitionBy(*k).orderBy("date"))
+    by_date = Window.partitionBy(*k).orderBy("date")
     base = df.select(*k, "date", x.alias("y"),
                      centred_moving_average(x, period, ["date"], k).alias("trend"),
-                     ((rn - 1) % period).cast("bigint").alias("phase"))
+                     ((F.row_number().over(by_date) - 1) % period).cast("bigint").alias("phase"))
     detr = F.col("y") - F.col("trend")
-    phase_means = (base.groupBy(*k, "phase")
-                   .agg((ordered_sum(detr, F.col("date")) / F.count(detr)).alias("_pm")))
-    centre = phase_means.groupBy(*k).agg(
-        (ordered_sum(F.col("_pm"), F.col("phase")) / F.count("_pm")).alias("_mean_pm"))
-    centred = (phase_means.join(centre, on=k)
-               .select(*k, "phase", (F.col("_pm") - F.col("_mean_pm")).alias("seasonal")))
-    return (base.join(centred, on=[*k, "phase"], how="left")
-            .withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal"))
+    ph = Window.partitionBy(*k, "phase")
+    ph_run = ph.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    ph_all = ph.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    staged = base.select(
+        "*",
+        F.coalesce(F.sum(detr).over(ph_run), F.lit(0.0)).alias("_run"),
+        F.count(detr).over(ph_all).alias("_cnt"),
+        F.row_number().over(ph.orderBy(F.desc("date"))).alias("_last"),
+        F.row_number().over(ph.orderBy("date")).alias("_first"))
+    # the phase mean sits on the last row of the phase (its full running sum)
+    pm_last = F.when(F.col("_last") == 1, F.col("_run") / F.col("_cnt"))
+    staged = staged.withColumn("_pm", F.max(pm_last).over(ph))
+    by_phase = (Window.partitionBy(*k).orderBy("phase", "date")
+                .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first_pm = F.when(F.col("_first") == 1, F.col("_pm"))
+    mean_pm = F.sum(first_pm).over(by_phase) / F.count(first_pm).over(by_phase)
+    out = staged.withColumn("seasonal", F.col("_pm") - mean_pm)
+    return (out.withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal"))
             .select(*k, "date", "y", "trend", "phase", "seasonal", "resid"))
