@@ -7,6 +7,8 @@ number of series; there is no per-series driver loop.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -45,6 +47,50 @@ def rf_pipeline(pooled: bool = True, num_trees: int = 20, seed: int = SEED) -> P
     return Pipeline(stages=stages)
 
 
+# rows per partition for iterative ML fits (each pass launches one task per partition)
+ML_ROWS_PER_PARTITION = 100_000
+
+
+def ml_ready(df: DataFrame) -> DataFrame:
+    """Size the partitions of an ML training frame by its row count.
+
+    Iterative learners (tree building, CV) make many passes over the data,
+    and each pass launches one task per partition. A small frame left with
+    hundreds of shuffle partitions spends its time scheduling. Target: at
+    least the session's parallelism, about 100k rows per partition.
+    Coalesce only (no shuffle) when shrinking.
+    """
+    import math
+    want = max(df.sparkSession.sparkContext.defaultParallelism,
+               math.ceil(df.count() / ML_ROWS_PER_PARTITION))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
+
+
+@contextlib.contextmanager
+def fit_shuffles(df: DataFrame):
+    """Size SQL shuffles to the training frame while an ML fit runs.
+
+    Estimators run SQL aggregations internally (indexers, scalers, metrics);
+    with a session default sized for the raw data (hundreds of partitions)
+    a small training frame spends its time scheduling empty tasks. The
+    previous setting is restored afterwards.
+    """
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, df.rdd.getNumPartitions())))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit ``pipeline`` on a partition-sized frame with sized shuffles."""
+    data = ml_ready(df)
+    with fit_shuffles(data):
+        return pipeline.fit(data)
+
+
 def _double(df: DataFrame) -> DataFrame:
     num = set(FEATURE_COLUMNS) | {"target"}
     return df.select(*[F.col(c).cast("double").alias(c) if c in num else F.col(c) for c in df.columns])
@@ -102,14 +148,15 @@ def grid_search(train: DataFrame, pooled: bool = True, grid=N_TREES_GRID,
                 folds: int = N_FOLDS, parallelism: int = 4):
     """Forest size chosen by k-fold CV on contiguous time blocks (R²,
     unweighted mean over folds), then refit on all training rows."""
-    data = time_series_folds(_double(train), folds).withColumnRenamed("fold", "_fold")
+    data = ml_ready(time_series_folds(_double(train), folds).withColumnRenamed("fold", "_fold"))
     pipe = rf_pipeline(pooled)
     rf = pipe.getStages()[-1]
     params = ParamGridBuilder().addGrid(rf.numTrees, list(grid)).build()
     ev = RegressionEvaluator(labelCol="target", predictionCol="prediction", metricName="r2")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=params, evaluator=ev,
                         foldCol="_fold", numFolds=folds, parallelism=parallelism, seed=SEED)
-    model = cv.fit(data)
+    with fit_shuffles(data):
+        model = cv.fit(data)
     scores = [(int(p[rf.numTrees]), float(m)) for p, m in zip(params, model.avgMetrics)]
     return model, scores
 
@@ -121,17 +168,17 @@ def train_supervised(features: DataFrame, pooled: bool = True, num_trees: int |
     Returns ``(model, holdout_rmse, scores)``; the hold-out RMSE is
     ``round(sqrt(mse))`` (F13). ``num_trees`` skips the grid search.
     """
-    f = _double(features)
+    f = ml_ready(_double(features))
     tr, te = random_split(f) if shuffle else time_split(f)
     if num_trees is None and search:
         m, scores = grid_search(tr, pooled)
         best = max(scores, key=lambda s: s[1])[0]
     else:
         best, scores = num_trees or 20, []
-    m = rf_pipeline(pooled, best).fit(tr)
+    m = fit(rf_pipeline(pooled, best), tr)
     pred = m.transform(te)
     rmse = pred.select(rounded_rmse(F.avg((F.col("target") - F.col("prediction")) ** 2))).first()[0]
-    final = rf_pipeline(pooled, best).fit(f)
+    final = fit(rf_pipeline(pooled, best), f)
     return final, rmse, scores
 
 

@@ -32,7 +32,8 @@ def _tag(sf: str) -> str:
 
 
 def training_features(spark, sf, training=True):
-    return cut_lineage(fe.revenue_features(filled(spark, sf, "zero"), training=training))
+    """The feature matrix, materialised once and sized for ML passes."""
+    return sup.ml_ready(cut_lineage(fe.revenue_features(filled(spark, sf, "zero"), training=training)))
 
 
 def interpolated_y(spark, sf):
@@ -45,7 +46,7 @@ def interpolated_y(spark, sf):
 def m10_rf_predictions(spark, sf):
     """M10 + M13: pooled scaler + random-forest pipeline trained on the training
     matrix of every series; predictions on the untrimmed feature table."""
-    model = sup.rf_pipeline(pooled=True, num_trees=20).fit(sup._double(training_features(spark, sf)))
+    model = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), sup._double(training_features(spark, sf)))
     return sup.predict_supervised(model, training_features(spark, sf, training=False))
 
 
@@ -63,7 +64,7 @@ def m12_holdout_rmse(spark, sf):
     (``round(sqrt(mse))``)."""
     f = sup._double(training_features(spark, sf))
     tr, te = sup.time_split(f)
-    m = sup.rf_pipeline(pooled=True, num_trees=20).fit(tr)
+    m = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), tr)
     p = m.transform(te)
     return (p.groupBy("series_id")
             .agg(F.round(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))).alias("rmse"),
@@ -74,7 +75,7 @@ def m12_holdout_rmse(spark, sf):
 def m14_supervised_lookup(spark, sf):
     """M14 + S8: model trained, saved to and re-loaded from shared storage,
     then requests answered from the untrimmed feature table (J6)."""
-    model = sup.rf_pipeline(pooled=True, num_trees=20).fit(sup._double(training_features(spark, sf)))
+    model = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), sup._double(training_features(spark, sf)))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/sl-rf-0_1-{_tag(sf)}"
     sup.save_model(model, path)
     loaded = sup.load_model(path)
