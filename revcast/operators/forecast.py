@@ -17,10 +17,13 @@ cutoffs): O(days x p²) per series however many cutoffs, never a
 of the training span are used for a given cutoff.
 
 Spark does the heavy work (line-level aggregation to daily series, the
-shuffle of each series to one group, prediction as JVM expressions). The
-per-series step (Gram sums + a p x p ridge solve per cutoff) is a small
+shuffle of each series to one group, the joins to truth and requests).
+The per-series step (Gram sums + a p x p ridge solve per cutoff) is a small
 numpy helper in ``applyInPandas``; a group is one series' calendar (one
 row per day), bounded by the number of days, not by the data volume.
+Horizon forecasts are produced from the coefficient rows by a vectorised
+``mapInPandas``; :func:`predict` evaluates any frame of days as JVM
+expressions.
 """
 
 from __future__ import annotations
