@@ -121,3 +121,20 @@ def test_horizon_forecast_matches_jvm_predict(spark):
     for k in a:
         for c in ("trend", "weekly", "yearly", "yhat", "yhat_lower", "yhat_upper"):
             assert a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-6)
+
+
+def test_baselines_match_brute_force(spark):
+    s = _synthetic(spark, days=120, noise=5.0)
+    rows = {r.date: r.y for r in s.collect()}
+    cut = dt.date(2018, 3, 15)
+    cuts = spark.createDataFrame([("s1", cut)], "series_id string, cutoff date")
+    got = {r.h: r for r in fc.baseline_forecasts(s, cuts, horizon=10, season=7).collect()}
+    obs = sorted(d for d, v in rows.items() if v is not None and d <= cut)
+    d1, dT = obs[0], obs[-1]
+    slope = (rows[dT] - rows[d1]) / (dT - d1).days
+    for h in range(1, 11):
+        ds = cut + dt.timedelta(days=h)
+        sd = cut + dt.timedelta(days=h - 7 * math.ceil(h / 7))
+        assert got[h].yhat_naive == rows[dT]
+        assert got[h].yhat_snaive == rows.get(sd)
+        assert got[h].yhat_drift == pytest.approx(rows[dT] + slope * (ds - dT).days, rel=1e-12)
