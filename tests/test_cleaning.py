@@ -63,3 +63,21 @@ def test_quantile_mask_matches_numpy(spark):
     ref = np.where((v >= lo) & (v <= hi), v, np.nan)
     assert np.array_equal(np.isnan(got), np.isnan(ref))
     assert np.allclose(got[~np.isnan(got)], ref[~np.isnan(ref)])
+
+
+def test_even_period_decomposition(spark):
+    df, ps = _series(spark, n=240)
+    filled = cs.interpolate_time(df, "y", out="yi")
+    got = cs.decompose_additive(filled, "yi", period=12).orderBy("date").toPandas()
+    y = ps.interpolate(method="time").to_numpy()
+    n, p, h = len(y), 12, 6
+    w = np.r_[0.5, np.ones(2 * h - 1), 0.5] / p
+    trend = np.full(n, np.nan)
+    for i in range(h, n - h):
+        trend[i] = w @ y[i - h:i + h + 1]
+    detr = y - trend
+    pm = np.array([np.nanmean(detr[k::p]) for k in range(p)])
+    pm -= pm.mean()
+    seasonal = np.tile(pm, n // p + 1)[:n]
+    assert np.allclose(got["trend"].to_numpy(dtype=float), trend, equal_nan=True, rtol=1e-12)
+    assert np.allclose(got["seasonal"].to_numpy(dtype=float), seasonal, rtol=1e-9, atol=1e-9)
