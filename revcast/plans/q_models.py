@@ -185,6 +185,22 @@ def st2_stream_daily_events(spark, sf):
     return st.run_available_now(d, f"events_daily-{_tag(sf)}")
 
 
+@query("st2_stream_daily_exact", """
+SELECT event_type AS series_id, CAST(ts AS DATE) AS "date", count(*) AS rows,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+FROM events
+WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)
+GROUP BY event_type, CAST(ts AS DATE)""")
+def st2_stream_daily_exact(spark, sf):
+    """ST1 + ST2 (exact twin): the event stream's closed days with exact money
+    sums; a day is emitted once the 1-day watermark (latest event - 1 day)
+    has passed its window end."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    s = st.file_stream(spark, sf, schema, glob="events.parquet")
+    d = st.daily_window_rollup(s, "ts", "event_type", "value", money=True)
+    return st.run_available_now(d, f"events_daily_exact-{_tag(sf)}")
+
+
 @query("st1_stream_invoice_daily")
 def st1_stream_invoice_daily(spark, sf):
     """ST1 + ST2: line items as a stream joined to static order/customer/nation

@@ -42,22 +42,27 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def daily_window_rollup(stream: DataFrame, ts: str, key: str, value: str,
-                        distinct: str | None = None, watermark: str = "1 day") -> DataFrame:
+                        distinct: str | None = None, watermark: str = "1 day",
+                        money: bool = False) -> DataFrame:
     """ST2 + A13: per (day, key): rows, Σ value, approximate distinct count.
 
+    ``money=True`` sums the value as exact decimal(18,2) (output double).
+
     ``timestamp_ntz`` event times are cast to ``timestamp`` (watermarks need
     it); rows later than the watermark are dropped by the engine, state for
     closed days is evicted, so state stays bounded by the watermark span.
     """
     ev = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
-    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(value).alias(value)]
+    v = F.col(value).cast("decimal(18,2)") if money else F.col(value)
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(v).alias(value)]
     if distinct:
         aggs.append(F.approx_count_distinct(distinct).alias(f"approx_distinct_{distinct}"))
     out = (ev.withWatermark("_ts", watermark)
            .groupBy(F.window("_ts", "1 day").alias("w"), F.col(key).alias("series_id"))
            .agg(*aggs))
-    return out.select("series_id", F.to_date(F.col("w.start")).alias("date"),
-                      *[c for c in out.columns if c not in ("w", "series_id")])
+    rest = [F.col(c).cast("double").alias(c) if (money and c == value) else F.col(c)
+            for c in out.columns if c not in ("w", "series_id")]
+    return out.select("series_id", F.to_date(F.col("w.start")).alias("date"), *rest)
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append",
