@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate
+from . import bpe_automaton, decontaminate, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op4_huffman_ids")
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_file_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_decontaminate", """
 WITH w AS (
   SELECT 'd' AS side, doc_id AS id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word
