@@ -16,8 +16,8 @@ merge is replayed. A word has exactly one accepted path.
 Decoding emits the labels of the arcs.
 
 ``WordBpe`` reads the vocabulary file (normaliser NFC, white space, lower
-case; words by pattern; byte symbols; word ends) and keeps the results of
-frequent pieces in bounded tables, which change speed only.
+case; words by pattern; byte symbols; word ends). ``StringTable`` keeps the
+results of known pieces in a bounded table, which changes speed only.
 
 Defined results: null and empty texts have no tokens and decode to '';
 repeated rows are encoded one by one; an empty table gives no rows.
@@ -31,12 +31,17 @@ import os
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each table of known pieces in a worker.
-CACHE = 400_000
+from .pieces import PieceTable, steps
+
+#: Known pieces of a worker (about 60 bytes each).
+CACHE = 2_000_000
+#: Entries of a worker's table of word ends.
+RESTS = 300_000
 #: Entries of a worker's transition table.
 TABLE = 1_000_000
 _FOREVER = 1 << 60
@@ -159,16 +164,12 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern, regex.V0)
-        #: White space as the pattern language has it; Python's also holds U+001C to U+001F.
-        self.space = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")
         self.byte_of = byte_symbols()
         base = [t for t in self.ids if len(t.removesuffix(self.suffix) or t) == 1]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenAutomaton(base, merges)
         self._shown = {t: (str(self.ids[t]), t) for t in self.automaton.parts}
         self._rests: dict[tuple[str, str], tuple[str, str]] = {}
-        self._chunks: dict[str, tuple[str, str]] = {}
 
     def _symbols(self, piece: str) -> str:
         if piece.isascii() and piece.isprintable():
@@ -202,19 +203,23 @@ class WordBpe:
                     known = f"{arc[0]} {after[0]}", f"{arc[1]} {after[1]}"
                     break
             j -= 1
-        if len(self._rests) >= CACHE:
+        if len(self._rests) >= RESTS:
             self._rests.clear()
         self._rests[(last, rest)] = known
         return known
 
-    def _chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids and labels of a text without white space and special tokens."""
+    def strings(self, text: str) -> tuple[str, str]:
+        """The ids in decimal and the labels of a text, each joined by one blank."""
+        if "<|" in text:
+            tokens = self.tokens(text)
+            return " ".join([str(self.id_of(t)) for t in tokens]), " ".join(tokens)
+        chunk = text.lstrip(" \n")
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = self._lower(chunk)
         if chunk.isalpha():
             words = [chunk]
-        elif chunk[:-1].isalpha() and not chunk[-1].isalnum():
+        elif chunk[:-1].isalpha() and not (chunk[-1].isalnum() or chunk[-1].isspace()):
             words = [chunk[:-1], chunk[-1]]
         else:
             words = self.words.findall(chunk)
@@ -257,38 +262,39 @@ class WordBpe:
         """The labels of the arcs, joined as the library does without a decoder."""
         return " ".join([self.names[i] for i in ids])
 
-    def encode_strings(self, text: str) -> tuple[str, str]:
-        """The ids in decimal and the labels, each joined by one space.
 
-        Words never cross white space, so a text's tokens are those of its
-        chunks between white space; those of known chunks are looked up.
-        """
-        if "<|" in text:
-            tokens = self.tokens(text)
-            return " ".join([str(self.id_of(t)) for t in tokens]), " ".join(tokens)
-        chunks = self.space.split(text) if self.odd.search(text) else text.split()
-        known = self._chunks
-        try:
-            out = [known[c] for c in chunks]
-        except KeyError:
-            if len(known) >= CACHE:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk(c)
-            out = [known[c] for c in chunks]
-        if ("", "") in out:
-            out = [x for x in out if x[0]]
-        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
-
-
-_MADE: dict[str, WordBpe] = {}
-
-
-def tokenizer(path: str) -> WordBpe:
+class StringTable(PieceTable):
+    """Of each piece: its ids in decimal and its labels, a blank before each."""
+
+    def __init__(self, path: str):
+        self.bpe = WordBpe(path)
+        super().__init__([np.uint8, np.uint8], list(self.bpe.specials), CACHE)
+
+    def compute(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        coded = [self.bpe.strings(p) for p in pieces]
+        out = []
+        for k in (0, 1):
+            raw = [(" " + c[k]).encode() if c[k] else b"" for c in coded]
+            out.append((np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)))
+        return out
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text: the ids in decimal and the labels, each joined by one blank."""
+        for _, _, data, ends in steps(column):
+            both = []
+            for flat, sizes in self.lookup(data, ends):
+                raw, at = flat.tobytes(), np.append(0, np.cumsum(sizes)).tolist()
+                both.append([raw[a + 1 : b] for a, b in zip(at, at[1:], strict=False)])
+            yield from zip(*both, strict=True)
+
+
+_MADE: dict[str, StringTable] = {}
+
+
+def string_table(path: str) -> StringTable:
     """One compiled automaton for each worker process and file."""
     if path not in _MADE:
-        _MADE[path] = WordBpe(path)
+        _MADE[path] = StringTable(path)
     return _MADE[path]
 
 
@@ -304,13 +310,12 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str = "wor
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
+        table = string_table(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         for batch in batches:
-            coded = [bpe.encode_strings(t or "") for t in batch.column(text_col).to_pylist()]
-            ids = [list(map(int, a.split())) for a, _ in coded]
-            back = [bpe.decode(i) for i in ids]
+            coded = [list(map(int, ids.split())) for ids, _ in table.texts(batch.column(text_col))]
+            back = [table.bpe.decode(ids) for ids in coded]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.large_string())],
+                [*batch.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(back, pa.large_string())],
                 [*batch.schema.names, "__ids", "__decoded"])
 
     return docs.mapInArrow(run, f"{fields}, __ids array<int>, __decoded string")
@@ -322,15 +327,14 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
+        table = string_table(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         sha = hashlib.sha256
         for batch in batches:
             n, ids, texts = [], [], []
-            for t in batch.column("__text").to_pylist():
-                a, b = bpe.encode_strings(t or "")
-                n.append(a.count(" ") + 1 if a else 0)
-                ids.append(sha(a.encode()).hexdigest())
-                texts.append(sha(b.encode()).hexdigest())
+            for a, b in table.texts(batch.column("__text")):
+                n.append(a.count(b" ") + 1 if a else 0)
+                ids.append(sha(a).hexdigest())
+                texts.append(sha(b).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

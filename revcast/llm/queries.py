@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, token_store
+from . import bpe_automaton, decontaminate, licenses, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_license_templates", licenses.oracle_sql())
+def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_huffman_ids")
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_report(table(spark, sf_dir, "documents"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, via_table
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, steps
 
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 18
@@ -41,10 +41,6 @@ LANE = 256
 #: Documents of one range, and so of one file part, about.
 RANGE_DOCS = 20_000
 
-#: Text that a worker encodes at a time; a longer document is taken alone.
-STEP_BYTES = 1 << 18
-
-
 _MADE: dict[str, PieceEncoder] = {}
 
 
@@ -69,18 +65,12 @@ def encode_ids(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(_path(vocabulary))
         for whole in batches:
-            text = whole.column("__text").fill_null("").cast(pa.large_binary())
-            at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
-            k = 0
-            while k < len(text):
-                stop = max(k + 1, int(np.searchsorted(at, at[k] + STEP_BYTES, "right")) - 1)
-                ids, sizes = enc.encode(data[at[k] : at[stop]], at[k + 1 : stop + 1] - at[k])
+            for k, stop, data, ends in steps(whole.column("__text")):
+                ids, sizes = enc.encode(data, ends)
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype(enc.dtype)
-                ends = np.cumsum(sizes + 1) * enc.dtype.itemsize
-                coded = pa.Array.from_buffers(pa.large_binary(), stop - k, [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(ids.tobytes())])
+                at = np.append(0, np.cumsum(sizes + 1) * enc.dtype.itemsize).astype(np.int64)
+                coded = pa.Array.from_buffers(pa.large_binary(), stop - k, [None, pa.py_buffer(at), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(k, stop - k), coded], ["doc_id", "ids"])
-                k = stop
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(
         run, f"doc_id {kind}, ids binary")
