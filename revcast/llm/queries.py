@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, licenses, token_store, toxicity
+from . import bpe_automaton, decontaminate, licenses, near_dup, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,29 @@ def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_lsh_forest", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+g AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n,
+         array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS key
+  FROM w),
+sh AS (SELECT DISTINCT doc_id, key FROM g WHERE pos + 4 <= n OR (n < 5 AND pos = 1)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (key) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, either.b FROM reach JOIN either ON either.a = reach.b),
+root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN root USING (doc_id)
+""")
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_huffman_ids")
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_report(table(spark, sf_dir, "documents"))
