@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, decontaminate, kneser_ney, licenses, near_dup, token_store, toxicity
+from . import ann, bpe_automaton, decontaminate, kneser_ney, licenses, near_dup, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_learned_partitions")
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_report(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_lsh_forest", """
 WITH RECURSIVE w AS (
   SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word
