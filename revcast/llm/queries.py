@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_automaton, chat, decontaminate, kneser_ney, licenses, near_dup, token_store, toxicity
+from . import ann, bpe_automaton, chat, decontaminate, kneser_ney, licenses, near_dup, secrets, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,11 @@ def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(chat.with_conflict_case(spark, table(spark, sf_dir, "conversations")))
 
 
+@query("op9_secret_forest")
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 @query("op10_toxicity_ftrl")
 def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
