@@ -322,22 +322,26 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str = "wor
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """Per row: id, n_tokens, sha256 of the decimal ids joined by a space, sha256 of the decoded text."""
+                  vocabulary: str = "word_bpe_49k.json", keep_ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens, sha256 of the decimal ids joined by a space, sha256
+    of the decoded text and, if wanted, the ids as they were hashed."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = string_table(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         sha = hashlib.sha256
         for batch in batches:
-            n, ids, texts = [], [], []
+            n, ids, texts, shown = [], [], [], []
             for a, b in table.texts(batch.column("__text")):
+                if keep_ids:
+                    shown.append(a)
                 n.append(a.count(b" ") + 1 if a else 0)
                 ids.append(sha(a).hexdigest())
                 texts.append(sha(b).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            if keep_ids:
+                columns.append(pa.array(shown, pa.large_binary()).cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(
-        run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids string" if keep_ids else ""))

@@ -65,10 +65,15 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; also makes this package importable on the executors."""
+def prepare(spark: SparkSession) -> None:
+    """Name the checkpoint folder if the cluster has not, and make this package importable on the executors."""
     ensure_checkpoint_dir(spark)
     ship_code(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
