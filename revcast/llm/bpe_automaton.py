@@ -69,7 +69,9 @@ class TokenAutomaton:
 
     def _gadget(self, u: str, v: str, rank: int) -> None:
         if u not in self.parts or v not in self.parts or u + v in self.parts:
-            return  # a path that no text can take, or a second spelling that never wins
+            return  # a part that no text can hold, or a second spelling of a token
+        if not self._allowed(u, v):
+            return  # earlier merges have taken the path u, v away: the merge never happens
         self.parts[u + v] = (u, v, rank)
         self.removed.setdefault(u, {})[v] = rank
         if u == v:  # runs pair up from the left: after a lone u no uu begins
@@ -91,6 +93,14 @@ class TokenAutomaton:
         begins = self.begins.get(token)
         if begins is None:
             begins = self.begins[token] = self._chain(token, 0)
+        return self._open(gone, begins)
+
+    def _allowed(self, last: str, token: str) -> bool:
+        """The same while the automaton is being built."""
+        return self._open([(g, ended) for end, ended in self._chain(last, 1) if (g := self.removed.get(end))], self._chain(token, 0))
+
+    @staticmethod
+    def _open(gone: list[tuple[dict[str, int], int]], begins: list[tuple[str, int]]) -> bool:
         for removed, ended in gone:
             for begin, begun in begins:
                 rank = removed.get(begin)

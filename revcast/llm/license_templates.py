@@ -15,13 +15,13 @@ BASE = {
 
 #: (label, template); each begins with a mandatory word.
 TEMPLATES = [
-    ("gpl-3.0", "gnu general public {license|licence} [[as published by the free software foundation]] [[either]] [[{v|version}]] 3"),
-    ("gpl-2.0", "gnu general public {license|licence} [[as published by the free software foundation]] [[either]] [[{v|version}]] 2"),
+    ("gpl-3.0", "gnu general public {license|licence} [[as published by the free software foundation]] [[either]] [[{v|version}]] {3|v3}"),
+    ("gpl-2.0", "gnu general public {license|licence} [[as published by the free software foundation]] [[either]] [[{v|version}]] {2|v2}"),
     ("lgpl", "gnu {lesser|library} general public {license|licence}"),
     ("agpl", "gnu affero general public {license|licence}"),
     ("gpl", "program is free software you can redistribute it and or modify it under the terms of the gnu general public {license|licence}"),
-    ("apache-2.0", "{licensed|released|distributed} under [[the terms of]] the apache {license|licence} [[{v|version}]] 2 0"),
-    ("apache-2.0", "apache {license|licence} [[{v|version}]] 2 0"),
+    ("apache-2.0", "{licensed|released|distributed} under [[the terms of]] the apache {license|licence} [[{v|version}]] {2|v2} 0"),
+    ("apache-2.0", "apache {license|licence} [[{v|version}]] {2|v2} 0"),
     ("mit", "{licensed|released|distributed} under [[the terms of]] the mit {license|licence}"),
     ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the rights
@@ -41,7 +41,7 @@ TEMPLATES = [
         provided with the distribution"""),
     ("bsd-3-clause", """neither the name of {*12} nor the names of its contributors may be used to endorse or promote products
         derived from this software without specific prior written permission"""),
-    ("mpl-2.0", "source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "source code form is subject to the terms of the mozilla public license [[{v|version}]] {2|v2} 0"),
     ("cc-by-nc-4.0", "cc by nc [[{nd|sa}]] 4 0"),
     ("cc-by-sa-4.0", "cc by sa 4 0"),
     ("cc-by-4.0", "cc by 4 0"),

@@ -1,0 +1,314 @@
+"""Neighbours, near-duplicates, the language model, chat, secrets and toxicity."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from revcast.llm import ann, chat, kneser_ney, near_dup, secrets, toxicity
+from revcast.llm.common import space_words
+from revcast.llm.components import components
+from tests.llm.helpers import AWKWARD, LONG, docs_of
+
+# --- nearest neighbours
+
+
+def brute_nearest(vectors, k=20):
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids])
+    out = {}
+    for q in (i for i in ids if i % 20 == 0):
+        score = (x * vectors[q]).sum(1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
+        out[q] = [(ids[j], score[j]) for j in order]
+    return out
+
+
+def test_nearest_recall_and_measure(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_PER_CELL", 100)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 16))
+    x = centres[rng.integers(0, 12, 1500)] + 0.5 * rng.standard_normal((1500, 16))
+    vectors = {i: v for i, v in enumerate(x)}
+    rows = spark.createDataFrame([(i, v.tolist(), 0, 1.0) for i, v in vectors.items()], "vec_id long, embedding array<double>, rank int, score double")
+    got = defaultdict(list)
+    for r in ann.nearest_report(rows).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = brute_nearest(vectors)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
+    assert all(math.isclose(s, float(x[i] @ x[q]), rel_tol=1e-12, abs_tol=1e-12) for q in got for i, s in got[q])
+
+
+def test_nearest_ties_copies_and_awkward_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(7, [1.0, 0.0])]  # one very common vector, a repeated row
+    rows += [(100, None), (120, []), (140, [0.0, 0.0]), (160, [None, 1.0]), (180, [nan, 1.0]), (200, [inf, 1.0]), (None, [1.0, 1.0]), (61, [0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest_report(frame).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {0: [*range(1, 21)], 20: [*range(0, 20)], 40: [*range(0, 20)]}
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest_report(few).collect()] == [(0, 1, 1, 2.0)]
+    assert ann.nearest_report(few.where("false")).count() == 0
+    assert ann.nearest_report(frame.where("vec_id = 100")).count() == 0
+
+
+# --- near-duplicates
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = space_words((t or "").encode())
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i]:
+            holders[s].append(i)
+    pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1:]}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(seed=4):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, n = [], 1000
+    for group in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(8, 150))]
+        rows.append((n, " ".join(base)))
+        n += 1
+        for _ in range(150 if group == 0 else rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 20))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((n, " ".join(copy).upper() if rng.random() < 0.3 else " \n".join(copy)))
+            n += 1
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rows = [(i, t) for i, t in AWKWARD if i not in (None, 5)] + [(5, "one"), *near_copies()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_dup_report(docs_of(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert {i: v[:2] for i, v in got.items()} == want
+    assert all(kept == (c == i) for i, (_, c, kept) in got.items())
+
+
+def test_near_duplicates_awkward_rows(spark):
+    rows = [*AWKWARD, (30, "one two three four five six"), (30, "one two three four five six"), (None, "one two three four five six")]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_dup_report(docs_of(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    assert got.count((30, 2, 30, True)) == 2 and (None, 2, None, True) in got
+    assert (1, 0, 1, True) in got and (2, 0, 2, True) in got  # empty texts are not copies of each other
+    assert got.count((5, 1, 4, False)) == 2 and (4, 1, 4, True) in got
+    docs = docs_of(spark, rows)
+    left = near_dup.drop_near_duplicates(docs)
+    assert left.dtypes == docs.dtypes
+    ids = Counter(r.doc_id for r in left.collect())
+    assert ids == Counter([1, 2, 3, 4, 6, 7, 8, 9, 30, None, None])
+    assert near_dup.near_dup_report(docs_of(spark, [])).count() == 0
+    assert near_dup.drop_near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(k, k + 1) for k in range(0, 40)] + [(1000, k) for k in range(100, 160)] + [(7, 7), (200, 201), (201, 200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 1000: 100, 200: 200, 201: 200}
+
+
+# --- language model
+
+def test_kneser_ney_equals_brute_force(spark, monkeypatch):
+    import zlib
+    monkeypatch.setattr(kneser_ney, "DOCS_PER_BUCKET", 7)
+    rng = random.Random(6)
+    words = [f"t{int(rng.paretovariate(0.7)) % 90}" for _ in range(4000)]
+    rows = [(k, " ".join(words[rng.randrange(3900):][:rng.randint(0, 40)])) for k in range(150)] + [(500, None), (501, "unseen words only"), (502, "")]
+    out = {r.doc_id: r for r in kneser_ney.language_model_report(docs_of(spark, rows)).collect()}
+    tokens = {i: [*space_words((t or "").encode()), 0] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    pairs = Counter(p for t in train for p in zip([1, *t[:-1]], t, strict=True))
+    after = Counter(w for _, w in pairs)
+    total, kinds = Counter(), defaultdict(lambda: [0] * 4)
+    for (u, _), k in pairs.items():
+        total[u] += k
+        kinds[u][min(k, 3)] += 1
+    counts_of = lambda x: [sum(1 for k in x.values() if k == j) for j in (1, 2, 3, 4)]
+    high, low = kneser_ney._discounts(*counts_of(pairs)), kneser_ney._discounts(*counts_of(after))
+    rest = sum(low[min(k, 3)] for k in after.values()) / len(pairs) / (v + 1)
+    uni = lambda w: (after[w] - low[min(after[w], 3)]) / len(pairs) + rest
+
+    def p(u, w):
+        if not total[u]:
+            return uni(w)
+        k = pairs[(u, w)]
+        return (k - high[min(k, 3)] + sum(high[j] * kinds[u][j] for j in (1, 2, 3)) * uni(w)) / total[u]
+
+    assert math.isclose(sum(p(1, w) for w in c) + sum(high[j] * kinds[1][j] for j in (1, 2, 3)) * uni("unknown") / total[1], 1, rel_tol=1e-9)
+    for i, t in tokens.items():
+        r = out[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip([1, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+
+
+def test_kneser_ney_awkward_rows(spark):
+    got = kneser_ney.language_model_report(docs_of(spark, AWKWARD)).collect()
+    assert len(got) == len(AWKWARD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert all(r.held_out for r in got if r.doc_id is None)
+    assert kneser_ney.language_model_report(docs_of(spark, [])).count() == 0
+    lone = kneser_ney.language_model_report(docs_of(spark, [(None, "nothing to learn from")])).first()
+    assert lone.train_tokens == 0 and lone.n_known == 0 and lone.score == lone.base_score == 0
+
+
+# --- chat
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+
+
+def test_chat_round_trip_of_hostile_texts(spark):
+    rng = random.Random(4)
+    parts = ["<", "/", "s", ">", "</s>", "<s>", "[", "]", "INST]", "[INST]", "[/INST]", "[ROLE]", "[/ROLE] ", "[ASST] ", "\\", "\n", " ", "x", "é🙂", "[\\INST]", "<\\\\/s>"]
+    roles = ["user", "assistant", "system", None, "ro\nle\\", "[/ROLE]", "", "\\n", "\\\\n\\"]
+    rows = [(k // 4, k % 4, rng.choice(roles), None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for k in range(3000)]
+    frame = conversations(spark, rows)
+    assert chat.round_trip_failures(chat.format_conversations(frame)).count() == 0
+    by = defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role or "", text or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in chat.chat_report(frame).collect():
+        loss = "".join(t for role, t in by[r.conv_id] if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(by[r.conv_id]), sha("".join(f"{a}\n{b}\n" for a, b in by[r.conv_id])))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
+
+
+def test_chat_awkward_rows(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (None, None, None, None), (None, 1, "assistant", "ok"), (2, 1, "assistant", ""), (3, 0, "user", LONG)]
+    got = {r.conv_id: r for r in chat.chat_report(conversations(spark, rows)).collect()}
+    assert (got[1].n_turns, got[None].n_turns, got[None].loss_chars, got[2].loss_chars) == (2, 2, 2, 0)
+    assert chat.chat_report(conversations(spark, [])).count() == 0
+    turns = chat.format_turns(conversations(spark, [(1, 0, "user", "plain"), (1, 1, "user", "</s>")])).orderBy("turn").collect()
+    assert [t.escaped for t in turns] == [False, True]
+    plan = chat.chat_report(conversations(spark, rows))._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+# --- secrets
+
+def secret_docs(spark, n=300):
+    rng = random.Random(3)
+    rows, truth = list(AWKWARD), {}
+    for k in range(n):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        words = ["thehereand" * 2, "some words", "internationalisation" * 2]
+        case = k % 5
+        text = {0: f'{words[1]} token = "{value}" end', 1: f"commit {value} of {words[0]}", 2: f"{words[2]} and {words[0]}",
+                3: f"password={value[:18]} x", 4: f"see AKIA{value[:16].upper()} there"}[case]
+        rows.append((100 + k, text))
+        truth[100 + k] = value if case == 0 else value[:18] if case == 3 else "AKIA" + value[:16].upper() if case == 4 else None
+    return docs_of(spark, rows), dict(rows), truth
+
+
+def test_forest_finds_secrets_of_documents_it_has_not_seen(spark):
+    docs, texts, truth = secret_docs(spark)
+    forest = secrets.train_forest(secrets.weak_labels(docs.where(secrets.crc_mod("doc_id", 5) != 0)))
+    found = {r.doc_id: r for r in secrets.scan_secrets(docs.where(secrets.crc_mod("doc_id", 5) == 0), forest).collect()}
+    right = 0
+    asked = [i for i in found if i in truth]
+    for i in asked:
+        got = [texts[i][s.start:s.start + s.length] for s in found[i].secrets]
+        right += got == ([truth[i]] if truth[i] else [])
+        assert found[i].redacted == texts[i] if not got else secrets.REDACTED in found[i].redacted
+    assert right >= 0.95 * len(asked) and len(asked) > 30
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    docs, texts, truth = secret_docs(spark)
+    out = secrets.redact_secrets(docs)
+    assert out.dtypes == docs.dtypes
+    got = out.collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if truth.get(r.doc_id):
+            assert truth[r.doc_id] not in r.text and r.n_chars == len(r.text)
+        elif r.doc_id in texts:
+            assert r.text == texts[r.doc_id]
+    assert secrets.redact_secrets(docs.where("false")).count() == 0
+    report = secrets.secret_report(docs_of(spark, AWKWARD))  # nothing to learn from: the rule itself
+    assert report.count() == len(AWKWARD) and report.agg(F.sum("n_secrets")).first()[0] == 0
+    plan = secrets.judge(docs, "f.length")._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+# --- toxicity
+
+def toxic_docs(n=900):
+    rng = random.Random(2)
+    words, bad = [f"n{k}" for k in range(400)], ["foul", "vile", "nasty"]
+    rows, labels = [], []
+    for k in range(n):
+        toxic = k % 4 == 0
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))]
+        if toxic:
+            for w in rng.sample(bad, 2):
+                text.insert(rng.randrange(len(text)), w.upper())
+        rows.append((k + 100, " ".join(text)))
+        labels.append((k + 100, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark):
+    rows, labels = toxic_docs()
+    truth = dict(labels)
+    docs = docs_of(spark, rows + AWKWARD)
+    frame = spark.createDataFrame([*labels, (100, 1), (None, 1), (101, None), (1, 0)], "doc_id long, toxic int")
+    report = toxicity.toxicity_report(docs, frame).collect()
+    assert len(report) == len(rows) + len(AWKWARD)
+    held = [r for r in report if r.held_out and r.doc_id in truth]
+    assert len(held) > 100 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in report)
+    again = toxicity.toxicity_report(docs.repartition(7), frame.repartition(3)).collect()
+    assert {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in report}
+    left = toxicity.drop_toxic(docs, frame)
+    assert left.dtypes == docs.dtypes
+    assert {r.doc_id for r in left.collect() if r.doc_id in truth} >= {i for i, t in truth.items() if not t and i != 100}
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    docs = docs_of(spark, AWKWARD)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity_report(docs, none).collect()} == {0.5}
+    assert toxicity.drop_toxic(docs, none).count() == docs.count()
+    assert toxicity.toxicity_report(docs.where("false"), none).count() == 0
+
+
+def test_model_is_sparse(spark):
+    rows, labels = toxic_docs(400)
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 0 < len(model) < 3000 and all(w != 0 for _, w in model)
