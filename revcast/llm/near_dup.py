@@ -35,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +52,7 @@ PERCENT = 75
 #: Equal minima of 128 below which a pair is not confirmed: 0.75 less 4 standard errors of the estimate.
 LEAST_EQUAL = 77
 #: Documents in a block of a region.
-BLOCK = 256
+BLOCK = 2_048
 #: Ids that are shipped to all executors for a filter (8 bytes each); more are joined by shuffle.
 MAX_SHIPPED_IDS = 2_000_000
 
@@ -167,12 +166,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_rows(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of regions that are in several components, in blocks ordered by component."""
+    """Members of regions that are in several components, in blocks ordered by
+    component. Of regions with the same members, as near copies have in many
+    trees, one is enough.
+    """
     rows = members.select("tree", "k0", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
         "root", F.coalesce("root", "doc_id"))
-    mixed = rows.groupBy("tree", "k0").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "k0")
+    mixed = rows.groupBy("tree", "k0").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("print2")).where("lo < hi")
+    once = mixed.groupBy("n", "print", "print2").agg(F.min(F.struct("tree", "k0")).alias("r")).select("r.tree", "r.k0")
     order = Window.partitionBy("tree", "k0").orderBy("root", "doc_id")
-    return rows.join(mixed, ["tree", "k0"]).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    return rows.join(once, ["tree", "k0"]).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+
+
+def _similar(doc: np.ndarray, root: np.ndarray, sig: np.ndarray, split: int, best_only: bool) -> list[tuple[int, int]]:
+    """Pairs of different components with enough equal minima: of all rows, or of the rows before and from ``split`` on."""
+    out: list[tuple[int, int]] = []
+
+    def take(x: int, first: int) -> None:
+        equal = (sig[first:] == sig[x]).sum(1)
+        equal[root[first:] == root[x]] = 0
+        if best_only:
+            y = int(equal.argmax())
+            if equal[y] >= LEAST_EQUAL:
+                out.append((doc[x], doc[first + y]))
+        else:
+            out.extend((doc[x], doc[first + y]) for y in np.flatnonzero(equal >= LEAST_EQUAL))
+
+    n = len(doc)
+    if split < n:
+        for x in range(split):
+            take(x, split)
+        return out
+    # small components first: a row meets what comes after its own component
+    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((doc, of, size[of]))
+    doc, root, sig, of = doc[order], root[order], sig[order], of[order]
+    ends = np.append(np.flatnonzero(np.diff(of)) + 1, n)
+    a = 0
+    for b in ends[:-1].tolist():
+        for x in range(a, b):
+            take(x, b)
+        a = b
+    return out
+
+
+_SIDES = ["tree", "k0", "i", "j", "side", "doc_id", "root", "sig"]
+
+
+def _compare(best_only: bool):
+    """Groups come sorted; at most one group, two blocks, is carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(rows: pa.Table, last: bool):
+            nonlocal held
+            keys = [rows.column(c).to_numpy() for c in ("tree", "k0", "i", "j")]
+            new = np.zeros(rows.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            if last:
+                cuts.append(rows.num_rows)
+            held = rows.slice(cuts[-1])
+            doc, root, side = (rows.column(c).to_numpy() for c in ("doc_id", "root", "side"))
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                split = int((side[a:b] == 0).sum())
+                out += _similar(doc[a:b], root[a:b], sig[a:b], split, best_only)
+            got = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(got.min(1)), pa.array(got.max(1))], ["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None and held.num_rows:
+                rows = pa.concat_tables([held, rows])
+            if rows.num_rows:
+                yield pairs(rows, False)
+        if held is not None and held.num_rows:
+            yield pairs(held, True)
+
+    return run
 
 
 def _estimated(open_rows: DataFrame, signed: DataFrame, best_only: bool) -> DataFrame:
@@ -185,29 +262,8 @@ def _estimated(open_rows: DataFrame, signed: DataFrame, best_only: bool) -> Data
     meet = i.join(j, ["tree", "k0"]).where("i <= j AND NOT (lo_i = hi_i AND lo_j = hi_j AND lo_i = lo_j)").select("tree", "k0", "i", "j")
     left = rows.join(meet.withColumn("block", F.col("i")), ["tree", "k0", "block"]).withColumn("side", F.lit(0))
     right = rows.join(meet.where("i < j").withColumn("block", F.col("j")), ["tree", "k0", "block"]).withColumn("side", F.lit(1))
-    columns = ["tree", "k0", "i", "j", "side", "doc_id", "root", "sig"]
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "doc_id"])
-        sig = np.frombuffer(b"".join(rows["sig"]), ">u4").reshape(-1, HASHES).astype(np.uint32)
-        doc, root, side = (rows[c].to_numpy() for c in ("doc_id", "root", "side"))
-        split = int((side == 0).sum())
-        lone = split == len(rows)
-        out = []
-        for x in range(split):
-            first = x + 1 if lone and not best_only else 0 if lone else split
-            equal = (sig[first:] == sig[x]).sum(1)
-            equal[root[first:] == root[x]] = 0
-            if best_only:
-                y = int(equal.argmax()) if len(equal) else 0
-                chosen = [y] if len(equal) and equal[y] >= LEAST_EQUAL else []
-            else:
-                chosen = np.flatnonzero(equal >= LEAST_EQUAL)
-            out += [(min(doc[x], doc[first + y]), max(doc[x], doc[first + y])) for y in chosen]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return left.select(columns).unionByName(right.select(columns)).groupBy("tree", "k0", "i", "j").applyInPandas(
-        compare, "a bigint, b bigint").distinct()
+    dealt = left.select(_SIDES).unionByName(right.select(_SIDES)).repartition("tree", "k0", "i", "j").sortWithinPartitions(*_SIDES[:-1])
+    return dealt.mapInArrow(_compare(best_only), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
