@@ -67,7 +67,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     hashes, counts = hash_words(data, ends, SPACE)
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
+    for j in range(min(SHINGLE, n)):
         rolled[: n - j] += hashes[j:] * _ORDER[j]
     rolled = mix64(rolled)
     out, at = [], 0
