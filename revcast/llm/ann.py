@@ -58,6 +58,16 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
+def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest others of each row, a block of rows at a time."""
+    out = []
+    for a in range(0, len(x), 512):
+        scores = x[a : a + 512] @ x.T
+        scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -np.inf
+        out.append(_top(scores, k))
+    return np.concatenate(out)
+
+
 def bisect(neighbours: np.ndarray, cells: int) -> np.ndarray:
     """Balanced cells (a power of two) of a neighbour graph, by recursive spectral bisection."""
     n = len(neighbours)
@@ -129,9 +139,7 @@ def learn(sample: np.ndarray, cells: int, k: int) -> tuple[Router, int]:
         return Router([np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]), 1
     held = max(1, len(sample) // 8)  # rows the network does not see
     seen = sample[held:]
-    scores = seen @ seen.T
-    np.fill_diagonal(scores, -np.inf)
-    router = Router.fit(seen, bisect(_top(scores, GRAPH_DEGREE), cells), cells)
+    router = Router.fit(seen, bisect(neighbour_graph(seen, GRAPH_DEGREE), cells), cells)
     queries = sample[: min(held, 512)]
     truth = queries @ sample.T
     truth[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
