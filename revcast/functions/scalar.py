@@ -15,6 +15,10 @@ INVOICE_PREFIX_LETTERS = "AC"
 # the key of the whole-market series
 ALL_SERIES = "all"
 
+# Amounts are summed at the source's scale (up to six decimals), never rounded
+# line by line; they become double only at the output.
+MONEY_TYPE = "decimal(28,6)"
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -89,9 +93,9 @@ def version_tag(v) -> Column:
 
 
 def money(x) -> Column:
-    """Exact money: amounts are summed as decimal(18,2) and only turned into
+    """Exact money: amounts keep the source's scale and are only turned into
     double at the output, so partial sums never depend on addition order."""
-    return _c(x).cast("decimal(18,2)")
+    return _c(x).cast(MONEY_TYPE)
 
 
 def rounded_rmse(mse) -> Column:

@@ -55,9 +55,21 @@ def _difference(y: np.ndarray, d: int, D: int, s: int) -> np.ndarray:
     return w
 
 
+def first_common_row(n: int, s: int) -> tuple[int, int]:
+    """(first day on which every candidate of season ``s`` has all its lags, order of the long AR fit)."""
+    m = min(max(2 * s, 10), n // 4)
+    return 1 + s + m + s, m
+
+
 def hannan_rissanen(y: np.ndarray, order) -> tuple[float | None, dict, int]:
-    """Fit one candidate; returns ``(aic, coefficients, n_used)``."""
+    """Fit one candidate; returns ``(aic, coefficients, n_used)``.
+
+    Every candidate is scored on the same days (:func:`first_common_row`). Its
+    residuals are one-step errors of ``y`` itself, whatever the differencing,
+    so the scores compare and their order does not depend on the unit of ``y``.
+    """
     p, d, q, P, D, Q, s = order
+    start, m = first_common_row(len(y), s)
     w = _difference(np.asarray(y, float), d, D, s)
     const = d + D == 0
     ar_lags = [i for i in range(1, p + 1)] + [s * i for i in range(1, P + 1)]
@@ -68,7 +80,6 @@ def hannan_rissanen(y: np.ndarray, order) -> tuple[float | None, dict, int]:
         return None, {}, n
     e = np.full(n, np.nan)
     if ma_lags:
-        m = min(max(2 * max(ar_lags + ma_lags), 10), n // 4)
         Z = _lagmat(w, list(range(1, m + 1)))
         ok = ~np.isnan(Z).any(axis=1)
         Zc = np.column_stack([np.ones(ok.sum()), Z[ok]])
@@ -84,12 +95,15 @@ def hannan_rissanen(y: np.ndarray, order) -> tuple[float | None, dict, int]:
     for L in ma_lags:
         cols.append(_lagmat(e, [L])[:, 0])
         names.append(f"ma.L{L}")
+    common = np.arange(n) + d + D * s >= start
     if not cols:
-        resid = w
-        used = n
+        resid = w[common]
+        used = len(resid)
+        if used < 2:
+            return None, {}, used
     else:
         X = np.column_stack(cols)
-        ok = ~np.isnan(X).any(axis=1)
+        ok = common & ~np.isnan(X).any(axis=1)
         if ok.sum() <= k + 1:
             return None, {}, int(ok.sum())
         beta, *_ = np.linalg.lstsq(X[ok], w[ok], rcond=None)

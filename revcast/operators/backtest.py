@@ -145,20 +145,23 @@ def time_series_folds(frame: DataFrame, k: int = 5, order: str = "date") -> Data
 def masked_vs_raw(series: DataFrame, spec: ForecastSpec = ForecastSpec(),
                   horizon: int = HORIZON_DAYS, initial: int = INITIAL_DAYS,
                   masks=("none", "causal"), value: str = "y") -> DataFrame:
-    """Overall MAE/MAPE of the same backtest with and without masking."""
+    """Overall MAE/MAPE of the same backtest with and without masking.
+
+    All masks are scored on the same rows: the days that every one of them
+    answers (``n``); ``answered`` is each mask's own share of the days with a truth.
+    """
     cutoffs = cv_cutoffs(series, initial, horizon, value=value)
-    out = None
+    key = ["series_id", "cutoff", "ds"]
+    both = None
     for m in masks:
         cv = cross_validation(series, cutoffs, spec, horizon, initial, mask=m, value=value)
-        e = F.col("y") - F.col("yhat")
-        s = (cv.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
-             .groupBy("series_id")
-             .agg(F.avg(F.abs(e)).alias("mae"),
-                  F.avg(F.abs(e) / F.nullif(F.abs(F.col("y")), F.lit(0.0))).alias("mape"),
-                  F.count(F.lit(1)).alias("n"))
-             .withColumn("mask", F.lit(m)))
-        out = s if out is None else out.unionByName(s)
-    return out
+        one = cv.where(F.col("y").isNotNull()).select(*key, "y", F.col("yhat"), F.lit(m).alias("mask"))
+        both = one if both is None else both.unionByName(one)
+    common = F.count("yhat").over(Window.partitionBy(*key)) == F.lit(len(masks))
+    e = F.when(F.col("_common"), F.abs(F.col("y") - F.col("yhat")))
+    return (both.withColumn("_common", common).groupBy("series_id", "mask")
+            .agg(F.avg(e).alias("mae"), F.avg(e / F.nullif(F.abs(F.col("y")), F.lit(0.0))).alias("mape"),
+                 F.count(e).alias("n"), (F.count("yhat") / F.count(F.lit(1))).alias("answered")))
 
 
 def best_method(cv: DataFrame, preds: dict) -> DataFrame:

@@ -184,6 +184,16 @@ def causal_mask(y: np.ndarray, lo: float = 0.25, hi: float = 0.75) -> np.ndarray
     return out
 
 
+def _cumulative_sums(X: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """X'X, X'y and y'y of the rows up to each cutoff; segment s holds rows starts[s]..ends[s]."""
+    p = X.shape[1]
+    G, b, yy = np.zeros((len(ends), p, p)), np.zeros((len(ends), p)), np.zeros(len(ends))
+    for s, (a, e) in enumerate(zip(starts, ends)):
+        if e > a:
+            G[s], b[s], yy[s] = X[a:e].T @ X[a:e], X[a:e].T @ y[a:e], y[a:e] @ y[a:e]
+    return np.cumsum(G, 0), np.cumsum(b, 0), np.cumsum(yy)
+
+
 def _series_fitter(layout: Layout, prior_scales=None, mask: str = "none"):
     """Per-series fit of every cutoff: segment Gram sums, cumulative sums,
     ridge solves. Input: one series' days (``_cut = 0``) and its cutoff
@@ -207,6 +217,7 @@ def _series_fitter(layout: Layout, prior_scales=None, mask: str = "none"):
         if not len(cuts) or not days.any():
             return pd.DataFrame(columns=[f.name for f in COEF_SCHEMA.fields])
         origin = float(dn[days].min())
+        y_all = y
         if mask == "causal":
             # judge each day against the days before it (no look-ahead)
             order_all = np.argsort(np.where(days, dn, np.iinfo(np.int64).max), kind="stable")
@@ -222,17 +233,17 @@ def _series_fitter(layout: Layout, prior_scales=None, mask: str = "none"):
         # rows of segment s: cutoffs[s-1] < d <= cutoffs[s]
         ends = np.searchsorted(d_obs, cuts, side="right")
         starts = np.concatenate([[0], ends[:-1]])
-        G = np.zeros((len(cuts), p, p))
-        b = np.zeros((len(cuts), p))
-        yy = np.zeros(len(cuts))
-        for s_, (a, e) in enumerate(zip(starts, ends)):
-            if e > a:
-                Xs, ys = X[a:e], y_obs[a:e]
-                G[s_] = Xs.T @ Xs
-                b[s_] = Xs.T @ ys
-                yy[s_] = ys @ ys
-        G, b, yy = np.cumsum(G, 0), np.cumsum(b, 0), np.cumsum(yy)
+        G, b, yy = _cumulative_sums(X, y_obs, starts, ends)
         n = ends.astype(np.int64)
+        G_r, b_r, yy_r, n_r = G, b, yy, n
+        if mask == "causal":
+            seen = days & ~np.isnan(y_all)
+            in_order = np.argsort(dn[seen], kind="stable")
+            d_all = dn[seen][in_order]
+            upto = np.searchsorted(d_all, cuts, side="right")
+            G_r, b_r, yy_r = _cumulative_sums(design_matrix(layout, d_all.astype(float), origin), y_all[seen][in_order],
+                                              np.concatenate([[0], upto[:-1]]), upto)
+            n_r = upto.astype(np.int64)
         span = (cuts - origin) / YEAR
         used = np.zeros((len(cuts), layout.hinges), dtype=bool)
         if layout.hinges:
@@ -258,8 +269,10 @@ def _series_fitter(layout: Layout, prior_scales=None, mask: str = "none"):
                 except np.linalg.LinAlgError:
                     for r in np.where(ok)[0]:
                         beta[r] = np.linalg.lstsq(A[r], bb[r], rcond=None)[0]
-            rss = yy - 2 * np.einsum("ij,ij->i", beta, b) + np.einsum("ij,ijk,ik->i", beta, G, beta)
-            sigma = np.sqrt(np.clip(rss, 0, None) / np.maximum(n - p, 1))
+            # spread of all observed days up to the cutoff, masked ones too: what
+            # the interval has to cover is the unmasked series
+            rss = yy_r - 2 * np.einsum("ij,ij->i", beta, b_r) + np.einsum("ij,ijk,ik->i", beta, G_r, beta)
+            sigma = np.sqrt(np.clip(rss, 0, None) / np.maximum(n_r - p, 1))
             frames.append(pd.DataFrame({
                 "series_id": sid,
                 "cutoff": (cuts + _EPOCH).astype("datetime64[D]").astype(object),
@@ -425,13 +438,16 @@ def future_frame(train: DataFrame, cutoffs: DataFrame, periods: int = 30,
 
 
 def thirty_day_total(forecast: DataFrame, horizon: int = 30) -> DataFrame:
-    """Σ yhat over the ``horizon`` days after each cutoff."""
+    """Σ yhat over the ``horizon`` days after each cutoff, with the interval
+    of the sum: its variance is the sum of the days' variances, so half its
+    width is the root of the sum of their squared half widths."""
     f = forecast.where((F.col("ds") > F.col("cutoff"))
                        & (F.col("ds") <= F.date_add("cutoff", horizon)))
     return f.groupBy("series_id", "cutoff").agg(
         F.sum("yhat").alias("yhat_total"),
-        F.sum("yhat_lower").alias("yhat_lower_total"),
-        F.sum("yhat_upper").alias("yhat_upper_total"))
+        F.sqrt(F.sum(F.pow(F.col("yhat_upper") - F.col("yhat"), F.lit(2.0)))).alias("_half")).select(
+        "series_id", "cutoff", "yhat_total", (F.col("yhat_total") - F.col("_half")).alias("yhat_lower_total"),
+        (F.col("yhat_total") + F.col("_half")).alias("yhat_upper_total"))
 
 
 # ---------------------------------------------------------------- baselines

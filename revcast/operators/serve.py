@@ -80,10 +80,12 @@ def asof_lookup(requests: DataFrame, issued: DataFrame, value: str = "yhat_30d",
 
 
 def weekly_cutoffs(series: DataFrame, weekday: int = 2, value: str = "y") -> DataFrame:
-    """Retraining cutoffs, one per week (``dayofweek == weekday``,
-    1 = Sunday), from each series' observed days."""
-    return (series.where(F.col(value).isNotNull() & (F.dayofweek("date") == weekday))
-            .select("series_id", F.col("date").alias("cutoff")))
+    """Retraining cutoffs, one per week of each series' calendar
+    (``dayofweek == weekday``, 1 = Sunday), whether or not that day has a value."""
+    first_last = series.where(F.col(value).isNotNull()).groupBy("series_id").agg(
+        F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    days = first_last.select("series_id", F.explode(F.sequence("_lo", "_hi")).alias("cutoff"))
+    return days.where(F.dayofweek("cutoff") == weekday)
 
 
 # ---------------------------------------------------------------- logs

@@ -7,11 +7,9 @@ number of series; there is no per-series driver loop.
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -25,7 +23,11 @@ from .features import FEATURE_COLUMNS
 N_TREES_GRID = [10, 15, 20, 25]
 N_FOLDS = 5
 TEST_SHARE = 0.25
+# days that a row's target covers, its own included
+TARGET_DAYS = 30
 SEED = 42
+# places of the hashed series one-hot
+SERIES_SLOTS = 256
 
 
 def rf_pipeline(pooled: bool = True, num_trees: int = 20, seed: int = SEED) -> Pipeline:
@@ -33,8 +35,8 @@ def rf_pipeline(pooled: bool = True, num_trees: int = 20, seed: int = SEED) -> P
     stages = []
     inputs = list(FEATURE_COLUMNS)
     if pooled:
-        stages += [StringIndexer(inputCol="series_id", outputCol="_sidx", handleInvalid="keep"),
-                   OneHotEncoder(inputCol="_sidx", outputCol="_svec")]
+        # hashed one-hot: no list of all series on the driver, and of a fixed width
+        stages.append(FeatureHasher(inputCols=["series_id"], outputCol="_svec", numFeatures=SERIES_SLOTS))
     stages += [VectorAssembler(inputCols=inputs, outputCol="_raw"),
                StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)]
     feats = "_scaled"
@@ -47,48 +49,21 @@ def rf_pipeline(pooled: bool = True, num_trees: int = 20, seed: int = SEED) -> P
     return Pipeline(stages=stages)
 
 
-# rows per partition for iterative ML fits (each pass launches one task per partition)
-ML_ROWS_PER_PARTITION = 100_000
+# Partitions of an ML training frame. A forest draws its samples per
+# partition, so the number is fixed: the model depends on the data, not on the
+# cores or on how the input was dealt. Record it with a saved model.
+ML_PARTITIONS = 16
 
 
 def ml_ready(df: DataFrame) -> DataFrame:
-    """Size the partitions of an ML training frame by its row count.
-
-    Iterative learners (tree building, CV) make many passes over the data,
-    and each pass launches one task per partition. A small frame left with
-    hundreds of shuffle partitions spends its time scheduling. Target: at
-    least the session's parallelism, about 100k rows per partition.
-    Coalesce only (no shuffle) when shrinking.
-    """
-    import math
-    want = max(df.sparkSession.sparkContext.defaultParallelism,
-               math.ceil(df.count() / ML_ROWS_PER_PARTITION))
-    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
-
-
-@contextlib.contextmanager
-def fit_shuffles(df: DataFrame):
-    """Size SQL shuffles to the training frame while an ML fit runs.
-
-    Estimators run SQL aggregations internally (indexers, scalers, metrics);
-    with a session default sized for the raw data (hundreds of partitions)
-    a small training frame spends its time scheduling empty tasks. The
-    previous setting is restored afterwards.
-    """
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, df.rdd.getNumPartitions())))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    """The training frame in ``ML_PARTITIONS`` partitions by (series, day), each in that order."""
+    keys = [c for c in ("series_id", "date") if c in df.columns]
+    return df.repartition(ML_PARTITIONS, *keys).sortWithinPartitions(*keys)
 
 
 def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """Fit ``pipeline`` on a partition-sized frame with sized shuffles."""
-    data = ml_ready(df)
-    with fit_shuffles(data):
-        return pipeline.fit(data)
+    """Fit ``pipeline`` on the fixed partitions of :func:`ml_ready`."""
+    return pipeline.fit(ml_ready(df))
 
 
 def _double(df: DataFrame) -> DataFrame:
@@ -97,13 +72,18 @@ def _double(df: DataFrame) -> DataFrame:
 
 
 def time_split(features: DataFrame, test_share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """U4 (time-ordered, the default): last ``test_share`` of each series' rows is the test set."""
+    """U4 (time-ordered, the default): last ``test_share`` of each series' rows is the test set.
+
+    The target of a day holds the revenue of ``TARGET_DAYS`` days from it, so
+    the training rows end that many days before the first test day: none of
+    their targets reaches into the test period.
+    """
     w = Window.partitionBy("series_id").orderBy("date")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    tagged = features.withColumn("_test", F.percent_rank().over(w) >= F.lit(1 - test_share)) \
-                     .withColumn("_n", n)
-    return (tagged.where(~F.col("_test")).drop("_test", "_n"),
-            tagged.where(F.col("_test")).drop("_test", "_n"))
+    tagged = features.withColumn("_test", F.percent_rank().over(w) >= F.lit(1 - test_share))
+    first = F.min(F.when(F.col("_test"), F.col("date"))).over(Window.partitionBy("series_id"))
+    tagged = tagged.withColumn("_before", F.coalesce(F.col("date") <= F.date_sub(first, TARGET_DAYS), F.lit(True)))
+    return (tagged.where(~F.col("_test") & F.col("_before")).drop("_test", "_before"),
+            tagged.where(F.col("_test")).drop("_test", "_before"))
 
 
 def random_split(features: DataFrame, test_share: float = TEST_SHARE,
@@ -155,8 +135,7 @@ def grid_search(train: DataFrame, pooled: bool = True, grid=N_TREES_GRID,
     ev = RegressionEvaluator(labelCol="target", predictionCol="prediction", metricName="r2")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=params, evaluator=ev,
                         foldCol="_fold", numFolds=folds, parallelism=parallelism, seed=SEED)
-    with fit_shuffles(data):
-        model = cv.fit(data)
+    model = cv.fit(data)
     scores = [(int(p[rf.numTrees]), float(m)) for p, m in zip(params, model.avgMetrics)]
     return model, scores
 

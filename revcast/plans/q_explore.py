@@ -19,7 +19,7 @@ from .registry import query
 
 
 @query("a4_month_revenue", q.with_(q.LINES) + """
-SELECT month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+SELECT month, CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue
 FROM lines GROUP BY month ORDER BY revenue DESC, month""")
 def a4_month_revenue(spark, sf):
     r = pr.revenue_by_month_number(lines(spark, sf))
@@ -27,14 +27,14 @@ def a4_month_revenue(spark, sf):
 
 
 @query("a6_mean_price_year_month", q.with_(q.LINES) + """
-SELECT year, month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(price) AS price
+SELECT year, month, CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) / count(price) AS price
 FROM lines GROUP BY year, month""")
 def a6_mean_price_year_month(spark, sf):
     return pr.mean_price_by_year_month(lines(spark, sf))
 
 
 @query("w6_monthly_lag_diff", q.with_(q.LINES) + """,
-m AS (SELECT year, month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(price) AS price
+m AS (SELECT year, month, CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) / count(price) AS price
       FROM lines GROUP BY year, month),
 l AS (SELECT *, lag(price, 1) OVER (ORDER BY year, month) AS last30 FROM m)
 SELECT year, month, price, last30, last30 - price AS diff FROM l WHERE last30 IS NOT NULL""")
@@ -73,7 +73,7 @@ def f8_month_labels(spark, sf):
 
 
 @query("p6_period_actuals", q.with_(q.LINES) + """
-SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+SELECT CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue
 FROM lines WHERE year = '1998' AND month = '08'""")
 def p6_period_actuals(spark, sf):
     """Actual revenue of one month (August 1998); the month's date range
@@ -214,8 +214,8 @@ def o4_last_30_rows(spark, sf):
 
 @query("u1_union_by_name", q.with_(q.LINES) + f"""
 SELECT 'all' AS series_id, "date",""" + q.MEASURES.replace(
-    "sum(CAST(price AS DECIMAL(18,2))) AS revenue",
-    "CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue") + """
+    "sum(CAST(price AS DECIMAL(28,6))) AS revenue",
+    "CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue") + """
 FROM clines GROUP BY "date" """)
 def u1_union_by_name(spark, sf):
     """Credit-note lines and sale lines read as two sources with different

@@ -372,15 +372,19 @@ def m24_predict_log(spark, sf):
 
 @query("m22_weekly_replay")
 def m22_weekly_replay(spark, sf):
-    """Retrain weekly (Mondays), answer every day from the latest weekly
-    model (J9), compare with the truth (J7)."""
+    """Retrain weekly (every Monday of the calendar), answer every day of the
+    series from the latest weekly model (J9), compare with the truth (J7).
+    ``status`` says why a day has no forecast: before the first model, or the
+    latest model had too few rows to be fitted."""
     s = series_y(spark, sf, checkpoint=True)
     cuts = sv.weekly_cutoffs(s, weekday=2)
     coefs, layout = fc.fit_forecaster(s, cuts, mask="causal")
     fc7 = fc.forecast_horizon(coefs, layout, 7)
     truth = s.select("series_id", F.col("date").alias("ds"), "y")
-    return (fc7.join(truth, on=["series_id", "ds"], how="left")
-            .select("series_id", "cutoff", "ds", "y", "yhat", "yhat_lower", "yhat_upper"))
+    status = (F.when(F.col("cutoff").isNull(), "before_first_model")
+              .when(F.col("yhat").isNull(), "too_few_rows").otherwise("ok"))
+    return (truth.join(fc7, on=["series_id", "ds"], how="left")
+            .select("series_id", "cutoff", "ds", "y", "yhat", "yhat_lower", "yhat_upper", status.alias("status")))
 
 
 @query("m24_train_log")

@@ -51,8 +51,8 @@ def training_matrix(spark, sf):
 
 @query("a1_daily_rollup_all", q.with_(q.LINES) + """
 SELECT 'all' AS series_id, "date",""" + q.MEASURES.replace(
-    "sum(CAST(price AS DECIMAL(18,2))) AS revenue",
-    "CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue") + """
+    "sum(CAST(price AS DECIMAL(28,6))) AS revenue",
+    "CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue") + """
 FROM clines GROUP BY "date" """)
 def a1_daily_rollup_all(spark, sf):
     return _daily_out(dly.daily_rollup(lines(spark, sf)))
@@ -60,8 +60,8 @@ def a1_daily_rollup_all(spark, sf):
 
 @query("a1_daily_rollup_country", q.with_(q.LINES) + f"""
 SELECT {q.SLUG_COUNTRY} AS series_id, "date",""" + q.MEASURES.replace(
-    "sum(CAST(price AS DECIMAL(18,2))) AS revenue",
-    "CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue") + f"""
+    "sum(CAST(price AS DECIMAL(28,6))) AS revenue",
+    "CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue") + f"""
 FROM clines GROUP BY {q.SLUG_COUNTRY}, "date" """)
 def a1_daily_rollup_country(spark, sf):
     return _daily_out(dly.daily_rollup(lines(spark, sf), "country"))
@@ -74,7 +74,7 @@ def a2_daily_grouping_sets(spark, sf):
 
 
 @query("a3_country_revenue", q.with_(q.LINES) + """
-SELECT country, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+SELECT country, CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS total_revenue
 FROM lines GROUP BY country""")
 def a3_country_revenue(spark, sf):
     r = dly.series_revenue(lines(spark, sf))
@@ -82,7 +82,7 @@ def a3_country_revenue(spark, sf):
 
 
 TOP10_SQL = q.with_(q.LINES) + """,
-rev AS (SELECT country, sum(CAST(price AS DECIMAL(18,2))) AS total_revenue FROM lines GROUP BY country),
+rev AS (SELECT country, sum(CAST(price AS DECIMAL(28,6))) AS total_revenue FROM lines GROUP BY country),
 ranked AS (SELECT country, total_revenue,
                   CAST(row_number() OVER (ORDER BY total_revenue DESC, country ASC) AS BIGINT) AS revenue_rank
            FROM rev)"""

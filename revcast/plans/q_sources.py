@@ -4,12 +4,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..session import ensure_checkpoint_dir
-from ..sources.invoices import CANONICAL_COLUMNS, read_invoices
+from ..sources.invoices import CANONICAL_COLUMNS, invoice_rejects, read_invoices
 from ..sources.tables import read_daily_csv, snapshot, write_csv
 from . import sql_fragments as q
 from .q_explore import _variant_frames
@@ -18,13 +19,13 @@ from .registry import query
 
 
 def _export_dir(spark, name: str, sf: str) -> str:
-    tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{name}-{tag}"
+    """A new folder for each run, so that runs never overwrite each other's files."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex}"
 
 
 LINES_OUT = """
 SELECT country, customer_id, day, invoice, month, price, stream_id, times_viewed, year,
-       "date", regexp_replace(invoice, '\\D+', '', 'g') AS invoice_id
+       "date", regexp_replace(invoice, '\\D+', '', 'g') AS invoice_id, year || '-' || month AS source_month
 FROM lines"""
 
 
@@ -39,7 +40,31 @@ def s1_json_month_files(spark, sf):
         (v.withColumn("_ym", F.concat_ws("-", "year", "month"))
          .write.mode("overwrite").partitionBy("_ym").json(f"{out}/spelling={i}"))
     back = read_invoices(spark, out, validate=True, json_lines=True)
-    return back.select(*CANONICAL_COLUMNS, "date", "invoice_id")
+    # the month folder of each line's own file
+    return back.select(*CANONICAL_COLUMNS, "date", "invoice_id",
+                       F.regexp_extract("source_file", r"_ym=(\d{4}-\d{2})/", 1).alias("source_month"))
+
+
+@query("p2_rejects", q.with_(q.LINES) + """
+SELECT reason, count(*) AS records FROM (
+  SELECT CASE WHEN times_viewed % 7 = 0 THEN 'malformed record' WHEN times_viewed % 5 = 0 THEN 'invalid date' END AS reason FROM lines)
+WHERE reason IS NOT NULL GROUP BY reason""")
+def p2_rejects(spark, sf):
+    """P2 + P14: invoice lines written as JSON, every line with a multiple of 7
+    views with a price that is no number and of 5 with a day that no month
+    has; the rejects by reason, as the reader reports them."""
+    out = _export_dir(spark, "json_rejects", sf)
+    views = F.col("times_viewed")
+    broken = lines(spark, sf).select(
+        *[c for c in CANONICAL_COLUMNS if c not in ("price", "day")],
+        F.when(views % 7 == 0, F.lit("abc")).otherwise(F.col("price").cast("string")).alias("_p"),
+        F.when(views % 5 == 0, F.lit("32")).otherwise(F.col("day")).alias("day"))
+    text = F.to_json(F.struct(*[c for c in broken.columns if c != "_p"]))
+    price = F.when(views % 7 == 0, F.concat(F.lit('"'), "_p", F.lit('"'))).otherwise(F.col("_p"))
+    (broken.select(F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"price":'), price, F.lit("}")).alias("value"))
+     .write.text(out))
+    return (invoice_rejects(spark, out, json_lines=True, glob="*.txt").groupBy("reason")
+            .agg(F.count(F.lit(1)).alias("records")))
 
 
 @query("s3_csv_daily_roundtrip", q.with_(q.LINES, q.DAILY) + f"""
@@ -69,5 +94,6 @@ SELECT {q.DAILY_OUT} FROM daily""")
 def s7_snapshot_reuse(spark, sf):
     """The daily table materialised once per input fingerprint and
     reused (``rebuild=True`` would force a rewrite)."""
-    root = _export_dir(spark, "snapshots", sf)
+    tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots/{tag}"
     return cal.series_to_double(snapshot(daily(spark, sf), root, "daily"))

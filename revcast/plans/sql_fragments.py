@@ -36,7 +36,7 @@ MEASURES = """
          count(DISTINCT invoice_id) AS unique_invoices,
          count(DISTINCT stream_id) AS unique_streams,
          CAST(sum(times_viewed) AS BIGINT) AS total_views,
-         sum(CAST(price AS DECIMAL(18,2))) AS revenue"""
+         sum(CAST(price AS DECIMAL(28,6))) AS revenue"""
 
 # A2: all + every country in one grouping-sets aggregation
 DAILY = f"""

@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     # Local runs and tests only: no cluster-wide directory was named.
     local = tempfile.mkdtemp(prefix="revcast-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)

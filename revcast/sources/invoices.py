@@ -13,13 +13,17 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.scalar import clean_invoice, date_from_parts
-from .tables import read_table, sized_broadcast, spread
+from .tables import read_table
 
 
 class SchemaMismatchError(ValueError):
     """A source file's columns cannot be matched to the canonical columns."""
 
 
+class BadRecordsError(ValueError):
+    """Source files hold records that are no invoice lines."""
+
+
 class SourceNotFoundError(FileNotFoundError):
     """The source directory does not exist or holds no input files."""
 
@@ -99,7 +103,7 @@ def file_column_profile(spark: SparkSession, path: str,
                 .option("recursiveFileLookup", "true")
                 .option("samplingRatio", sampling_ratio)
                 .json(path)
-                .withColumn("source_file", F.col("_metadata.file_name")))
+                .withColumn("source_file", F.col("_metadata.file_path")))
     cols = [c for c in inferred.columns if c not in ("source_file", "_corrupt_record")]
     return inferred.groupBy("source_file").agg(
         *[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
@@ -134,22 +138,54 @@ def read_invoices(spark: SparkSession, path: str, validate: bool = True,
 
     Files are JSON arrays of records (``json_lines=True``: one record per
     line); each file may use any spelling of the renamed columns.
-    ``source_file`` records the file a line came from.
+    ``source_file`` is the full path of the file a line came from. Validation
+    raises on columns that do not match and on records that cannot be read;
+    without it such records (:func:`invoice_rejects`) are left out.
     """
     _check_exists(spark, path)
     if validate:
         bad = schema_violations(spark, path, sampling_ratio, json_lines)
-        first = bad.limit(5).collect()  # at most five rows reach the driver
-        if first:
-            detail = ", ".join(f"{r.source_file}: {r.problem}" for r in first)
-            raise SchemaMismatchError(f"columns could not be matched: {detail}")
-    raw = (spark.read.schema(RAW_SCHEMA)
-           .option("multiLine", not json_lines)
-           .option("pathGlobFilter", "*.json")
-           .option("recursiveFileLookup", "true")
-           .json(path)
-           .withColumn("source_file", F.col("_metadata.file_name")))
-    return harmonise(raw)
+        total, named = bad.agg(F.count(F.lit(1)), F.min(F.struct("source_file", "problem"))).first()
+        if total:
+            raise SchemaMismatchError(f"columns could not be matched: {total} problems, the first in "
+                                      f"{named.source_file}: {named.problem} (schema_violations() has all)")
+        total, named = invoice_rejects(spark, path, json_lines).agg(
+            F.count(F.lit(1)), F.min(F.struct("source_file", "reason"))).first()
+        if total:
+            raise BadRecordsError(f"{total} records could not be read, the first in {named.source_file}: "
+                                  f"{named.reason} (invoice_rejects() has all)")
+    return harmonise(_read_raw(spark, path, json_lines).where(~_is_corrupt()).drop(_CORRUPT))
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def _is_corrupt():
+    """Whether the whole record was readable. The reader only parses columns that
+    a query needs, so the condition needs all of them."""
+    return F.col(_CORRUPT).isNotNull() & (F.hash(*RAW_SCHEMA.names) >= F.lit(-2 ** 31))
+
+
+def _read_raw(spark: SparkSession, path: str, json_lines: bool, glob: str = "*.json") -> DataFrame:
+    """Records with any spelling; what does not fit the types is kept in ``_corrupt_record``."""
+    return (spark.read.schema(T.StructType(RAW_SCHEMA.fields + [T.StructField(_CORRUPT, T.StringType())]))
+            .option("multiLine", not json_lines)
+            .option("columnNameOfCorruptRecord", _CORRUPT)
+            .option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true")
+            .json(path)
+            .withColumn("source_file", F.col("_metadata.file_path")))
+
+
+def invoice_rejects(spark: SparkSession, path: str, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
+    """P2 + P14: ``(source_file, reason, record)`` of every record that cannot be
+    an invoice line: broken JSON or a value of another type, or no valid date."""
+    raw = _read_raw(spark, path, json_lines, glob)
+    parts = F.to_json(F.struct("year", "month", "day"))
+    reason = (F.when(_is_corrupt(), "malformed record")
+              .when(date_from_parts("year", "month", "day").isNull(), "invalid date"))
+    return (raw.select("source_file", reason.alias("reason"), F.coalesce(F.col(_CORRUPT), parts).alias("record"))
+            .where(F.col("reason").isNotNull()))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -179,17 +215,15 @@ def invoice_lines(spark: SparkSession, sf_dir: str, start: str | None = None,
     on the raw timestamp column, so the predicate reaches the Parquet scan of
     ``orders`` (row-group statistics) and the join only sees those orders.
     """
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if start is not None:
         orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
-    orders = spread(orders)
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = sized_broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                             max_rows=10_000)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     dims = (orders.join(cust, orders.o_custkey == cust.c_custkey)
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("o_orderkey", "o_custkey", "o_orderdate", "n_name"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.scalar import money
+
 # The driver tables (TESTDATA.md) used by this engine.
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events"]
@@ -19,38 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows of an under-split scan over the session's cores.
-
-    A scan yields one task per file split; a single large row group gives one
-    task, and everything pipelined behind the scan (joins, regex, Expand,
-    partial aggregation) would run on one core. Only when the scan has
-    fewer splits than ``defaultParallelism`` are rows spread; on a cluster
-    reading many files the scan is already parallel and this is a no-op.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Temp views for SQL use (S5): ``SELECT * FROM daily_agg`` etc."""
     for n in names or DRIVER_TABLES:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the frame
-    is returned unchanged and the planner chooses a shuffle join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 # Daily series file layout (DM2 / DM3); either spelling of the stream column.
 DAILY_CSV_SCHEMA = T.StructType([
     T.StructField("date", T.StringType()),
@@ -82,7 +58,7 @@ def read_daily_csv(spark: SparkSession, path: str, series_id: str = "all") -> Da
         num("unique_invoices", "bigint").alias("unique_invoices"),
         num(streams, "bigint").alias("unique_streams"),
         num("total_views", "bigint").alias("total_views"),
-        F.col("revenue").cast("decimal(18,2)").alias("revenue"),
+        money("revenue").alias("revenue"),
     )
 
 
@@ -104,28 +80,53 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).saveAsTable(name)
 
 
+def _input_roots(df: DataFrame) -> list[tuple[str, str]]:
+    """(path, file pattern) that the plan's file scans were given (not their files)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = set()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths, pattern = leaf.relation().location().rootPaths(), leaf.relation().options().get("pathGlobFilter")
+            roots |= {(paths.apply(i).toString(), pattern.get() if pattern.isDefined() else "*") for i in range(paths.size())}
+    return sorted(roots)
+
+
 def input_fingerprint(df: DataFrame) -> str:
-    """Fingerprint of a frame's input files and plan (for S7 snapshots)."""
-    files = sorted(df.inputFiles())
-    h = hashlib.sha256()
-    for f in files:
-        h.update(f.encode())
+    """Fingerprint of a frame's plan and input files (for S7 snapshots).
+
+    The files count with path, length and modification time, hashed in a
+    Spark job over their listing; the plan counts in its canonical form, so
+    another filter or measure gives another snapshot.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    h = hashlib.sha256(plan.encode())
     h.update(df.schema.json().encode())
+    for root, pattern in _input_roots(df):
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", pattern).load(root)
+                 .select("path", "length", "modificationTime"))
+        n, size, print_ = files.agg(F.count(F.lit(1)), F.sum("length"),
+                                    F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+        h.update(f"{root}|{n}|{size}|{print_}".encode())
     return h.hexdigest()[:16]
 
 
 def snapshot(df: DataFrame, root: str, name: str, rebuild: bool = False) -> DataFrame:
     """Reuse a materialised result if its inputs are unchanged, else build it.
 
-    The snapshot path carries the input fingerprint, so new input files give
-    a new snapshot; ``rebuild=True`` forces a rewrite (``clean=True``).
+    The snapshot path carries the fingerprint, so new or rewritten input files
+    and another plan give a new snapshot; ``rebuild=True`` forces a rewrite
+    (``clean=True``).
     """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{name}-{input_fingerprint(df)}"
     if not rebuild:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from ..functions.scalar import MONEY_TYPE
 from ..session import ensure_checkpoint_dir
 
 
@@ -46,14 +48,14 @@ def daily_window_rollup(stream: DataFrame, ts: str, key: str, value: str,
                         money: bool = False) -> DataFrame:
     """ST2 + A13: per (day, key): rows, Σ value, approximate distinct count.
 
-    ``money=True`` sums the value as exact decimal(18,2) (output double).
+    ``money=True`` sums the value as an exact decimal at its own scale (output double).
 
     ``timestamp_ntz`` event times are cast to ``timestamp`` (watermarks need
     it); rows later than the watermark are dropped by the engine, state for
     closed days is evicted, so state stays bounded by the watermark span.
     """
     ev = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
-    v = F.col(value).cast("decimal(18,2)") if money else F.col(value)
+    v = F.col(value).cast(MONEY_TYPE) if money else F.col(value)
     aggs = [F.count(F.lit(1)).alias("rows"), F.sum(v).alias(value)]
     if distinct:
         aggs.append(F.approx_count_distinct(distinct).alias(f"approx_distinct_{distinct}"))
@@ -107,6 +109,9 @@ def score_stream(daily_stream: DataFrame, forecasts: DataFrame, name: str,
     q.awaitTermination()
     try:
         return spark.read.parquet(out)
-    except Exception:  # no batch produced output
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no batch produced output
         return spark.createDataFrame([], "series_id string, date date, actual double, "
                                          "forecast double, error double, batch int")

@@ -118,3 +118,30 @@ def test_supervised_pipeline_smoke(spark):
     assert rmse is not None and rmse >= 0
     pred = sup.predict_supervised(model, df)
     assert pred.count() == 300
+
+
+def test_arima_choice_does_not_depend_on_the_unit(spark):
+    s, _ = _ar1(spark)
+    picks = {ar.best_candidate(ar.arima_grid(s.withColumn("y", F.col("y") * unit))).first().spec for unit in (1e-3, 1.0, 1e6)}
+    assert len(picks) == 1
+    assert len({r.n for r in ar.arima_grid(s).where("aic IS NOT NULL").collect()}) == 1
+
+
+def test_training_frame_does_not_depend_on_the_input_partitions(spark):
+    rows = [(f"s{i % 5}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 11), float(i % 7), float(3 * (i % 11) - i % 7)) for i in range(400)]
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    sums = set()
+    for n in (1, 2, 4):
+        df = spark.createDataFrame(rows, "series_id string, date date, a double, b double, target double").repartition(n)
+        data = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(sup.ml_ready(df))
+        model = RandomForestRegressor(featuresCol="f", labelCol="target", numTrees=5, seed=1).fit(data)
+        sums.add(round(model.transform(data).agg(F.sum("prediction")).first()[0], 6))
+    assert len(sums) == 1
+
+
+def test_training_rows_end_before_the_first_test_target(spark):
+    rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(400)]
+    train, test = sup.time_split(spark.createDataFrame(rows, "series_id string, date date"))
+    last, first = train.agg(F.max("date")).first()[0], test.agg(F.min("date")).first()[0]
+    assert (first - last).days == sup.TARGET_DAYS

@@ -24,7 +24,7 @@ def _daily(spark):
                          Decimal(f"{scale * (50 + (i * 37) % 400)}.{i % 100:02d}")))
     return spark.createDataFrame(
         rows, "series_id string, date date, purchases bigint, unique_invoices bigint, "
-              "unique_streams bigint, total_views bigint, revenue decimal(18,2)")
+              "unique_streams bigint, total_views bigint, revenue decimal(28,6)")
 
 
 def _brute(daily_rows, fill):

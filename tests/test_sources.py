@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from revcast.operators import daily as dly
-from revcast.sources.invoices import (SchemaMismatchError, SourceNotFoundError, read_invoices,
+from revcast.functions.scalar import money
+from revcast.sources.invoices import (BadRecordsError, SchemaMismatchError, SourceNotFoundError, invoice_rejects, read_invoices,
                                       schema_violations)
 from revcast.sources.tables import read_daily_csv, snapshot, write_csv
 
@@ -52,7 +53,7 @@ def test_read_harmonises_all_spellings(spark, json_dir):
     assert len(rows) == 5
     credit = rows[("C489449", "85048")]
     assert credit.price == -12.5 and credit.times_viewed == 4 and credit.customer_id is None
-    assert credit.invoice_id == "489449" and credit.source_file == "m2.json"
+    assert credit.invoice_id == "489449" and credit.source_file.endswith("/m2.json")
     eire = rows[("A506401", "47566")]
     assert eire.date == dt.date(2018, 2, 3) and eire.invoice_id == "506401"
     assert set(df.columns) >= {"country", "customer_id", "day", "invoice", "month", "price",
@@ -72,7 +73,7 @@ def test_daily_rollup_on_json(spark, json_dir):
 
 def test_schema_mismatch_is_reported(spark, json_dir):
     _write(json_dir, "bad.json", BAD)
-    problems = {(r.source_file, r.problem) for r in schema_violations(spark, json_dir).collect()}
+    problems = {(r.source_file.rsplit("/", 1)[1], r.problem) for r in schema_violations(spark, json_dir).collect()}
     assert ("bad.json", "unknown column amount") in problems
     assert ("bad.json", "missing column price") in problems
     assert not [p for p in problems if p[0] != "bad.json"]
@@ -102,3 +103,32 @@ def test_daily_csv_roundtrip_and_snapshot(spark, json_dir, tmpdir_path):
     s2 = snapshot(daily, root, "daily")
     assert s1.inputFiles() == s2.inputFiles()
     assert sorted(map(tuple, s2.collect())) == sorted(map(tuple, daily.collect()))
+
+
+def test_rejects_are_counted_and_left_out(spark, tmpdir_path):
+    lines = [json.dumps(dict(M2[0])), '{"country": "X", "price": ', json.dumps(dict(M2[0], day="32"))]
+    price = "price" if "price" in M2[0] else "total_price"
+    lines.append(json.dumps(dict(M2[0], **{price: "abc"})))
+    with open(os.path.join(tmpdir_path, "x.json"), "w") as f:
+        f.write("\n".join(lines))
+    reasons = sorted(r.reason for r in invoice_rejects(spark, tmpdir_path, json_lines=True).collect())
+    assert reasons == ["invalid date", "malformed record", "malformed record"]
+    with pytest.raises(BadRecordsError, match="3 records"):
+        read_invoices(spark, tmpdir_path, json_lines=True)
+    left = read_invoices(spark, tmpdir_path, validate=False, json_lines=True)
+    assert left.where("date IS NOT NULL").count() == 1
+
+
+def test_snapshot_follows_content_and_plan(spark, tmpdir_path):
+    src, root = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "snap")
+    spark.range(3).write.parquet(src)
+    assert snapshot(spark.read.parquet(src), root, "n").count() == 3
+    assert snapshot(spark.read.parquet(src).where("id > 0"), root, "n").count() == 2
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(src)
+    assert snapshot(spark.read.parquet(src), root, "n").count() == 5
+
+
+def test_money_keeps_the_scale_of_the_source(spark):
+    from decimal import Decimal
+    df = spark.createDataFrame([(0.004,), (0.004,), (3.131,), (-44990.049,)], "price double")
+    assert df.agg(F.sum(money("price"))).first()[0] == Decimal("-44986.910000")
