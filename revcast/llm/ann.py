@@ -12,8 +12,9 @@
 
 Equal vectors are one class; as ties go to the smaller id, only the k + 1
 smallest ids of a class can be in a result, so no others travel. Equal query
-vectors are searched once. Cells are cut in blocks of rows and of queries, so
-no task holds a whole cell and a common vector is no hot spot.
+vectors are searched once. Small cells share a task, large cells are cut in
+blocks of rows, and queries in blocks, so no task grows with the table and a
+common vector is no hot spot.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components, and rows with a null id, take no part; shorter vectors
@@ -23,6 +24,8 @@ than k candidates gets all; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +64,8 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row, a block of rows at a time."""
     out = []
-    for a in range(0, len(x), 512):
-        scores = x[a : a + 512] @ x.T
+    for a in range(0, len(x), 256):
+        scores = x[a : a + 256] @ x.T
         scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -np.inf
         out.append(_top(scores, k))
     return np.concatenate(out)
@@ -103,6 +106,7 @@ class Router:
 
     def __init__(self, weights: list[np.ndarray]):
         self.weights = weights
+        self.dim = weights[0].shape[0]
 
     @staticmethod
     def fit(x: np.ndarray, cell: np.ndarray, cells: int, hidden: int = 128, epochs: int = 15) -> Router:
@@ -156,36 +160,96 @@ def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return clean.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
-def _route(rows: DataFrame, shipped, columns: str, probes: int) -> DataFrame:
-    """``rows`` with ``cells``: the numbers of the most probable ones."""
+def _fit(cells: int, k: int):
+    """Learns from the sample in one task; one row comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [v for batch in batches for v in batch.column("vec").to_pylist()]
+        if rows:
+            router, probes = learn(_matrix(rows), cells, k)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(router.weights)], pa.binary()), pa.array([probes], pa.int32())], ["router", "probes"])
+
+    return run
+
+
+def _bundles(sizes: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """cell -> (bundle, blocks of rows): neighbouring small cells share a bundle of about a block, a large cell has several blocks."""
+    out, bundle, held = {}, 0, 0
+    for cell, n in sorted(sizes):
+        blocks = -(-n // BLOCK_ROWS)
+        if held and held + n > BLOCK_ROWS:
+            bundle, held = bundle + 1, 0
+        out[cell] = (bundle, blocks)
+        held += n
+        if blocks > 1:
+            bundle, held = bundle + 1, 0
+    return out
+
+
+def _place(rows: DataFrame, shipped, columns: str) -> DataFrame:
+    """``rows`` with ``cell``, the number of the most probable one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router(shipped.value)
-        dim = router.weights[0].shape[0]
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
-                logits = router.logits(_matrix(part.column("vec").to_pylist(), dim))
-                best = np.argsort(-logits, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(best), pa.list_(pa.int32()))], [*part.schema.names, "cells"])
+                best = router.logits(_matrix(part.column("vec").to_pylist(), router.dim)).argmax(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.int32())], [*part.schema.names, "cell"])
+
+    return rows.mapInArrow(run, f"{columns}, cell int")
+
+
+def _send(rows: DataFrame, shipped, bundles: dict[int, tuple[int, int]], columns: str, probes: int) -> DataFrame:
+    """One row for each bundle that a query's most probable cells lie in, with these cells."""
 
-    return rows.mapInArrow(run, f"{columns}, cells array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = Router(shipped.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                logits = router.logits(_matrix(part.column("vec").to_pylist(), router.dim))
+                row, bundle, blocks, to = [], [], [], []
+                for x, cells in enumerate(np.argsort(-logits, axis=1, kind="stable")[:, :probes].tolist()):
+                    sent: dict[tuple[int, int], list[int]] = {}
+                    for c in cells:
+                        if c in bundles:  # else no row lies in it
+                            sent.setdefault(bundles[c], []).append(c)
+                    for (b, n), own in sent.items():
+                        row.append(x)
+                        bundle.append(b)
+                        blocks.append(n)
+                        to.append(own)
+                taken = part.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(bundle, pa.int32()), pa.array(blocks, pa.int32()), pa.array(to, pa.list_(pa.int32()))],
+                    [*part.schema.names, "bundle", "row_blocks", "cells"])
+
+    return rows.mapInArrow(run, f"{columns}, bundle int, row_blocks int, cells array<int>")
 
 
 def _search(k: int):
+    """The k nearest of a block of rows for each query of a block, cell by cell."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mine = rows["ids"].isna().to_numpy()
         dim = max(map(len, rows["vec"]))
         q, base = _matrix(rows["vec"][mine], dim), _matrix(rows["vec"][~mine], dim)
-        q_ids, ids = rows["vec_id"][mine].to_numpy(), rows["ids"][~mine].to_list()
-        out = []
-        if len(q) and len(base):
-            near = _top(q @ base.T, k + 8)  # a few more, as the order of additions differs in a matrix product
-            for x in range(len(q)):
-                score = (base[near[x]] * q[x]).sum(1)
-                found = [(-s, i) for s, c in zip(score, near[x], strict=True) for i in ids[c]]
-                found.sort()
-                out += [(q_ids[x], i, -s) for s, i in found[:k]]
+        q_ids, ids, cells = rows["vec_id"][mine].to_numpy(), rows["ids"][~mine].to_list(), rows["cells"][~mine].map(lambda c: c[0]).to_numpy()
+        asked: dict[int, list[int]] = {}
+        for x, own in enumerate(rows["cells"][mine]):
+            for c in own:
+                asked.setdefault(c, []).append(x)
+        found: dict[int, list[tuple[float, int]]] = {}
+        for c, who in asked.items():
+            here = np.flatnonzero(cells == c)
+            if not len(here):
+                continue
+            near = _top(q[who] @ base[here].T, k + 8)  # a few more, as the order of additions differs in a matrix product
+            for x, at in zip(who, near, strict=True):
+                score = (base[here[at]] * q[x]).sum(1)
+                found.setdefault(x, []).extend((-s, i) for s, y in zip(score.tolist(), here[at], strict=True) for i in ids[y])
+        out = [(q_ids[x], i, -s) for x, pairs in found.items() for s, i in heapq.nsmallest(k, pairs)]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"]).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
@@ -200,31 +264,33 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     classes = via_table(valid.withColumn("__copy", copy).where(F.col("__copy") <= k + 1).groupBy("vec").agg(
         F.array_sort(F.collect_set("vec_id")).alias("ids")), "vector-classes")
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("vec"), F.element_at("ids", 1)).limit(SAMPLE).select("vec").collect()  # bounded
     cells = 1 << int(np.clip(np.round(np.log2(max(1, n) / ROWS_PER_CELL)), 0, np.log2(MAX_CELLS)))
-    router, measured = learn(_matrix([r[0] for r in sample]), cells, k) if sample else (None, 1)
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if router is None:
-        return spark.createDataFrame([], empty)
-    probes = min(cells, probes or measured)
-    shipped = spark.sparkContext.broadcast(router.weights)
-
-    placed = via_table(_route(classes, shipped, "vec array<double>, ids array<bigint>", 1).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells")
+    sample = classes.orderBy(F.xxhash64("vec"), F.element_at("ids", 1)).limit(SAMPLE).select("vec").coalesce(1)
+    learned = sample.mapInArrow(_fit(cells, k), "router binary, probes int").first()
+    if learned is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    probes = min(cells, probes or learned["probes"])
+    shipped = spark.sparkContext.broadcast(pickle.loads(learned["router"]))  # about 100 KB
+
+    placed = via_table(_place(classes, shipped, "vec array<double>, ids array<bigint>"), "cells")
+    sizes = [(r[0], r[1]) for r in placed.groupBy("cell").count().collect()]  # at most MAX_CELLS
+    bundles = _bundles(sizes)
+    of = F.create_map(*[F.lit(x) for c, b in bundles.items() for x in (c, b[0])])
+    blocks = F.create_map(*[F.lit(x) for c, b in bundles.items() for x in (c, b[1])])
     queries = valid.where(is_query).select("vec_id", "vec").distinct()
     searched = queries.groupBy("vec").agg(F.min("vec_id").alias("q"))
-    sent = via_table(_route(searched, shipped, "vec array<double>, q bigint", probes).select("vec", "q", F.explode("cells").alias("cell")), "probes")
-    # one row for each cell, at most MAX_CELLS
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks")).join(
-        sent.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks")), "cell")
-    blocks = F.broadcast(blocks)
-    base = placed.join(blocks, "cell").select(
-        "cell", F.pmod(F.xxhash64(F.element_at("ids", 1)), "row_blocks").cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("j"), F.element_at("ids", 1).alias("vec_id"), "vec", "ids")
-    asked = sent.join(blocks, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"),
+    sent = via_table(_send(searched, shipped, bundles, "vec array<double>, q bigint", probes), "probes")
+    loads = sent.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+    loads = F.broadcast(loads)  # at most MAX_CELLS rows
+    first = F.element_at("ids", 1)
+    base = placed.select("vec", "ids", F.array("cell").alias("cells"), of[F.col("cell")].alias("bundle"),
+                         F.pmod(F.xxhash64(first), blocks[F.col("cell")]).cast("int").alias("i")).join(loads, "bundle").select(
+        "bundle", "i", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("j"), first.alias("vec_id"), "vec", "ids", "cells")
+    asked = sent.join(loads, "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"),
         F.pmod(F.xxhash64("q"), "query_blocks").cast("int").alias("j"), F.col("q").alias("vec_id"), "vec",
-        F.lit(None).cast("array<bigint>").alias("ids"))
-    found = base.unionByName(asked).groupBy("cell", "i", "j").applyInPandas(_search(k + 1), "q bigint, vec_id bigint, score double")
+        F.lit(None).cast("array<bigint>").alias("ids"), "cells")
+    found = base.unionByName(asked).groupBy("bundle", "i", "j").applyInPandas(_search(k + 1), "q bigint, vec_id bigint, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k + 1).drop("__r")
     # from searched vectors back to all queries with that vector
