@@ -14,15 +14,15 @@ making all pairs of a region, rounds alternate with connected components:
 1. copies (equal sets) are one class; only its smallest id goes on;
 2. every document meets, over all trees, its neighbour of the longest common
    prefix and the smallest id before it in a region;
-3. in regions whose members are not yet connected, every document meets the
-   member of other components with the most equal minima;
-4. all pairs of such regions that are still in different components and have
-   at least ``LEAST_EQUAL`` equal minima are confirmed too.
+3. documents of regions that are not yet one component meet all others there
+   that are still in another component, block against block. Pairs with at
+   least ``LEAST_EQUAL`` equal minima are confirmed at once, on the full sets
+   that lie beside them; only links leave the task.
 
 So every pair that shares a region is confirmed, already connected, or has an
 estimate 4 standard errors below the threshold. A pair of similarity 0.75
 shares no region in 5 of a million cases. Regions of any size are cut in
-blocks; no task holds more than two blocks.
+blocks; no task holds more than two blocks at a time.
 
 Defined results: an empty or null text has an empty set and is linked with
 nothing; fewer than five words are one shingle; rows with a null id are kept,
@@ -112,9 +112,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, stop, data, ends in steps(batch.column("__text")):
-            sets = [s.view(np.int64) for s in shingle_sets(data, ends)]
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(data, ends)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(k, stop - k), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                [batch.column("doc_id").slice(k, stop - k), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,114 +156,135 @@ def _first_pairs(members: DataFrame) -> DataFrame:
         "doc_id <> other").select(*_pair("doc_id", "other")).distinct()
 
 
+def _similar_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            common = int(_overlaps(x, [y])[0])
+            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").withColumn("common", both).where(
-        100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_similar_enough, "a bigint, b bigint")
 
 
-def _open_rows(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of regions that are in several components, in blocks ordered by
-    component. Of regions with the same members, as near copies have in many
-    trees, one is enough.
+def _open_blocks(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of regions that are in several components, dealt into blocks,
+    and the pairs of blocks that meet in such a region.
+
+    A document's place is the smallest id that it shares an open region with:
+    documents of one group mostly have the same place, in whichever tree they
+    met, so a group is compared once and not once for each tree. Only locality
+    depends on the place; which blocks meet follows from the regions.
     """
     rows = members.select("tree", "k0", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
         "root", F.coalesce("root", "doc_id"))
-    mixed = rows.groupBy("tree", "k0").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("print2")).where("lo < hi")
-    once = mixed.groupBy("n", "print", "print2").agg(F.min(F.struct("tree", "k0")).alias("r")).select("r.tree", "r.k0")
-    order = Window.partitionBy("tree", "k0").orderBy("root", "doc_id")
-    return rows.join(once, ["tree", "k0"]).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-
-
-def _similar(doc: np.ndarray, root: np.ndarray, sig: np.ndarray, split: int, best_only: bool) -> list[tuple[int, int]]:
-    """Pairs of different components with enough equal minima: of all rows, or of the rows before and from ``split`` on."""
-    out: list[tuple[int, int]] = []
-
-    def take(x: int, first: int) -> None:
-        equal = (sig[first:] == sig[x]).sum(1)
-        equal[root[first:] == root[x]] = 0
-        if best_only:
-            y = int(equal.argmax())
-            if equal[y] >= LEAST_EQUAL:
-                out.append((doc[x], doc[first + y]))
-        else:
-            out.extend((doc[x], doc[first + y]) for y in np.flatnonzero(equal >= LEAST_EQUAL))
-
-    n = len(doc)
-    if split < n:
-        for x in range(split):
-            take(x, split)
-        return out
-    # small components first: a row meets what comes after its own component
-    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((doc, of, size[of]))
-    doc, root, sig, of = doc[order], root[order], sig[order], of[order]
-    ends = np.append(np.flatnonzero(np.diff(of)) + 1, n)
-    a = 0
-    for b in ends[:-1].tolist():
-        for x in range(a, b):
-            take(x, b)
-        a = b
+    mixed = rows.groupBy("tree", "k0").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc_id").alias("first")).where("lo < hi")
+    rows = via_table(rows.join(mixed.select("tree", "k0", "first"), ["tree", "k0"]), "open-regions")
+    docs = rows.groupBy("doc_id", "root").agg(F.min("first").alias("place"))
+    order = Window.partitionBy("place").orderBy("root", "doc_id")
+    docs = via_table(docs.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "open-documents")
+    parts = rows.join(docs.select("doc_id", "place", "block"), "doc_id").select("tree", "k0", "place", "block").distinct()
+    one = parts.select("tree", "k0", F.struct("place", "block").alias("x"))
+    other = parts.select("tree", "k0", F.struct("place", "block").alias("y"))
+    meet = one.join(other, ["tree", "k0"]).where("x <= y").select("x", "y").distinct()
+    span = docs.groupBy(F.struct("place", "block").alias("x")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # blocks are cut by component: two that hold one and the same have nothing to compare
+    meet = meet.join(span, "x").join(span.select(F.col("x").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y")), "y").where(
+        "NOT (lo = hi AND lo_y = hi_y AND lo = lo_y)").select("x", "y")
+    return docs, meet
+
+
+def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted arrays with ``own``."""
+    sizes = [len(o) for o in others]
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+
+
+def _links(doc: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
+    """Links that join components: among all rows, or between those before and
+    from ``split`` on. Pairs with enough equal minima are confirmed on their
+    full sets; what a link has joined is not compared again.
+    """
+    n, out = len(doc), []
+    if split == n:  # small components first: a row meets what comes after its own component
+        _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((doc, of, size[of]))
+        doc, root, sig, sets = doc[order], root[order], sig[order], [sets[k] for k in order.tolist()]
+        ends = np.searchsorted(of[order] + size[of[order]] * n, of[order] + size[of[order]] * n, "right")
+    else:
+        ends = np.full(split, split)
+    root = root.copy()
+    for x in range(min(split, n)):
+        first = int(ends[x])
+        if first >= n:
+            continue
+        near = first + np.flatnonzero(root[first:] != root[x])
+        near = near[(sig[near] == sig[x]).sum(1) >= LEAST_EQUAL] if len(near) else near
+        if not len(near):
+            continue
+        common = _overlaps(sets[x], [sets[y] for y in near.tolist()])
+        size = np.array([len(sets[y]) for y in near.tolist()])
+        for y in near[100 * common >= PERCENT * (len(sets[x]) + size - common)].tolist():
+            if root[y] != root[x]:
+                out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+                root[root == root[y]] = root[x]
     return out
 
 
-_SIDES = ["tree", "k0", "i", "j", "side", "doc_id", "root", "sig"]
-
+_SIDES = ["x", "y", "side", "doc_id", "root", "sig", "shingles"]
 
-def _compare(best_only: bool):
-    """Groups come sorted; at most one group, two blocks, is carried from batch to batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks come sorted; at most one is carried from batch to batch."""
+    held: pa.Table | None = None
 
-        def pairs(rows: pa.Table, last: bool):
-            nonlocal held
-            keys = [rows.column(c).to_numpy() for c in ("tree", "k0", "i", "j")]
-            new = np.zeros(rows.num_rows, bool)
-            for k in keys:
+    def links(rows: pa.Table, last: bool) -> pa.RecordBatch:
+        nonlocal held
+        new = np.zeros(rows.num_rows, bool)
+        for side in ("x", "y"):
+            for field in ("place", "block"):
+                k = rows.column(side).combine_chunks().field(field).to_numpy()
                 new[1:] |= k[1:] != k[:-1]
-            cuts = [0, *np.flatnonzero(new).tolist()]
-            if last:
-                cuts.append(rows.num_rows)
-            held = rows.slice(cuts[-1])
-            doc, root, side = (rows.column(c).to_numpy() for c in ("doc_id", "root", "side"))
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
-            out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                split = int((side[a:b] == 0).sum())
-                out += _similar(doc[a:b], root[a:b], sig[a:b], split, best_only)
-            got = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(got.min(1)), pa.array(got.max(1))], ["a", "b"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if held is not None and held.num_rows:
-                rows = pa.concat_tables([held, rows])
-            if rows.num_rows:
-                yield pairs(rows, False)
-        if held is not None and held.num_rows:
-            yield pairs(held, True)
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        if last:
+            cuts.append(rows.num_rows)
+        held = rows.slice(cuts[-1])
+        doc, root, side = (rows.column(c).to_numpy() for c in ("doc_id", "root", "side"))
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = rows.slice(a, b - a)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+            sets = [np.frombuffer(s, "<u8") for s in part.column("shingles").to_pylist()]
+            out += _links(doc[a:b], root[a:b], sig, sets, int((side[a:b] == 0).sum()))
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
 
-    return run
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None and held.num_rows:
+            rows = pa.concat_tables([held, rows])
+        if rows.num_rows:
+            yield links(rows, False)
+    if held is not None and held.num_rows:
+        yield links(held, True)
 
 
-def _estimated(open_rows: DataFrame, signed: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of different components with enough equal minima, block against block."""
-    rows = open_rows.join(signed.select("doc_id", "sig"), "doc_id")
-    blocks = open_rows.groupBy("tree", "k0", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    i = blocks.select("tree", "k0", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
-    j = blocks.select("tree", "k0", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
-    # blocks are cut by component, so those of one component never meet
-    meet = i.join(j, ["tree", "k0"]).where("i <= j AND NOT (lo_i = hi_i AND lo_j = hi_j AND lo_i = lo_j)").select("tree", "k0", "i", "j")
-    left = rows.join(meet.withColumn("block", F.col("i")), ["tree", "k0", "block"]).withColumn("side", F.lit(0))
-    right = rows.join(meet.where("i < j").withColumn("block", F.col("j")), ["tree", "k0", "block"]).withColumn("side", F.lit(1))
-    dealt = left.select(_SIDES).unionByName(right.select(_SIDES)).repartition("tree", "k0", "i", "j").sortWithinPartitions(*_SIDES[:-1])
-    return dealt.mapInArrow(_compare(best_only), "a bigint, b bigint").distinct()
+def _open_links(docs: DataFrame, meet: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components, block against block."""
+    place = F.struct("place", "block")
+    rows = docs.join(signed.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    left = rows.withColumn("x", place).join(meet, "x").withColumn("side", F.lit(0))
+    right = rows.withColumn("y", place).join(meet.where("x < y"), "y").withColumn("side", F.lit(1))
+    dealt = left.select(_SIDES).unionByName(right.select(_SIDES)).repartition("x", "y").sortWithinPartitions("x", "y", "side", "root", "doc_id")
+    return dealt.mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,22 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = signed.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
     members = via_table(_members(firsts), "regions")
     ids = via_table(members.select("doc_id").distinct(), "region-ids")
-    sets = via_table(_only(texts, ids).mapInArrow(_list_sets, "doc_id bigint, shingles array<bigint>").where(F.size("shingles") > 0), "shingles")
+    sets = via_table(_only(texts, ids).mapInArrow(_list_sets, "doc_id bigint, shingles binary").where(F.length("shingles") > 0), "shingles", "lz4")
     near = _only(signed.select("doc_id", "sig").where("sig IS NOT NULL"), ids)
 
-    tested = via_table(_first_pairs(members), "pairs")
-    links = via_table(_confirmed(tested, sets), "links")
+    links = via_table(_confirmed(_first_pairs(members), sets), "links")
     roots = components(links)
-    for best_only in (True, False):
-        open_rows = via_table(_open_rows(members, roots), "open-regions")
-        if open_rows.isEmpty():
-            break
-        pairs = via_table(_estimated(open_rows, near, best_only).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = via_table(_confirmed(pairs, sets), "links")
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+    open_docs, meet = _open_blocks(members, roots)
+    more = via_table(_open_links(open_docs, meet, near, sets), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
     return signed.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left").select(
         "doc_id", "n_shingles",
