@@ -11,6 +11,7 @@ from ..operators import clean_series as cs
 from ..operators import daily as dly
 from ..operators import profiling as pr
 from ..sources.invoices import CANONICAL_COLUMNS, harmonise, union_sources
+from ..sources.tables import read_table
 from . import sql_fragments as q
 from .q_series import daily, filled, lines
 from .registry import query
@@ -117,6 +118,22 @@ def f1_parse_date_parts(spark, sf):
                         fx.date_from_parts("year", "month_raw", "day_raw").alias("parsed_date"))
 
 
+@query("f13_f15_formats", """
+SELECT o_orderkey, round(sqrt(CAST(o_totalprice AS DOUBLE))) AS rounded_rmse,
+       lpad(CAST(o_orderkey // 3600 AS VARCHAR), 3, '0') || ':' || lpad(CAST((o_orderkey % 3600) // 60 AS VARCHAR), 2, '0')
+         || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS runtime,
+       'sl-' || o_orderstatus || '-' || replace(CAST(o_custkey AS VARCHAR) || '.1', '.', '_') AS model_name
+FROM orders""")
+def f13_f15_formats(spark, sf):
+    """F13 + F14 + F15: rounded root of a mean square, seconds as HHH:MM:SS and a
+    model name with the version's dots replaced, over the orders table."""
+    return read_table(spark, sf, "orders").select(
+        "o_orderkey", fx.rounded_rmse(F.col("o_totalprice").cast("double")).alias("rounded_rmse"),
+        fx.hms_duration("o_orderkey").alias("runtime"),
+        F.concat_ws("-", F.lit("sl"), "o_orderstatus",
+                    fx.version_tag(F.concat(F.col("o_custkey").cast("string"), F.lit(".1")))).alias("model_name"))
+
+
 @query("f3_f6_invoice_strings", q.with_(q.LINES) + """
 SELECT DISTINCT invoice,
        regexp_replace(invoice, '\\D+', '', 'g') AS invoice_id,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rounded_rmse
 from ..operators import backtest as bt
 from ..operators import forecast as fc
 from ..operators import monitor as mon
 from ..operators import serve as sv
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from . import sql_fragments as q
 from .q_series import daily, filled
 from .registry import query
@@ -389,16 +392,24 @@ def m22_weekly_replay(spark, sf):
 
 @query("m24_train_log")
 def m24_train_log(spark, sf):
-    """M24 + F14 + F15: train-log records of the weekly fits (first/last day,
-    in-sample RMSE, runtime as HHH:MM:SS, model version and name, test flag)."""
+    """M24 + F13 + F14 + F15: train-log records of the weekly fits, appended to a
+    log table and read back: first/last day, hold-out RMSE (the days until the
+    next fit, which the model has not seen; null where none of them has a
+    value or the model could not be fitted, which ``note`` says), runtime as
+    HHH:MM:SS, model version and name, test flag."""
     s = series_y(spark, sf, checkpoint=True)
     cuts = sv.weekly_cutoffs(s, weekday=2)
-    coefs, _ = fc.fit_forecaster(s, cuts)
+    coefs, layout = fc.fit_forecaster(s, cuts)
+    truth = s.select("series_id", F.col("date").alias("ds"), "y")
+    err = F.col("y") - F.col("yhat")
+    held_out = (fc.forecast_horizon(coefs, layout, 7).join(truth, on=["series_id", "ds"])
+                .groupBy("series_id", "cutoff").agg(rounded_rmse(F.avg(err * err)).alias("rmse")))
     first = s.where(F.col("y").isNotNull()).groupBy("series_id").agg(F.min("date").alias("first_date"))
-    return (coefs.join(first, on="series_id")
-            .select("series_id", "first_date", F.col("cutoff").alias("last_date"),
-                    F.col("sigma").alias("rmse"), F.col("fit_seconds").alias("runtime_s"),
-                    sv.hms_duration("fit_seconds").alias("runtime"),
-                    F.lit("0.1").alias("model_version"),
-                    F.lit("additive trend + seasonality").alias("note"), F.lit(False).alias("is_test"),
-                    sv.model_name("sl", "series_id", "0.1").alias("model_name")))
+    note = F.when(F.col("beta").isNull(), "too few rows").otherwise("additive trend + seasonality")
+    records = (coefs.join(first, on="series_id").join(held_out, on=["series_id", "cutoff"], how="left")
+               .select("series_id", "first_date", F.col("cutoff").alias("last_date"), "rmse",
+                       F.col("fit_seconds").alias("runtime_s"), F.lit("0.1").alias("model_version"),
+                       note.alias("note"), F.lit(False).alias("is_test")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/train-{uuid.uuid4().hex}"
+    sv.append_log(records, path, sv.TRAIN_LOG_SCHEMA)
+    return sv.read_log(spark, path).withColumn("model_name", sv.model_name("sl", "series_id", "0.1"))
