@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from .pieces import PieceTable, steps
 
 #: Known pieces of a worker (about 60 bytes each).
-CACHE = 2_000_000
+CACHE = 1_200_000
 #: Entries of a worker's table of word ends.
-RESTS = 300_000
+RESTS = 100_000
 #: Entries of a worker's transition table.
-TABLE = 1_000_000
+TABLE = 200_000
 _FOREVER = 1 << 60
 
 

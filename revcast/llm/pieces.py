@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers (about 30 bytes each); longer pieces than LONGEST are always encoded.
-KNOWN_PIECES = 3_000_000
+KNOWN_PIECES = 2_000_000
 LONGEST = 64
-_SLOTS = 1 << 23
+_SLOTS = 1 << 22
+_SHIFT = np.uint64(42)  # leaves the number of a slot
 _EMPTY = np.uint64(0)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,7 +114,7 @@ class PieceTable:
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each known piece, -1 for others."""
         out = np.full(len(keys), -1, np.int64)
-        slot = (keys >> np.uint64(41)).astype(np.int64)
+        slot = (keys >> _SHIFT).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
             there = self.keys[slot]
@@ -125,7 +126,7 @@ class PieceTable:
 
     def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         """``keys`` are distinct and new."""
-        slot = (keys >> np.uint64(41)).astype(np.int64)
+        slot = (keys >> _SHIFT).astype(np.int64)
         while len(keys):
             free = np.flatnonzero(self.keys[slot] == _EMPTY)
             _, first = np.unique(slot[free], return_index=True)

@@ -110,8 +110,12 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = Ftrl()
-    rows = [(np.frombuffer(raw, "<i4"), label) for batch in batches
-            for label, raw in zip(batch.column("__label").to_pylist(), batch.column("__places").to_pylist(), strict=True)]
+    rows = []  # views of the batches: the features are held once
+    for batch in batches:
+        raw = batch.column("__places")
+        at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] // 4
+        places = np.frombuffer(raw.buffers()[2], "<i4")
+        rows += [(places[a:b], label) for a, b, label in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("__label").to_pylist(), strict=True)]
     for _ in range(EPOCHS):
         for places, label in rows:
             model.learn(places, label)
