@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import date_spine
 from .daily import MEASURES
 
-COUNT_MEASURES = ["purchases", "unique_invoices", "unique_streams", "total_views"]
 
 
 def calendar_spine(daily: DataFrame, range_: str = "observed",
@@ -75,22 +74,22 @@ def fill_calendar(daily: DataFrame, fill: str = "null", range_: str = "observed"
 
     ``scope='series'`` (default) completes each series between its own
     bounds in a single window pass (:func:`_expand_gaps`); ``scope='global'``
-    uses one range for all series via a spine and a left join.
+    uses one range for all series via a spine and a left join. The frame may
+    carry fewer measures (e.g. revenue alone); those it has are filled.
     """
+    measures = [c for c in MEASURES if c in daily.columns]
     if fill not in ("null", "zero"):
         raise ValueError(f"unknown fill {fill!r}")
     if scope == "global":
         spine = calendar_spine(daily, range_, scope)
         out = spine.join(daily, on=["series_id", "date"], how="left")
         if fill == "zero":
-            out = out.select(
-                "series_id", "date",
-                *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in COUNT_MEASURES],
-                F.coalesce(F.col("revenue"), F.lit(0).cast(daily.schema["revenue"].dataType)).alias("revenue"))
-        return out.select("series_id", "date", *MEASURES)
+            out = out.select("series_id", "date", *[
+                F.coalesce(F.col(c), F.lit(0).cast(daily.schema[c].dataType)).alias(c) for c in measures])
+        return out.select("series_id", "date", *measures)
     g = _expand_gaps(daily, range_)
     cols = []
-    for c in MEASURES:
+    for c in measures:
         v = F.when(F.col("_obs"), F.col(c))
         if fill == "zero":
             v = F.coalesce(v, F.lit(0).cast(daily.schema[c].dataType))

@@ -185,9 +185,10 @@ v AS (SELECT r.country, r.year, r.month, r.day, r.series_id, r.target_date,
 
 
 def shared_daily(spark, sf):
-    """The daily table materialised once for queries that read it in several
-    branches (requests, forecast table, actuals)."""
-    return cut_lineage(daily(spark, sf))
+    """Daily revenue materialised once for queries that read it in several
+    branches (requests, forecast table, actuals). Only what they read is kept,
+    so the exact distincts of the other measures are never computed."""
+    return cut_lineage(daily(spark, sf).select("series_id", "date", "revenue"))
 
 
 def y_from_daily(d):
@@ -262,7 +263,7 @@ pva AS (SELECT fc.series_id, fc.cutoff, fc.forecast_total, act.actual_total, act
 
 def _pva(spark, sf):
     from ..operators import calendar as cal
-    f = cut_lineage(filled(spark, sf, "null"))
+    f = cut_lineage(cal.fill_calendar(daily(spark, sf).select("series_id", "date", "revenue"), "null"))
     s = f.select("series_id", "date", F.col("revenue").cast("double").alias("y"))
     ft = fc.drift_forecast_table(s)
     cuts = bt.cv_cutoffs(s)

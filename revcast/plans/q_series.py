@@ -232,7 +232,8 @@ def j4_band_join_previous_year(spark, sf):
 
     Probes are the observed days; the band [d-365, d-336] is W3's frame.
     """
-    d = cut_lineage(daily(spark, sf))  # probes and series from one pass over the lines
+    # probes and series from one pass over the lines; only the revenue is read
+    d = cut_lineage(daily(spark, sf).select("series_id", "date", "revenue"))
     out = fe.band_join_features(d.select("series_id", "date"), cal.fill_calendar(d, "zero"),
                                 -365, -336)
     return out.select("series_id", "date", F.col("band_sum").cast("double").alias("band_sum"))
