@@ -84,6 +84,31 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append",
     return spark.read.parquet(f"{base}/out")
 
 
+def additive_sums(stream: DataFrame, keys: list[str], sums: dict, name: str) -> DataFrame:
+    """ST1: exact sums over everything that arrives, in whatever order.
+
+    Files of line items are not sorted by date, so a watermark would drop the
+    old days of a later file. Counts and sums of each micro-batch are written
+    to ``batch=<id>`` instead (a replayed batch overwrites its own), and the
+    batches are added up when read. No state is kept, however long it runs.
+
+    ``sums`` maps an output name to the column that is summed.
+    """
+    spark = stream.sparkSession
+    base = stream_dir(spark, name)
+    out = f"{base}/sums"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    q = (stream.writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in sums])
+
+
 def score_stream(daily_stream: DataFrame, forecasts: DataFrame, name: str,
                  value: str = "value", pred: str = "yhat") -> DataFrame:
     """ST3: micro-batches of closed days joined to a static forecast table

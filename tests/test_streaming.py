@@ -23,3 +23,32 @@ def test_stream_equals_batch_on_closed_days(spark):
     # only days before the watermark are emitted (closed windows)
     last = ev.agg(F.max(F.to_date("ts"))).first()[0]
     assert out.agg(F.max("date")).first()[0] < last
+
+
+def test_files_in_any_order_lose_no_line(spark, tmpdir_path):
+    import uuid
+
+    from revcast.plans.q_models import invoice_stream_sums
+    files = f"{tmpdir_path}/lines"
+    spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").repartition(4, "l_orderkey").write.parquet(files)
+    want = {(r.country, r.date): (r["rows"], r.revenue) for r in invoice_stream_sums(
+        spark, SF_SMALL, files, f"t-{uuid.uuid4().hex}").collect()}
+    got = {(r.country, r.date): (r["rows"], r.revenue) for r in invoice_stream_sums(
+        spark, SF_SMALL, files, f"t-{uuid.uuid4().hex}", max_files=1).collect()}
+    assert got == want
+    assert sum(n for n, _ in got.values()) == spark.read.parquet(files).count()
+
+
+def test_json_invoice_files_as_a_stream(spark, tmpdir_path):
+    import json
+    import uuid
+
+    from revcast.sources.invoices import RAW_SCHEMA, harmonise
+    from revcast.streaming import stream as st
+    line = {"country": "EIRE", "customer_id": 1, "invoice": "C5", "month": "2", "year": "2018", "StreamID": "9", "TimesViewed": 2}
+    for k, day in enumerate(("28", "3", "28")):
+        with open(f"{tmpdir_path}/m{k}.json", "w") as f:
+            json.dump([dict(line, day=day, total_price=1.125)], f)
+    s = harmonise(st.file_stream(spark, tmpdir_path, RAW_SCHEMA, fmt="json", max_files=1))
+    got = st.additive_sums(s, ["country", "date"], {"price": "price", "views": "times_viewed"}, f"t-{uuid.uuid4().hex}").collect()
+    assert {(str(r.date), r["rows"], r.price, r["views"]) for r in got} == {("2018-02-28", 2, 2.25, 4), ("2018-02-03", 1, 1.125, 2)}
