@@ -261,6 +261,11 @@ class WordBpe:
         return [t for part in self.split_special.split(text) if part
                 for t in ([part] if part in self.specials else self._plain(part))]
 
+    def forget(self) -> None:
+        """Drop what was kept of texts seen so far."""
+        self._rests.clear()
+        self.automaton.table.clear()
+
     def id_of(self, token: str) -> int:
         known = self.ids.get(token)
         return self.specials[token] if known is None else known
@@ -273,13 +278,24 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids])
 
 
+#: The compiled automaton of each file, once in a worker process.
+_MADE: dict[str, WordBpe] = {}
+
+
 class StringTable(PieceTable):
     """Of each piece: its ids in decimal and its labels, a blank before each."""
 
     def __init__(self, path: str):
-        self.bpe = WordBpe(path)
+        if path not in _MADE:
+            _MADE[path] = WordBpe(path)
+        self.bpe = _MADE[path]
         super().__init__([np.uint8, np.uint8], list(self.bpe.specials), CACHE)
 
+    def close(self) -> None:
+        """Give the known pieces' memory back; the compiled automaton stays."""
+        self.keys, self.value, self.pools = self.keys[:0], self.value[:0], []
+        self.bpe.forget()
+
     def compute(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         coded = [self.bpe.strings(p) for p in pieces]
         out = []
@@ -298,16 +314,6 @@ class StringTable(PieceTable):
             yield from zip(*both, strict=True)
 
 
-_MADE: dict[str, StringTable] = {}
-
-
-def string_table(path: str) -> StringTable:
-    """One compiled automaton for each worker process and file."""
-    if path not in _MADE:
-        _MADE[path] = StringTable(path)
-    return _MADE[path]
-
-
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """The file of the installed package of public vocabularies, on whichever machine this runs."""
     import public_tokenizers
@@ -320,13 +326,14 @@ def encode_texts(docs: DataFrame, text_col: str = "text", vocabulary: str = "wor
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = string_table(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
+        table = StringTable(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         for batch in batches:
             coded = [list(map(int, ids.split())) for ids, _ in table.texts(batch.column(text_col))]
             back = [table.bpe.decode(ids) for ids in coded]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(back, pa.large_string())],
                 [*batch.schema.names, "__ids", "__decoded"])
+        table.close()
 
     return docs.mapInArrow(run, f"{fields}, __ids array<int>, __decoded string")
 
@@ -338,7 +345,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = string_table(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
+        table = StringTable(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         sha = hashlib.sha256
         for batch in batches:
             n, ids, texts, shown = [], [], [], []
@@ -352,6 +359,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if keep_ids:
                 columns.append(pa.array(shown, pa.large_binary()).cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        table.close()
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(
         run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids string" if keep_ids else ""))
