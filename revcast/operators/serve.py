@@ -88,6 +88,66 @@ def weekly_cutoffs(series: DataFrame, weekday: int = 2, value: str = "y") -> Dat
     return days.where(F.dayofweek("cutoff") == weekday)
 
 
+# ---------------------------------------------------------------- models by series
+
+def save_models(coefs: DataFrame, path: str, layout, version: str, is_test: bool = False) -> None:
+    """The fitted models, one folder for each series below ``prefix=sl`` or,
+    for models of a test run, ``prefix=test`` (production models are left alone).
+
+    The number of trend hinges is kept with each model, so it can be read
+    without the data it was trained on.
+    """
+    tag = "test" if is_test else "sl"
+    (coefs.withColumn("hinges", F.lit(layout.hinges)).withColumn("model_version", F.lit(version))
+     .withColumn("model_name", model_name(tag, "series_id", version))
+     .write.mode("overwrite").partitionBy("series_id").parquet(f"{path}/prefix={tag}"))
+
+
+def load_models(spark, path: str, series: str | None = None, is_test: bool = False) -> DataFrame:
+    """The saved models of one series or of all; only that series' folder is read.
+    An unknown series raises, as an unknown request does (J5)."""
+    from .daily import UnknownSeriesError
+    from .forecast import COEF_SCHEMA
+    schema = T.StructType(COEF_SCHEMA.fields + [T.StructField("hinges", T.IntegerType()),
+                                                T.StructField("model_version", T.StringType()),
+                                                T.StructField("model_name", T.StringType())])
+    models = spark.read.schema(schema).parquet(f"{path}/prefix={'test' if is_test else 'sl'}")
+    if series is None:
+        return models
+    models = models.where(F.col("series_id") == series)
+    if models.isEmpty():
+        raise UnknownSeriesError(f"no model of series {series!r}")
+    return models
+
+
+def predict_requests(models: DataFrame, requests: DataFrame, spec, horizon: int = 30) -> DataFrame:
+    """M14 + J5: every request answered by the latest model of its own series that
+    was trained before the requested day, as the total of the ``horizon`` days from it.
+
+    The forecast starts at the requested day, whatever the model's cutoff;
+    ``status`` tells requests that no model can answer.
+    """
+    from .forecast import Layout, forecast_horizon, thirty_day_total
+    r = requests.select(
+        *REQUEST_SCHEMA.names,
+        F.when(F.lower("country") == ALL_SERIES, F.lit(ALL_SERIES)).otherwise(slug("country")).alias("series_id"),
+        date_from_parts("year", "month", "day").alias("target_date"))
+    known = models.groupBy("series_id").agg(F.min("cutoff").alias("_first"))
+    latest = (r.join(models, on="series_id").where(F.col("cutoff") < F.col("target_date"))
+              .groupBy("series_id", "target_date").agg(F.max_by(F.struct(*[models[c] for c in models.columns if c != "series_id"]), "cutoff").alias("m")))
+    hinges = models.agg(F.max("hinges")).first()[0]
+    # the horizon is counted from the day before the requested one
+    ready = latest.select("series_id", "m.*", "target_date").withColumn("cutoff", F.date_sub("target_date", 1)).drop("target_date")
+    totals = thirty_day_total(forecast_horizon(ready, Layout(spec, int(hinges or 0)), horizon), horizon)
+    out = (r.join(known, on="series_id", how="left")
+           .join(totals.withColumn("target_date", F.date_add("cutoff", 1)).drop("cutoff"), on=["series_id", "target_date"], how="left"))
+    status = (F.when(F.col("target_date").isNull(), "bad_date").when(F.col("_first").isNull(), "unknown_series")
+              .when(F.col("target_date") <= F.col("_first"), "out_of_range")
+              .when(F.col("yhat_total").isNull(), "too_few_rows").otherwise("ok"))
+    return out.select(*REQUEST_SCHEMA.names, "series_id", "target_date", status.alias("status"),
+                      "yhat_total", "yhat_lower_total", "yhat_upper_total")
+
+
 # ---------------------------------------------------------------- logs
 
 TRAIN_LOG_SCHEMA = T.StructType([

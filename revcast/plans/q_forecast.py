@@ -414,3 +414,17 @@ def m24_train_log(spark, sf):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logs/train-{uuid.uuid4().hex}"
     sv.append_log(records, path, sv.TRAIN_LOG_SCHEMA)
     return sv.read_log(spark, path).withColumn("model_name", sv.model_name("sl", "series_id", "0.1"))
+
+
+@query("s8_models_by_series")
+def s8_models_by_series(spark, sf):
+    """S8 + M13 + M14: one model for each series and month, saved by series, loaded
+    again, and every request answered by the latest model of its own series."""
+    d = shared_daily(spark, sf)
+    s = cut_lineage(y_from_daily(d))
+    months = (s.groupBy("series_id", F.trunc("date", "month").alias("_m")).agg(F.max("date").alias("cutoff"))
+              .select("series_id", "cutoff"))
+    coefs, layout = fc.fit_forecaster(s, months, mask="causal")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    sv.save_models(coefs, path, layout, "0.1")
+    return sv.predict_requests(sv.load_models(spark, path), requests_table(spark, sf, d), layout.spec)
