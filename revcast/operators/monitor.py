@@ -57,16 +57,22 @@ def feature_drift(features: DataFrame, split_date: str, cols) -> DataFrame:
 
 
 def feature_drift_flag(features: DataFrame, flag: str, cols) -> DataFrame:
-    """M23 (data drift): per series and feature, (mean after - mean before) /
-    sd before, where ``flag`` marks the "after" rows. One aggregation."""
+    """M23 (data drift): per series and feature, ``shift`` = (mean after - mean
+    before) / sd before, and ``percentile_shift`` = (median after - median
+    before) / interquartile range before, which outliers do not move; ``flag``
+    marks the "after" rows. One aggregation."""
     before = ~F.col(flag)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.avg(F.when(before, x)).alias(f"{c}__m0"), F.avg(F.when(~before, x)).alias(f"{c}__m1"),
-                 F.stddev(F.when(before, x)).alias(f"{c}__s0")]
+                 F.stddev(F.when(before, x)).alias(f"{c}__s0"),
+                 F.percentile(F.when(before, x), [0.25, 0.5, 0.75]).alias(f"{c}__q0"),
+                 F.percentile(F.when(~before, x), F.lit(0.5)).alias(f"{c}__q1")]
     a = features.groupBy("series_id").agg(*aggs)
     stacked = [F.struct(F.lit(c).alias("feature"),
                         ((F.col(f"{c}__m1") - F.col(f"{c}__m0"))
-                         / F.nullif(F.col(f"{c}__s0"), F.lit(0.0))).alias("shift")) for c in cols]
+                         / F.nullif(F.col(f"{c}__s0"), F.lit(0.0))).alias("shift"),
+                        ((F.col(f"{c}__q1") - F.col(f"{c}__q0")[1])
+                         / F.nullif(F.col(f"{c}__q0")[2] - F.col(f"{c}__q0")[0], F.lit(0.0))).alias("percentile_shift")) for c in cols]
     return a.select("series_id", F.explode(F.array(*stacked)).alias("d")).select("series_id", "d.*")

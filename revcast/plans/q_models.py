@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import arima as ar
@@ -258,15 +259,36 @@ def a13_approx_daily(spark, sf):
     return cal_double(dly.daily_grouping_sets(lines(spark, sf), exact_distinct=False))
 
 
-@query("m23_feature_drift")
+def _drift_sql(digits: int = 8) -> str:
+    def sig(x):
+        return f"CAST(printf('%.{digits - 1}e', {x}) AS DOUBLE)"
+
+    one = " UNION ALL ".join(
+        f"SELECT series_id, '{c}' AS feature, \"date\" >= s AS after, CAST({c} AS DOUBLE) AS x FROM f" for c in fe.FEATURE_COLUMNS)
+    return q.with_(q.LINES, q.DAILY, q.filled("zero"), q.window_features()) + f""",
+kept AS (SELECT * FROM feats WHERE {q.FEATURE_SUM} > 0),
+f AS (SELECT *, max("date") OVER (PARTITION BY series_id) - INTERVAL 365 DAY AS s FROM kept),
+u AS ({one}),
+g AS (SELECT series_id, feature, avg(x) FILTER (NOT after) AS m0, avg(x) FILTER (after) AS m1, stddev_samp(x) FILTER (NOT after) AS s0,
+             list_sort(list(x) FILTER (NOT after)) AS a0, list_sort(list(x) FILTER (after)) AS a1
+      FROM u GROUP BY series_id, feature),
+r AS (SELECT series_id, feature, (m1 - m0) / nullif(s0, 0.0) AS shift,
+             ({q.spark_percentile("a1", 0.5)} - {q.spark_percentile("a0", 0.5)})
+               / nullif({q.spark_percentile("a0", 0.75)} - {q.spark_percentile("a0", 0.25)}, 0.0) AS percentile_shift FROM g)
+SELECT series_id, feature, {sig("shift")} AS shift, {sig("percentile_shift")} AS percentile_shift FROM r"""
+
+
+@query("m23_feature_drift", _drift_sql())
 def m23_feature_drift(spark, sf):
-    """M23 (data drift): standardised shift of each feature's mean in the last
-    year of each series against the years before."""
+    """M23 (data drift): shift of each feature's mean and median in the last year of
+    each series against the years before, at 8 significant digits (reporting precision)."""
     from ..operators import monitor as mon
     f = fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero"), training=False))
-    last = f.groupBy("series_id").agg(F.date_sub(F.max("date"), 365).alias("_split"))
-    g = f.join(last, on="series_id").withColumn("_after", F.col("date") >= F.col("_split"))
-    return mon.feature_drift_flag(g, "_after", fe.FEATURE_COLUMNS)
+    last = F.max("date").over(Window.partitionBy("series_id"))
+    g = f.withColumn("_after", F.col("date") >= F.date_sub(last, 365))
+    return mon.feature_drift_flag(g, "_after", fe.FEATURE_COLUMNS).select(
+        "series_id", "feature", *(F.when(F.col(c).isNotNull(), F.format_string("%.7e", c).cast("double")).alias(c)
+                                 for c in ("shift", "percentile_shift")))
 
 
 def cal_double(df):
