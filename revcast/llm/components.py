@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from revcast.session import cut_lineage
 
+#: Links up to which a round runs in one task and without a shuffle (16 bytes
+#: each); the operations and the result are the same for more.
+ONE_TASK_LINKS = 250_000
+
+
+def _both(first, second):
+    """Two (u, v) rows for each row, without a union, so a single partition stays one."""
+    return F.inline(F.array(F.struct(first[0].alias("u"), first[1].alias("v")), F.struct(second[0].alias("u"), second[1].alias("v"))))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``links`` (a, b).
@@ -18,19 +27,18 @@ def components(links: DataFrame) -> DataFrame:
     join split; every round is checkpointed.
     """
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = edges.count() <= ONE_TASK_LINKS
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
     seen = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = edges.coalesce(1) if few else edges
+        both = edges.select(_both((u, v), (v, u)))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = cut_lineage(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = both.where("v > u").join(low, "u").select(v.alias("u"), m.alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = cut_lineage(small.select(_both((v, m), (u, m))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
         seen = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return edges.select(_both((u, v), (v, v))).distinct().select(u.alias("node"), v.alias("root"))

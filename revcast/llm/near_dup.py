@@ -179,16 +179,17 @@ def _open_blocks(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataF
     """Documents of regions that are in several components, dealt into blocks,
     and the pairs of blocks that meet in such a region.
 
-    A document's place is the smallest id that it shares an open region with:
-    documents of one group mostly have the same place, in whichever tree they
-    met, so a group is compared once and not once for each tree. Only locality
-    depends on the place; which blocks meet follows from the regions.
+    A document's place is its component of documents that share open regions, in
+    whichever tree: so a group is compared once and not once for each tree. A
+    place of any size is cut in blocks; which of them meet follows from the
+    regions.
     """
     rows = members.select("tree", "k0", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
         "root", F.coalesce("root", "doc_id"))
     mixed = rows.groupBy("tree", "k0").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc_id").alias("first")).where("lo < hi")
     rows = via_table(rows.join(mixed.select("tree", "k0", "first"), ["tree", "k0"]), "open-regions")
-    docs = rows.groupBy("doc_id", "root").agg(F.min("first").alias("place"))
+    places = components(rows.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    docs = rows.select("doc_id", "root").distinct().join(places.select(F.col("node").alias("doc_id"), F.col("root").alias("place")), "doc_id")
     order = Window.partitionBy("place").orderBy("root", "doc_id")
     docs = via_table(docs.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "open-documents")
     parts = rows.join(docs.select("doc_id", "place", "block"), "doc_id").select("tree", "k0", "place", "block").distinct()
