@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy(id_col, "__order", "__label").agg(F.min("__text").alias("__text"))
     places = rows.mapInArrow(_featurize, "__order bigint, __label int, __places binary")
     # what one task reads is bounded by the sample
-    fit = places.repartitionByRange(1, "__order").sortWithinPartitions("__order", "__label", "__places")
+    fit = places.repartition(1).sortWithinPartitions("__order", "__label", "__places")
     return [(r[0], r[1]) for r in fit.mapInArrow(_fit, "place int, weight double").collect()]
 
 
@@ -112,8 +112,10 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = Ftrl()
     rows = []  # views of the batches: the features are held once
     for batch in batches:
-        raw = batch.column("__places")
-        at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] // 4
+        if not batch.num_rows:
+            continue
+        raw = batch.column("__places").cast(pa.large_binary())
+        at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 4
         places = np.frombuffer(raw.buffers()[2], "<i4")
         rows += [(places[a:b], label) for a, b, label in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("__label").to_pylist(), strict=True)]
     for _ in range(EPOCHS):
