@@ -11,10 +11,7 @@ A null text has no words.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +43,6 @@ def space_words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads sums of hashes over all 64 bits."""
     x = x ^ (x >> _U64(30))
@@ -61,10 +52,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def prepare(spark: SparkSession) -> None:
     """Name the checkpoint folder if the cluster has not, and make this package importable on the executors."""
     ensure_checkpoint_dir(spark)
@@ -100,14 +87,3 @@ def crc_mod(column: str, modulus: int):
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One output batch for each input batch, without a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
