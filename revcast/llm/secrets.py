@@ -36,8 +36,10 @@ REDACTED = "[SECRET]"
 #: Findings of each label that the forest learns from, at most.
 SAMPLE = 10_000
 TREES, DEPTH, SEED = 15, 5, 7
-#: Characters before and after a candidate that are looked at.
+#: Characters before and after a candidate that are looked at, other candidates included.
 BEFORE, AFTER = 48, 16
+#: Candidates that fit into these: each, with what parts it from the next, has four characters at least.
+_BACK, _ON = BEFORE // 4, AFTER // 4
 
 # Names that credentials are assigned to, prefixes of public key formats, placeholder words.
 _NAMES = "token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer"
@@ -45,6 +47,8 @@ _PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|
 _PLACEHOLDER = "example|placeholder|changeme|dummy|sample|xxxx|0000000|1234567|your[_-]"
 # Common syllables and short words of the languages at hand.
 _SYLLABLES = "the|and|ing|ion|tion|ent|her|ter|ver|ment|con|pro|com|ted|est|ers|all|for|ich|ein|sch|ung|keit|lich|heit|ber|que|eau|aux|ait|ous|des|les|ado|nte|cio|ien|one|tin|on|er|en|re|an|in|th|he|ch|ou|le|de|es"
+# The text before a candidate without other candidates, unless one is the name it is assigned to.
+_APART = "regexp_replace(c.before, '[A-Za-z0-9+/_-]{16,}+(?![\"'' ]*[=:]?[\"'' ]*$)', ' ')"
 
 #: name -> value of a candidate c (value, before, after); all are computed in one pass over the value or its neighbours
 _FEATURES = {
@@ -62,12 +66,12 @@ _FEATURES = {
     "assigned": "if(c.before rlike '[=:][\"'' ]*$', 1, 0)",
     "named": f"if(c.before rlike '(?i)({_NAMES})[\"'' ]*[=:]?[\"'' ]*$', 1, 0)",
     "quoted": "if(c.before rlike '[\"''`]$', 1, 0)",
-    "placeholder": f"if(lower(concat(c.before, c.value)) rlike '{_PLACEHOLDER}', 1, 0)",
+    "placeholder": f"if(lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}', 1, 0)",
     "hash_word": "if(c.before rlike '(?i)(commit|sha1|sha256|md5|hash|revision|checksum|uuid|etag)[^a-z]*$', 1, 0)",
 }
 #: The labelling rule of ``weak_labels``.
 _RULE = (f"((c.before rlike '(?i)({_NAMES})[\"'' ]*[=:][\"'' ]*$' and c.value rlike '[0-9]') or c.value rlike '{_PREFIX}') "
-         f"and not lower(concat(c.before, c.value)) rlike '{_PLACEHOLDER}'")
+         f"and not lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}'")
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,14 +80,22 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cut = docs.withColumn("__text", text).withColumn("__values", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)))
     cut = cut.withColumn("__parts", F.when(F.size("__values") > 0, F.split("__text", CANDIDATE, -1)).otherwise(F.array("__text")))
-    return cut.drop("__text").withColumn("__found", F.expr(f"""
+    # what a part and the candidate after it add to the neighbourhood of others
+    cut = cut.drop("__text").withColumn("__near", F.expr(f"""transform(__parts, (p, i) -> named_struct('own', right(p, {BEFORE}),
+        'tail', concat(right(p, {BEFORE}), right(coalesce(get(__values, i), ''), {BEFORE})),
+        'head', concat(left(p, {AFTER}), left(coalesce(get(__values, i), ''), {AFTER}))))"""))
+    return cut.withColumn("__found", F.expr(f"""
         if(size(__values) = 0, cast(array() as array<struct<value:string,before:string,after:string>>),
-           transform(__values, (v, i) -> named_struct('value', v, 'before', right(__parts[i], {BEFORE}), 'after', left(__parts[i + 1], {AFTER}))))"""))
+           transform(__values, (v, i) -> named_struct('value', v,
+               'before', if(length(__near[i].own) = {BEFORE}, __near[i].own, right(concat(array_join(transform(
+                   slice(__near, greatest(i - {_BACK - 1}, 1), least(i, {_BACK})), n -> n.tail), ''), __near[i].own), {BEFORE})),
+               'after', left(array_join(transform(slice(__near, i + 2, {_ON}), n -> n.head), ''), {AFTER}))))""")).drop("__near")
 
 
 def weak_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(value, before, after, label) of every candidate, by the rule above."""
-    found = with_candidates(docs.select(F.col(text_col).alias("text")), "text").select(F.explode("__found").alias("c"))
+    # explode_outer: explode makes the optimizer filter by the array's size below, and there the whole text is cut again for every candidate
+    found = with_candidates(docs.select(F.col(text_col).alias("text")), "text").select(F.explode_outer("__found").alias("c")).where("c IS NOT NULL")
     return found.select("c.value", "c.before", "c.after", F.expr(f"cast({_RULE} as int)").alias("label"))
 
 

@@ -266,6 +266,27 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_neighbour_text_holds_other_candidates(spark):
+    value, rng = "0a1b2c3d4e5f60718293", random.Random(5)
+    named = [f"AWS_SECRET_ACCESS_KEY={value}", f"the github_access_token: {value} and more", f'{{"service_account_private_key": "{value}"}}',
+             f"{'w' * 20} {'1234567' * 3} database_password={value} and_words_of_sixteen"]
+    texts = named + ["".join(rng.choice(["abcdefgh" * 2, "K9" * 30, " ", "=", ": ", "é🙂", "\n", "word "]) for _ in range(40)) for _ in range(60)]
+    rows = secrets.with_candidates(docs_of(spark, list(enumerate(texts)))).select("doc_id", "__values", "__parts", "__found").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, at = texts[r.doc_id], 0
+        assert [c.value for c in r["__found"]] == r["__values"]
+        for part, c in zip(r["__parts"], r["__found"]):
+            at += len(part)
+            end = at + len(c.value)
+            assert (c.before, c.after) == (text[max(0, at - secrets.BEFORE):at], text[end:end + secrets.AFTER])
+            at = end
+    docs = docs_of(spark, list(enumerate(named)))
+    labels = {(r.value, r.label) for r in secrets.weak_labels(docs).collect() if r.value == value}
+    assert labels == {(value, 1)}
+    assert all(value not in r.redacted for r in secrets.scan_secrets(docs, None).collect())
+
+
 # --- toxicity
 
 def toxic_docs(n=900):
