@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives; DataFrame operations only.
 
-Candidates are runs of at least 16 characters that keys are written in. Each
-is described by its length, its kinds of characters and the transitions
+Candidates are runs of at least 16 characters that keys are written in, with
+dotted tokens whole; values of any length assigned to a credential's name; and
+blocks of private keys (PEM). Each is described by its length, its kinds of characters and the transitions
 between them, how much of it common syllables cover, whether it stands in a
 path, address or example, and which words stand before it. A random forest,
 trained from labelled findings, decides which candidates are secrets.
@@ -12,14 +13,16 @@ redacted in its own row: no shuffle, no Python, whatever the size of a
 document or source.
 
 Labelled findings are a table (value, before, after, label). ``weak_labels``
-makes one from the corpus itself: a candidate assigned to a credential's name,
-or with the prefix of a known key format, is a secret; any other is none, and
-so are placeholders. Candidates of every fifth document are held out.
+makes one from the corpus itself: a candidate with letters and digits assigned
+to a credential's name, or with the prefix of a known key format, is a secret;
+placeholders, plain words and calls are none. What the rule cannot decide (other
+named values, and random-looking ones without a name) has label null and
+teaches nothing; any other candidate is none. Candidates of every fifth
+document are held out.
 
 Defined results: null and empty texts have no candidates; rows, also repeated
 ones, are judged one by one; without findings of both labels nothing is
-learned and every candidate with a known prefix or assignment counts (the
-labelling rule itself); all columns of a redacted table stay as they were.
+learned and every candidate that the labelling rule calls a secret counts; all columns of a redacted table stay as they were.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, via_table
 
-CANDIDATE = "[A-Za-z0-9+/_-]{16,}+"
 REDACTED = "[SECRET]"
 #: Findings of each label that the forest learns from, at most.
 SAMPLE = 10_000
@@ -43,12 +45,13 @@ _BACK, _ON = BEFORE // 4, AFTER // 4
 
 # Names that credentials are assigned to, prefixes of public key formats, placeholder words.
 _NAMES = "token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer"
-_PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)"
+_PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ|SG[.]|-----BEGIN [A-Z0-9 ]*PRIVATE KEY)"
+_ASSIGN = "[=:]{1,2}>?"
 _PLACEHOLDER = "example|placeholder|changeme|dummy|sample|xxxx|0000000|1234567|your[_-]"
 # Common syllables and short words of the languages at hand.
 _SYLLABLES = "the|and|ing|ion|tion|ent|her|ter|ver|ment|con|pro|com|ted|est|ers|all|for|ich|ein|sch|ung|keit|lich|heit|ber|que|eau|aux|ait|ous|des|les|ado|nte|cio|ien|one|tin|on|er|en|re|an|in|th|he|ch|ou|le|de|es"
 # The text before a candidate without other candidates, unless one is the name it is assigned to.
-_APART = "regexp_replace(c.before, '[A-Za-z0-9+/_-]{16,}+(?![\"'' ]*[=:]?[\"'' ]*$)', ' ')"
+_APART = f"regexp_replace(c.before, '[A-Za-z0-9+/_-]{{16,}}+(?![\"'' ]*({_ASSIGN})?[\"'' ]*$)', ' ')"
 
 #: name -> value of a candidate c (value, before, after); all are computed in one pass over the value or its neighbours
 _FEATURES = {
@@ -63,15 +66,44 @@ _FEATURES = {
     "dictionary": f"1 - length(regexp_replace(lower(c.value), '{_SYLLABLES}', '')) / length(c.value)",
     "prefix": f"if(c.value rlike '{_PREFIX}', 1, 0)",
     "path": "if(c.value rlike '/' or c.before rlike '[/.@\\\\\\\\]$' or c.after rlike '^([@/]|[.][a-z])', 1, 0)",
-    "assigned": "if(c.before rlike '[=:][\"'' ]*$', 1, 0)",
-    "named": f"if(c.before rlike '(?i)({_NAMES})[\"'' ]*[=:]?[\"'' ]*$', 1, 0)",
+    "assigned": "if(c.before rlike '[=:]>?[\"'' ]*$', 1, 0)",
+    "named": f"if(c.before rlike '(?i)({_NAMES})[\"'' ]*({_ASSIGN})?[\"'' ]*$', 1, 0)",
     "quoted": "if(c.before rlike '[\"''`]$', 1, 0)",
     "placeholder": f"if(lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}', 1, 0)",
     "hash_word": "if(c.before rlike '(?i)(commit|sha1|sha256|md5|hash|revision|checksum|uuid|etag)[^a-z]*$', 1, 0)",
 }
-#: The labelling rule of ``weak_labels``.
-_RULE = (f"((c.before rlike '(?i)({_NAMES})[\"'' ]*[=:][\"'' ]*$' and c.value rlike '[0-9]') or c.value rlike '{_PREFIX}') "
-         f"and not lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}'")
+_ASSIGNED = f"c.before rlike '(?i)({_NAMES})[\"'' ]*{_ASSIGN}[\"'' ]*$'"
+_MIXED = "c.value rlike '[0-9]' and c.value rlike '[A-Za-z]'"
+_RANDOM = (f"{_MIXED} and length(c.value) >= 16 and size(array_distinct(split(substring(c.value, 1, 200), ''))) >= 8 "
+           f"and {_FEATURES['digit_transitions']} + {_FEATURES['case_transitions']} >= 0.2D")
+#: What tells that a random-looking value is none: a digest, a UUID, a piece of a path or address.
+_KNOWN = (f"{_FEATURES['hash_word']} = 1 or c.value rlike '(?i)^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$' "
+          "or c.before rlike '[/.@\\\\\\\\]$' or c.after rlike '^([@/]|[.][a-z])'")
+#: The labelling rule of ``weak_labels``: 1, 0 or null (undecided).
+_RULE = f"""case when c.value rlike '^-----BEGIN' and c.value rlike '[A-Za-z0-9+/]{{40}}' then 1
+    when lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}' then 0
+    when c.value rlike '{_PREFIX}' then 1
+    when {_ASSIGNED} and (c.after rlike '^[(\\\\[]' or (c.value rlike '^[A-Za-z]?[a-z]*$' and not c.before rlike '["'']$')) then 0
+    when {_ASSIGNED} then if({_MIXED} and length(c.value) >= 6 and not c.value rlike '://|^[a-z_][a-z0-9_]*([.][a-z_][a-z0-9_]*)+$', 1, null)
+    when {_RANDOM} and not ({_KNOWN}) then null else 0 end"""
+
+
+def _candidate() -> str:
+    """The pattern of a candidate; loops are possessive, and looking back is bounded."""
+    pem = "PRIVATE KEY(?: BLOCK)?-----"
+    begin, name = f"-----BEGIN [A-Z0-9 ]{{0,40}}{pem}", f"(?i:{_NAMES})[\"' ]{{0,3}}{_ASSIGN}"
+    end = f"-----END [A-Z0-9 ]{{0,40}}{pem}"
+    quoted = [f"(?<=[=:>] {{0,3}}{q})(?<={name} {{0,3}}{q})[^{q}\r\n]{{1,200}}+(?={q})" for q in "\"'"]
+    # up to a blank, quote or bracket, or to the next assignment of a list
+    plain = f"(?<={name}[\"' ]{{0,3}})(?![=:>,;&])(?:[^\\s\"'`,;&<>(){{}}\\[\\]]|[,;&](?=[^\\s,;&\"'])(?![\\w.-]+[=:]))++"
+    run = "[A-Za-z0-9+/_-]{16,}+(?:\\.[A-Za-z0-9+/_-]{6,}+)*+"
+    return "|".join([
+        f"{begin}(?:(?:[^-]|-(?!----))*+{end}|(?:\\s*+[A-Za-z0-9+/=]{{16,}}+)*+)",  # the second: cut off
+        f"(?<=[=:>\"' ])(?<=[=:>][\"' ]{{0,3}})(?:{'|'.join([*quoted, plain])})",  # cheap looks back first
+        f"(?<![A-Za-z0-9+/_])(?:{run}|SG\\.{run})"])
+
+
+CANDIDATE = _candidate()
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -138,7 +170,7 @@ def judge(docs: DataFrame, forest: str | None, text_col: str = "text") -> DataFr
     """``docs`` with __values, __parts and __scores (the forest's share of votes for each candidate)."""
     cut = with_candidates(docs, text_col)
     if forest is None:
-        return cut.withColumn("__scores", F.expr(f"transform(__found, c -> if({_RULE}, 1D, 0D))")).drop("__found")
+        return cut.withColumn("__scores", F.expr(f"transform(__found, c -> if(coalesce({_RULE}, 0) = 1, 1D, 0D))")).drop("__found")
     described = ", ".join(f"'{n}', cast({e} as double)" for n, e in _FEATURES.items())
     return cut.withColumn("__f", F.expr(f"transform(__found, c -> named_struct({described}))")).withColumn(
         "__scores", F.expr(f"transform(__f, f -> {forest})")).drop("__found", "__f")
