@@ -236,6 +236,7 @@ def _search(k: int):
         dim = max(map(len, rows["vec"]))
         q, base = _matrix(rows["vec"][mine], dim), _matrix(rows["vec"][~mine], dim)
         q_ids, ids, cells = rows["vec_id"][mine].to_numpy(), rows["ids"][~mine].to_list(), rows["cells"][~mine].map(lambda c: c[0]).to_numpy()
+        first = np.array([i[0] for i in ids], np.int64)
         asked: dict[int, list[int]] = {}
         for x, own in enumerate(rows["cells"][mine]):
             for c in own:
@@ -245,10 +246,16 @@ def _search(k: int):
             here = np.flatnonzero(cells == c)
             if not len(here):
                 continue
-            near = _top(q[who] @ base[here].T, k + 8)  # a few more, as the order of additions differs in a matrix product
-            for x, at in zip(who, near, strict=True):
-                score = (base[here[at]] * q[x]).sum(1)
-                found.setdefault(x, []).extend((-s, i) for s, y in zip(score.tolist(), here[at], strict=True) for i in ids[y])
+            scores = q[who] @ base[here].T
+            n = min(k, len(here)) - 1
+            # all that may tie with the k-th: the order of additions differs in a matrix product, by no more than this
+            apart = 4 * dim * np.finfo(float).eps * np.linalg.norm(q[who], axis=1) * np.linalg.norm(base[here], axis=1).max()
+            least = -np.partition(-scores, n, axis=1)[:, n] - apart
+            for x, row, low in zip(who, scores, least, strict=True):
+                at = here[row >= low]
+                score = (base[at] * q[x]).sum(1)
+                best = np.lexsort((first[at], -score))[:k]  # later rows have k pairs before them
+                found.setdefault(x, []).extend((-s, i) for s, y in zip(score[best].tolist(), at[best], strict=True) for i in ids[y])
         out = [(q_ids[x], i, -s) for x, pairs in found.items() for s, i in heapq.nsmallest(k, pairs)]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"]).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 

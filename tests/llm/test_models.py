@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def test_nearest_recall_and_measure(spark, monkeypatch):
     assert all(math.isclose(s, float(x[i] @ x[q]), rel_tol=1e-12, abs_tol=1e-12) for q in got for i, s in got[q])
 
 
+def test_search_breaks_ties_of_distinct_vectors_by_id():
+    rng = np.random.default_rng(8)
+    vectors = np.array([[(n >> j & 1) * 2 - 1 for j in range(8)] for n in range(256)]) * 0.3e3  # binary: up to 70 share a score
+    ids = rng.permutation(256)
+    rows = [{"vec_id": None, "vec": v, "ids": [int(i)], "cells": [0]} for i, v in zip(ids, vectors)]
+    queries = [{"vec_id": n, "vec": vectors[n], "ids": None, "cells": [0]} for n in range(0, 256, 16)]
+    found = ann._search(21)(pd.DataFrame(rows + queries))
+    for n in range(0, 256, 16):
+        exact = sorted(((-(vectors[m] * vectors[n]).sum(), int(ids[m])) for m in range(256)))[:21]
+        mine = found[found["q"] == n].sort_values(["score", "vec_id"], ascending=[False, True])
+        assert mine["vec_id"].tolist() == [i for _, i in exact]
+
+
 def test_nearest_ties_copies_and_awkward_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(7, [1.0, 0.0])]  # one very common vector, a repeated row
