@@ -20,6 +20,12 @@ SPACE[0] = 255  # a zero byte is part of a word; 255 is no byte of UTF-8
 
 def hash_words(data: np.ndarray, doc_ends: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of all documents of a UTF-8 buffer as tabulation hashes, and how many each document has."""
+    hashes, counts, _, _ = word_spans(data, doc_ends, rule)
+    return hashes, counts
+
+
+def word_spans(data: np.ndarray, doc_ends: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hash_words``, and where each word begins in the buffer and how many bytes it has."""
     mapped = rule[data]
     inside = mapped > 0
     first = inside.copy()
@@ -30,7 +36,7 @@ def hash_words(data: np.ndarray, doc_ends: np.ndarray, rule: np.ndarray) -> tupl
     starts = np.flatnonzero(first)
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, doc_ends, "left")]))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, starts, starts
     word_bytes = mapped[inside]
     at = np.flatnonzero(first[inside])  # where words begin among the words' bytes
     sizes = np.diff(np.append(at, len(word_bytes)))
@@ -43,4 +49,4 @@ def hash_words(data: np.ndarray, doc_ends: np.ndarray, rule: np.ndarray) -> tupl
 
         for k in long:
             hashes[k] = xxhash.xxh3_64_intdigest(word_bytes[at[k] : at[k] + sizes[k]].tobytes())
-    return hashes, counts
+    return hashes, counts, starts, sizes

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_automaton, chat, decontaminate, kneser_ney, licenses, near_dup, secrets, token_store, toxicity
+from . import (
+    ann,
+    ball_tree,
+    bpe_automaton,
+    chat,
+    collocations,
+    decontaminate,
+    kneser_ney,
+    licenses,
+    near_dup,
+    order_minhash,
+    secrets,
+    token_store,
+    toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +132,18 @@ def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity_ftrl")
 def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_order_minhash")
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quotient_collocations", collocations.ORACLE)
+def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocation_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ball_tree_search", ball_tree.ORACLE)
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
