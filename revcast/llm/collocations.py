@@ -45,6 +45,8 @@ BLOCK_BYTES = 4 << 20
 HELD_BYTES = 16 << 20
 #: Words of the corpus for each shard of the counted phrases, and the fewest shards (as a power of two).
 SHARD_TOKENS, LEAST_SHARD_BITS = 1 << 20, 6
+#: Parts of a language that are ranked apart before its first phrases are.
+RANK_PARTS = 8
 #: Phrases that a task gathers before it counts them.
 GATHERED = 1 << 22
 
@@ -241,11 +243,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         "lang", "a", F.array("w1", "w2", "w3").alias("words"), F.least(_cut("f1", "f23", 1), _cut("f12", "f3", 2)).alias("cut"))
     found = two.unionByName(three).select("lang", F.concat_ws(" ", F.transform("words", lambda w: w.cast("string"))).alias("phrase"),
                                           "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    if top is not None:
+        # the best of each of RANK_PARTS parts of a language first, so one task ranks RANK_PARTS * top rows at most
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+        found = found.withColumn("__at", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("__at") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def collocation_report(docs: DataFrame) -> DataFrame:
