@@ -123,6 +123,35 @@ def performance_metrics(cv: DataFrame, pred: str = "yhat", by_series: bool = Fal
                       r(F.col("mape")).alias("mape"), r(F.col("coverage")).alias("coverage"), "n")
 
 
+def smoothed_metrics(cv: DataFrame, pred: str = "yhat", by_series: bool = False, window: float = 0.1,
+                     horizon: int = HORIZON_DAYS, digits: int = 10) -> DataFrame:
+    """M8 with smoothing: the metrics of each horizon over the rows of the days
+    up to it, ``window`` of the whole horizon wide (one day at least).
+
+    Errors are added up by horizon, then over a RANGE frame, so every row
+    counts alike however many a day has. ``n`` are the rows in the frame with a
+    truth and a forecast, ``unanswered`` those without. A horizon none of whose
+    rows can be scored has null metrics.
+    """
+    keys = ["series_id"] if by_series else []
+    e = F.col("y") - F.col(pred)
+    ape = F.abs(e) / F.nullif(F.abs(F.col("y")), F.lit(0.0))
+    inside = F.when(e.isNull(), None).when(F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper")), 1.0).otherwise(0.0) \
+        if "yhat_lower" in cv.columns and pred == "yhat" else F.lit(None).cast("double")
+    sums = cv.groupBy(*keys, F.datediff("ds", "cutoff").cast("bigint").alias("horizon")).agg(
+        F.sum(e * e).alias("_s2"), F.sum(F.abs(e)).alias("_s1"), F.sum(ape).alias("_sp"), F.sum(inside).alias("_sc"),
+        F.count(e).alias("_n"), F.count(ape).alias("_np"), F.count(inside).alias("_nc"), (F.count(F.lit(1)) - F.count(e)).alias("_u"))
+    # one row per horizon (and series): the frame's task is small whatever the backtest holds
+    frame = Window.partitionBy(*keys).orderBy("horizon").rangeBetween(-(max(1, round(window * horizon)) - 1), 0)
+    over = {c: F.sum(c).over(frame) for c in ("_s2", "_s1", "_sp", "_sc", "_n", "_np", "_nc", "_u")}
+    mean = lambda s, n: over[s] / F.nullif(over[n], F.lit(0))
+    out = sums.select(*keys, "horizon", mean("_s2", "_n").alias("mse"), mean("_s1", "_n").alias("mae"), mean("_sp", "_np").alias("mape"),
+                      mean("_sc", "_nc").alias("coverage"), over["_n"].alias("n"), over["_u"].alias("unanswered"))
+    r = lambda c: sig_round(c, digits)
+    return out.select(*keys, "horizon", r(F.col("mse")).alias("mse"), r(F.sqrt("mse")).alias("rmse"), r(F.col("mae")).alias("mae"),
+                      r(F.col("mape")).alias("mape"), r(F.col("coverage")).alias("coverage"), "n", "unanswered")
+
+
 def baseline_cv(series: DataFrame, cutoffs: DataFrame | None = None, horizon: int = HORIZON_DAYS,
                 initial: int = INITIAL_DAYS, season: int = 7, value: str = "y") -> DataFrame:
     """M18 through the M6 harness: baseline forecasts with the truth joined."""

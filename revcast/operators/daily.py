@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ALL_SERIES, money, slug
+from ..functions.scalar import ALL_SERIES, MONEY_TYPE, money, slug
 
 MEASURES = ["purchases", "unique_invoices", "unique_streams", "total_views", "revenue"]
 
@@ -19,20 +19,54 @@ class UnknownSeriesError(KeyError):
     """A requested series (country) is not present in the data."""
 
 
-def _measures(exact_distinct: bool = True) -> list[Column]:
-    if exact_distinct:
-        inv = F.count_distinct("invoice_id")
-        streams = F.count_distinct("stream_id")
-    else:  # A13: HyperLogLog++ sketches, no Expand of the input rows
-        inv = F.approx_count_distinct("invoice_id")
-        streams = F.approx_count_distinct("stream_id")
-    return [
-        F.count(F.lit(1)).alias("purchases"),
-        inv.alias("unique_invoices"),
-        streams.alias("unique_streams"),
-        F.sum("times_viewed").cast("bigint").alias("total_views"),
-        F.sum(money("price")).alias("revenue"),
-    ]
+#: Measures that count distinct values, and the column of the lines they count.
+DISTINCT = {"unique_invoices": "invoice_id", "unique_streams": "stream_id"}
+
+
+def _additive(measures) -> list[Column]:
+    """Measures of the lines that add up over any grouping."""
+    every = {
+        "purchases": F.count(F.lit(1)),
+        "total_views": F.sum("times_viewed").cast("bigint"),
+        "revenue": F.sum(money("price")),
+    }
+    return [every[m].alias(m) for m in measures if m in every]
+
+
+def _merged(measures) -> list[Column]:
+    """The same measures, added up from rows that hold parts of them."""
+    return [F.sum(m).alias(m) for m in measures if m not in DISTINCT]
+
+
+def distinct_values(lines: DataFrame, keys: list[str], measures=MEASURES) -> DataFrame:
+    """One row per (keys, kind, value): ``kind`` 0 are the values of the first
+    distinct measure, which also carry the additive measures, 1 those of the next.
+
+    Such rows can be merged exactly over any subset of the keys and over input
+    files (S7). A line becomes one row per distinct measure, whatever the
+    number of groupings made from them; equal values of a partition meet before
+    the shuffle, and a key's values are spread over all tasks.
+    """
+    kinds = [m for m in measures if m in DISTINCT]
+    sums = [m for m in measures if m not in DISTINCT]
+    parts = {"purchases": F.lit(1).cast("bigint"), "total_views": F.col("times_viewed").cast("bigint"), "revenue": money("price")}
+    rows = F.array(*[
+        F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col(DISTINCT[m]).cast("string").alias("value"),
+                 *[(parts[x] if k == 0 else F.lit(None).cast("bigint" if x != "revenue" else MONEY_TYPE)).alias(x) for x in sums])
+        for k, m in enumerate(kinds)])
+    return _regrouped(lines.select(*keys, F.inline(rows)), [*keys, "kind", "value"], measures)
+
+
+def _regrouped(values: DataFrame, keys: list[str], measures) -> DataFrame:
+    sums = _merged(measures)
+    return values.groupBy(*keys).agg(*sums) if sums else values.select(*keys).distinct()
+
+
+def count_values(values: DataFrame, keys: list[str], measures=MEASURES) -> DataFrame:
+    """The measures of ``distinct_values`` rows (distinct by keys, kind, value)."""
+    kinds = [m for m in measures if m in DISTINCT]
+    counts = [F.count(F.when(F.col("kind") == k, F.col("value"))).alias(m) for k, m in enumerate(kinds)]
+    return values.groupBy(*keys).agg(*_merged(measures), *counts).select(*keys, *measures)
 
 
 def daily_rollup(lines: DataFrame, series: str | None = None,
@@ -42,26 +76,76 @@ def daily_rollup(lines: DataFrame, series: str | None = None,
     ``series`` names a column of ``lines`` (e.g. ``country``); its slug (F5)
     becomes ``series_id``. Without it the single series is ``all``.
     """
-    if series is None:
-        return (lines.groupBy("date").agg(*_measures(exact_distinct))
-                .select(F.lit(ALL_SERIES).alias("series_id"), "date", *MEASURES))
-    return (lines.groupBy(slug(series).alias("series_id"), "date")
-            .agg(*_measures(exact_distinct)))
+    keys = ["date"] if series is None else ["series_id", "date"]
+    if series is not None:
+        lines = lines.withColumn("series_id", slug(series))
+    if exact_distinct:
+        out = count_values(distinct_values(lines, keys), keys)
+    else:  # A13: HyperLogLog++ sketches
+        out = lines.groupBy(*keys).agg(*_additive(MEASURES), *[F.approx_count_distinct(c).alias(m) for m, c in DISTINCT.items()])
+    return out.withColumn("series_id", F.lit(ALL_SERIES) if series is None else F.col("series_id")).select("series_id", "date", *MEASURES)
 
 
 def daily_grouping_sets(lines: DataFrame, series: str = "country",
-                        exact_distinct: bool = True) -> DataFrame:
-    """A2: the ``all`` series and every per-country series in one aggregation.
+                        exact_distinct: bool = True, measures=MEASURES) -> DataFrame:
+    """A2: the ``all`` series and every per-country series in one pass over the lines.
 
-    ``GROUPING SETS ((date), (country, date))``; ``grouping()`` tells the
-    market-wide rows apart even if a country were literally named 'all'.
-    Partial aggregation runs before the shuffle, so the shuffle carries one
-    row per distinct (set, key, invoice/stream) rather than per input line.
+    The lines are reduced once, to the distinct values of each (country, day);
+    ``all`` is merged from those rows, not from the lines. Name the ``measures``
+    that are needed: without a distinct one, only sums are shuffled.
     """
-    agg = (lines.groupingSets([["date"], [series, "date"]], series, "date")
-           .agg(*_measures(exact_distinct), F.grouping(series).alias("_g")))
-    sid = F.when(F.col("_g") == 1, F.lit(ALL_SERIES)).otherwise(slug(series))
-    return agg.select(sid.alias("series_id"), "date", *MEASURES)
+    keys = [series, "date"]
+    if not exact_distinct:
+        agg = (lines.groupingSets([["date"], keys], series, "date")
+               .agg(*_additive(measures), *[F.approx_count_distinct(DISTINCT[m]).alias(m) for m in measures if m in DISTINCT],
+                    F.grouping(series).alias("_g")))
+        sid = F.when(F.col("_g") == 1, F.lit(ALL_SERIES)).otherwise(slug(series))
+        return agg.select(sid.alias("series_id"), "date", *measures)
+    if any(m in DISTINCT for m in measures):
+        return merge_values(distinct_values(lines, keys, measures), series, measures)
+    each = lines.groupBy(*keys).agg(*_additive(measures))
+    return _with_market(each, each.groupBy("date").agg(*_merged(measures)), series, measures)
+
+
+def merge_values(values: DataFrame, series: str = "country", measures=MEASURES) -> DataFrame:
+    """``all`` and every country from the distinct values of each (country, day)."""
+    market = _regrouped(values, ["date", "kind", "value"], measures)
+    return _with_market(count_values(values, [series, "date"], measures), count_values(market, ["date"], measures), series, measures)
+
+
+def _with_market(each: DataFrame, market: DataFrame, series: str, measures) -> DataFrame:
+    return each.select(slug(series).alias("series_id"), "date", *measures).unionByName(
+        market.select(F.lit(ALL_SERIES).alias("series_id"), "date", *measures))
+
+
+# ---- A13: kept sketches
+
+#: log2 of the registers of a kept sketch: relative standard error 1.04 / sqrt(2^12) = 1.6 %.
+SKETCH_LOG2 = 12
+#: Standard errors that an estimate may be off by (tests and ``a13_sketch_rollups`` hold them against exact counts).
+SKETCH_ERRORS = 5
+
+
+def daily_sketches(lines: DataFrame, series: str = "country") -> DataFrame:
+    """Per (country, day) the additive measures and an HLL sketch of the
+    invoices and of the streams; a sketch has a fixed size, whatever it counts."""
+    return lines.groupBy(series, "date").agg(
+        *_additive(MEASURES), *[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_LOG2).alias(f"{m}_sketch") for m, c in DISTINCT.items()])
+
+
+def sketch_rollup(sketches: DataFrame, period: str, series: str | None = "country") -> DataFrame:
+    """Kept sketches united to weeks, months, ... (``date_trunc`` units) of every
+    country or (``series=None``) of the whole market; no line is read again."""
+    keys = [*([series] if series else []), "period_start"]
+    united = sketches.withColumn("period_start", F.to_date(F.date_trunc(period, "date"))).groupBy(*keys).agg(
+        *_merged(MEASURES), *[F.hll_sketch_estimate(F.hll_union_agg(f"{m}_sketch")).alias(m) for m in DISTINCT])
+    sid = slug(series) if series else F.lit(ALL_SERIES)
+    return united.select(sid.alias("series_id"), F.lit(period).alias("period"), "period_start", *MEASURES)
+
+
+def sketch_error_bound(exact) -> Column:
+    """How far an estimate may be from an exact count."""
+    return F.ceil(F.lit(SKETCH_ERRORS * 1.04 / 2 ** (SKETCH_LOG2 / 2)) * exact)
 
 
 def series_revenue(lines: DataFrame, series: str = "country") -> DataFrame:

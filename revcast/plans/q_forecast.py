@@ -125,6 +125,24 @@ def m8_baseline_metrics(spark, sf):
     return bt.performance_metrics(bt.baseline_cv(s), pred="yhat_drift")
 
 
+@query("m8_smoothed_metrics", BASE + "," + CUTS + "," + BASELINES + f""",
+cv AS (SELECT b.*, s.y FROM base b LEFT JOIN s ON s.series_id = b.series_id AND s."date" = b.ds),
+e AS (SELECT CAST(datediff('day', cutoff, ds) AS BIGINT) AS horizon, y - yhat_snaive AS err, y FROM cv),
+h AS (SELECT horizon, sum(err * err) AS s2, sum(abs(err)) AS s1, sum(abs(err) / nullif(abs(y), 0.0)) AS sp, count(err) AS n,
+             count(abs(err) / nullif(abs(y), 0.0)) AS np, count(*) - count(err) AS unanswered FROM e GROUP BY horizon),
+w AS (SELECT horizon, sum(s2) OVER r / nullif(sum(n) OVER r, 0) AS mse, sum(s1) OVER r / nullif(sum(n) OVER r, 0) AS mae,
+             sum(sp) OVER r / nullif(sum(np) OVER r, 0) AS mape, CAST(sum(n) OVER r AS BIGINT) AS n, CAST(sum(unanswered) OVER r AS BIGINT) AS unanswered
+      FROM h WINDOW r AS (ORDER BY horizon RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT horizon, {_metric_sql('mse')} AS mse, {_metric_sql('sqrt(mse)')} AS rmse, {_metric_sql('mae')} AS mae, {_metric_sql('mape')} AS mape,
+       CAST(NULL AS DOUBLE) AS coverage, n, unanswered
+FROM w""")
+def m8_smoothed_metrics(spark, sf):
+    """M8: metrics of the seasonal-naive baseline smoothed over a tenth of the horizon
+    (3 days), weighted by rows; rows without truth or forecast are counted."""
+    s = series_y(spark, sf, checkpoint=True)
+    return bt.smoothed_metrics(bt.baseline_cv(s), pred="yhat_snaive")
+
+
 @query("m9_time_series_folds", BASE + """
 SELECT series_id, "date", y, CAST(ntile(5) OVER (PARTITION BY series_id ORDER BY "date") - 1 AS BIGINT) AS fold
 FROM s""")
@@ -188,7 +206,7 @@ def shared_daily(spark, sf):
     """Daily revenue materialised once for queries that read it in several
     branches (requests, forecast table, actuals). Only what they read is kept,
     so the exact distincts of the other measures are never computed."""
-    return cut_lineage(daily(spark, sf).select("series_id", "date", "revenue"))
+    return cut_lineage(daily(spark, sf, ["revenue"]))
 
 
 def y_from_daily(d):
@@ -201,7 +219,7 @@ def requests_table(spark, sf, d=None):
     """Prediction requests derived from the data: for every series and month,
     day 1 (valid) and day 31 (invalid for short months), plus an unknown
     series for every month of the market series."""
-    d = d if d is not None else daily(spark, sf)
+    d = d if d is not None else daily(spark, sf, ["revenue"])
     ym = [F.date_format("date", "yyyy").alias("year"), F.month("date").cast("string").alias("month")]
     valid = (d.select(F.col("series_id").alias("country"), *ym,
                       F.explode(F.array(F.lit("1"), F.lit("31"))).alias("day")).distinct())
@@ -263,7 +281,7 @@ pva AS (SELECT fc.series_id, fc.cutoff, fc.forecast_total, act.actual_total, act
 
 def _pva(spark, sf):
     from ..operators import calendar as cal
-    f = cut_lineage(cal.fill_calendar(daily(spark, sf).select("series_id", "date", "revenue"), "null"))
+    f = cut_lineage(cal.fill_calendar(daily(spark, sf, ["revenue"]), "null"))
     s = f.select("series_id", "date", F.col("revenue").cast("double").alias("y"))
     ft = fc.drift_forecast_table(s)
     cuts = bt.cv_cutoffs(s)

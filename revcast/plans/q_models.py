@@ -19,7 +19,7 @@ from ..operators import supervised as sup
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming import stream as st
 from .q_forecast import requests_table, series_y
-from .q_series import filled, lines
+from .q_series import FEATURE_INPUTS, filled, lines
 from . import sql_fragments as q
 from .registry import query
 
@@ -259,6 +259,38 @@ def a13_approx_daily(spark, sf):
     return cal_double(dly.daily_grouping_sets(lines(spark, sf), exact_distinct=False))
 
 
+def _sketch_sql() -> str:
+    periods = " UNION ALL ".join(f"SELECT *, '{p}' AS period, CAST(date_trunc('{p}', \"date\") AS DATE) AS period_start FROM clines" for p in ("week", "month"))
+    return q.with_(q.LINES) + f""",
+p AS ({periods})
+SELECT CASE WHEN grouping(country) = 1 THEN 'all' ELSE {q.SLUG_COUNTRY} END AS series_id, period, period_start,
+       count(*) AS purchases, CAST(sum(times_viewed) AS BIGINT) AS total_views, CAST(sum(CAST(price AS DECIMAL(28,6))) AS DOUBLE) AS revenue,
+       TRUE AS invoices_within, TRUE AS streams_within
+FROM p GROUP BY GROUPING SETS ((period, period_start), (country, period, period_start))"""
+
+
+@query("a13_sketch_rollups", _sketch_sql())
+def a13_sketch_rollups(spark, sf):
+    """Sketches kept by country and day, written once and united to weeks and
+    months of every country and of the market; each estimate is held against the
+    exact count (``*_within``: inside the stated error)."""
+    from ..operators import daily as dly
+    li = lines(spark, sf)
+    kept = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    dly.daily_sketches(li).write.parquet(kept)
+    sketches = spark.read.parquet(kept)
+    out = None
+    for period in ("week", "month"):
+        exact = dly.daily_grouping_sets(li.withColumn("date", F.to_date(F.date_trunc(period, "date"))), measures=list(dly.DISTINCT)).select(
+            "series_id", F.col("date").alias("period_start"), *(F.col(m).alias(f"_{m}") for m in dly.DISTINCT))
+        est = dly.sketch_rollup(sketches, period).unionByName(dly.sketch_rollup(sketches, period, None)).join(exact, ["series_id", "period_start"], "left")
+        within = {m: F.coalesce(F.abs(F.col(m) - F.col(f"_{m}")) <= dly.sketch_error_bound(F.col(f"_{m}")), F.lit(False)) for m in dly.DISTINCT}
+        rows = est.select("series_id", "period", "period_start", "purchases", "total_views", F.col("revenue").cast("double").alias("revenue"),
+                          within["unique_invoices"].alias("invoices_within"), within["unique_streams"].alias("streams_within"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _drift_sql(digits: int = 8) -> str:
     def sig(x):
         return f"CAST(printf('%.{digits - 1}e', {x}) AS DOUBLE)"
@@ -283,7 +315,7 @@ def m23_feature_drift(spark, sf):
     """M23 (data drift): shift of each feature's mean and median in the last year of
     each series against the years before, at 8 significant digits (reporting precision)."""
     from ..operators import monitor as mon
-    f = fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero"), training=False))
+    f = fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero", measures=FEATURE_INPUTS), training=False))
     last = F.max("date").over(Window.partitionBy("series_id"))
     g = f.withColumn("_after", F.col("date") >= F.date_sub(last, 365))
     return mon.feature_drift_flag(g, "_after", fe.FEATURE_COLUMNS).select(

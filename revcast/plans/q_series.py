@@ -18,12 +18,16 @@ def lines(spark, sf):
     return invoice_lines(spark, sf)
 
 
-def daily(spark, sf):
-    return dly.daily_grouping_sets(lines(spark, sf))
+def daily(spark, sf, measures=dly.MEASURES):
+    return dly.daily_grouping_sets(lines(spark, sf), measures=measures)
 
 
-def filled(spark, sf, fill="null", range_="observed"):
-    return cal.fill_calendar(daily(spark, sf), fill=fill, range_=range_)
+def filled(spark, sf, fill="null", range_="observed", measures=dly.MEASURES):
+    return cal.fill_calendar(daily(spark, sf, measures), fill=fill, range_=range_)
+
+
+#: What the window features read.
+FEATURE_INPUTS = ["unique_invoices", "total_views", "revenue"]
 
 
 def _daily_out(df):
@@ -44,7 +48,7 @@ def training_matrix(spark, sf):
 
     lines → A2 → J1 (zero fill) → W1-W4 → P9 → W5.
     """
-    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero"), training=True))
+    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero", measures=FEATURE_INPUTS), training=True))
 
 
 # ---------------------------------------------------------------- step 2: daily
@@ -126,7 +130,7 @@ def a8_distinct_countries(spark, sf):
 @query("a10_series_date_bounds", q.with_(q.LINES, q.DAILY) + """
 SELECT series_id, min("date") AS first_date, max("date") AS last_date FROM daily GROUP BY series_id""")
 def a10_series_date_bounds(spark, sf):
-    return dly.date_bounds(daily(spark, sf))
+    return dly.date_bounds(daily(spark, sf, ["revenue"]))
 
 
 @query("o1_all_series_sorted", q.with_(q.LINES, q.DAILY) + f"""
@@ -162,7 +166,7 @@ def sd2_full_month_calendar(spark, sf):
 SELECT s.series_id, s."date" FROM filled_spine s
 WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.series_id = s.series_id AND d."date" = s."date")""")
 def j2_missing_days(spark, sf):
-    return cal.missing_days(daily(spark, sf))
+    return cal.missing_days(daily(spark, sf, ["revenue"]))
 
 
 @query("a5_month_end_resample", q.with_(q.LINES, q.DAILY, q.filled("null")) + """
@@ -170,7 +174,7 @@ SELECT series_id, last_day("date") AS month_end,
        CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue
 FROM filled GROUP BY series_id, last_day("date")""")
 def a5_month_end_resample(spark, sf):
-    return _daily_out(cal.month_end_resample(filled(spark, sf, "null")))
+    return _daily_out(cal.month_end_resample(filled(spark, sf, "null", measures=["revenue"])))
 
 
 @query("p12_drop_gap_rows", q.with_(q.LINES, q.DAILY, q.filled("null")) + f"""
@@ -198,25 +202,25 @@ SELECT {q.FEATURES_OUT} FROM feats {extra}"""
 @query("w1_w4_window_features_null", _feature_sql("null"))
 def w1_w4_window_features_null(spark, sf):
     """W1-W4 + W2 target on the null-gap series (SD10: means skip gaps)."""
-    return fe.features_to_double(fe.with_window_features(filled(spark, sf, "null")))
+    return fe.features_to_double(fe.with_window_features(filled(spark, sf, "null", measures=FEATURE_INPUTS)))
 
 
 @query("w1_w4_window_features_zero", _feature_sql("zero"))
 def w1_w4_window_features_zero(spark, sf):
     """W1-W4 + W2 target on the zero-gap series (SD10: means count gaps as 0)."""
-    return fe.features_to_double(fe.with_window_features(filled(spark, sf, "zero")))
+    return fe.features_to_double(fe.with_window_features(filled(spark, sf, "zero", measures=FEATURE_INPUTS)))
 
 
 @query("p9_positive_feature_rows", _feature_sql("zero", f"WHERE {q.FEATURE_SUM} > 0"))
 def p9_positive_feature_rows(spark, sf):
     """P9 without the W5 trim: the prediction-time (``training=False``) matrix."""
-    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero"), training=False))
+    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "zero", measures=FEATURE_INPUTS), training=False))
 
 
 @query("w5_training_matrix_null", _feature_sql("null", training=True))
 def w5_training_matrix_null(spark, sf):
     """Variant-A gaps (null) through the same P9 + W5 pipeline."""
-    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "null"), training=True))
+    return fe.features_to_double(fe.revenue_features(filled(spark, sf, "null", measures=FEATURE_INPUTS), training=True))
 
 
 @query("j4_band_join_previous_year", q.with_(q.LINES, q.DAILY, q.filled("zero")) + """,
@@ -233,7 +237,7 @@ def j4_band_join_previous_year(spark, sf):
     Probes are the observed days; the band [d-365, d-336] is W3's frame.
     """
     # probes and series from one pass over the lines; only the revenue is read
-    d = cut_lineage(daily(spark, sf).select("series_id", "date", "revenue"))
+    d = cut_lineage(daily(spark, sf, ["revenue"]))
     out = fe.band_join_features(d.select("series_id", "date"), cal.fill_calendar(d, "zero"),
                                 -365, -336)
     return out.select("series_id", "date", F.col("band_sum").cast("double").alias("band_sum"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..session import ensure_checkpoint_dir
 from ..sources.invoices import CANONICAL_COLUMNS, invoice_rejects, read_invoices
-from ..sources.tables import read_daily_csv, snapshot, write_csv
+from ..sources.tables import read_daily_csv, save_table, snapshot, write_csv
 from . import sql_fragments as q
 from .q_explore import _variant_frames
 from .q_series import daily, lines
@@ -97,3 +97,15 @@ def s7_snapshot_reuse(spark, sf):
     tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots/{tag}"
     return cal.series_to_double(snapshot(daily(spark, sf), root, "daily"))
+
+
+@query("s6_table_replace", q.with_(q.LINES, q.DAILY) + f"""
+SELECT {q.DAILY_OUT} FROM daily WHERE series_id <> 'all'""")
+def s6_table_replace(spark, sf):
+    """A catalog table written, then replaced by another result under the same
+    name (``if_exists='replace'``) and read by SQL."""
+    name, path = f"daily_table_{uuid.uuid4().hex[:12]}", _export_dir(spark, "daily_table", sf)
+    d = daily(spark, sf)
+    save_table(d.where(F.col("series_id") == "all"), name, path=f"{path}/1")
+    save_table(d.where(F.col("series_id") != "all"), name, path=f"{path}/2")
+    return cal.series_to_double(spark.sql(f"SELECT * FROM {name}"))

@@ -13,14 +13,18 @@ import re
 import sys
 
 EAGER_PREFIXES = ("m1_", "m2_", "m6_model", "m7_", "m8_model", "m10", "m11", "m12", "m14",
-                  "m15", "m16", "m19", "m20", "m22", "m24", "m25", "st", "s1_", "s3_", "s7_", "u3",
+                  "m15", "m16", "m19", "m20", "m22", "m24", "m25", "st", "s1_", "s3_", "s6_", "s7_", "u3",
                   "u4", "m23_feature")
 TABLES = ["lineitem", "orders", "customer", "nation", "events"]
 FLAGS = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
 
-def plan_stats(df) -> dict:
-    plan = df._jdf.queryExecution().executedPlan().toString()
+def plan_stats(df, executed: bool = False) -> dict:
+    """Counts in the plan; ``executed`` runs the query and looks at the plan that
+    ran, in which an exchange that is used again counts once."""
+    if executed:
+        df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     out = {t: len(re.findall(rf"FileScan parquet [^\n]*/{t}\.parquet", plan)) for t in TABLES}
     out["shuffles"] = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|"
                                      r"Exchange RoundRobinPartitioning|Exchange SinglePartition", plan))

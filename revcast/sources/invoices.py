@@ -232,18 +232,20 @@ def invoice_lines(spark: SparkSession, sf_dir: str, start: str | None = None,
                      F.col("l_returnflag")),
         F.lit(""))
     key = F.col("o_orderkey").cast("string")
+    digits = F.lpad(key, F.greatest(F.lit(6), F.length(key)), "0")
     d = F.to_date("o_orderdate")
-    return (li.join(dims, li.l_orderkey == dims.o_orderkey)
+    # the lines must never be the broadcast side, however small their file is after pruning
+    return (li.hint("merge").join(dims, li.l_orderkey == dims.o_orderkey)
             .select(
                 F.col("n_name").alias("country"),
                 F.col("o_custkey").alias("customer_id"),
                 F.date_format(d, "dd").alias("day"),
-                F.concat(letter, F.lpad(key, F.greatest(F.lit(6), F.length(key)), "0")).alias("invoice"),
+                F.concat(letter, digits).alias("invoice"),
                 F.date_format(d, "MM").alias("month"),
                 F.col("l_extendedprice").alias("price"),
                 F.col("l_partkey").cast("string").alias("stream_id"),
                 F.col("l_quantity").cast("bigint").alias("times_viewed"),
                 F.date_format(d, "yyyy").alias("year"),
                 d.alias("date"),
-            )
-            .withColumn("invoice_id", clean_invoice("invoice")))
+                digits.alias("invoice_id"),  # what clean_invoice leaves of the invoice
+            ))

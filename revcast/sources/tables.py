@@ -75,9 +75,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """Replace a catalog table (``to_sql(if_exists='replace')``)."""
-    df.write.mode(mode).saveAsTable(name)
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
+    """Replace a catalog table (``to_sql(if_exists='replace')``), schema and
+    rows. With ``path`` its files go there, else into the warehouse; a result
+    that reads the old table needs another path than it."""
+    w = df.write.mode(mode)
+    (w.option("path", path) if path else w).saveAsTable(name)
 
 
 def _input_roots(df: DataFrame) -> list[tuple[str, str]]:

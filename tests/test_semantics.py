@@ -95,3 +95,41 @@ def test_full_month_range(spark):
     # days before the first observation are zero-filled
     early = f.where(F.col("date") < START).agg(F.sum("purchases")).first()[0]
     assert early == 0
+
+
+def test_distinct_measures_with_nulls_and_any_measures(spark):
+    from revcast.operators import daily as dly
+    rows = [("A b", "2020-01-01", "1", "x", 2, 1.5), ("A b", "2020-01-01", "1", "y", 3, 2.5), ("A b", "2020-01-01", None, "x", None, 1.0),
+            ("C", "2020-01-01", "1", "x", 1, None), (None, "2020-01-01", "2", None, 1, 1.0), ("C", None, None, None, None, None)]
+    li = spark.createDataFrame(rows, "country string, date string, invoice_id string, stream_id string, times_viewed long, price double").withColumn(
+        "date", F.to_date("date"))
+    want = {("a_b", 3, 1, 2, 5, 5.0), ("c", 1, 1, 1, 1, None), (None, 1, 1, 0, 1, 1.0), ("all", 5, 2, 2, 7, 6.0)}
+    got = dly.daily_grouping_sets(li).where("date IS NOT NULL").collect()
+    assert {(r.series_id, r.purchases, r.unique_invoices, r.unique_streams, r.total_views, None if r.revenue is None else float(r.revenue)) for r in got} == want
+    for some in (["revenue"], ["unique_streams"], ["unique_streams", "purchases"], dly.MEASURES):
+        few = {tuple(r) for r in dly.daily_grouping_sets(li, measures=some).collect()}
+        assert few == {tuple(r) for r in dly.daily_grouping_sets(li).select("series_id", "date", *some).collect()}
+
+
+def test_smoothed_metrics_equal_a_plain_loop(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    from revcast.operators import backtest as bt
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(5):
+        for h in range(1, 31):
+            y = None if (c + h) % 7 == 0 else float(rng.integers(0, 5))
+            p = None if (c * h) % 11 == 3 else float(rng.normal(2, 1))
+            rows.append(("s", dt.date(2020, 1, 1 + c), dt.date(2020, 1, 1 + c) + dt.timedelta(h), y, p, None if p is None else p - 1, None if p is None else p + 1))
+    cv = spark.createDataFrame(rows, "series_id string, cutoff date, ds date, y double, yhat double, yhat_lower double, yhat_upper double")
+    for r in bt.smoothed_metrics(cv).collect():
+        frame = [x for x in rows if r.horizon - 2 <= (x[2] - x[1]).days <= r.horizon]
+        known = [x for x in frame if x[3] is not None and x[4] is not None]
+        e = np.array([x[3] - x[4] for x in known])
+        assert (r.n, r.unanswered) == (len(known), len(frame) - len(known))
+        assert np.isclose(r.mse, (e * e).mean()) and np.isclose(r.mae, np.abs(e).mean())
+        assert np.isclose(r.mape, np.mean([abs(x[3] - x[4]) / abs(x[3]) for x in known if x[3]]))
+        assert np.isclose(r.coverage, np.mean([x[5] <= x[3] <= x[6] for x in known]))
