@@ -54,10 +54,11 @@ def distinct_values(lines: DataFrame, keys: list[str], measures=MEASURES) -> Dat
         F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col(DISTINCT[m]).cast("string").alias("value"),
                  *[(parts[x] if k == 0 else F.lit(None).cast("bigint" if x != "revenue" else MONEY_TYPE)).alias(x) for x in sums])
         for k, m in enumerate(kinds)])
-    return _regrouped(lines.select(*keys, F.inline(rows)), [*keys, "kind", "value"], measures)
+    return regroup_values(lines.select(*keys, F.inline(rows)), [*keys, "kind", "value"], measures)
 
 
-def _regrouped(values: DataFrame, keys: list[str], measures) -> DataFrame:
+def regroup_values(values: DataFrame, keys: list[str], measures=MEASURES) -> DataFrame:
+    """Rows of ``distinct_values`` merged to fewer keys, or over several inputs."""
     sums = _merged(measures)
     return values.groupBy(*keys).agg(*sums) if sums else values.select(*keys).distinct()
 
@@ -109,7 +110,7 @@ def daily_grouping_sets(lines: DataFrame, series: str = "country",
 
 def merge_values(values: DataFrame, series: str = "country", measures=MEASURES) -> DataFrame:
     """``all`` and every country from the distinct values of each (country, day)."""
-    market = _regrouped(values, ["date", "kind", "value"], measures)
+    market = regroup_values(values, ["date", "kind", "value"], measures)
     return _with_market(count_values(values, [series, "date"], measures), count_values(market, ["date"], measures), series, measures)
 
 

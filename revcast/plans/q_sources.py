@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..session import ensure_checkpoint_dir
-from ..sources.invoices import CANONICAL_COLUMNS, invoice_rejects, read_invoices
+from ..sources.invoices import CANONICAL_COLUMNS, incremental_daily, invoice_rejects, read_invoices
 from ..sources.tables import read_daily_csv, save_table, snapshot, write_csv
 from . import sql_fragments as q
 from .q_explore import _variant_frames
@@ -109,3 +109,17 @@ def s6_table_replace(spark, sf):
     save_table(d.where(F.col("series_id") == "all"), name, path=f"{path}/1")
     save_table(d.where(F.col("series_id") != "all"), name, path=f"{path}/2")
     return cal.series_to_double(spark.sql(f"SELECT * FROM {name}"))
+
+
+@query("s7_incremental_daily", q.with_(q.LINES, q.DAILY) + f"""
+SELECT {q.DAILY_OUT} FROM daily""")
+def s7_incremental_daily(spark, sf):
+    """Month files that arrive in two deliveries; the second call reads and
+    rolls up the new files only and merges them with what is kept."""
+    out, root = _export_dir(spark, "json_deliveries", sf), _export_dir(spark, "daily_parts", sf)
+    first, *rest = _variant_frames(lines(spark, sf))
+    first.write.json(f"{out}/delivery=0")
+    incremental_daily(spark, out, root, json_lines=True)
+    for i, v in enumerate(rest, 1):
+        v.write.json(f"{out}/delivery={i}")
+    return cal.series_to_double(incremental_daily(spark, out, root, json_lines=True))

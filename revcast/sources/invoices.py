@@ -7,12 +7,16 @@ plus the derived ``date`` and ``invoice_id`` (digits only).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.scalar import clean_invoice, date_from_parts
+from ..operators.daily import distinct_values, merge_values, regroup_values
+from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
 
@@ -91,101 +95,152 @@ def _check_exists(spark: SparkSession, path: str) -> None:
         raise SourceNotFoundError(f"source {path!r} holds no .json files")
 
 
-def file_column_profile(spark: SparkSession, path: str,
-                        sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
-    """P2 helper: per source file, how many rows carry each raw column.
+def parse_records(spark: SparkSession, path, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
+    """Every record of the JSON files, parsed once: ``source_file``, the typed
+    canonical columns, ``fields`` (its fields and their JSON types), ``reason``
+    (null for an invoice line) and, with a reason, the ``record`` itself.
 
-    The scan infers the schema (optionally on a sample), so every key that
-    any file uses shows up; a column that a file never fills counts 0.
+    Files are JSON arrays of records (``json_lines=True``: one record per line)
+    in any spelling. A record is malformed if it is no JSON object or a field
+    has another type; broken JSON of a whole file is one malformed record.
+    Number columns take JSON numbers only, text columns any value.
     """
-    inferred = (spark.read.option("multiLine", not json_lines)
-                .option("pathGlobFilter", "*.json")
-                .option("recursiveFileLookup", "true")
-                .option("samplingRatio", sampling_ratio)
-                .json(path)
-                .withColumn("source_file", F.col("_metadata.file_path")))
-    cols = [c for c in inferred.columns if c not in ("source_file", "_corrupt_record")]
-    return inferred.groupBy("source_file").agg(
-        *[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
-
-
-def schema_violations(spark: SparkSession, path: str,
-                      sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
+    text = (spark.read.option("wholetext", not json_lines).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+            .text(path).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.trim("value") != ""))
+    if json_lines:
+        rec = text.select("source_file", F.col("value").alias("_text"), F.try_parse_json("value").alias("_r"))
+    else:
+        whole = text.select("source_file", F.col("value").alias("_text"), F.try_parse_json("value").alias("_v"))
+        rec = whole.select("source_file", "_text", F.explode(F.coalesce(
+            F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))).alias("_r"))
+        rec = rec.select("source_file", F.coalesce(F.to_json("_r"), "_text").alias("_text"), "_r")
+    values, wrong = {}, F.lit(False)
+    for canon in CANONICAL_COLUMNS:
+        kind, found = _TYPES[canon].simpleString(), []
+        for name in SPELLINGS.get(canon, [canon]):
+            value = F.try_variant_get("_r", f"$.{name}", kind)
+            if kind in _JSON_NUMBERS:
+                json_type = F.schema_of_variant(F.try_variant_get("_r", f"$.{name}", "variant"))
+                fits = json_type.rlike(_JSON_NUMBERS[kind])
+                wrong = wrong | F.coalesce((json_type != "VOID") & ~(fits & value.isNotNull()), F.lit(False))
+                value = F.when(fits, value)
+            found.append(value)
+        values[canon] = F.coalesce(*found)
+    fields = F.schema_of_variant("_r")
+    out = rec.select("source_file", fields.alias("fields"), *[v.alias(c) for c, v in values.items()],
+                     (~F.coalesce(fields.startswith("OBJECT<"), F.lit(False)) | wrong).alias("_wrong"), "_text")
+    reason = F.when(F.col("_wrong"), "malformed record").when(
+        date_from_parts("year", "month", "day").isNull(), "invalid date")
+    return out.withColumn("reason", reason).select(
+        "source_file", "fields", *CANONICAL_COLUMNS, "reason", F.when(F.col("reason").isNotNull(), F.col("_text")).alias("record"))
+
+
+#: JSON types (of ``schema_of_variant``) that a number column takes.
+_JSON_NUMBERS = {"bigint": "^BIGINT", "double": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"}
+
+
+def _violations(parsed: DataFrame) -> DataFrame:
+    known = [n for c in CANONICAL_COLUMNS for n in SPELLINGS.get(c, [c])]
+    # fields that a file fills at least once; records of a file share few field lists
+    pairs = parsed.where(F.col("fields").startswith("OBJECT<")).select("source_file", "fields").distinct().select(
+        "source_file", F.explode(F.regexp_extract_all("fields", F.lit("[<,] ?`?([^`:<>,]+)`?: (?!VOID)"), F.lit(1))).alias("name"))
+    found = pairs.groupBy("source_file").agg(F.collect_set("name").alias("names"))
+    files = parsed.select("source_file").distinct().join(found, "source_file", "left").withColumn("names", F.coalesce("names", F.array()))
+    missing = [F.when(~F.arrays_overlap("names", F.array(*map(F.lit, SPELLINGS.get(c, [c])))), F.lit(f"missing column {c}"))
+               for c in CANONICAL_COLUMNS if c != "customer_id"]  # customer_id may be null on every line of a file
+    unknown = F.transform(F.array_except("names", F.array(*map(F.lit, known))), lambda n: F.concat(F.lit("unknown column "), n))
+    return files.select("source_file", F.explode(F.concat(unknown, F.array_compact(F.array(*missing)))).alias("problem"))
+
+
+def schema_violations(spark: SparkSession, path, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
     """One row per (file, problem) whose columns do not map to the canonical set.
 
-    Problems are ``unknown column <name>`` and ``missing column <canonical>``.
+    Problems are ``unknown column <name>`` and ``missing column <canonical>``; a
+    column that a file never fills is missing.
     """
-    prof = file_column_profile(spark, path, sampling_ratio, json_lines)
-    known = {n for names in (SPELLINGS.get(c, [c]) for c in CANONICAL_COLUMNS) for n in names}
-    cols = [c for c in prof.columns if c != "source_file"]
-    checks = []
-    for c in cols:
-        if c not in known:
-            checks.append(F.when(F.col(f"`{c}`") > 0, F.lit(f"unknown column {c}")))
-    for canon in CANONICAL_COLUMNS:
-        names = [n for n in SPELLINGS.get(canon, [canon]) if n in cols]
-        filled = sum((F.col(f"`{n}`") for n in names), F.lit(0)) if names else F.lit(0)
-        # customer_id may legitimately be null on every line of a file
-        if canon != "customer_id":
-            checks.append(F.when(filled == 0, F.lit(f"missing column {canon}")))
-    return (prof.select("source_file", F.explode(F.array(*checks)).alias("problem"))
-            .where(F.col("problem").isNotNull()))
+    return _violations(parse_records(spark, path, json_lines, glob))
+
+
+def invoice_rejects(spark: SparkSession, path, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
+    """P2 + P14: ``(source_file, reason, record)`` of every record that cannot be
+    an invoice line: broken JSON or a value of another type, or no valid date."""
+    return parse_records(spark, path, json_lines, glob).where("reason IS NOT NULL").select("source_file", "reason", "record")
 
 
-def read_invoices(spark: SparkSession, path: str, validate: bool = True,
-                  sampling_ratio: float = 1.0, json_lines: bool = False) -> DataFrame:
-    """S1 + S2 + P1-P3: read a directory of JSON month files as invoice lines.
+def read_invoices(spark: SparkSession, path, validate: bool = True, json_lines: bool = False) -> DataFrame:
+    """S1 + S2 + P1-P3: read JSON month files (a directory, or files) as invoice lines.
 
-    Files are JSON arrays of records (``json_lines=True``: one record per
-    line); each file may use any spelling of the renamed columns.
     ``source_file`` is the full path of the file a line came from. Validation
     raises on columns that do not match and on records that cannot be read;
-    without it such records (:func:`invoice_rejects`) are left out.
+    without it malformed records (:func:`invoice_rejects`) are left out. The
+    files are read and parsed once: columns, rejects and lines all come from
+    the parsed records, which are kept in the checkpoint folder.
     """
-    _check_exists(spark, path)
+    if isinstance(path, str):
+        _check_exists(spark, path)
+    parsed = parse_records(spark, path, json_lines)
     if validate:
-        bad = schema_violations(spark, path, sampling_ratio, json_lines)
-        total, named = bad.agg(F.count(F.lit(1)), F.min(F.struct("source_file", "problem"))).first()
+        kept = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
+        parsed.write.parquet(kept)
+        parsed = spark.read.schema(parsed.schema).parquet(kept)
+        total, named = _violations(parsed).agg(F.count(F.lit(1)), F.min(F.struct("source_file", "problem"))).first()
         if total:
             raise SchemaMismatchError(f"columns could not be matched: {total} problems, the first in "
                                       f"{named.source_file}: {named.problem} (schema_violations() has all)")
-        total, named = invoice_rejects(spark, path, json_lines).agg(
-            F.count(F.lit(1)), F.min(F.struct("source_file", "reason"))).first()
+        total, named = parsed.where("reason IS NOT NULL").agg(F.count(F.lit(1)), F.min(F.struct("source_file", "reason"))).first()
         if total:
             raise BadRecordsError(f"{total} records could not be read, the first in {named.source_file}: "
                                   f"{named.reason} (invoice_rejects() has all)")
-    return harmonise(_read_raw(spark, path, json_lines).where(~_is_corrupt()).drop(_CORRUPT))
+    lines = parsed.where(F.coalesce(F.col("reason") != "malformed record", F.lit(True)))
+    return harmonise(lines.select("source_file", *CANONICAL_COLUMNS))
 
 
-_CORRUPT = "_corrupt_record"
+# ---- S7: roll up only what is new
 
 
-def _is_corrupt():
-    """Whether the whole record was readable. The reader only parses columns that
-    a query needs, so the condition needs all of them."""
-    return F.col(_CORRUPT).isNotNull() & (F.hash(*RAW_SCHEMA.names) >= F.lit(-2 ** 31))
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(file, path, source_file): a key of every input file, from its path, size
+    and time; its path, and the path as the reader's metadata spell it."""
+    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return meta.select(F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256).alias("file"), "path",
+                       F.col("_metadata.file_path").alias("source_file"))
 
 
-def _read_raw(spark: SparkSession, path: str, json_lines: bool, glob: str = "*.json") -> DataFrame:
-    """Records with any spelling; what does not fit the types is kept in ``_corrupt_record``."""
-    return (spark.read.schema(T.StructType(RAW_SCHEMA.fields + [T.StructField(_CORRUPT, T.StringType())]))
-            .option("multiLine", not json_lines)
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true")
-            .json(path)
-            .withColumn("source_file", F.col("_metadata.file_path")))
-
-
-def invoice_rejects(spark: SparkSession, path: str, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
-    """P2 + P14: ``(source_file, reason, record)`` of every record that cannot be
-    an invoice line: broken JSON or a value of another type, or no valid date."""
-    raw = _read_raw(spark, path, json_lines, glob)
-    parts = F.to_json(F.struct("year", "month", "day"))
-    reason = (F.when(_is_corrupt(), "malformed record")
-              .when(date_from_parts("year", "month", "day").isNull(), "invalid date"))
-    return (raw.select("source_file", reason.alias("reason"), F.coalesce(F.col(_CORRUPT), parts).alias("record"))
-            .where(F.col("reason").isNotNull()))
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def incremental_daily(spark: SparkSession, source: str, root: str, json_lines: bool = False, glob: str = "*.json",
+                      series: str = "country") -> DataFrame:
+    """The daily roll-up of a folder of month files, reading only files that
+    are new or changed since the last call.
+
+    Every file is reduced to its distinct values by country and day (exact under
+    merging, :func:`distinct_values`) and kept below ``root``; the answer is
+    merged from the parts of the files that are there now, so a file that is
+    gone or rewritten no longer counts. A part counts only once its batch stands
+    in the manifest: what a failed run leaves behind is never read.
+    """
+    _check_exists(spark, source)
+    root = root.rstrip("/")
+    now = _files(spark, source, glob)
+    done = _kept(spark, f"{root}/manifest", "file string, path string, batch string")
+    new = [tuple(r) for r in now.join(done, "file", "left_anti").collect()]  # the paths that the next read is given
+    if new:
+        batch = uuid.uuid4().hex
+        named = spark.createDataFrame(new, "file string, path string, source_file string")
+        lines = read_invoices(spark, [p for _, p, _ in new], json_lines=json_lines).join(named, "source_file")
+        parts = distinct_values(lines, ["file", series, "date"])
+        parts.withColumn("batch", F.lit(batch)).write.partitionBy("batch", "file").mode("append").parquet(f"{root}/parts")
+        named.select("file", "path", F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    valid = _kept(spark, f"{root}/manifest", "file string, path string, batch string").join(now.select("file"), "file", "left_semi")
+    parts = spark.read.parquet(f"{root}/parts").join(valid.select("file", "batch"), ["file", "batch"], "left_semi")
+    return merge_values(regroup_values(parts, [series, "date", "kind", "value"]), series)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

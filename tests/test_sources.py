@@ -132,3 +132,53 @@ def test_money_keeps_the_scale_of_the_source(spark):
     from decimal import Decimal
     df = spark.createDataFrame([(0.004,), (0.004,), (3.131,), (-44990.049,)], "price double")
     assert df.agg(F.sum(money("price"))).first()[0] == Decimal("-44986.910000")
+
+
+def test_only_new_files_are_read(spark, json_dir, tmpdir_path, monkeypatch):
+    from revcast.sources import invoices
+
+    root, read = os.path.join(tmpdir_path, "parts"), []
+    whole = invoices.parse_records
+    monkeypatch.setattr(invoices, "parse_records", lambda s, path, *a, **k: (read.append(path), whole(s, path, *a, **k))[1])
+    src = os.path.join(json_dir, "in")
+    os.mkdir(src)
+    _write(src, "a 1.json", M1)
+    _write(src, "b.json", M2)
+
+    def rows():
+        return sorted(tuple(r) for r in invoices.incremental_daily(spark, src, root).collect())
+
+    def want(*parts):
+        os.makedirs(d := os.path.join(tmpdir_path, f"all{len(parts)}-{len(read)}"))
+        for k, p in enumerate(parts):
+            _write(d, f"{k}.json", p)
+        return sorted(tuple(r) for r in dly.daily_grouping_sets(read_invoices(spark, d)).collect())
+
+    assert rows() == want(M1, M2)
+    read.clear()
+    _write(src, "c.json", M3 + M1[:1])  # its line is also in another file: distinct counts stay exact
+    got = rows()
+    assert [[os.path.basename(p) for p in r] for r in read] == [["c.json"]]
+    assert got == want(M1, M2, M3 + M1[:1])
+    read.clear()
+    assert rows() == got and read == []
+    _write(src, "b.json", M3)  # rewritten
+    os.remove(os.path.join(src, "c.json"))
+    got = rows()
+    assert len(read) == 1 and [os.path.basename(p) for p in read[0]] == ["b.json"]
+    assert got == want(M1, M3)
+
+
+def test_json_is_scanned_once(spark, json_dir):
+    plan = read_invoices(spark, json_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan json" not in plan and "parsed-" in plan
+
+
+def test_table_is_replaced(spark, tmpdir_path):
+    from revcast.sources.tables import save_table
+    save_table(spark.range(3).toDF("a"), "replaced_table", path=os.path.join(tmpdir_path, "t1"))
+    save_table(spark.createDataFrame([("x", 1)], "b string, c int"), "replaced_table", path=os.path.join(tmpdir_path, "t2"))
+    assert [tuple(r) for r in spark.sql("SELECT * FROM replaced_table").collect()] == [("x", 1)]
+    save_table(spark.createDataFrame([("y", 2)], "b string, c int"), "replaced_table", mode="append")
+    assert spark.table("replaced_table").count() == 2
+    spark.sql("DROP TABLE replaced_table")
