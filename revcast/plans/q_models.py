@@ -37,7 +37,7 @@ def _tag(sf: str) -> str:
 
 def training_features(spark, sf, training=True):
     """The feature matrix, materialised once."""
-    return cut_lineage(fe.revenue_features(filled(spark, sf, "zero"), training=training))
+    return cut_lineage(fe.revenue_features(filled(spark, sf, "zero", measures=FEATURE_INPUTS), training=training))
 
 
 def interpolated_y(spark, sf):
@@ -50,7 +50,7 @@ def interpolated_y(spark, sf):
 def m10_rf_predictions(spark, sf):
     """M10 + M13: pooled scaler + random-forest pipeline trained on the training
     matrix of every series; predictions on the untrimmed feature table."""
-    model = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), sup._double(training_features(spark, sf)))
+    model = sup.fit_pooled(sup._double(training_features(spark, sf)))
     return sup.predict_supervised(model, training_features(spark, sf, training=False))
 
 
@@ -68,21 +68,28 @@ def m12_holdout_rmse(spark, sf):
     (``round(sqrt(mse))``)."""
     f = sup._double(training_features(spark, sf))
     tr, te = sup.time_split(f)
-    m = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), tr)
+    m = sup.fit_pooled(tr)
     p = m.transform(te)
     return (p.groupBy("series_id")
             .agg(F.round(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))).alias("rmse"),
                  F.count(F.lit(1)).alias("n_test")))
 
 
+@query("m13_models_by_series")
+def m13_models_by_series(spark, sf):
+    """M13 + M12: one model for each series, fitted side by side; hold-out RMSE of
+    each against the mean of its training days."""
+    return sup.holdout_by_series(training_features(spark, sf))
+
+
 @query("m14_supervised_lookup")
 def m14_supervised_lookup(spark, sf):
     """M14 + S8: model trained, saved to and re-loaded from shared storage,
     then requests answered from the untrimmed feature table (J6)."""
-    model = sup.fit(sup.rf_pipeline(pooled=True, num_trees=20), sup._double(training_features(spark, sf)))
+    model = sup.fit_pooled(sup._double(training_features(spark, sf)))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/sl-rf-0_1-{_tag(sf)}"
     sup.save_model(model, path)
-    loaded = sup.load_model(path)
+    loaded = sup.load_model(spark, path)
     preds = sup.predict_supervised(loaded, training_features(spark, sf, training=False))
     ft = preds.select("series_id", "date", "y_pred")
     from ..operators import serve as sv

@@ -114,7 +114,7 @@ def test_supervised_pipeline_smoke(spark):
                      float(3 * x[0] + x[1])))
     cols = ", ".join(f"{c} double" for c in sup.FEATURE_COLUMNS)
     df = spark.createDataFrame(rows, f"series_id string, date date, {cols}, target double")
-    model, rmse, scores = sup.train_supervised(df, pooled=False, num_trees=10)
+    model, rmse, scores = sup.train_supervised(df, num_trees=10)
     assert rmse is not None and rmse >= 0
     pred = sup.predict_supervised(model, df)
     assert pred.count() == 300
@@ -145,3 +145,37 @@ def test_training_rows_end_before_the_first_test_target(spark):
     train, test = sup.time_split(spark.createDataFrame(rows, "series_id string, date date"))
     last, first = train.agg(F.max("date")).first()[0], test.agg(F.min("date")).first()[0]
     assert (first - last).days == sup.TARGET_DAYS
+
+
+def test_no_two_series_share_a_place(spark):
+    ids = spark.range(10_000).select(F.concat(F.lit("s"), "id").alias("series_id"))
+    index = sup.series_index(ids.unionByName(ids))
+    digits = sup.index_digits(index)
+    assert len(digits) == 14
+    rows = sup.with_series_digits(ids, index, digits)
+    assert rows.select(*digits).distinct().count() == 10_000
+    unknown = sup.with_series_digits(spark.createDataFrame([("new",)], "series_id string"), index, digits).first()
+    assert not any(unknown[d] for d in digits)
+    assert rows.where(" AND ".join(f"{d} = 0" for d in digits)).isEmpty()  # a known series is never like an unknown one
+
+
+def test_models_by_series_equal_least_squares(spark):
+    import datetime as dt
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(5):
+        w = rng.normal(size=len(sup.FEATURE_COLUMNS))
+        for d in range(1 if s == 4 else 80):
+            x = rng.normal(1e6 * (s + 1), 1e3, len(w))
+            if s == 3:
+                x[0] = 7.0  # does not vary
+            rows.append((f"s{s}", dt.date(2020, 1, 1) + dt.timedelta(d), *map(float, x), float(5 + x @ w)))
+    df = spark.createDataFrame(rows, "series_id string, date date, " + ", ".join(f"{c} double" for c in sup.FEATURE_COLUMNS) + ", target double")
+    models = sup.fit_by_series(df, ridge=1e-12)
+    got = {(r.series_id, r.date): r for r in sup.predict_by_series(models, df).collect()}
+    assert len(got) == len(rows)
+    assert max(abs(got[r[0], r[1]].prediction - r[-1]) for r in rows) < 1e-2
+    held = {r.series_id: r for r in sup.holdout_by_series(df).collect()}
+    assert all(held[f"s{s}"].rmse < held[f"s{s}"].rmse_mean for s in range(4))
+    assert sup.predict_by_series(models, df.withColumn("series_id", F.lit("none"))).where("prediction IS NOT NULL").isEmpty()
+    assert sup.fit_by_series(df.where("1 = 0")).collect() == []

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def test_only_new_files_are_read(spark, json_dir, tmpdir_path, monkeypatch):
         return sorted(tuple(r) for r in invoices.incremental_daily(spark, src, root).collect())
 
     def want(*parts):
-        os.makedirs(d := os.path.join(tmpdir_path, f"all{len(parts)}-{len(read)}"))
+        d = tempfile.mkdtemp(dir=tmpdir_path)
         for k, p in enumerate(parts):
             _write(d, f"{k}.json", p)
         return sorted(tuple(r) for r in dly.daily_grouping_sets(read_invoices(spark, d)).collect())
