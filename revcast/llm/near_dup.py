@@ -11,23 +11,27 @@ ones eight, twelve or sixteen.
 Candidates are confirmed on the full sets. To find whole components without
 making all pairs of a region, rounds alternate with connected components:
 
-1. copies (equal sets) are one class; only its smallest id goes on;
+1. copies (equal sets) are one class, which gets a number of its own; one row of
+   each class goes on, and from here on a "document" is a class;
 2. every document meets, over all trees, its neighbour of the longest common
-   prefix and the smallest id before it in a region;
+   prefix and the smallest number before it in a region;
 3. documents of regions that are not yet one component meet all others there
    that are still in another component, block against block. Pairs with at
    least ``LEAST_EQUAL`` equal minima are confirmed at once, on the full sets
    that lie beside them; only links leave the task.
 
-So every pair that shares a region is confirmed, already connected, or has an
-estimate 4 standard errors below the threshold. A pair of similarity 0.75
-shares no region in 5 of a million cases. Regions of any size are cut in
-blocks; no task holds more than two blocks at a time.
+So every pair that shares a region is confirmed, already connected, or has half
+of its minima or fewer equal, 6.5 standard errors below the threshold. A pair of
+similarity 0.75 shares no region in 5 of a million cases. Regions of any size
+are cut in blocks by hash; a task holds two blocks at a time.
 
 Defined results: an empty or null text has an empty set and is linked with
 nothing; fewer than five words are one shingle; rows with a null id are kept,
-with a null component; a repeated id is judged row by row by its own text;
-of equal rows ``drop_near_duplicates`` keeps one; ties go to the smallest id.
+with a null component, and link nothing; a repeated id is judged row by row by
+its own text, and several of its rows may be ``kept``. ``drop_near_duplicates``
+keeps one row of each component: the smallest id, of several rows with that id
+the one with the smallest hash of its text, of equal rows one. Rows with empty
+texts stay, equal ones (id and text) once.
 """
 
 from __future__ import annotations
@@ -49,12 +53,12 @@ HASHES, DEPTH = 128, 4
 TREES = HASHES // DEPTH
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
-#: Equal minima of 128 below which a pair is not confirmed: 0.75 less 4 standard errors of the estimate.
-LEAST_EQUAL = 77
+#: Equal minima of 128 below which a pair is not confirmed: 0.75 less 6.5 standard errors of the estimate.
+LEAST_EQUAL = 64
 #: Documents in a block of a region.
 BLOCK = 2_048
-#: Ids that are shipped to all executors for a filter (8 bytes each); more are joined by shuffle.
-MAX_SHIPPED_IDS = 2_000_000
+#: Rows (24 bytes each) that are shipped to all executors for a join; more are joined by shuffle.
+MAX_SHIPPED_IDS = 1_000_000
 
 _RNG = np.random.default_rng(11)
 _ORDER = _RNG.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,10 +107,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16) for s in sets]
             halves = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(k, stop - k), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id").slice(k, stop - k), batch.column("text_hash").slice(k, stop - k), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
                  pa.array([next(minima).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+                ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sig"])
 
 
 def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +122,13 @@ def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("__text")).withColumn(
+        "text_hash", F.xxhash64("__text"))
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is among ``ids`` (distinct)."""
-    few = ids.count() <= MAX_SHIPPED_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _shipped(rows: DataFrame) -> DataFrame:
+    """For a join: broadcast if it is small, by its count."""
+    return F.broadcast(rows) if rows.count() <= MAX_SHIPPED_IDS else rows
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -190,8 +194,12 @@ def _open_blocks(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataF
     rows = via_table(rows.join(mixed.select("tree", "k0", "first"), ["tree", "k0"]), "open-regions")
     places = components(rows.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     docs = rows.select("doc_id", "root").distinct().join(places.select(F.col("node").alias("doc_id"), F.col("root").alias("place")), "doc_id")
-    order = Window.partitionBy("place").orderBy("root", "doc_id")
-    docs = via_table(docs.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "open-documents")
+    # a large component has blocks of its own, the others of a place share some; all by hash, so no task orders a place
+    sizes = docs.groupBy("place", "root").agg(F.count("*").alias("n"))
+    shared = sizes.groupBy("place").agg(F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0)).alias("small"))
+    own = F.xxhash64("root", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
+    block = F.when(F.col("n") < BLOCK, F.pmod(F.xxhash64("root"), F.ceil((F.col("small") + 1) / BLOCK))).otherwise(own)
+    docs = via_table(docs.join(sizes, ["place", "root"]).join(shared, "place").select("doc_id", "root", "place", block.alias("block")), "open-documents")
     parts = rows.join(docs.select("doc_id", "place", "block"), "doc_id").select("tree", "k0", "place", "block").distinct()
     one = parts.select("tree", "k0", F.struct("place", "block").alias("x"))
     other = parts.select("tree", "k0", F.struct("place", "block").alias("y"))
@@ -290,28 +298,39 @@ def _open_links(docs: DataFrame, meet: DataFrame, signed: DataFrame, sets: DataF
     return dealt.mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, and the copies' class (fp1, fp2)."""
-    texts = _texts(docs, id_col, text_col)
-    signed = via_table(texts.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary"), "signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    firsts = signed.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
-    members = via_table(_members(firsts), "regions")
-    ids = via_table(members.select("doc_id").distinct(), "region-ids")
-    sets = via_table(_only(texts, ids).mapInArrow(_list_sets, "doc_id bigint, shingles binary").where(F.length("shingles") > 0), "shingles", "lz4")
-    near = _only(signed.select("doc_id", "sig").where("sig IS NOT NULL"), ids)
+def _judged(texts: DataFrame) -> DataFrame:
+    """Per row: doc_id, text_hash, n_shingles, class (fp1, fp2), the component's smallest row (first_id, first_hash)."""
+    signed = via_table(texts.mapInArrow(_sign, "doc_id bigint, text_hash bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary"), "signatures")
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("sig").alias("sig"))  # equal sets have equal signatures
+    classes = via_table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = via_table(_members(classes.select(F.col("class").alias("doc_id"), "sig")), "regions")
+    ids = members.select(F.col("doc_id").alias("class")).distinct()
+    near = via_table(classes.join(ids, "class", "left_semi").select("class", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "sig"), "region-classes")
+    rows = texts.join(_shipped(near.select("class", "doc_id", "text_hash")), ["doc_id", "text_hash"]).select(F.col("class").alias("doc_id"), "__text")
+    sets = rows.mapInArrow(_list_sets, "doc_id bigint, shingles binary").where(F.length("shingles") > 0)
+    if not signed.groupBy("doc_id", "text_hash").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        sets = sets.dropDuplicates(["doc_id"])  # rows that occur again, with id and text
+    sets = via_table(sets, "shingles", "lz4")
+    signatures = near.select(F.col("class").alias("doc_id"), "sig")
 
     links = via_table(_confirmed(_first_pairs(members), sets), "links")
     roots = components(links)
     open_docs, meet = _open_blocks(members, roots)
-    more = via_table(_open_links(open_docs, meet, near, sets), "links")
+    more = via_table(_open_links(open_docs, meet, signatures, sets), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
-    return signed.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"),
-        "fp1", "fp2").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = classes.join(roots, F.col("class") == F.col("node"), "left").select("fp1", "fp2", "first", F.coalesce("root", "class").alias("root"))
+    smallest = found.groupBy("root").agg(F.min("first").alias("smallest"))
+    found = found.join(smallest, "root").select("fp1", "fp2", F.col("smallest.doc_id").alias("first_id"), F.col("smallest.text_hash").alias("first_hash"))
+    return signed.select("doc_id", "text_hash", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept, and the copies' class (fp1, fp2)."""
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")))
+    return _judged(_texts(docs, id_col, text_col)).select("doc_id", "n_shingles", component.alias("component_id"), "fp1", "fp2").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dup_report(docs: DataFrame) -> DataFrame:
@@ -319,14 +338,14 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, all columns as they were."""
-    judged = via_table(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "judged")
-    known = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = known.where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    few = gone.count() <= MAX_SHIPPED_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
-    if known.where("n > 1").isEmpty():
+    """``docs`` with one row of each component, all columns as they were."""
+    judged = via_table(_judged(_texts(docs, id_col, text_col)), "judged")
+    first = (F.col("doc_id") == F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = judged.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & ~first).select(
+        F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
+    left = docs.join(_shipped(gone), (docs[id_col].cast("bigint") == F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__gone_hash")), "left_anti")
+    if judged.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return left
-    # repeated ids: equal rows stay once
+    # rows that occur again stay once
     row = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
     return left.withColumn("__n", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(row))).where("__n = 1").drop("__n")

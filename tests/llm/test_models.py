@@ -367,3 +367,19 @@ def test_model_is_sparse(spark):
     rows, labels = toxic_docs(400)
     model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert 0 < len(model) < 3000 and all(w != 0 for _, w in model)
+
+
+def test_repeated_ids_with_different_texts_lose_no_text(spark):
+    a = " ".join(f"alpha{k}" for k in range(40))
+    b = " ".join(f"beta{k}" for k in range(40))
+    c = " ".join(f"gamma{k}" for k in range(40))
+    rows = [(3, a), (5, a + " more"), (5, b), (9, c), (9, c), (9, c + " more"), (7, b + " more"), (7, "")] + [(11, f"{c[:20]} own text number {k} of many {k * k} rows") for k in range(300)]
+    docs = docs_of(spark, rows)
+    left = {(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(docs).collect()}
+    assert {(3, a), (5, b), (7, "")} <= left and len([t for t in left if t[0] == 9]) == 1
+    assert (5, a + " more") not in left and (7, b + " more") not in left
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_dup_report(docs).collect()}
+    assert {(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 7, True), (9, 9, True)} <= got
+    kept = [t for t in left if t[0] == 11]
+    sets = [set(zip(*[t.split()[j:] for j in range(5)])) for _, t in kept]
+    assert all(100 * len(x & y) < 75 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
