@@ -1,19 +1,28 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-``compile_merges`` builds, merge by merge, the deterministic automaton whose
+``MergeGadgets`` builds, merge by merge, the deterministic automaton whose
 accepted paths are exactly the correct tokenizations: its states are "the last
 token was t", its arcs are labelled with tokens. It begins with one looping
 arc for each base symbol. The gadget of a merge (u, v) -> uv takes the state
 that u leads to, splits off a copy from which v is no longer allowed, and
 adds the arc uv wherever the path u, v was there; its target is the target v
-had at that moment. States are kept as differences to the state they were
-split from (a rank, and the tokens forbidden since), not as full rows: an
-arc's absence is looked up along the two chains and then kept in the
-transition table.
+had at that moment.
 
-A word is encoded left to right by looking up arcs, the longest first; no
-merge is replayed. A word has exactly one accepted path.
-Decoding emits the labels of the arcs.
+``TokenAutomaton`` is the compiled form, in arrays:
+
+* transitions (node, symbol) -> node of the labels' prefix tree, whose nodes
+  know the token they spell;
+* for each state the arcs that it has lost: (state, token) -> the first merge
+  that took it away. An arc ``t`` is closed if it, or a token that it was merged
+  from on its left before that merge could see it, stands there; those tokens
+  are a short row of a matrix.
+
+Words are encoded left to right, all words of a batch in step: from every
+position that an accepted path reaches, the transitions spell the tokens that
+begin there, and every open arc reaches its end. No merge is replayed, nothing
+is taken back: a position has at most one accepted path, so its last token is
+written once, and the word's tokens are read off from its end. Decoding emits
+the labels of the arcs.
 
 ``WordBpe`` reads the vocabulary file (normaliser NFC, white space, lower
 case; words by pattern; byte symbols; word ends). ``StringTable`` keeps the
@@ -36,36 +45,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .pieces import PieceTable, steps
 
 #: Known pieces of a worker (about 60 bytes each).
-CACHE = 1_200_000
-#: Entries of a worker's table of word ends.
-RESTS = 100_000
-#: Entries of a worker's transition table.
-TABLE = 200_000
+CACHE = 400_000
+#: Symbols from which on a word is encoded by itself: it would hold up a batch of short ones.
+LONG_WORD = 200
+#: Bytes of text whose results are handed on together.
+OUTPUT_STEP = 1 << 20
 _FOREVER = 1 << 60
 
 
-class TokenAutomaton:
-    """The automaton of a merge list; tokens are strings of base symbols."""
+class MergeGadgets:
+    """The automaton of a merge list while it is built; tokens are strings of base symbols."""
 
     def __init__(self, symbols: list[str], merges: list[tuple[str, str]]):
         #: token -> (left part, right part, rank of its merge); None for base symbols.
         self.parts: dict[str, tuple[str, str, int] | None] = dict.fromkeys(symbols)
         #: state -> {token: rank of the merge that removed its arc}
         self.removed: dict[str, dict[str, int]] = {}
-        #: (state, token) -> whether there is an arc, as far as it was asked for.
-        self.table: dict[tuple[str, str], bool] = {}
-        #: what states have lost along their chain; what tokens begin with
-        self.gone: dict[str, list[tuple[dict[str, int], int]]] = {}
-        self.begins: dict[str, list[tuple[str, int]]] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(u, v, rank)
-        #: first three characters -> length of the longest arc that begins so
-        self.reach: dict[str, int] = {}
-        for token in self.parts:
-            self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
 
     def _gadget(self, u: str, v: str, rank: int) -> None:
         if u not in self.parts or v not in self.parts or u + v in self.parts:
@@ -77,7 +78,7 @@ class TokenAutomaton:
         if u == v:  # runs pair up from the left: after a lone u no uu begins
             self.removed[u][u + v] = rank
 
-    def _chain(self, token: str, side: int) -> list[tuple[str, int]]:
+    def chain(self, token: str, side: int) -> list[tuple[str, int]]:
         """The token and the parts it ends (side 1) or begins (side 0) with, each with the rank at which it was taken in."""
         out, until = [(token, _FOREVER)], _FOREVER
         while (p := self.parts[token]) is not None:
@@ -85,69 +86,191 @@ class TokenAutomaton:
             out.append((token, until))
         return out
 
-    def arc(self, last: str, token: str) -> bool:
-        """Whether the state after ``last`` has an arc ``token``."""
-        gone = self.gone.get(last)
-        if gone is None:
-            gone = self.gone[last] = [(g, ended) for end, ended in self._chain(last, 1) if (g := self.removed.get(end))]
-        begins = self.begins.get(token)
-        if begins is None:
-            begins = self.begins[token] = self._chain(token, 0)
-        return self._open(gone, begins)
-
     def _allowed(self, last: str, token: str) -> bool:
-        """The same while the automaton is being built."""
-        return self._open([(g, ended) for end, ended in self._chain(last, 1) if (g := self.removed.get(end))], self._chain(token, 0))
-
-    @staticmethod
-    def _open(gone: list[tuple[dict[str, int], int]], begins: list[tuple[str, int]]) -> bool:
-        for removed, ended in gone:
-            for begin, begun in begins:
-                rank = removed.get(begin)
-                if rank is not None and rank < ended and rank < begun:
-                    return False
+        begins = self.chain(token, 0)
+        for end, ended in self.chain(last, 1):
+            removed = self.removed.get(end)
+            if removed and any((r := removed.get(b)) is not None and r < ended and r < begun for b, begun in begins):
+                return False
         return True
 
-    def encode(self, whole: str, n: int) -> list[str]:
-        """The tokens of one word of ``n`` base symbols; all but the last are one character.
-
-        Follows the longest arc first. An accepted path to a position is the
-        only one, so a position without a way on is given up for good.
-        """
-        parts, table, reach = self.parts, self.table, self.reach
-        if n == 1 or whole in parts:
-            return [whole]
-        size, end, last, out, dead = len(whole), 0, "", [], set()
-        limit = n
+
+class _Pairs:
+    """(64-bit key) -> value, in two arrays; -1 for keys that are not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.full(1 << bits, -1, np.int32)
+        slot, free = self._slot(keys), np.uint64(0xFFFFFFFFFFFFFFFF)
+        while len(keys):
+            at = np.flatnonzero(self.keys[slot] == free)
+            put = at[np.unique(slot[at], return_index=True)[1]]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            on = np.ones(len(keys), bool)
+            on[put] = False
+            keys, values, slot = keys[on], values[on], (slot[on] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = self.values[slot]
+        wrong = np.flatnonzero((found != keys) & (out >= 0))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & self.mask
+            found = self.keys[slot[wrong]]
+            out[wrong] = self.values[slot[wrong]]
+            wrong = wrong[(found != keys[wrong]) & (out[wrong] >= 0)]
+        return out
+
+    def one(self, key: int) -> int:
+        slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
         while True:
-            found = ""
-            j = min(limit, end + reach.get(whole[end : end + 3], 2))
-            while j > end:
-                if j not in dead:
-                    token = whole[end : j if j < n else size]
-                    if token in parts:
-                        if not last:
-                            found = token
-                            break
-                        ok = table.get((last, token))
-                        if ok is None:
-                            if len(table) > TABLE:
-                                table.clear()
-                            ok = table[(last, token)] = self.arc(last, token)
-                        if ok:
-                            found = token
-                            break
-                j -= 1
-            if found:
-                out.append(found)
-                if j == n:
-                    return out
-                end, last, limit = j, found, n
-            else:  # no arc leads on: give this position up, shorten the last token
-                dead.add(end)
-                limit = end - 1
-                end -= len(out.pop())
-                last = out[-1] if out else ""
+            value = int(self.values[slot])
+            if value < 0 or int(self.keys[slot]) == key:
+                return value
+            slot = (slot + 1) & self.mask
+
+
+class TokenAutomaton:
+    """The compiled automaton of a merge list. Tokens have numbers in the order
+    of ``labels``; base symbols come first and are their own codes."""
+
+    def __init__(self, symbols: list[str], merges: list[tuple[str, str]]):
+        made = MergeGadgets(symbols, merges)
+        self.labels = list(made.parts)
+        number = {t: k for k, t in enumerate(self.labels)}
+        self.code = {t: number[t] for t in made.parts if made.parts[t] is None}
+        # the labels' prefix tree
+        spelt: list[tuple[int, ...]] = []
+        for token, part in made.parts.items():  # parts come before what is made of them
+            spelt.append((number[token],) if part is None else spelt[number[part[0]]] + spelt[number[part[1]]])
+        arcs: dict[tuple[int, int], int] = {}
+        token_of = [-1]
+        for k, codes in enumerate(spelt):
+            node = 0
+            for c in codes:
+                after = arcs.get((node, c))
+                if after is None:
+                    after = arcs[node, c] = len(token_of)
+                    token_of.append(-1)
+                node = after
+            token_of[node] = k
+        self.token_of = np.array(token_of, np.int32)
+        pairs = np.array(list(arcs), np.uint64).reshape(-1, 2)
+        self.arcs = _Pairs(pairs[:, 0] << np.uint64(32) | pairs[:, 1], np.array(list(arcs.values()), np.int32))
+        self.size = np.array([len(c) for c in spelt], np.int32)
+        # for each state the tokens it has lost, by the first merge that took them away
+        lost: dict[int, int] = {}
+        for token in self.labels:
+            high = number[token] << 32
+            for end, ended in made.chain(token, 1):
+                for gone, rank in made.removed.get(end, {}).items():
+                    if rank < ended:
+                        key = high | number[gone]
+                        lost[key] = min(rank, lost.get(key, rank))
+        self.lost = _Pairs(np.fromiter(lost.keys(), np.uint64, len(lost)), np.fromiter(lost.values(), np.int32, len(lost)))
+        # what a token was merged from on its left, and when that was taken in
+        chains = [made.chain(t, 0) for t in self.labels]
+        deep = max(map(len, chains), default=1)
+        self.begins = np.full((len(chains), deep), -1, np.int32)
+        self.begun = np.full((len(chains), deep), -1, np.int32)
+        for k, chain in enumerate(chains):
+            self.begins[k, : len(chain)] = [number[t] for t, _ in chain]
+            self.begun[k, : len(chain)] = [min(r, (1 << 31) - 1) for _, r in chain]
+
+    def _open(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether the states have the arcs."""
+        out = np.ones(len(state), bool)
+        high = state.astype(np.uint64) << np.uint64(32)
+        for d in range(self.begins.shape[1]):
+            begin = self.begins[token, d]
+            some = np.flatnonzero(begin >= 0)
+            if not len(some):
+                break
+            rank = self.lost.get(high[some] | begin[some].astype(np.uint64))
+            out[some[(rank >= 0) & (rank < self.begun[token[some], d])]] = False
+        return out
+
+    def _reach(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The last token of the accepted path to each position (in the place of the symbol before it; -1: none)."""
+        last = np.full(len(codes), -1, np.int32)
+        longest = int((end - begin).max(initial=0))
+        at = begin.copy()
+        for i in range(longest):
+            more = at < end
+            at, end = at[more], end[more]
+            pos, stop = at, end
+            if i:
+                reached = last[at - 1] >= 0
+                pos, stop = at[reached], end[reached]
+                state = last[pos - 1]
+            node = np.zeros(len(pos), np.int32)
+            while len(pos):
+                node = self.arcs.get(node.astype(np.uint64) << np.uint64(32) | codes[pos].astype(np.uint64))
+                on = node >= 0
+                node, pos, stop = node[on], pos[on], stop[on]
+                if i:
+                    state = state[on]
+                token = self.token_of[node]
+                there = np.flatnonzero(token >= 0)
+                if i and len(there):
+                    there = there[self._open(state[there], token[there])]
+                last[pos[there]] = token[there]
+                pos = pos + 1
+                on = pos < stop
+                node, pos, stop = node[on], pos[on], stop[on]
+                if i:
+                    state = state[on]
+            at = at + 1
+        return last
+
+    def _reach_one(self, codes: list[int]) -> list[int]:
+        """The same for one word, symbol by symbol."""
+        n, last = len(codes), [-1] * len(codes)
+        begins, begun = self.begins, self.begun
+        for i in range(n):
+            if i and last[i - 1] < 0:
+                continue
+            node, high = 0, last[i - 1] << 32
+            for j in range(i, n):
+                node = self.arcs.one(node << 32 | codes[j])
+                if node < 0:
+                    break
+                token = int(self.token_of[node])
+                if token < 0:
+                    continue
+                if i and any(0 <= self.lost.one(high | int(b)) < r for b, r in zip(begins[token], begun[token], strict=True) if b >= 0):
+                    continue
+                last[j] = token
+        return last
+
+    def encode_words(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of words, given as symbol codes one after the other, and how many each has."""
+        begin = np.append(0, ends[:-1])
+        long = ends - begin >= LONG_WORD
+        last = self._reach(codes, begin[~long], ends[~long])
+        for a, b in zip(begin[long].tolist(), ends[long].tolist(), strict=True):
+            last[a:b] = self._reach_one(codes[a:b].tolist())
+        # read every word from its end: mark where its tokens end
+        mark = np.zeros(len(codes), bool)
+        at, first = ends[ends > begin] - 1, begin[ends > begin]
+        while len(at):
+            mark[at] = True
+            at = at - self.size[last[at]]
+            on = at >= first
+            at, first = at[on], first[on]
+        found = np.flatnonzero(mark)
+        return last[found], np.diff(np.append(0, np.searchsorted(found, ends)))
+
+    def encode(self, whole: str, n: int) -> list[str]:
+        """The tokens of one word of ``n`` base symbols; all but the last are one character."""
+        codes = np.array([self.code[c] for c in [*whole[: n - 1], whole[n - 1 :]]], np.int32)
+        return [self.labels[t] for t in self.encode_words(codes, np.array([n]))[0]]
 
 
 def byte_symbols() -> list[str]:
@@ -178,93 +301,50 @@ class WordBpe:
         base = [t for t in self.ids if len(t.removesuffix(self.suffix) or t) == 1]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenAutomaton(base, merges)
-        self._shown = {t: (str(self.ids[t]), t) for t in self.automaton.parts}
-        self._rests: dict[tuple[str, str], tuple[str, str]] = {}
-
-    def _symbols(self, piece: str) -> str:
-        if piece.isascii() and piece.isprintable():
-            return piece  # printable characters stand for themselves; words hold no space
-        return "".join([self.byte_of[b] for b in piece.encode()])
-
-    def _piece(self, piece: str) -> list[str]:
-        symbols = self._symbols(piece)
-        return self.automaton.encode(symbols + self.suffix, len(symbols))
-
-    def _rest(self, last: str, rest: str, n: int) -> tuple[str, str]:
-        """Ids and labels of the path that spells ``rest`` (``n`` symbols) from the
-        state after ``last``; empty if there is none. What is found is kept by
-        (state, rest), since words share their ends.
-        """
-        known = self._rests.get((last, rest))
-        if known is not None:
-            return known
-        automaton, names = self.automaton, self._shown
-        j = min(n, automaton.reach.get(rest[:3], 2))
-        known = ("", "")
-        while j:
-            token = rest[:j] if j < n else rest
-            arc = names.get(token)
-            if arc is not None and (not last or automaton.arc(last, token)):
-                if j == n:
-                    known = arc
-                    break
-                after = self._rest(token, rest[j:], n - j)
-                if after[0]:
-                    known = f"{arc[0]} {after[0]}", f"{arc[1]} {after[1]}"
-                    break
-            j -= 1
-        if len(self._rests) >= RESTS:
-            self._rests.clear()
-        self._rests[(last, rest)] = known
-        return known
-
-    def strings(self, text: str) -> tuple[str, str]:
-        """The ids in decimal and the labels of a text, each joined by one blank."""
-        if "<|" in text:
-            tokens = self.tokens(text)
-            return " ".join([str(self.id_of(t)) for t in tokens]), " ".join(tokens)
-        chunk = text.lstrip(" \n")
+        give_back()  # what the gadgets took
+        code = self.automaton.code
+        #: Symbol codes of the bytes of a word: inside it, and at its end.
+        self.inside = np.array([code[c] for c in self.byte_of], np.int32)
+        self.at_end = np.array([code[c + self.suffix] for c in self.byte_of], np.int32)
+        self.id_of_token = np.array([self.ids[t] for t in self.automaton.labels], np.int32)
+
+    def encode_pieces(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of pieces, given as words, one after the other; how many each piece has."""
+        raw = [w.encode() for piece in words for w in piece]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        codes = self.inside[data]
+        codes[ends - 1] = self.at_end[data[ends - 1]]
+        tokens, sizes = self.automaton.encode_words(codes, ends)
+        at = np.cumsum([0, *map(len, words)])
+        return tokens, np.diff(np.append(0, np.cumsum(sizes))[at])
+
+    def _words(self, chunk: str) -> list[str]:
+        """Words of a text without special tokens."""
+        chunk = chunk.lstrip(" \n")
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = self._lower(chunk)
         if chunk.isalpha():
-            words = [chunk]
-        elif chunk[:-1].isalpha() and not (chunk[-1].isalnum() or chunk[-1].isspace()):
-            words = [chunk[:-1], chunk[-1]]
-        else:
-            words = self.words.findall(chunk)
-        out = []
-        for w in words:
-            symbols = self._symbols(w)
-            if len(symbols) <= 40:
-                out.append(self._rest("", symbols + self.suffix, len(symbols)))
-            else:
-                tokens = self._piece(w)
-                out.append((" ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens)))
-        return out[0] if len(out) == 1 else (" ".join([x[0] for x in out]), " ".join([x[1] for x in out]))
+            return [chunk]
+        if chunk[:-1].isalpha() and not (chunk[-1].isalnum() or chunk[-1].isspace()):
+            return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
 
     @staticmethod
     def _lower(text: str) -> str:
         # character by character: str.lower() has a rule for a final sigma
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
-    def _plain(self, text: str) -> list[str]:
-        """Tokens of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return [t for w in self.words.findall(self._lower(text)) for t in self._piece(w)]
-
     def tokens(self, text: str) -> list[str]:
         """Tokens of any text; special tokens in it stand for themselves."""
-        if "<|" not in text:
-            return self._plain(text)
-        return [t for part in self.split_special.split(text) if part
-                for t in ([part] if part in self.specials else self._plain(part))]
-
-    def forget(self) -> None:
-        """Drop what was kept of texts seen so far."""
-        self._rests.clear()
-        self.automaton.table.clear()
+        out: list[str] = []
+        for part in self.split_special.split(text) if "<|" in text else [text]:
+            if part in self.specials:
+                out.append(part)
+            elif words := self._words(part):
+                out += [self.automaton.labels[t] for t in self.encode_pieces([words])[0]]
+        return out
 
     def id_of(self, token: str) -> int:
         known = self.ids.get(token)
@@ -290,18 +370,33 @@ class StringTable(PieceTable):
             _MADE[path] = WordBpe(path)
         self.bpe = _MADE[path]
         super().__init__([np.uint8, np.uint8], list(self.bpe.specials), CACHE)
+        self.shown = []  # bytes of every token, in the order of their numbers, and where each begins
+        for texts in (map(str, self.bpe.id_of_token.tolist()), self.bpe.automaton.labels):
+            raw = [f" {t}".encode() for t in texts]
+            self.shown.append((np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
 
     def close(self) -> None:
         """Give the known pieces' memory back; the compiled automaton stays."""
-        self.keys, self.value, self.pools = self.keys[:0], self.value[:0], []
-        self.bpe.forget()
+        self.keys, self.value, self.pools, self.shown = self.keys[:0].copy(), self.value[:0].copy(), [], []
+        give_back()
 
     def compute(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        coded = [self.bpe.strings(p) for p in pieces]
-        out = []
-        for k in (0, 1):
-            raw = [(" " + c[k]).encode() if c[k] else b"" for c in coded]
-            out.append((np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)))
+        special = [k for k, p in enumerate(pieces) if "<|" in p]
+        tokens, sizes = self.bpe.encode_pieces([[] if "<|" in p else self.bpe._words(p) for p in pieces])
+        out, piece = [], np.repeat(np.arange(len(pieces)), sizes)
+        by_hand = {k: self.bpe.tokens(pieces[k]) for k in special}
+        for which, (flat, at) in enumerate(self.shown):
+            n = at[tokens + 1] - at[tokens]
+            values = flat[np.repeat(at[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            lengths = np.bincount(piece, weights=n, minlength=len(pieces)).astype(np.int64)
+            if by_hand:  # few pieces hold what may be a special token
+                cut = np.cumsum(lengths)[:-1]
+                parts = np.split(values, cut)
+                for k, found in by_hand.items():
+                    parts[k] = np.frombuffer("".join(f" {t if which else self.bpe.id_of(t)}" for t in found).encode(), np.uint8)
+                    lengths[k] = len(parts[k])
+                values = np.concatenate(parts)
+            out.append((values, lengths))
         return out
 
     def texts(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
@@ -348,17 +443,18 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         table = StringTable(os.path.abspath(vocabulary) if os.sep in vocabulary else vocabulary_path(vocabulary))
         sha = hashlib.sha256
         for batch in batches:
-            n, ids, texts, shown = [], [], [], []
-            for a, b in table.texts(batch.column("__text")):
+            for k, stop, _, _ in steps(batch.column("__text"), OUTPUT_STEP):
+                n, ids, texts, shown = [], [], [], []
+                for a, b in table.texts(batch.column("__text").slice(k, stop - k)):
+                    if keep_ids:
+                        shown.append(a)
+                    n.append(a.count(b" ") + 1 if a else 0)
+                    ids.append(sha(a).hexdigest())
+                    texts.append(sha(b).hexdigest())
+                columns = [batch.column(id_col).slice(k, stop - k), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
                 if keep_ids:
-                    shown.append(a)
-                n.append(a.count(b" ") + 1 if a else 0)
-                ids.append(sha(a).hexdigest())
-                texts.append(sha(b).hexdigest())
-            columns = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-            if keep_ids:
-                columns.append(pa.array(shown, pa.large_binary()).cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                    columns.append(pa.array(shown, pa.large_binary()).cast(pa.large_string()))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
         table.close()
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(

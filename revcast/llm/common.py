@@ -87,3 +87,19 @@ def crc_mod(column: str, modulus: int):
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system, since workers are
+    used again and what one stage held would count while the next one runs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own rule
+        pass

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_bytes, alnum_words, texts_of
+from .common import alnum_bytes, alnum_words, give_back, texts_of, via_table
 
 WINDOW = 13
 #: Normalised benchmark text that one automaton may hold (about 25 bytes of
@@ -108,15 +108,18 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wind
              max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` with __n_words, __n_hit, __spans (merged: word positions and
     character offsets of the original text) and __items (sorted ids of the
-    items found). No shuffle; every part of the benchmark is one more pass over
-    the rows that adds its hits to those of the parts before.
+    items found). No shuffle. A larger benchmark is scanned part after part: the
+    rows with the hits so far are written to the shared folder before the next
+    part is shipped, so one automaton lives at a time.
     """
     spark = docs.sparkSession
-    found = docs
+    found, shipped = docs, None
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for items in _parts(benchmark, max_bytes):
-        shipped = spark.sparkContext.broadcast(items)
-        first = found is docs
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        if shipped is not None:
+            found = via_table(found, "contamination-part")
+            shipped.unpersist()
+        first, shipped = shipped is None, spark.sparkContext.broadcast(items)
         found = found.mapInArrow(_scanner(shipped, docs.columns, text_col, window, first), f"{fields}, {_ADDED}")
     return found
 
@@ -142,6 +145,7 @@ def _scanner(shipped, columns: list[str], text_col: str, window: int, first: boo
                     pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPAN_ARROW),
                     pa.array(owners, pa.list_(pa.string()))],
                 [*columns, "__n_words", "__n_hit", "__spans", "__items"])
+        give_back()
 
     return run
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, via_table
+from .common import give_back, mix64, via_table
 from .components import components
 from .hashing import SPACE, hash_words
 from .pieces import steps
@@ -111,6 +111,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
                  pa.array([next(minima).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())],
                 ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sig"])
+    give_back()
 
 
 def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +120,7 @@ def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(data, ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(k, stop - k), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+    give_back()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -286,6 +288,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield links(rows, False)
     if held is not None and held.num_rows:
         yield links(held, True)
+    give_back()
 
 
 def _open_links(docs: DataFrame, meet: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ import pyarrow as pa
 #: Pieces that a worker remembers (about 30 bytes each); longer pieces than LONGEST are always encoded.
 KNOWN_PIECES = 2_000_000
 LONGEST = 64
-_SLOTS = 1 << 22
-_SHIFT = np.uint64(42)  # leaves the number of a slot
 _EMPTY = np.uint64(0)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -95,6 +93,8 @@ class PieceTable:
 
     def __init__(self, dtypes: list, specials: list[str], known: int = KNOWN_PIECES):
         self.dtypes, self.most = dtypes, known
+        bits = max(16, (2 * known - 1).bit_length())
+        self.slots, self.shift = 1 << bits, np.uint64(64 - bits)  # the shift leaves the number of a slot
         self.marks = _MARK.copy()  # special tokens are found first, so nothing is cut inside them
         for token in specials:
             self.marks[list(token.encode())] = False
@@ -106,27 +106,27 @@ class PieceTable:
         raise NotImplementedError
 
     def _clear(self) -> None:
-        self.keys = np.zeros(_SLOTS, np.uint64)
-        self.value = np.zeros(_SLOTS, np.uint32)
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.value = np.zeros(self.slots, np.uint32)
         self.count = 0
         self.pools = [_Pool(d) for d in self.dtypes]
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each known piece, -1 for others."""
         out = np.full(len(keys), -1, np.int64)
-        slot = (keys >> _SHIFT).astype(np.int64)
+        slot = (keys >> self.shift).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
             there = self.keys[slot]
             same = there == keys[left]
             out[left[same]] = self.value[slot[same]]
             on = ~same & (there != _EMPTY)
-            left, slot = left[on], (slot[on] + 1) & (_SLOTS - 1)
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
         return out
 
     def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         """``keys`` are distinct and new."""
-        slot = (keys >> _SHIFT).astype(np.int64)
+        slot = (keys >> self.shift).astype(np.int64)
         while len(keys):
             free = np.flatnonzero(self.keys[slot] == _EMPTY)
             _, first = np.unique(slot[free], return_index=True)
@@ -135,7 +135,7 @@ class PieceTable:
             self.value[slot[put]] = numbers[put]
             on = np.ones(len(keys), bool)
             on[put] = False
-            keys, numbers, slot = keys[on], numbers[on], (slot[on] + 1) & (_SLOTS - 1)
+            keys, numbers, slot = keys[on], numbers[on], (slot[on] + 1) & (self.slots - 1)
 
     def lookup(self, data: np.ndarray, doc_ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each dtype: the values of all documents of a UTF-8 buffer, and how many each document has."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64
+from .common import crc_mod, give_back, mix64
 from .hashing import ALNUM, hash_words
 from .pieces import steps
 
@@ -124,17 +124,20 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w = model.weights(np.arange(1 << BITS))
     used = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(w[used])], ["place", "weight"])
+    del rows, model, w
+    give_back()
 
 
 def score(docs: DataFrame, model: list[tuple[int, float]], text_col: str = "text") -> DataFrame:
     """``docs`` with ``__score``; one pass, no shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS pairs; L1 leaves few
+    shipped = docs.sparkSession.sparkContext.broadcast(  # at most 2**BITS pairs; L1 leaves few
+        (np.array([p for p, _ in model], np.int64), np.array([w for _, w in model], np.float64)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BITS)
-        for place, weight in shipped.value:
-            dense[place] = weight
+        place, weight = shipped.value
+        dense[place] = weight
         active = dense != 0
         for batch in batches:
             out = []
@@ -146,6 +149,7 @@ def score(docs: DataFrame, model: list[tuple[int, float]], text_col: str = "text
                 out.append(1 / (1 + np.exp(-total)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())],
                                              [*batch.schema.names, "__score"])
+        give_back()
 
     return docs.mapInArrow(run, f"{fields}, __score double")
 

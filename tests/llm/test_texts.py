@@ -199,6 +199,25 @@ def test_encode_then_decode_through_ids(spark, word_tokenizer):
     assert got[2]["__ids"] == [] and got[2]["__decoded"] == ""
 
 
+def test_compiled_automaton_looks_at_no_merges(word_tokenizer, monkeypatch):
+    bpe = bpe_automaton.WordBpe(bpe_automaton.vocabulary_path())
+
+    def never(*_):
+        raise AssertionError("a merge was looked at after compiling")
+
+    for name in ("chain", "_allowed", "_gadget"):
+        monkeypatch.setattr(bpe_automaton.MergeGadgets, name, never)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1, 2, 3, 7, 20, 150, 250, 900) for _ in range(20)]
+    for w in words + ["a" * n for n in (1, 2, 3, 8, 199, 200, 201, 333)] + ["naïveté", "日本語" * 90]:
+        ids = word_tokenizer.encode(w, add_special_tokens=False).ids
+        assert bpe.encode(w) == ids, w
+        codes = bpe.inside[np.frombuffer(w.encode(), np.uint8)] if w.isalpha() and w.islower() and w.isascii() else None
+        if codes is not None:
+            codes[-1] = bpe.at_end[ord(w[-1])]
+            assert bpe.automaton._reach_one(codes.tolist()) == bpe.automaton._reach(codes, np.array([0]), np.array([len(codes)])).tolist()
+
+
 def test_automaton_of_a_toy_merge_list_replays_the_merges():
     merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "c"), ("a", "a"), ("aa", "b"), ("bc", "a"), ("b", "ab")]
     automaton = bpe_automaton.TokenAutomaton(list("abc"), merges)
