@@ -4,39 +4,42 @@ Candidates are runs of at least 16 characters that keys are written in, with
 dotted tokens whole; values of any length assigned to a credential's name; and
 blocks of private keys (PEM). Each is described by its length, its kinds of characters and the transitions
 between them, how much of it common syllables cover, whether it stands in a
-path, address or example, and which words stand before it. A random forest,
-trained from labelled findings, decides which candidates are secrets.
+path, address or example, and which words stand before it.
 
-The forest is trained by Spark ML on a bounded sample of findings and then
-written out as one SQL expression, so that a document is scanned, judged and
+Sure evidence decides by itself: known key formats, private key blocks, signed
+tokens, credentials of an address or an Authorization header, and values with
+letters and digits assigned to a credential's name are secrets; digests after
+a hash word, UUIDs and placeholders without such a name are none. A random
+forest, trained from labelled findings, decides about all other candidates.
+
+The forest is trained by Spark ML on a bounded sample of findings, drawn and
+weighted evenly by their kinds, and then written out as one SQL expression, so that a document is scanned, judged and
 redacted in its own row: no shuffle, no Python, whatever the size of a
 document or source.
 
 Labelled findings are a table (value, before, after, label). ``weak_labels``
-makes one from the corpus itself: a candidate with letters and digits assigned
-to a credential's name, or with the prefix of a known key format, is a secret;
-placeholders, plain words and calls are none. What the rule cannot decide (other
-named values, and random-looking ones without a name) has label null and
-teaches nothing; any other candidate is none. Candidates of every fifth
-document are held out.
+makes one from the corpus itself: sure evidence counts as above; plain words
+and calls are none. What the rule cannot decide (other named values, and
+random-looking ones without a name) has label null and teaches nothing; any
+other candidate is none. Candidates of every fifth document are held out.
 
 Defined results: null and empty texts have no candidates; rows, also repeated
 ones, are judged one by one; without findings of both labels nothing is
-learned and every candidate that the labelling rule calls a secret counts; all columns of a redacted table stay as they were.
+learned and sure evidence alone counts; all columns of a redacted table stay as they were.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, via_table
 
 REDACTED = "[SECRET]"
-#: Findings of each label that the forest learns from, at most.
-SAMPLE = 10_000
+#: Findings of each kind and label that the forest learns from, at most.
+SAMPLE = 2_000
 TREES, DEPTH, SEED = 15, 5, 7
 #: Characters before and after a candidate that are looked at, other candidates included.
 BEFORE, AFTER = 48, 16
@@ -45,9 +48,16 @@ _BACK, _ON = BEFORE // 4, AFTER // 4
 
 # Names that credentials are assigned to, prefixes of public key formats, placeholder words.
 _NAMES = "token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer"
-_PREFIX = "^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ|SG[.]|-----BEGIN [A-Z0-9 ]*PRIVATE KEY)"
+_PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|AIza|eyJ|SG[.]|-----BEGIN [A-Z0-9 ]*PRIVATE KEY)"
+# Whole key formats, by their prefixes and least lengths.
+_FORMATS = [
+    "(AKIA|ASIA)[A-Z0-9]{16}", "gh[pousr]_[A-Za-z0-9]{20,}", "github_pat_[A-Za-z0-9_]{20,}", "glpat-[A-Za-z0-9_-]{16,}",
+    "xox[abprs]-[A-Za-z0-9-]{10,}", "[sr]k_live_[A-Za-z0-9]{16,}", "sk-[A-Za-z0-9_-]{20,}", "AIza[A-Za-z0-9_-]{30,}",
+    "SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{2,}[.][A-Za-z0-9_-]{8,}",
+]
 _ASSIGN = "[=:]{1,2}>?"
-_PLACEHOLDER = "example|placeholder|changeme|dummy|sample|xxxx|0000000|1234567|your[_-]"
+_EXAMPLE = "example|placeholder|changeme|dummy|sample|xxxx|your[_-]"
+_PLACEHOLDER = f"{_EXAMPLE}|0000000|1234567"
 # Common syllables and short words of the languages at hand.
 _SYLLABLES = "the|and|ing|ion|tion|ent|her|ter|ver|ment|con|pro|com|ted|est|ers|all|for|ich|ein|sch|ung|keit|lich|heit|ber|que|eau|aux|ait|ous|des|les|ado|nte|cio|ien|one|tin|on|er|en|re|an|in|th|he|ch|ou|le|de|es"
 # The text before a candidate without other candidates, unless one is the name it is assigned to.
@@ -76,16 +86,41 @@ _ASSIGNED = f"c.before rlike '(?i)({_NAMES})[\"'' ]*{_ASSIGN}[\"'' ]*$'"
 _MIXED = "c.value rlike '[0-9]' and c.value rlike '[A-Za-z]'"
 _RANDOM = (f"{_MIXED} and length(c.value) >= 16 and size(array_distinct(split(substring(c.value, 1, 200), ''))) >= 8 "
            f"and {_FEATURES['digit_transitions']} + {_FEATURES['case_transitions']} >= 0.2D")
-#: What tells that a random-looking value is none: a digest, a UUID, a piece of a path or address.
-_KNOWN = (f"{_FEATURES['hash_word']} = 1 or c.value rlike '(?i)^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$' "
-          "or c.before rlike '[/.@\\\\\\\\]$' or c.after rlike '^([@/]|[.][a-z])'")
+_HEADER = "(?i)authorization[\"'' ]{0,3}:[\"'' ]{0,3}(basic|bearer) {1,2}$"
+_UUID = "c.value rlike '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$'"
+_IN_PLACE = "(c.before rlike '[/.@\\\\\\\\]$' or c.after rlike '^([@/]|[.][a-z])')"
+_IS_PLACEHOLDER = f"lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}'"
+#: kind -> sure evidence of a secret, and of none; the first that holds is the kind of a candidate
+_SURE = {
+    "pem": "c.value rlike '^-----BEGIN' and c.value rlike '[A-Za-z0-9+/]{40}'",
+    "format": f"c.value rlike '^({'|'.join(_FORMATS)})$' and not lower(c.value) rlike '{_EXAMPLE}'",
+    "address": "c.before rlike '://[^\\\\s/:@]{1,40}:$' and c.after rlike '^@'",
+    "header": f"c.before rlike '{_HEADER}'",
+    "named": f"{_ASSIGNED} and not {_IS_PLACEHOLDER} and not c.after rlike '^[(\\\\[]' and {_MIXED} and length(c.value) >= 6 "
+             "and not c.value rlike '://|^[a-z_][a-z0-9_]*([.][a-z_][a-z0-9_]*)+$'",
+}
+_NONE = {
+    "placeholder": _IS_PLACEHOLDER,
+    "digest": f"{_FEATURES['hash_word']} = 1 and not {_ASSIGNED}",
+    "uuid": f"{_UUID} and not {_ASSIGNED}",
+}
+#: Kinds that the rule calls none, but that the forest may judge otherwise.
+_LIKELY_NONE = {
+    "call": f"{_ASSIGNED} and (c.after rlike '^[(\\\\[]' or (c.value rlike '^[A-Za-z]?[a-z]*$' and not c.before rlike '[\"'']$'))",
+    "path": f"{_IN_PLACE} and not {_ASSIGNED}",
+    "words": f"not ({_RANDOM}) and not {_ASSIGNED} and {_FEATURES['dictionary']} >= 0.6D",
+    "other": f"not ({_RANDOM}) and not {_ASSIGNED}",
+}
+#: The kind of a candidate; null is undecided.
+_KIND = "case " + " ".join(f"when {e} then '{k}'" for k, e in {**_SURE, **_NONE, **_LIKELY_NONE}.items()) + " end"
+
+
+def _decided(kinds) -> str:
+    return "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
+
+
 #: The labelling rule of ``weak_labels``: 1, 0 or null (undecided).
-_RULE = f"""case when c.value rlike '^-----BEGIN' and c.value rlike '[A-Za-z0-9+/]{{40}}' then 1
-    when lower(concat({_APART}, c.value)) rlike '{_PLACEHOLDER}' then 0
-    when c.value rlike '{_PREFIX}' then 1
-    when {_ASSIGNED} and (c.after rlike '^[(\\\\[]' or (c.value rlike '^[A-Za-z]?[a-z]*$' and not c.before rlike '["'']$')) then 0
-    when {_ASSIGNED} then if({_MIXED} and length(c.value) >= 6 and not c.value rlike '://|^[a-z_][a-z0-9_]*([.][a-z_][a-z0-9_]*)+$', 1, null)
-    when {_RANDOM} and not ({_KNOWN}) then null else 0 end"""
+_RULE = f"case when ({_KIND}) in {_decided(_SURE)} then 1 when ({_KIND}) is not null then 0 end"
 
 
 def _candidate() -> str:
@@ -97,9 +132,12 @@ def _candidate() -> str:
     # up to a blank, quote or bracket, or to the next assignment of a list
     plain = f"(?<={name}[\"' ]{{0,3}})(?![=:>,;&])(?:[^\\s\"'`,;&<>(){{}}\\[\\]]|[,;&](?=[^\\s,;&\"'])(?![\\w.-]+[=:]))++"
     run = "[A-Za-z0-9+/_-]{16,}+(?:\\.[A-Za-z0-9+/_-]{6,}+)*+"
+    address = "(?<=:)(?<=://[^\\s/:@]{1,40}:)[^\\s/@:\"'<>]{1,200}+(?=@)"
+    header = "(?<=[cCrR] {1,2})(?<=(?i:authorization)[\"' ]{0,3}:[\"' ]{0,3}(?i:basic|bearer) {1,2})[A-Za-z0-9+/=_.~-]{6,}+"
     return "|".join([
         f"{begin}(?:(?:[^-]|-(?!----))*+{end}|(?:\\s*+[A-Za-z0-9+/=]{{16,}}+)*+)",  # the second: cut off
         f"(?<=[=:>\"' ])(?<=[=:>][\"' ]{{0,3}})(?:{'|'.join([*quoted, plain])})",  # cheap looks back first
+        address, header,
         f"(?<![A-Za-z0-9+/_])(?:{run}|SG\\.{run})"])
 
 
@@ -128,31 +166,50 @@ def weak_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(value, before, after, label) of every candidate, by the rule above."""
     # explode_outer: explode makes the optimizer filter by the array's size below, and there the whole text is cut again for every candidate
     found = with_candidates(docs.select(F.col(text_col).alias("text")), "text").select(F.explode_outer("__found").alias("c")).where("c IS NOT NULL")
-    return found.select("c.value", "c.before", "c.after", F.expr(f"cast({_RULE} as int)").alias("label"))
+    judged = found.select("c", F.expr(_KIND).alias("kind"))
+    return judged.select("c.value", "c.before", "c.after", F.expr(f"cast(case when kind in {_decided(_SURE)} then 1 when kind is not null then 0 end as int)").alias("label"))
 
 
 def _features(findings: DataFrame) -> DataFrame:
     rows = findings.withColumn("c", F.struct("value", "before", "after"))
-    return rows.select("label", *(F.expr(e).cast("double").alias(n) for n, e in _FEATURES.items()))
+    return rows.select("label", "weight", *(F.expr(e).cast("double").alias(n) for n, e in _FEATURES.items()))
 
 
-def train_forest(findings: DataFrame, sample: int = SAMPLE) -> str | None:
-    """The forest as an expression over a struct f of features; None if a label is missing.
+def fit_forest(findings: DataFrame, sample: int = SAMPLE):
+    """Spark ML's forest of labelled findings, and the rows that it learned from; None if a label is missing.
 
-    The sample is taken in the order of a hash of the finding, so it does not
-    depend on partitions; it is learned from in one partition in that order.
+    At most ``sample`` distinct findings of each label and kind are taken, in
+    the order of a hash of the finding, so the sample does not depend on
+    partitions; it is learned from in one partition in that order. All kinds of
+    a label weigh alike, and so do both labels: a kind with few findings counts.
     """
     known = via_table(findings.where("label IS NOT NULL").dropDuplicates(["value", "before", "after"]), "findings")  # one scan of the texts
+    kinds = known.withColumn("c", F.struct("value", "before", "after")).withColumn("kind", F.coalesce(F.expr(_KIND), F.lit("none"))).drop("c")
     order = [F.xxhash64("value", "before"), F.col("value"), F.col("before"), F.col("after")]
-    both = known.where("label = 1").orderBy(*order).limit(sample).unionByName(known.where("label <> 1").orderBy(*order).limit(sample))
+    some = kinds.withColumn("__at", F.row_number().over(Window.partitionBy("label", "kind").orderBy(*order))).where(F.col("__at") <= sample).drop("__at")
+    some = via_table(some, "labelled-kinds")
+    sizes = some.groupBy("label", "kind").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("weight", 100.0 / F.col("n") / F.count("*").over(Window.partitionBy("label"))).select("label", "kind", "weight")
     names = list(_FEATURES)
-    rows = _features(both.withColumn("label", F.col("label").cast("double"))).coalesce(1).sortWithinPartitions("label", *names)
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(via_table(rows, "labelled-sample")).coalesce(1).select("label", "features")
+    rows = _features(some.join(F.broadcast(sizes), ["label", "kind"]).withColumn("label", F.col("label").cast("double")))
+    rows = rows.coalesce(1).sortWithinPartitions("label", *names)
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(via_table(rows, "labelled-sample")).coalesce(1).select("label", "weight", "features")
     labels = [r[0] for r in rows.select("label").distinct().collect()]  # at most two
     if len(labels) < 2:
         return None
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
-    trees = [_expression(t._call_java("rootNode"), names) for t in forest.trees]
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", weightCol="weight",
+                                    minInstancesPerNode=2).fit(rows)
+    return forest, rows
+
+
+def train_forest(findings: DataFrame, sample: int = SAMPLE) -> str | None:
+    """The forest as an expression over a struct f of features; None if a label is missing."""
+    fitted = fit_forest(findings, sample)
+    return None if fitted is None else forest_expression(fitted[0])
+
+
+def forest_expression(forest) -> str:
+    trees = [_expression(t._call_java("rootNode"), list(_FEATURES)) for t in forest.trees]
     return "(" + " + ".join(trees) + f") / {len(trees)}"
 
 
@@ -167,13 +224,15 @@ def _expression(node, names: list[str]) -> str:
 
 
 def judge(docs: DataFrame, forest: str | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with __values, __parts and __scores (the forest's share of votes for each candidate)."""
+    """``docs`` with __values, __parts and __scores: 1 or 0 by sure evidence, else
+    the forest's share of votes (without a forest 0)."""
     cut = with_candidates(docs, text_col)
-    if forest is None:
-        return cut.withColumn("__scores", F.expr(f"transform(__found, c -> if(coalesce({_RULE}, 0) = 1, 1D, 0D))")).drop("__found")
     described = ", ".join(f"'{n}', cast({e} as double)" for n, e in _FEATURES.items())
-    return cut.withColumn("__f", F.expr(f"transform(__found, c -> named_struct({described}))")).withColumn(
-        "__scores", F.expr(f"transform(__f, f -> {forest})")).drop("__found", "__f")
+    votes = forest or "0D"
+    cut = cut.withColumn("__f", F.expr(f"transform(__found, c -> named_struct('kind', {_KIND}, {described}))")) if forest else \
+        cut.withColumn("__f", F.expr(f"transform(__found, c -> named_struct('kind', {_KIND}))"))
+    return cut.withColumn("__scores", F.expr(
+        f"transform(__f, f -> case when f.kind in {_decided(_SURE)} then 1D when f.kind in {_decided(_NONE)} then 0D else {votes} end)")).drop("__found", "__f")
 
 
 def _redacted() -> Column:
