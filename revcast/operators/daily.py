@@ -209,10 +209,20 @@ def require_series(lines: DataFrame, name: str, series: str = "country") -> None
     """J5 / SD8 (API helper): raise if ``name`` is neither ``all`` nor present."""
     if name == ALL_SERIES:
         return
-    if lines.where(F.col(series) == name).limit(1).isEmpty():
+    if lines.where(slug(series) == slug(F.lit(name))).limit(1).isEmpty():
         raise UnknownSeriesError(f"series {name!r} not found")
 
 
+def series_daily(lines: DataFrame, name: str, series: str = "country") -> DataFrame:
+    """J5 + P5: the daily roll-up of one country (or ``all``), by its name or
+    slug; an unknown one raises before anything is aggregated. Only its lines
+    are grouped."""
+    require_series(lines, name, series)
+    if name == ALL_SERIES:
+        return daily_rollup(lines)
+    return daily_rollup(lines.where(slug(series) == slug(F.lit(name))), series)
+
+
 def date_bounds(daily: DataFrame) -> DataFrame:
     """A10: first and last date of every series."""
     return daily.groupBy("series_id").agg(F.min("date").alias("first_date"),

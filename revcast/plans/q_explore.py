@@ -13,7 +13,7 @@ from ..operators import profiling as pr
 from ..sources.invoices import CANONICAL_COLUMNS, harmonise, union_sources
 from ..sources.tables import read_table
 from . import sql_fragments as q
-from .q_series import daily, filled, lines
+from .q_series import filled, lines
 from .registry import query
 
 # ---------------------------------------------------------------- step 5: profiling
@@ -197,8 +197,8 @@ def p4_training_frame(spark, sf):
 @query("p5_country_filter", q.with_(q.LINES, q.DAILY) + f"""
 SELECT {q.DAILY_OUT} FROM daily WHERE series_id = 'nation_3'""")
 def p5_country_filter(spark, sf):
-    """P5: the daily series of one country."""
-    return cal.series_to_double(daily(spark, sf).where(F.col("series_id") == "nation_3"))
+    """P5 + J5: the daily series of one country, which must be there."""
+    return cal.series_to_double(dly.series_daily(lines(spark, sf), "nation_3"))
 
 
 @query("p7_time_cut", q.with_(q.LINES, q.DAILY, q.filled("null")) + """

@@ -133,3 +133,11 @@ def test_smoothed_metrics_equal_a_plain_loop(spark):
         assert np.isclose(r.mse, (e * e).mean()) and np.isclose(r.mae, np.abs(e).mean())
         assert np.isclose(r.mape, np.mean([abs(x[3] - x[4]) / abs(x[3]) for x in known if x[3]]))
         assert np.isclose(r.coverage, np.mean([x[5] <= x[3] <= x[6] for x in known]))
+
+
+def test_unknown_series_raises_before_aggregating(spark):
+    from revcast.operators import daily as dly
+    li = spark.createDataFrame([("United Kingdom", "2020-01-01", "1", "x", 2, 1.5)], "country string, date string, invoice_id string, stream_id string, times_viewed long, price double")
+    assert dly.series_daily(li, "united_kingdom").count() == dly.series_daily(li, "United Kingdom").count() == dly.series_daily(li, "all").count() == 1
+    with pytest.raises(dly.UnknownSeriesError):
+        dly.series_daily(li, "atlantis")
