@@ -11,7 +11,8 @@ return the columns of ``documents``:
 5. ``tokens`` encodes what is left: ids, their number and two digests.
 
 No stage samples or caps its rows. SQL can't express the learned stages, so
-there is no oracle; ``tests/llm`` compares the stages with brute force.
+there is no oracle; ``tests/llm`` holds the stages against planted cases and
+their operators against brute force, libraries or held-out rows.
 """
 
 from __future__ import annotations
