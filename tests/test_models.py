@@ -10,6 +10,8 @@ from revcast.operators import arima as ar
 from revcast.operators import serve as sv
 from revcast.operators import supervised as sup
 
+from .least_squares import hannan_rissanen
+
 
 def _ar1(spark, phi=0.7, n=600, seed=3, sid="s"):
     rng = np.random.default_rng(seed)
@@ -26,9 +28,9 @@ def test_hannan_rissanen_recovers_ar1():
     y = np.zeros(3000)
     for t in range(1, 3000):
         y[t] = 0.6 * y[t - 1] + rng.normal()
-    aic, coefs, n = ar.hannan_rissanen(y, (1, 0, 0, 0, 0, 0, 7))
+    aic, coefs, n = hannan_rissanen(y, (1, 0, 0, 0, 0, 0, 7))
     assert coefs["ar.L1"] == pytest.approx(0.6, abs=0.05)
-    aic0, _, _ = ar.hannan_rissanen(y, (0, 0, 0, 0, 0, 0, 7))
+    aic0, _, _ = hannan_rissanen(y, (0, 0, 0, 0, 0, 0, 7))
     assert aic < aic0
 
 
@@ -40,6 +42,71 @@ def test_grid_picks_an_ar_term(spark):
     assert ar.arima_grid(s).count() == 64
 
 
+def test_grid_from_sums_equals_least_squares_on_the_days(spark):
+    rng = np.random.default_rng(11)
+    start, rows, values = dt.date(2019, 1, 1), [], {}
+    for sid, n in (("long", 500), ("year", 365), ("short", 58), ("shorter", 41), ("tiny", 29), ("one", 1), ("flat", 200)):
+        noise = rng.normal(size=n)
+        y = 1e5 + 2e3 * np.sin(2 * np.pi * np.arange(n) / 7) + 1e3 * (noise + 0.6 * np.roll(noise, 1)) + 30 * np.arange(n)
+        values[sid] = np.full(n, 7.0) if sid == "flat" else y
+        rows += [(sid, start + dt.timedelta(days=i), float(v)) for i, v in enumerate(values[sid])]
+    rows += [("long", start - dt.timedelta(days=1), None), ("long", start - dt.timedelta(days=2), float("nan"))]
+    s = spark.createDataFrame(rows, "series_id string, date date, y double").repartition(5)
+    got = {(r.series_id, r.spec): r for r in ar.arima_grid(s).collect()}
+    assert len(got) == 7 * 64
+    fitted = 0
+    for sid, y in values.items():
+        for o in ar.candidate_orders():
+            r = got[sid, f"({o[0]},{o[1]},{o[2]})x({o[3]},{o[4]},{o[5]},{o[6]})"]
+            aic, terms, n = hannan_rissanen(y, o)
+            if sid == "flat":
+                assert r.aic is None and r.terms == {}
+                continue
+            assert (r.aic is None) == (aic is None) and r.n == n, (sid, o)
+            if aic is not None:
+                fitted += 1
+                assert r.aic == pytest.approx(aic, rel=1e-9)
+                assert r.terms.keys() == terms.keys()
+                assert all(r.terms[k] == pytest.approx(terms[k], rel=1e-6, abs=1e-8) for k in terms), (sid, o)
+    assert fitted > 64 * 2
+    assert ar.arima_grid(s.limit(0)).count() == 0
+
+
+def test_grid_and_recursion_hold_no_days_in_python(spark):
+    s, _ = _ar1(spark, n=100)
+    cuts = s.groupBy("series_id").agg(F.max("date").alias("cutoff"))
+    for df in (ar.arima_grid(s), ar.recursive_forecast(s, cuts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_recursion_over_many_cutoffs_equals_each_fit_alone(spark):
+    rng = np.random.default_rng(2)
+    start, lags, horizon, rows, values = dt.date(2019, 1, 1), 7, 12, [], {}
+    for sid, n in (("a", 300), ("b", 45), ("c", 20)):
+        values[sid] = 5e4 + 1e3 * np.sin(np.arange(n)) + 300 * rng.normal(size=n)
+        rows += [(sid, start + dt.timedelta(days=i), float(v)) for i, v in enumerate(values[sid])]
+    s = spark.createDataFrame(rows, "series_id string, date date, y double").repartition(3)
+    marks = [("a", 10), ("a", 30), ("a", 31), ("a", 150), ("a", 299), ("a", 310), ("b", 44), ("c", 19), ("c", -5), ("none", 5)]
+    cuts = spark.createDataFrame([(sid, start + dt.timedelta(days=i)) for sid, i in marks + marks[:1]], "series_id string, cutoff date")
+    got = {}
+    for r in ar.recursive_forecast(s, cuts, lags=lags, horizon=horizon).collect():
+        assert (r.ds - r.cutoff).days == r.h
+        got.setdefault((r.series_id, (r.cutoff - start).days), {})[r.h] = r
+    assert set(got) == set(marks) and all(sorted(v) == list(range(1, horizon + 1)) for v in got.values())
+    for (sid, i), steps in got.items():
+        y = values.get(sid, np.array([]))[:max(i + 1, 0)]
+        if len(y) < 3 * lags + 10:
+            assert {(r.status, r.yhat) for r in steps.values()} == {("short history", None)}
+            continue
+        x = np.column_stack([np.ones(len(y) - lags)] + [y[lags - k:len(y) - k] for k in range(1, lags + 1)])
+        beta = np.linalg.lstsq(x, y[lags:], rcond=None)[0]
+        hist = list(y)
+        for h in range(1, horizon + 1):
+            hist.append(float(beta[0] + sum(beta[k] * hist[-k] for k in range(1, lags + 1))))
+            assert steps[h].status == "ok" and steps[h].yhat == pytest.approx(hist[-1], rel=1e-9)
+
+
 def test_recursive_matches_numpy(spark):
     s, y = _ar1(spark, n=300)
     cut = dt.date(2019, 1, 1) + dt.timedelta(days=249)
