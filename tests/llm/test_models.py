@@ -153,41 +153,95 @@ def test_components_of_chains_and_stars(spark):
 
 # --- language model
 
-def test_kneser_ney_equals_brute_force(spark, monkeypatch):
+def plain_kneser_ney(train, order):
+    """(unigram counts, probability of a word after its context) by counting n-grams one by one; 0 ends a text, 1 is the start mark."""
+    counts = {order: Counter()}
+    for t in train:
+        padded = [1] * (order - 1) + t
+        counts[order].update(tuple(padded[k:k + order]) for k in range(len(t)))
+    for level in range(order, 1, -1):
+        counts[level - 1] = Counter(gram[1:] for gram in counts[level])
+    discounts = {k: kneser_ney._discounts(*(sum(1 for x in c.values() if x == j) for j in (1, 2, 3, 4))) for k, c in counts.items()}
+    total, kinds = Counter(), defaultdict(lambda: [0] * 4)
+    for level, c in counts.items():
+        for gram, x in c.items():
+            total[level, gram[:-1]] += x
+            kinds[level, gram[:-1]][min(x, 3)] += 1
+    words = Counter(w for t in train for w in t)
+
+    def p(gram):
+        level = len(gram)
+        if not level:
+            return 1 / (len(words) + 1)
+        known = level, gram[:-1]
+        if not total[known]:
+            return p(gram[1:])
+        d, x = discounts[level], counts[level][gram]
+        return (x - d[min(x, 3)] + sum(d[j] * kinds[known][j] for j in (1, 2, 3)) * p(gram[1:])) / total[known]
+
+    return words, p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_brute_force(spark, monkeypatch, order):
     import zlib
-    monkeypatch.setattr(kneser_ney, "DOCS_PER_BUCKET", 7)
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 150)
     rng = random.Random(6)
     words = [f"t{int(rng.paretovariate(0.7)) % 90}" for _ in range(4000)]
     rows = [(k, " ".join(words[rng.randrange(3900):][:rng.randint(0, 40)])) for k in range(150)] + [(500, None), (501, "unseen words only"), (502, "")]
-    out = {r.doc_id: r for r in kneser_ney.language_model_report(docs_of(spark, rows)).collect()}
+    out = {r.doc_id: r for r in kneser_ney.language_model_report(docs_of(spark, rows), order).collect()}
     tokens = {i: [*space_words((t or "").encode()), 0] for i, t in rows}
-    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for t in train for w in t)
+    c, p = plain_kneser_ney([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10], order)
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for t in train for p in zip([1, *t[:-1]], t, strict=True))
-    after = Counter(w for _, w in pairs)
-    total, kinds = Counter(), defaultdict(lambda: [0] * 4)
-    for (u, _), k in pairs.items():
-        total[u] += k
-        kinds[u][min(k, 3)] += 1
-    counts_of = lambda x: [sum(1 for k in x.values() if k == j) for j in (1, 2, 3, 4)]
-    high, low = kneser_ney._discounts(*counts_of(pairs)), kneser_ney._discounts(*counts_of(after))
-    rest = sum(low[min(k, 3)] for k in after.values()) / len(pairs) / (v + 1)
-    uni = lambda w: (after[w] - low[min(after[w], 3)]) / len(pairs) + rest
-
-    def p(u, w):
-        if not total[u]:
-            return uni(w)
-        k = pairs[(u, w)]
-        return (k - high[min(k, 3)] + sum(high[j] * kinds[u][j] for j in (1, 2, 3)) * uni(w)) / total[u]
-
-    assert math.isclose(sum(p(1, w) for w in c) + sum(high[j] * kinds[1][j] for j in (1, 2, 3)) * uni("unknown") / total[1], 1, rel_tol=1e-9)
+    first = (1,) * (order - 1)
+    assert math.isclose(sum(p((*first, w)) for w in c) + p((*first, "unknown")), 1, rel_tol=1e-9)
     for i, t in tokens.items():
         r = out[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip([1, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        padded = [*first, *t]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded[k:k + order]))) for k in range(len(t))), rel_tol=1e-9)
+
+
+def test_kneser_ney_splits_a_word_of_half_of_all_tokens_and_one_of_its_texts_is_long(spark, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 100_000)
+    rng = np.random.default_rng(4)
+    long = " ".join(f"the w{k}" for k in rng.integers(0, 60_000, 1_000_000))
+    assert len(long) > 10_000_000
+    rows = [(1, long)] + [(k, f"the w{k} the w{2 * k} again the end") for k in range(2, 300)]
+    docs = docs_of(spark, rows)
+    spec = kneser_ney.train(docs)
+    hot = kneser_ney.hash_words(np.frombuffer(b"the", np.uint8), np.array([3]), kneser_ney.SPACE)[0][0]
+    assert list(spec["deal"].hot) == [hot] and spec["deal"].shares[0] >= 10
+    sizes = [len(np.load(f)) for f in glob.glob(spec["folder"].removeprefix("file:") + "/grams2-*.npy")]
+    assert sum(sizes) == spec["grams"][2] and max(sizes) < 3 * sum(sizes) / spec["deal"].buckets
+    tokens = {i: [*t.encode().split(), 0] for i, t in rows}
+    c, p = plain_kneser_ney(list(tokens.values()), 2)
+    assert spec["tokens"] == sum(c.values()) and spec["vocabulary"] == len(c)
+    for r in kneser_ney.score(docs, spec).collect():
+        t = tokens[r.doc_id]
+        assert r.n_tokens == r.n_known == len(t)
+        assert math.isclose(r.score, sum(math.log10(p(pair)) for pair in zip([1, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+
+
+def test_kneser_ney_holds_few_arrays_where_they_cannot_be_mapped(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 50)
+    rows = [(k, f"a{k % 7} b{k % 11} c{k % 5} the end of {k}") for k in range(120)]
+    spec = kneser_ney.train(docs_of(spark, rows), order=3)
+    mapped, read = kneser_ney.Model(spec), kneser_ney.Model(spec)
+    text = " ".join(t for _, t in rows).encode()
+    before, token, _ = kneser_ney._tokens(np.frombuffer(text, np.uint8), np.array([len(text)]), 3)
+    expected = mapped.lookup(before, token)
+    load = kneser_ney._load
+    monkeypatch.setattr(kneser_ney, "_load", lambda folder, name: np.array(load(folder, name)))
+    monkeypatch.setattr(kneser_ney, "HELD_BYTES", 2_000)
+    got = read.lookup(before, token)
+    assert np.array_equal(got[0], expected[0]) and np.array_equal(got[1], expected[1])
+    largest = max(v.nbytes for v in mapped.parts.values() if v is not None)
+    assert read.held <= 2_000 + largest and len(read.parts) < len(mapped.parts)
 
 
 def test_kneser_ney_awkward_rows(spark):
