@@ -49,5 +49,21 @@ TEMPLATES = [
     ("cc0", "cc0 1 0 universal"),
     ("unlicense", "free and unencumbered software released into the public domain"),
     ("spdx", "spdx license identifier"),
+    ("mit", "spdx license identifier mit"),
+    ("isc", "spdx license identifier isc"),
+    ("unlicense", "spdx license identifier unlicense"),
+    ("apache-2.0", "spdx license identifier apache 2 0"),
+    ("gpl-2.0", "spdx license identifier gpl 2 0"),
+    ("gpl-3.0", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl {2|3} {0|1}"),
+    ("agpl", "spdx license identifier agpl 3 0"),
+    ("mpl-2.0", "spdx license identifier mpl 2 0"),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause"),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause"),
+    ("gpl-2.0", "gnu gpl [[{v|version}]] {2|v2}"),
+    ("gpl-3.0", "gnu gpl [[{v|version}]] {3|v3}"),
+    ("mpl-2.0", "mozilla public {license|licence} [[{v|version}]] {2|v2} 0"),
+    ("bsd-2-clause", "bsd 2 clause [[{*2}]] {license|licence}"),
+    ("bsd-3-clause", "bsd 3 clause [[{*2}]] {license|licence}"),
     ("copyright", "copyright [[c]] {*8} all rights reserved"),
 ]

@@ -54,6 +54,30 @@ def test_optional_and_replaceable_regions():
         licenses.Template.parse("t", "x", "{*2} words")
 
 
+def test_license_names_and_identifiers(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT": "mit,spdx",
+        "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0,spdx",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0,spdx",
+        "SPDX-License-Identifier: LGPL-2.1": "lgpl,spdx",
+        "SPDX-License-Identifier: AGPL-3.0-only": "agpl,spdx",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0,spdx",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause,spdx",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0,spdx",
+        "SPDX-License-Identifier: LicenseRef-own": "spdx",
+        "the BSD 3-Clause License": "bsd-3-clause",
+        'BSD 2-Clause "Simplified" License': "bsd-2-clause",
+        "Mozilla Public License Version 2.0": "mpl-2.0",
+        "under GNU GPL v3": "gpl-3.0",
+        "under GNU GPL version 2": "gpl-2.0",
+        "a clause of 3 lines, no licence": "",
+        "the gnu gpl has 3 versions": "",
+    }
+    got = {r.doc_id: r for r in licenses.license_report(docs_of(spark, list(enumerate(cases)))).collect()}
+    assert {t: got[k].labels for k, t in enumerate(cases)} == cases
+    assert not any(r.n_base for r in got.values())
+
+
 def test_licenses_on_awkward_rows(spark):
     rows = AWKWARD + [(20, "MIT License. Mit-license! Licensed under the Apache License, Version 2.0"), (21, "GNU General\nPublic (License) v3")]
     got = {r.doc_id: r for r in licenses.license_report(docs_of(spark, rows)).collect()}
