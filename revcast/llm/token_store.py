@@ -5,8 +5,8 @@
 2. The counts of all ids are summed in Spark (a vocabulary's worth of rows);
    ``code_lengths`` makes an optimal code of at most ``MAX_BITS`` bits from
    them (package-merge), ``CodeBook`` the canonical codes.
-3. Documents are coded where they lie, then dealt by ranges of doc_id and
-   packed in id order into blocks of about ``BLOCK_TOKENS`` ids.
+3. Documents are dealt by ranges of doc_id and sorted (``repartitionByRange``),
+   then coded and packed in id order into blocks of about ``BLOCK_TOKENS`` ids.
 4. Each block stands alone: its documents' ids and lengths, the code stream
    (each document begins on a byte) and a checkpoint, a bit offset, every
    ``LANE`` ids. Decoding looks codes up in a table of 2**MAX_BITS entries,
@@ -18,7 +18,7 @@ Spark's committer, so lost executors leave no partial files) and ``codebook/``
 
 Defined results: a null or empty text is the end id alone; documents are in
 ascending doc_id order, null ids first, repeated ids next to each other by
-length, then code; an empty table gives an empty file and no rows.
+length, then a hash of their ids; an empty table gives an empty file and no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from .pieces import PieceEncoder, steps
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 18
 LANE = 256
-#: Documents of one range, and so of one file part, about.
-RANGE_DOCS = 20_000
+#: Bytes of ids in one range, and so of one file part before coding, about.
+RANGE_BYTES = 256 << 20
 
 _MADE: dict[str, PieceEncoder] = {}
 
@@ -254,17 +254,15 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     lengths = code_lengths(np.array([r[1] for r in counts], np.int64))
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(symbols, lengths, strict=True)], "id bigint, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
-    # ranges of ids from an approximate quantile sketch: only their evenness depends on it
-    rows = ids.count()
-    n = max(1, -(-rows // RANGE_DOCS))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts or []]) if cuts else F.array().cast(f"array<{kind}>")
-    coded = _coded(ids, (symbols, lengths), width, kind).withColumn(
-        "range_no", F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0)))
-    parts = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = coded.repartition(parts, "range_no").sortWithinPartitions(
-        F.col("range_no"), F.col("doc_id").asc_nulls_first(), "n_tokens", "payload")
-    _blocks(dealt, kind).write.option("compression", "none").parquet(f"{path}/blocks")
+    # ranges of ids: equal shares of the rows, so a repeated id may lie in several; what tells its rows apart is sorted too
+    volume = sum(r[1] for r in counts) * width
+    parts = max(-(-volume // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__length"), F.col("__hash"), F.col("__row")]
+    keyed = ids.select("doc_id", "ids", F.length("ids").alias("__length"), F.xxhash64("ids").alias("__hash"),
+                       F.monotonically_increasing_id().alias("__row"))
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    coded = _coded(dealt, (symbols, lengths), width, kind).withColumn("range_no", F.spark_partition_id())
+    _blocks(coded, kind).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 #: Ranges of ids that are shipped to all executors when a file is read (16 bytes each); more are joined by shuffle.
@@ -272,7 +270,7 @@ MAX_SHIPPED_RANGES = 1_000_000
 
 
 def range_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(range_no, range_start): ids before each range; one row for RANGE_DOCS documents."""
+    """(range_no, range_start): ids before each range; one row for about RANGE_BYTES of ids."""
     ranges = spark.read.parquet(f"{path}/blocks").groupBy("range_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_start"))

@@ -78,6 +78,57 @@ def test_license_names_and_identifiers(spark):
     assert not any(r.n_base for r in got.values())
 
 
+GPL_NOTICE = """
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+APACHE_NOTICE = """
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License."""
+
+
+def test_whole_license_notices(spark):
+    gpl2 = GPL_NOTICE.replace("version 3", "version 2")
+    cases = [
+        (GPL_NOTICE, "gpl,gpl-3.0,gpl-3.0-or-later"),
+        (gpl2, "gpl,gpl-2.0,gpl-2.0-or-later"),
+        (GPL_NOTICE[:GPL_NOTICE.index("#\n# This program is dist")], "gpl,gpl-3.0,gpl-3.0-or-later"),  # the second part may be missing
+        (GPL_NOTICE.replace("any later", "any earlier"), "gpl,gpl-3.0"),  # a mandatory word differs
+        (GPL_NOTICE.replace("General", "Lesser General"), "lgpl,lgpl-3.0-or-later"),
+        (gpl2.replace("General", "Lesser General").replace("version 2", "version 2.1"), "lgpl,lgpl-2.1-or-later"),
+        (GPL_NOTICE.replace("General", "Affero General"), "agpl,agpl-3.0-or-later"),
+        (APACHE_NOTICE, "apache,apache-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+         "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+         "gpl,gpl-3.0,gpl-text"),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+         "apache,apache-2.0,apache-text"),
+        ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+         "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+         "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+         "CONSEQUENTIAL DAMAGES", "bsd-disclaimer"),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.license_report(docs_of(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    whole = {r.doc_id: r.matches for r in licenses.find_licenses(docs_of(spark, [(0, GPL_NOTICE), (7, APACHE_NOTICE)])).collect()}
+    last = max((m for m in whole[0] if m.label == "gpl-3.0-or-later"), key=lambda m: m.end)
+    assert GPL_NOTICE[last.end_char - 7:last.end_char] == "details"  # the optional part belongs to the match
+    assert max(m.weight for m in whole[7]) > 0.999999
+
+
 def test_licenses_on_awkward_rows(spark):
     rows = AWKWARD + [(20, "MIT License. Mit-license! Licensed under the Apache License, Version 2.0"), (21, "GNU General\nPublic (License) v3")]
     got = {r.doc_id: r for r in licenses.license_report(docs_of(spark, rows)).collect()}
@@ -150,7 +201,7 @@ def byte_tokenizer():
 
 
 def test_token_file_equals_the_library(spark, byte_tokenizer, monkeypatch):
-    monkeypatch.setattr(token_store, "RANGE_DOCS", 50)
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 1 << 10)
     special = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|>x  ", "x" * 500 + " y" * 3, "don't we'll 'sx"]
     rows = [(i, t) for i, t in AWKWARD if i is not None] + [(100 + 3 * k, t) for k, t in enumerate(random_texts(400) + special)]
     docs = docs_of(spark, rows).repartition(5)
