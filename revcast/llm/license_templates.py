@@ -66,4 +66,36 @@ TEMPLATES = [
     ("bsd-2-clause", "bsd 2 clause [[{*2}]] {license|licence}"),
     ("bsd-3-clause", "bsd 3 clause [[{*2}]] {license|licence}"),
     ("copyright", "copyright [[c]] {*8} all rights reserved"),
+    # whole notices, as they stand at the head of files
+    ("gpl-3.0-or-later", """free software you can redistribute it and or modify it under the terms of the gnu general public {license|licence}
+        as published by the free software foundation either version 3 of the {license|licence} or at your option any later version
+        [[{*4} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public {license|licence} for more details]]"""),
+    ("gpl-2.0-or-later", """free software you can redistribute it and or modify it under the terms of the gnu general public {license|licence}
+        as published by the free software foundation either version 2 of the {license|licence} or at your option any later version
+        [[{*4} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public {license|licence} for more details]]"""),
+    ("lgpl-2.1-or-later", """free software you can redistribute it and or modify it under the terms of the gnu {lesser|library} general public
+        {license|licence} as published by the free software foundation either version 2 [[1]] of the {license|licence} or at your
+        option any later version"""),
+    ("lgpl-3.0-or-later", """free software you can redistribute it and or modify it under the terms of the gnu lesser general public
+        {license|licence} as published by the free software foundation either version 3 of the {license|licence} or at your
+        option any later version"""),
+    ("agpl-3.0-or-later", """free software you can redistribute it and or modify it under the terms of the gnu affero general public
+        {license|licence} as published by the free software foundation either version 3 of the {license|licence} or at your
+        option any later version"""),
+    ("apache-2.0", """licensed under the apache license version 2 0 the license you may not use {this|these} {file|files|software} except in
+        compliance with the license [[you may obtain a copy of the license at {*8}]] unless required by applicable law or agreed to
+        in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any
+        kind either express or implied [[see the license for the specific language governing permissions and limitations under the
+        license]]"""),
+    # heads of the license texts themselves
+    ("gpl-text", """gnu [[{lesser|library|affero}]] general public license version {2|3} {*5} copyright [[c]] {*6} free software foundation
+        inc {*12} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not
+        allowed"""),
+    ("apache-text", """apache license version 2 0 january 2004 [[{*6}]] terms and conditions for use reproduction and distribution"""),
+    # the warranty disclaimer of the BSD family
+    ("bsd-disclaimer", """this software is provided by {*12} as is and any express or implied warranties including but not limited to the
+        implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {*12} be liable
+        for any direct indirect incidental special exemplary or consequential damages"""),
 ]
