@@ -41,6 +41,58 @@ def series_quantiles(df: DataFrame, value: str = "revenue", probs=(OUTLIER_MIN,
     return df.groupBy(*k).agg(*cols)
 
 
+#: Size of a kept KLL sketch, and its one-sided rank error at 99 % confidence (fixed values of the published sketch).
+KLL_K = 2_000
+KLL_ERROR = 2.296 / KLL_K ** 0.9723
+
+
+def quantile_sketches(rows: DataFrame, value: str, keys: list[str], k: int = KLL_K) -> DataFrame:
+    """(keys, n, sketch): one KLL sketch of ``value`` for each key, nulls skipped.
+
+    A sketch has a fixed size, is built with partial aggregation where the
+    rows lie, and can be stored and merged, so a hot key is no hot task.
+    """
+    x = F.col(value).cast("double")
+    return rows.where(x.isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of coarser ``keys`` (no keys: of all rows), from the kept ones alone."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, probs=(OUTLIER_MIN, OUTLIER_MAX)) -> DataFrame:
+    """``q25``, ``q75``, ... of each kept sketch: values of the data whose rank is within the sketch's error."""
+    rest = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*rest, *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"q{int(round(p * 100)):02d}") for p in probs])
+
+
+def sketched_mask(df: DataFrame, quantiles: DataFrame, value: str = "revenue", lo: float = OUTLIER_MIN,
+                  hi: float = OUTLIER_MAX, keys=None, out: str | None = None) -> DataFrame:
+    """P8 by kept quantiles: null every value outside the band; a key without quantiles has no band, so none is kept."""
+    k = _keys(df, keys)
+    low, high = (F.col(f"q{int(round(p * 100)):02d}") for p in (lo, hi))
+    x = F.col(value).cast("double")
+    banded = df.join(quantiles.select(*k, low.alias("__lo"), high.alias("__hi")), k, "left")
+    return banded.withColumn(out or value, F.when(x.between(F.col("__lo"), F.col("__hi")), x)).drop("__lo", "__hi")
+
+
+def rank_within(rows: DataFrame, value: str, quantiles: DataFrame, keys: list[str], probs=(OUTLIER_MIN, OUTLIER_MAX),
+                error: float = KLL_ERROR) -> DataFrame:
+    """(keys, n, q25_within, ...): whether the exact rank of each sketched quantile is within ``error`` of its share.
+
+    One pass over the rows; equal values span a range of ranks, any of which counts.
+    """
+    x = F.col(value).cast("double")
+    names = [f"q{int(round(p * 100)):02d}" for p in probs]
+    marked = rows.where(x.isNotNull()).select(*keys, x.alias("__x")).join(quantiles.select(*keys, *names), keys)
+    n = F.count(F.lit(1))
+    return marked.groupBy(*keys).agg(n.alias("n"), *[
+        ((F.count_if(F.col("__x") < F.col(c)) / n <= p + error) & (F.count_if(F.col("__x") <= F.col(c)) / n >= p - error)).alias(f"{c}_within")
+        for c, p in zip(names, probs, strict=True)])
+
+
 def quantile_mask(df: DataFrame, value: str = "revenue", lo: float = OUTLIER_MIN,
                   hi: float = OUTLIER_MAX, keys=None, fit_before: Column | None = None,
                   out: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import calendar as cal
 from ..operators import clean_series as cs
 from ..operators import daily as dly
 from ..operators import profiling as pr
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.invoices import CANONICAL_COLUMNS, harmonise, union_sources
 from ..sources.tables import read_table
 from . import sql_fragments as q
@@ -254,6 +257,29 @@ def a7_series_quantiles(spark, sf):
     return cs.series_quantiles(filled(spark, sf, "null"))
 
 
+#: Shares that the kept sketches are asked for, and the error allowed: three times that of 99 % confidence.
+PRICE_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+_WITHIN = ", ".join(f"TRUE AS q{int(p * 100):02d}_within" for p in PRICE_SHARES)
+
+
+@query("a7_kept_sketches", q.with_(q.LINES) + f"""
+SELECT {q.SLUG_COUNTRY} AS series_id, count(price) AS n, {_WITHIN} FROM clines WHERE price IS NOT NULL GROUP BY country
+UNION ALL SELECT 'all', count(price), {_WITHIN} FROM clines WHERE price IS NOT NULL""")
+def a7_kept_sketches(spark, sf):
+    """A7 at scale: KLL sketches of line prices kept by country and month, written
+    once and merged to countries and the market; the exact rank of every
+    quantile is held against its share (``*_within``: inside the error)."""
+    named = cut_lineage(lines(spark, sf).select(fx.slug("country").alias("series_id"), F.trunc("date", "month").alias("month"), "price"))
+    kept = f"{ensure_checkpoint_dir(spark).rstrip('/')}/price-sketches-{uuid.uuid4().hex}"
+    cs.quantile_sketches(named, "price", ["series_id", "month"]).write.parquet(kept)
+    sketches = spark.read.parquet(kept)
+    countries = cs.sketched_quantiles(cs.merge_sketches(sketches, ["series_id"]), PRICE_SHARES)
+    market = cs.sketched_quantiles(cs.merge_sketches(sketches.withColumn("series_id", F.lit("all")), ["series_id"]), PRICE_SHARES)
+    error = 3 * cs.KLL_ERROR
+    return cs.rank_within(named, "price", countries, ["series_id"], PRICE_SHARES, error).unionByName(
+        cs.rank_within(named.withColumn("series_id", F.lit("all")), "price", market, ["series_id"], PRICE_SHARES, error))
+
+
 @query("p8_quantile_mask", q.with_(q.LINES, q.DAILY, q.filled("null"), q.masked()) + """
 SELECT series_id, "date", CAST(revenue AS DOUBLE) AS revenue, y_masked FROM masked""")
 def p8_quantile_mask(spark, sf):

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from revcast.operators import clean_series as cs
 
@@ -81,3 +82,33 @@ def test_even_period_decomposition(spark):
     seasonal = np.tile(pm, n // p + 1)[:n]
     assert np.allclose(got["trend"].to_numpy(dtype=float), trend, equal_nan=True, rtol=1e-12)
     assert np.allclose(got["seasonal"].to_numpy(dtype=float), seasonal, rtol=1e-9, atol=1e-9)
+
+
+def test_kept_sketches_stay_within_their_rank_error(spark):
+    rng = np.random.default_rng(7)
+    hot = [("hot", k % 9, float(v)) for k, v in enumerate(rng.lognormal(3, 1, 30_000))]
+    rows = hot + [("few", 0, float(v)) for v in (5, 1, 4, 2, 3)] + [("ties", 1, 7.0)] * 50 + [("few", 1, None), ("none", 0, None), (None, 0, 2.0)]
+    df = spark.createDataFrame(rows, "series_id string, month int, price double").repartition(6)
+    kept = cs.quantile_sketches(df, "price", ["series_id", "month"])
+    q = cs.sketched_quantiles(cs.merge_sketches(kept, ["series_id"]), (0.05, 0.5, 0.95))
+    got = {r.series_id: r for r in q.collect()}
+    assert set(got) == {"hot", "few", "ties", None} and got["hot"].n == 30_000 and got["few"].n == 5
+    assert (got["few"].q05, got["few"].q50, got["few"].q95) == (1, 3, 5)  # few values are kept whole
+    assert got["ties"].q05 == got["ties"].q95 == 7
+    values = np.sort([v for _, _, v in hot])
+    for name, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)):
+        assert abs(np.searchsorted(values, got["hot"][name]) / len(values) - p) <= 3 * cs.KLL_ERROR
+    within = cs.rank_within(df, "price", q, ["series_id"], (0.05, 0.5, 0.95), 3 * cs.KLL_ERROR).collect()
+    assert all(r.q05_within and r.q50_within and r.q95_within for r in within if r.n > 5) and len(within) == 3
+    wrong = cs.rank_within(df, "price", q.withColumn("q50", F.col("q50") * 1.1), ["series_id"], (0.5,), 3 * cs.KLL_ERROR)
+    assert [r.q50_within for r in wrong.collect() if r.series_id in ("hot", "ties")] == [False, False]
+    assert cs.quantile_sketches(df.limit(0), "price", ["series_id"]).count() == 0
+
+
+def test_mask_by_kept_quantiles_is_the_exact_mask_but_for_the_rank_error(spark):
+    df, _ = _series(spark, n=400)
+    q = cs.sketched_quantiles(cs.quantile_sketches(df, "y", ["series_id"]))
+    both = cs.sketched_mask(cs.quantile_mask(df, "y", out="exact"), q, "y", out="kept").toPandas()
+    assert len(both) == 400 and (both["exact"].notna() != both["kept"].notna()).sum() <= 2 * (1 + 400 * cs.KLL_ERROR)
+    none = cs.sketched_mask(df, q.where("series_id = 'x'"), "y", out="kept")
+    assert none.where("kept IS NOT NULL").isEmpty() and none.count() == 400
