@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from ..operators import arima as ar
 from ..operators import backtest as bt
 from ..operators import clean_series as cs
 from ..operators import features as fe
-from ..operators import forecast as fc
 from ..operators import supervised as sup
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming import stream as st
@@ -212,7 +212,7 @@ def st2_stream_daily_exact(spark, sf):
     return st.run_available_now(d, f"events_daily_exact-{_tag(sf)}")
 
 
-def invoice_stream_sums(spark, sf, folder, name, glob=None, max_files=None):
+def invoice_stream_sums(spark, sf, folder, name, glob=None, max_files=None, distinct=None):
     """Daily lines and revenue per country of a stream of line-item files
     joined to the static order, customer and nation tables."""
     from ..functions.scalar import money
@@ -225,8 +225,8 @@ def invoice_stream_sums(spark, sf, folder, name, glob=None, max_files=None):
             .join(read_table(spark, sf, "nation").select("n_nationkey", "n_name"),
                   F.col("c_nationkey") == F.col("n_nationkey")))
     j = li.join(dims, li.l_orderkey == dims.o_orderkey).select(
-        F.col("n_name").alias("country"), "date", money("l_extendedprice").alias("price"))
-    return st.additive_sums(j, ["country", "date"], {"revenue": "price"}, name)
+        F.col("n_name").alias("country"), "date", money("l_extendedprice").alias("price"), "l_orderkey", "l_partkey")
+    return st.additive_sums(j, ["country", "date"], {"revenue": "price"}, name, distinct)
 
 
 @query("st1_stream_invoice_daily", """
@@ -242,18 +242,50 @@ def st1_stream_invoice_daily(spark, sf):
     return d.withColumn("revenue", F.col("revenue").cast("double"))
 
 
-@query("st3_stream_scoring")
+@query("st1_stream_distinct_daily", """
+SELECT n.n_name AS country, CAST(o.o_orderdate AS DATE) AS "date", count(*) AS rows,
+       CAST(sum(CAST(l.l_extendedprice AS DECIMAL(28,6))) AS DOUBLE) AS revenue,
+       count(DISTINCT l.l_orderkey) AS unique_invoices, count(DISTINCT l.l_partkey) AS unique_streams
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_name, CAST(o.o_orderdate AS DATE)""")
+def st1_stream_distinct_daily(spark, sf):
+    """ST1: all measures of the daily roll-up from the stream of line items, exact
+    distinct counts too; batch folders are merged level by level."""
+    d = invoice_stream_sums(spark, sf, sf, f"invoice_distinct-{_tag(sf)}", glob="lineitem.parquet",
+                            distinct={"unique_invoices": "l_orderkey", "unique_streams": "l_partkey"})
+    return d.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+#: ST3: days that a forecast table is made from and days that it answers.
+ISSUE_DAYS, ANSWER_DAYS = 28, 30
+
+
+@query("st3_stream_scoring", f"""
+WITH d AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS "date", sum(CAST(value AS DECIMAL(28,6))) AS y
+           FROM events GROUP BY event_type, CAST(ts AS DATE)),
+c AS (SELECT min("date") + CAST((max("date") - min("date")) // 2 AS INTEGER) AS cutoff FROM d),
+f AS (SELECT series_id, CAST(sum(y) AS DOUBLE) / count(*) AS yhat FROM d, c
+      WHERE "date" <= cutoff AND "date" > cutoff - {ISSUE_DAYS} GROUP BY series_id)
+SELECT d.series_id, d."date", CAST(y AS DOUBLE) AS actual, f.yhat AS forecast, CAST(y AS DOUBLE) - f.yhat AS error
+FROM d CROSS JOIN c LEFT JOIN f ON f.series_id = d.series_id AND d."date" <= cutoff + {ANSWER_DAYS}
+WHERE d."date" > cutoff AND CAST(d."date" AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
 def st3_stream_scoring(spark, sf):
-    """ST3: closed event days scored against a forecast table (drift, per event
-    type) in foreachBatch; idempotent per batch id."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    daily = (ev.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date"))
-             .agg(F.sum("value").alias("y")))
-    ft = fc.drift_forecast_table(daily, horizon=1).withColumnRenamed("yhat_30d", "yhat")
-    s = st.file_stream(spark, sf, schema, glob="events.parquet")
-    d = st.daily_window_rollup(s, "ts", "event_type", "value")
-    return st.score_stream(d, ft, f"events_scored-{_tag(sf)}")
+    """ST3: closed event days scored against a forecast table that was issued
+    before them (mean of the last 28 days up to the middle of the calendar, for
+    the 30 days after it); later days have no forecast. Idempotent per batch id."""
+    from ..functions.scalar import money
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    daily = (events.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date"))
+             .agg(F.sum(money("value")).alias("y")))
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    cutoff = F.lit(first and first + timedelta((last - first).days // 2)).cast("date")
+    issued = (daily.where((F.col("date") <= cutoff) & (F.col("date") > F.date_sub(cutoff, ISSUE_DAYS)))
+              .groupBy("series_id").agg((F.sum("y").cast("double") / F.count(F.lit(1))).alias("yhat"))
+              .withColumn("date", F.explode(F.sequence(F.date_add(cutoff, 1), F.date_add(cutoff, ANSWER_DAYS)))))
+    s = st.file_stream(spark, sf, events.schema, glob="events.parquet")
+    d = st.daily_window_rollup(s, "ts", "event_type", "value", money=True).where(F.col("date") > cutoff)
+    return st.score_stream(d, issued, f"events_scored-{_tag(sf)}").drop("batch")
 
 
 # ------------------------------------------------------------------ approximate / drift

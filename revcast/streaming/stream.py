@@ -84,29 +84,102 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append",
     return spark.read.parquet(f"{base}/out")
 
 
-def additive_sums(stream: DataFrame, keys: list[str], sums: dict, name: str) -> DataFrame:
-    """ST1: exact sums over everything that arrives, in whatever order.
+#: Finished folders of a sink that are merged into one folder of the next level.
+FAN = 16
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def sink_folders(spark: SparkSession, out: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(live, merged) folders of a sink, as (level, last batch).
+
+    A folder of level L holds the ``FAN ** L`` batches up to its last one; it
+    counts once Spark's committer has marked it finished. A folder whose
+    batches lie in a finished folder of a higher level is merged: no reader
+    takes it, and it may be deleted.
+    """
+    p, fs = _file_system(spark, out)
+    if not fs.exists(p):
+        return [], []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = sorted((tuple(int(x) for x in n[1:].split("-")) for n in names
+                    if n.startswith("L") and fs.exists(_file_system(spark, f"{out}/{n}/_SUCCESS")[0])), reverse=True)
+    live, merged = [], []
+    for level, last in found:
+        inside = any(high > level and end - FAN ** high < last <= end for high, end in live)
+        (merged if inside else live).append((level, last))
+    return live, merged
+
+
+def read_sink(spark: SparkSession, out: str) -> DataFrame:
+    """All rows of a sink's live folders (the rows of one key may lie in several)."""
+    return spark.read.parquet(*[f"{out}/L{level}-{last}" for level, last in sink_folders(spark, out)[0]])
+
+
+def write_and_merge(rows: DataFrame, out: str, batch_id: int, merge) -> None:
+    """Write a batch as a folder of level 0; each ``FAN`` folders of a level become one of the next by ``merge``.
+
+    Every row is written again once a level, and a sink of n batches has at
+    most ``FAN`` folders a level, log n levels. What is merged follows from the
+    batch id alone, and folders are deleted only after the merged one is
+    finished, so a batch may be replayed after any failure.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{out}/L0-{batch_id}")
+    # a replayed batch goes on above the highest folder that it had finished
+    finished = [have for have, last in sink_folders(spark, out)[0] if last == batch_id]
+    level = max(finished, default=0) + 1
+    while finished and (batch_id + 1) % FAN ** level == 0:
+        step = FAN ** (level - 1)
+        parts = [f"{out}/L{level - 1}-{k}" for k in range(batch_id - FAN ** level + step, batch_id + 1, step)]
+        merge(spark.read.parquet(*parts)).write.mode("overwrite").parquet(f"{out}/L{level}-{batch_id}")
+        level += 1
+    for old, last in sink_folders(spark, out)[1]:
+        p, fs = _file_system(spark, f"{out}/L{old}-{last}")
+        fs.delete(p, True)
+
+
+def additive_sums(stream: DataFrame, keys: list[str], sums: dict, name: str, distinct: dict | None = None) -> DataFrame:
+    """ST1: exact sums and distinct counts over everything that arrives, in whatever order.
 
     Files of line items are not sorted by date, so a watermark would drop the
-    old days of a later file. Counts and sums of each micro-batch are written
-    to ``batch=<id>`` instead (a replayed batch overwrites its own), and the
-    batches are added up when read. No state is kept, however long it runs.
+    old days of a later file. Counts, sums and the distinct values of each
+    micro-batch are written as a folder instead (a replayed batch overwrites
+    its own), folders are merged level by level, and what is left is added up
+    when read. No state is kept, however long it runs.
 
-    ``sums`` maps an output name to the column that is summed.
+    ``sums`` maps an output name to the column that is summed, ``distinct`` one
+    to the column whose distinct values (null: none) are counted.
     """
     spark = stream.sparkSession
     base = stream_dir(spark, name)
-    out = f"{base}/sums"
+    out, values = f"{base}/sums", f"{base}/values"
+    distinct = distinct or {}
+
+    def added(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*keys).agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in sums])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
-         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        write_and_merge(batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()]),
+                        out, batch_id, added)
+        if distinct:
+            each = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(c).cast("string").alias("value")) for n, c in distinct.items()]))
+            write_and_merge(batch.select(*keys, each.alias("__v")).select(*keys, "__v.*").where("value IS NOT NULL").distinct(),
+                            values, batch_id, lambda parts: parts.distinct())
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).groupBy(*keys).agg(
-        F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in sums])
+    total = added(read_sink(spark, out))
+    if not distinct:
+        return total
+    counts = read_sink(spark, values).distinct().groupBy(*keys).agg(
+        *[F.count_if(F.col("measure") == n).alias(n) for n in distinct])
+    both = total.alias("t").join(counts.alias("c"), F.expr(" AND ".join(f"t.`{k}` <=> c.`{k}`" for k in keys)), "left")
+    return both.select("t.*", *[F.coalesce(F.col(f"c.{n}"), F.lit(0)).alias(n) for n in distinct])
 
 
 def score_stream(daily_stream: DataFrame, forecasts: DataFrame, name: str,

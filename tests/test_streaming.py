@@ -52,3 +52,43 @@ def test_json_invoice_files_as_a_stream(spark, tmpdir_path):
     s = harmonise(st.file_stream(spark, tmpdir_path, RAW_SCHEMA, fmt="json", max_files=1))
     got = st.additive_sums(s, ["country", "date"], {"price": "price", "views": "times_viewed"}, f"t-{uuid.uuid4().hex}").collect()
     assert {(str(r.date), r["rows"], r.price, r["views"]) for r in got} == {("2018-02-28", 2, 2.25, 4), ("2018-02-03", 1, 1.125, 2)}
+
+
+def test_folders_are_merged_level_by_level_and_replayed(spark, tmpdir_path, monkeypatch):
+    import uuid
+
+    monkeypatch.setattr(st, "FAN", 2)
+    rows = [(f"k{i % 3}" if i % 5 else None, i % 4, i, f"v{i % 7}" if i % 6 else None) for i in range(110)]
+    for k in range(11):
+        spark.createDataFrame(rows[10 * k:10 * k + 10], "a string, b int, x long, v string").coalesce(1).write.mode("append").parquet(f"{tmpdir_path}/in")
+    table = spark.read.parquet(f"{tmpdir_path}/in")
+    s = st.file_stream(spark, f"{tmpdir_path}/in", table.schema, max_files=1)
+    name = f"t-{uuid.uuid4().hex}"
+    want = {tuple(r) for r in table.groupBy("a", "b").agg(F.count("*"), F.sum("x"), F.count_distinct("v")).collect()}
+
+    def answer():
+        return {tuple(r) for r in st.additive_sums(s, ["a", "b"], {"x": "x"}, name, {"values": "v"}).collect()}
+
+    assert answer() == want
+    out = f"{st.stream_dir(spark, name)}/sums"
+    live, merged = st.sink_folders(spark, out)
+    assert live == [(3, 7), (1, 9), (0, 10)] and not merged  # 8 + 2 + 1 batches
+    # a replayed batch: its folders are written again, what was merged is not read twice
+    again = st.read_sink(spark, out)
+    st.write_and_merge(again.limit(3), out, 7, lambda d: d)
+    assert st.sink_folders(spark, out) == (live, [])
+    assert answer() == want
+    # a run that died before it marked a merged folder as finished leaves its parts to be read
+    st.write_and_merge(again.limit(0), out, 11, lambda d: d)
+    p, fs = st._file_system(spark, f"{out}/L2-11/_SUCCESS")
+    fs.delete(p, False)
+    assert (2, 11) not in st.sink_folders(spark, out)[0]
+
+
+def test_forecasts_are_issued_before_the_days_they_are_scored_on(spark):
+    from revcast.plans import QUERIES
+    rows = QUERIES["st3_stream_scoring"](spark, SF_SMALL).collect()
+    days = [r.date for r in spark.read.parquet(f"{SF_SMALL}/events.parquet").select(F.to_date("ts").alias("date")).distinct().collect()]
+    cutoff = min(days) + (max(days) - min(days)) // 2
+    assert rows and min(r.date for r in rows) > cutoff
+    assert all((r.forecast is None) == ((r.date - cutoff).days > 30) for r in rows)
