@@ -273,11 +273,10 @@ def a7_kept_sketches(spark, sf):
     kept = f"{ensure_checkpoint_dir(spark).rstrip('/')}/price-sketches-{uuid.uuid4().hex}"
     cs.quantile_sketches(named, "price", ["series_id", "month"]).write.parquet(kept)
     sketches = spark.read.parquet(kept)
-    countries = cs.sketched_quantiles(cs.merge_sketches(sketches, ["series_id"]), PRICE_SHARES)
-    market = cs.sketched_quantiles(cs.merge_sketches(sketches.withColumn("series_id", F.lit("all")), ["series_id"]), PRICE_SHARES)
-    error = 3 * cs.KLL_ERROR
-    return cs.rank_within(named, "price", countries, ["series_id"], PRICE_SHARES, error).unionByName(
-        cs.rank_within(named.withColumn("series_id", F.lit("all")), "price", market, ["series_id"], PRICE_SHARES, error))
+    both = F.explode(F.array("series_id", F.lit("all"))).alias("series_id")
+    merged = cs.merge_sketches(sketches.select(both, "n", "sketch"), ["series_id"])
+    return cs.rank_within(named.select(both, "price"), "price", cs.sketched_quantiles(merged, PRICE_SHARES), ["series_id"],
+                          PRICE_SHARES, 3 * cs.KLL_ERROR)
 
 
 @query("p8_quantile_mask", q.with_(q.LINES, q.DAILY, q.filled("null"), q.masked()) + """
