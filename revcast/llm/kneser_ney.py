@@ -12,11 +12,13 @@ context its total and how many of its n-grams were seen once, twice, more
 often. What it knows of a split context goes to that context's own bucket and
 is added up there. Continuation counts (before how many different words an
 n-gram without its first word stands) go to the buckets of the next lower
-order the same way, down to single words.
+order the same way, down to single words. Most long contexts occur once: of
+these only the hash is kept, and counts take the smallest type that holds them.
 
 Scoring maps the arrays into memory (where the folder is a file system; else
-parts are read when needed and at most ``HELD_BYTES`` are held) and looks up a
-whole batch of n-grams by binary search in sorted order. Pages of mapped files
+parts are read when needed and at most ``HELD_BYTES`` are held; never more than
+``HELD_PARTS`` arrays at once) and looks up a whole batch of n-grams by binary
+search in sorted order. Pages of mapped files
 are the system's to drop.
 
 A text's tokens are its words (:data:`SPACE` rule), then one end token; start
@@ -54,14 +56,18 @@ from .common import crc_mod, mix64, shared_path, via_table
 from .hashing import SPACE, hash_words
 from .pieces import steps
 
-#: Order of the model: the longest n-grams that are counted.
+#: Order of a model that is trained without naming one: the longest n-grams that are counted.
 ORDER = 2
+#: Order of the report's model, the usual one of Kneser-Ney models that rate texts.
+REPORT_ORDER = 5
 #: Tokens whose n-grams meet in one bucket, about.
 TOKENS_PER_BUCKET = 2_000_000
 #: Text that a worker counts or scores at a time.
 STEP_BYTES = 4 << 20
 #: Model arrays that a worker holds where they cannot be mapped.
 HELD_BYTES = 256 << 20
+#: Arrays that a worker has open at once (a process may map about 65,000 files).
+HELD_PARTS = 8192
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -233,7 +239,7 @@ def _merge(folder: str, level: int, deal: Deal):
             _save(folder, f"last-{bucket:08d}", words)
             return pd.DataFrame(out, columns=_NAMES)
         _save(folder, f"grams{level}-{bucket:08d}", key)
-        _save(folder, f"counts{level}-{bucket:08d}", count.astype(np.uint32))
+        _save(folder, f"counts{level}-{bucket:08d}", count.astype(np.min_scalar_type(count.max())))
         known, of = np.unique(_context(before), return_inverse=True)
         context = np.zeros(len(known), _CONTEXT)
         context["context"] = known
@@ -242,7 +248,9 @@ def _merge(folder: str, level: int, deal: Deal):
             context[name] = np.bincount(of[which], minlength=len(known))
         split = np.zeros(len(known), bool)
         split[of] = deal.is_split(before)
-        _save(folder, f"contexts{level}-{bucket:08d}", context[~split])
+        once = ~split & (context["total"] == 1)
+        _save(folder, f"once{level}-{bucket:08d}", known[once])
+        _save(folder, f"contexts{level}-{bucket:08d}", context[~split & ~once])
         parts = context[split]
         home = _bucket(parts["context"], deal.buckets)
         by = np.argsort(home, kind="stable")
@@ -358,10 +366,10 @@ class Model:
                 found = _load(self.spec["folder"], name)
             except FileNotFoundError:  # nothing fell in this bucket
                 found = None
-            if found is not None and not isinstance(found, np.memmap):
-                if self.held + found.nbytes > HELD_BYTES:
-                    self.parts, self.held = {}, 0
-                self.held += found.nbytes
+            read = 0 if found is None or isinstance(found, np.memmap) else found.nbytes
+            if read and self.held + read > HELD_BYTES or len(self.parts) >= HELD_PARTS:
+                self.parts, self.held = {}, 0
+            self.held += read
             self.parts[name] = found
         return self.parts[name]
 
@@ -402,6 +410,9 @@ class Model:
                 i, ok = _find(None if known is None else known["context"], context[mine])
                 if ok.any():
                     row[mine[ok]] = known[i[ok]]
+            mine = at[~split[at]]
+            ok = _find(self.part(f"once{level}", k) if len(mine) else None, context[mine])[1]
+            row["total"][mine[ok]] = row["n1"][mine[ok]] = 1
         c = np.zeros(len(key), np.int64)
         seen = np.flatnonzero(row["total"])
         for k, at in self._by_bucket(self.deal(before[seen], key[seen])):
@@ -442,7 +453,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, 10) == 0
 
 
-def language_model_report(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def language_model_report(docs: DataFrame, order: int = REPORT_ORDER) -> DataFrame:
     """Learn from the rows that are not held out, score all."""
     spec = train(docs.where(~held_out()), order=order)
     return score(docs, spec).select(

@@ -227,6 +227,22 @@ def test_kneser_ney_splits_a_word_of_half_of_all_tokens_and_one_of_its_texts_is_
         assert math.isclose(r.score, sum(math.log10(p(pair)) for pair in zip([1, *t[:-1]], t, strict=True)), rel_tol=1e-9)
 
 
+def test_kneser_ney_report_counts_longer_n_grams(spark, monkeypatch):
+    """The report counts n-grams of up to five words, also with few arrays open at a time."""
+    import zlib
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 100)
+    monkeypatch.setattr(kneser_ney, "HELD_PARTS", 5)
+    rng = random.Random(8)
+    words = "a b c d e".split()
+    rows = [(k, " ".join(rng.choice(words) for _ in range(12))) for k in range(60)]
+    out = {r.doc_id: r for r in kneser_ney.language_model_report(docs_of(spark, rows)).collect()}
+    tokens = {i: [*space_words(t.encode()), 0] for i, t in rows}
+    _, p = plain_kneser_ney([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10], 5)
+    for i, t in tokens.items():
+        padded = [1, 1, 1, 1, *t]
+        assert math.isclose(out[i].score, sum(math.log10(p(tuple(padded[k:k + 5]))) for k in range(len(t))), rel_tol=1e-9)
+
+
 def test_kneser_ney_holds_few_arrays_where_they_cannot_be_mapped(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 50)
     rows = [(k, f"a{k % 7} b{k % 11} c{k % 5} the end of {k}") for k in range(120)]
