@@ -82,11 +82,13 @@ def rank_within(rows: DataFrame, value: str, quantiles: DataFrame, keys: list[st
                 error: float = KLL_ERROR) -> DataFrame:
     """(keys, n, q25_within, ...): whether the exact rank of each sketched quantile is within ``error`` of its share.
 
-    One pass over the rows; equal values span a range of ranks, any of which counts.
+    One pass over the rows, which are counted where they lie: the quantiles, one
+    short row for each key, go to every executor. Equal values span a range of
+    ranks, any of which counts.
     """
     x = F.col(value).cast("double")
     names = [f"q{int(round(p * 100)):02d}" for p in probs]
-    marked = rows.where(x.isNotNull()).select(*keys, x.alias("__x")).join(quantiles.select(*keys, *names), keys)
+    marked = rows.where(x.isNotNull()).select(*keys, x.alias("__x")).join(F.broadcast(quantiles.select(*keys, *names)), keys)
     n = F.count(F.lit(1))
     return marked.groupBy(*keys).agg(n.alias("n"), *[
         ((F.count_if(F.col("__x") < F.col(c)) / n <= p + error) & (F.count_if(F.col("__x") <= F.col(c)) / n >= p - error)).alias(f"{c}_within")

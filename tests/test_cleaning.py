@@ -112,3 +112,17 @@ def test_mask_by_kept_quantiles_is_the_exact_mask_but_for_the_rank_error(spark):
     assert len(both) == 400 and (both["exact"].notna() != both["kept"].notna()).sum() <= 2 * (1 + 400 * cs.KLL_ERROR)
     none = cs.sketched_mask(df, q.where("series_id = 'x'"), "y", out="kept")
     assert none.where("kept IS NOT NULL").isEmpty() and none.count() == 400
+
+
+def test_rows_of_one_key_are_ranked_where_they_lie(spark):
+    df = spark.range(0, 2_000, numPartitions=4).selectExpr("IF(id < 0, 'cold', 'hot') AS series_id", "CAST(id AS DOUBLE) AS price")
+    q = spark.createDataFrame([("hot", 999.0)], "series_id string, q50 double")
+    # rows of unknown size on both sides: Spark by itself would send all of a key to one task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        within = cs.rank_within(df, "price", q, ["series_id"], (0.5,))
+        plan = within._jdf.queryExecution().sparkPlan().toString()
+        assert within.collect() == [("hot", 2_000, True)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
