@@ -103,7 +103,8 @@ def parse_records(spark: SparkSession, path, json_lines: bool = False, glob: str
     Files are JSON arrays of records (``json_lines=True``: one record per line)
     in any spelling. A record is malformed if it is no JSON object or a field
     has another type; broken JSON of a whole file is one malformed record.
-    Number columns take JSON numbers only, text columns any value.
+    Number columns take JSON numbers only, text columns any value. Of a record
+    all columns are taken at once, and filters on them stay above the parsing.
     """
     text = (spark.read.option("wholetext", not json_lines).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
             .text(path).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.trim("value") != ""))
@@ -114,25 +115,31 @@ def parse_records(spark: SparkSession, path, json_lines: bool = False, glob: str
         rec = whole.select("source_file", "_text", F.explode(F.coalesce(
             F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))).alias("_r"))
         rec = rec.select("source_file", F.coalesce(F.to_json("_r"), "_text").alias("_text"), "_r")
+    taken = {n: "variant" if _TYPES[c].simpleString() in _JSON_NUMBERS else "string" for c in CANONICAL_COLUMNS for n in SPELLINGS.get(c, [c])}
+    struct = f"struct<{', '.join(f'{n}: {kind}' for n, kind in taken.items())}>"
+    rec = rec.select("source_file", "_text", F.schema_of_variant("_r").alias("fields"), F.try_variant_get("_r", "$", struct).alias("_c"))
+    numbers = [n for n, kind in taken.items() if kind == "variant"]
+    rec = rec.select("source_file", "_text", "fields", *[F.col(f"_c.{n}").alias(n) for n in taken],
+                     *[F.schema_of_variant(f"_c.{n}").alias(f"_type_{n}") for n in numbers])
     values, wrong = {}, F.lit(False)
     for canon in CANONICAL_COLUMNS:
         kind, found = _TYPES[canon].simpleString(), []
         for name in SPELLINGS.get(canon, [canon]):
-            value = F.try_variant_get("_r", f"$.{name}", kind)
+            value = F.col(name)
             if kind in _JSON_NUMBERS:
-                json_type = F.schema_of_variant(F.try_variant_get("_r", f"$.{name}", "variant"))
-                fits = json_type.rlike(_JSON_NUMBERS[kind])
-                wrong = wrong | F.coalesce((json_type != "VOID") & ~(fits & value.isNotNull()), F.lit(False))
-                value = F.when(fits, value)
+                json_type = F.col(f"_type_{name}")
+                value = F.when(json_type.rlike(_JSON_NUMBERS[kind]), F.try_variant_get(name, "$", kind))
+                wrong = wrong | F.coalesce((json_type != "VOID") & value.isNull(), F.lit(False))
             found.append(value)
         values[canon] = F.coalesce(*found)
-    fields = F.schema_of_variant("_r")
-    out = rec.select("source_file", fields.alias("fields"), *[v.alias(c) for c, v in values.items()],
-                     (~F.coalesce(fields.startswith("OBJECT<"), F.lit(False)) | wrong).alias("_wrong"), "_text")
+    out = rec.select("source_file", "fields", *[v.alias(c) for c, v in values.items()],
+                     (~F.coalesce(F.col("fields").startswith("OBJECT<"), F.lit(False)) | wrong).alias("_wrong"), "_text")
     reason = F.when(F.col("_wrong"), "malformed record").when(
         date_from_parts("year", "month", "day").isNull(), "invalid date")
-    return out.withColumn("reason", reason).select(
+    out = out.withColumn("reason", reason).select(
         "source_file", "fields", *CANONICAL_COLUMNS, "reason", F.when(F.col("reason").isNotNull(), F.col("_text")).alias("record"))
+    # unpacking a list of one: a filter pushed below it would parse a record again for each of its uses
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 #: JSON types (of ``schema_of_variant``) that a number column takes.

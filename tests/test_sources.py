@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from revcast.operators import daily as dly
 from revcast.functions.scalar import money
-from revcast.sources.invoices import (BadRecordsError, SchemaMismatchError, SourceNotFoundError, invoice_rejects, read_invoices,
-                                      schema_violations)
+from revcast.sources.invoices import (BadRecordsError, SchemaMismatchError, SourceNotFoundError, invoice_rejects, parse_records,
+                                      read_invoices, schema_violations)
 from revcast.sources.tables import read_daily_csv, snapshot, write_csv
 
 # hand-made invoice lines (values invented); three spellings across files
@@ -183,3 +183,19 @@ def test_table_is_replaced(spark, tmpdir_path):
     save_table(spark.createDataFrame([("y", 2)], "b string, c int"), "replaced_table", mode="append")
     assert spark.table("replaced_table").count() == 2
     spark.sql("DROP TABLE replaced_table")
+
+
+def test_a_filter_on_parsed_records_does_not_parse_them_again(spark, tmpdir_path):
+    rows = [dict(M2[0]), dict(M1[0], price="7"), dict(M1[0], price=None, customer_id=2.5), dict(M1[0], day="32"), [1], "text", {},
+            dict(M3[0], country=5, invoice=True, month={"a": 1}), dict(M1[0], price=7, times_viewed="1"), dict(M3[0], TimesViewed=[])]
+    with open(os.path.join(tmpdir_path, "x.json"), "w") as f:
+        f.write("\n".join([*map(json.dumps, rows), "{broken", ""]))
+    found = invoice_rejects(spark, tmpdir_path, json_lines=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1 and plan.count("$.") == 0
+    got = {r.record: r.reason for r in found.collect()}
+    bad, day = "malformed record", "invalid date"
+    reasons = [None, bad, bad, day, bad, bad, day, day, bad, bad]
+    assert got == {**{json.dumps(r): why for r, why in zip(rows, reasons, strict=True) if why}, "{broken": bad}
+    line = {r.record: r for r in parse_records(spark, tmpdir_path, json_lines=True).collect()}[json.dumps(rows[7])]
+    assert (line.country, line.invoice, line.month, line.stream_id, line.price) == ("5", "true", '{"a":1}', "47566", 100.25)
