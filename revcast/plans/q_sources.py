@@ -114,12 +114,12 @@ def s6_table_replace(spark, sf):
 @query("s7_incremental_daily", q.with_(q.LINES, q.DAILY) + f"""
 SELECT {q.DAILY_OUT} FROM daily""")
 def s7_incremental_daily(spark, sf):
-    """Month files that arrive in two deliveries; the second call reads and
-    rolls up the new files only and merges them with what is kept."""
+    """Month files (compressed JSON) that arrive in two deliveries; the second
+    call reads and rolls up the new files only and merges them with what is kept."""
     out, root = _export_dir(spark, "json_deliveries", sf), _export_dir(spark, "daily_parts", sf)
     first, *rest = _variant_frames(lines(spark, sf))
-    first.write.json(f"{out}/delivery=0")
-    incremental_daily(spark, out, root, json_lines=True)
+    first.write.option("compression", "gzip").json(f"{out}/delivery=0")
+    incremental_daily(spark, out, root, json_lines=True, glob="*.json.gz")
     for i, v in enumerate(rest, 1):
-        v.write.json(f"{out}/delivery={i}")
-    return cal.series_to_double(incremental_daily(spark, out, root, json_lines=True))
+        v.write.option("compression", "gzip").json(f"{out}/delivery={i}")
+    return cal.series_to_double(incremental_daily(spark, out, root, json_lines=True, glob="*.json.gz"))

@@ -84,15 +84,15 @@ def harmonise(raw: DataFrame) -> DataFrame:
             .withColumn("invoice_id", clean_invoice("invoice")))
 
 
-def _check_exists(spark: SparkSession, path: str) -> None:
+def _check_exists(spark: SparkSession, path: str, glob: str = "*.json") -> None:
     """The source must exist and hold at least one input file."""
     try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json") \
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
             .option("recursiveFileLookup", "true").load(path).select("path")
     except AnalysisException as e:  # PATH_NOT_FOUND and friends
         raise SourceNotFoundError(f"source {path!r} does not exist") from e
     if files.isEmpty():
-        raise SourceNotFoundError(f"source {path!r} holds no .json files")
+        raise SourceNotFoundError(f"source {path!r} holds no {glob.lstrip('*')} files")
 
 
 def parse_records(spark: SparkSession, path, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
@@ -174,7 +174,7 @@ def invoice_rejects(spark: SparkSession, path, json_lines: bool = False, glob: s
     return parse_records(spark, path, json_lines, glob).where("reason IS NOT NULL").select("source_file", "reason", "record")
 
 
-def read_invoices(spark: SparkSession, path, validate: bool = True, json_lines: bool = False) -> DataFrame:
+def read_invoices(spark: SparkSession, path, validate: bool = True, json_lines: bool = False, glob: str = "*.json") -> DataFrame:
     """S1 + S2 + P1-P3: read JSON month files (a directory, or files) as invoice lines.
 
     ``source_file`` is the full path of the file a line came from. Validation
@@ -184,8 +184,8 @@ def read_invoices(spark: SparkSession, path, validate: bool = True, json_lines:
     the parsed records, which are kept in the checkpoint folder.
     """
     if isinstance(path, str):
-        _check_exists(spark, path)
-    parsed = parse_records(spark, path, json_lines)
+        _check_exists(spark, path, glob)
+    parsed = parse_records(spark, path, json_lines, glob)
     if validate:
         kept = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
         parsed.write.parquet(kept)
@@ -230,24 +230,28 @@ def incremental_daily(spark: SparkSession, source: str, root: str, json_lines: b
     Every file is reduced to its distinct values by country and day (exact under
     merging, :func:`distinct_values`) and kept below ``root``; the answer is
     merged from the parts of the files that are there now, so a file that is
-    gone or rewritten no longer counts. A part counts only once its batch stands
+    gone or rewritten no longer counts. Files may be compressed (``glob`` with
+    their ending); while lines are dealt out a file is known by a number. A part counts only once its batch stands
     in the manifest: what a failed run leaves behind is never read.
     """
-    _check_exists(spark, source)
+    _check_exists(spark, source, glob)
     root = root.rstrip("/")
     now = _files(spark, source, glob)
     done = _kept(spark, f"{root}/manifest", "file string, path string, batch string")
     new = [tuple(r) for r in now.join(done, "file", "left_anti").collect()]  # the paths that the next read is given
     if new:
         batch = uuid.uuid4().hex
-        named = spark.createDataFrame(new, "file string, path string, source_file string")
-        lines = read_invoices(spark, [p for _, p, _ in new], json_lines=json_lines).join(named, "source_file")
-        parts = distinct_values(lines, ["file", series, "date"])
+        named = spark.createDataFrame([(k, *f) for k, f in enumerate(new)], "no int, file string, path string, source_file string")
+        # one row for each file, which the driver holds already
+        lines = read_invoices(spark, [p for _, p, _ in new], json_lines=json_lines, glob=glob).join(F.broadcast(named.select("no", "source_file")), "source_file")
+        parts = distinct_values(lines, ["no", series, "date"]).join(F.broadcast(named.select("no", "file")), "no").drop("no")
         parts.withColumn("batch", F.lit(batch)).write.partitionBy("batch", "file").mode("append").parquet(f"{root}/parts")
         named.select("file", "path", F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     valid = _kept(spark, f"{root}/manifest", "file string, path string, batch string").join(now.select("file"), "file", "left_semi")
     parts = spark.read.parquet(f"{root}/parts").join(valid.select("file", "batch"), ["file", "batch"], "left_semi")
-    return merge_values(regroup_values(parts, [series, "date", "kind", "value"]), series)
+    # dealt so that a country's values and those of all countries meet in the same tasks: one exchange of the parts
+    dealt = parts.repartition("date", "kind", "value")
+    return merge_values(regroup_values(dealt, [series, "date", "kind", "value"]), series)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

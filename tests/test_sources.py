@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import re
 import tempfile
 
 import pytest
@@ -199,3 +200,20 @@ def test_a_filter_on_parsed_records_does_not_parse_them_again(spark, tmpdir_path
     assert got == {**{json.dumps(r): why for r, why in zip(rows, reasons, strict=True) if why}, "{broken": bad}
     line = {r.record: r for r in parse_records(spark, tmpdir_path, json_lines=True).collect()}[json.dumps(rows[7])]
     assert (line.country, line.invoice, line.month, line.stream_id, line.price) == ("5", "true", '{"a":1}', "47566", 100.25)
+
+
+def test_compressed_files_are_rolled_up_with_one_exchange_of_their_values(spark, tmpdir_path):
+    from revcast.sources.invoices import incremental_daily
+
+    src, root = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "parts")
+    lines = spark.createDataFrame([json.dumps(r) for r in M1 + M2 + M3], "string").coalesce(1)
+    lines.write.option("compression", "gzip").text(src)
+    name = next(n for n in os.listdir(src) if n.endswith(".gz"))
+    os.rename(os.path.join(src, name), os.path.join(src, "a.json.gz"))
+    daily = incremental_daily(spark, src, root, json_lines=True, glob="*.json.gz")
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    keys = {re.sub(r"#\d+", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*value#\d+)", plan)}
+    assert keys == {"date, kind, value"}  # the same for a country and for all: Spark makes it once
+    _write(tmpdir_path, "plain.json", M1 + M2 + M3)
+    want = dly.daily_grouping_sets(read_invoices(spark, os.path.join(tmpdir_path, "plain.json")))
+    assert sorted(map(tuple, daily.collect())) == sorted(map(tuple, want.collect()))
