@@ -243,6 +243,32 @@ def test_kneser_ney_report_counts_longer_n_grams(spark, monkeypatch):
         assert math.isclose(out[i].score, sum(math.log10(p(tuple(padded[k:k + 5]))) for k in range(len(t))), rel_tol=1e-9)
 
 
+def test_kneser_ney_report_stores_n_grams_of_hot_contexts_only(spark, monkeypatch):
+    """The report's n-grams meet once and are not stored, but for those after hot contexts: a passage in every second text, a text of one word."""
+    import glob
+    import zlib
+
+    from revcast.session import ensure_checkpoint_dir
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 1_500)
+    monkeypatch.setattr(kneser_ney, "CODED", 40)
+    rng = random.Random(9)
+    passage = "of all the things that are said here again and again"
+    rows = [(k, " ".join([*(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(50)), *[passage] * (k % 2), f"w{k}"])) for k in range(300)]
+    rows += [(1000, "so " * 4000), (1001, "so " * 4000)]
+    stored = f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/kneser-ney-*/*.npy"
+    earlier = set(glob.glob(stored))
+    out = {r.doc_id: r for r in kneser_ney.language_model_report(docs_of(spark, rows)).collect()}
+    tokens = {i: [*space_words(t.encode()), 0] for i, t in rows}
+    c, p = plain_kneser_ney([t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10], 5)
+    for i, t in tokens.items():
+        padded = [1, 1, 1, 1, *t]
+        grams = Counter(tuple(padded[k:k + 5]) for k in range(len(t)))
+        assert (out[i].n_tokens, out[i].n_known) == (len(t), sum(c[w] > 0 for w in t))
+        assert math.isclose(out[i].score, sum(n * math.log10(p(g)) for g, n in grams.items()), rel_tol=1e-9)
+    arrays = set(glob.glob(stored)) - earlier
+    assert arrays and sum(len(np.load(f)) for f in arrays) < sum(c.values()) / 4
+
+
 def test_kneser_ney_holds_few_arrays_where_they_cannot_be_mapped(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TOKENS_PER_BUCKET", 50)
     rows = [(k, f"a{k % 7} b{k % 11} c{k % 5} the end of {k}") for k in range(120)]
