@@ -95,7 +95,7 @@ def _tokens(data: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray,
 def _before(token: np.ndarray, counts: np.ndarray, order: int, start) -> np.ndarray:
     """The ``order`` - 1 tokens before every token, nearest last; ``start`` before a text."""
     place = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
-    before = np.full((len(token), order - 1), start, token.dtype)
+    before = np.full((order - 1, len(token)), start, token.dtype).T  # columns are contiguous
     for back in range(1, order):
         before[back:, -back] = np.where(place[back:] >= back, token[:-back], start)
     return before
@@ -522,6 +522,8 @@ class Spread:
 
     def __init__(self, buckets: int, hot: list[np.ndarray]):
         self.buckets, self.hot = buckets, [np.sort(h) for h in hot]
+        #: Buckets of what is stored; fewer, as every partition reads and writes all of them.
+        self.parts = 1 + buckets // 16
 
     def depth(self, contexts: list[np.ndarray]) -> np.ndarray:
         """How many words are in that context; one more than the longest has if all are hot."""
@@ -587,7 +589,7 @@ def _windows(order: int, spread: Spread, spec: dict, codes, id_col: str, schema:
             _, again, heads = _grouped(key[hot])
             told[hot] = hot[again[heads]][_of(again, heads)]
         code = code[at]
-        code = np.column_stack([_before(code, n, order, number(np.array([START]))[0]), code])
+        code = np.concatenate([_before(code, n, order, number(np.array([START]))[0]).T, code[None]])
         doc = np.repeat(np.arange(len(ids)), n)
         learn = learn[doc]
         place = np.argsort(target, kind="stable")
@@ -595,7 +597,7 @@ def _windows(order: int, spread: Spread, spec: dict, codes, id_col: str, schema:
             where = place[part]
             mine = where[told[where] == where] if len(hot) else where
             index = np.searchsorted(mine, told[where]) if len(mine) < len(where) else np.arange(len(where))
-            numbers = np.ascontiguousarray(code[mine].T)
+            numbers = np.take(code, mine, axis=1)
             line, which = np.nonzero(numbers == rare)
             rest = mine[which]
             hashes = np.where(line < order - 1, before[rest, np.minimum(line, order - 2)], token[rest])
@@ -610,7 +612,7 @@ def _windows(order: int, spread: Spread, spec: dict, codes, id_col: str, schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        step, stored = TaskContext.get().partitionId() << 32, Arrays(spec["folder"], spread.buckets)
+        step, stored = TaskContext.get().partitionId() << 32, Arrays(spec["folder"], spread.parts)
         for batch in batches:
             for k, stop, data, ends in steps(batch.column("__text"), STEP_BYTES):
                 ids, learn = batch.column(id_col).slice(k, stop - k).to_pylist(), _flags(batch.column("__learn"))[k:stop]
@@ -662,9 +664,9 @@ def _levels(rows: list, order: int, spread: Spread, number: Codes, places: bool)
     del words
     depth, line = spread.depth(contexts), np.arange(len(token))
     for level in range(order, 1, -1):
-        key, place, heads = _grouped(_gram(contexts[level - 2][line], token[line]))
+        key, place, heads = _grouped(_gram(contexts[level - 2][line], token[line]) if level < order else _gram(contexts[-1], token))
         count, line = np.add.reduceat(count[place], heads), line[place[heads]]
-        whole = depth[line] < level
+        whole = depth[line] < level if depth.max() > 1 else np.ones(len(line), bool)
         yield key[heads[~whole]], _of(place, heads) if places else None, count, whole, contexts[:level - 1], token, line
         del key, place, heads
         contexts = contexts[:level - 1]
@@ -677,8 +679,10 @@ def _context_sums(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, n
     count = count[place]
     out = np.zeros(len(heads), _CONTEXT)
     out["context"] = known[heads]
-    for name, values in (("total", count), ("n1", count == 1), ("n2", count == 2), ("n3", count > 2)):
-        out[name] = np.add.reduceat(values, heads, dtype=np.int64)
+    out["total"] = np.add.reduceat(count, heads)
+    kinds = np.add.reduceat(np.array([0, 1, 1 << 32, 0])[np.minimum(count, 3)], heads)  # n1 and n2 in one number
+    out["n1"], out["n2"] = kinds & 0xFFFFFFFF, kinds >> 32
+    out["n3"] = np.add.reduceat(count > 2, heads, dtype=np.int64)
     return out, _of(place, heads)
 
 
@@ -714,10 +718,10 @@ def _counted(order: int, spread: Spread, codes):
         for level, (_, _, count, whole, contexts, token, line) in zip(range(order, 1, -1), _levels(rows, order, spread, codes.value, False), strict=True):
             yield _sums(level, count[whole])
             at = line[(count > 0) & ~whole]
-            yield from _handed(level, [token[at], *(c[at] for c in contexts)], count[(count > 0) & ~whole], spread.buckets)
+            yield from _handed(level, [token[at], *(c[at] for c in contexts)], count[(count > 0) & ~whole], spread.parts)
         at = line[(count > 0) & whole]
         word, _, n = _added(token[at], np.ones(len(at), np.int64))
-        yield from _handed(1, [word], n, spread.buckets)
+        yield from _handed(1, [word], n, spread.parts)
         del rows, count, whole, contexts, token, line, at
         give_back()
 
@@ -759,7 +763,7 @@ def _answered(order: int, spread: Spread, codes, model):
                 yield (r.step, -1, r.n_docs, r.docs, r.sizes, r.ids, r.base)
         if not grams:
             return
-        stored = Arrays(spec["folder"], spread.buckets)
+        stored = Arrays(spec["folder"], spread.parts)
         levels = []
         for key, of, c, whole, contexts, token, line in _levels(grams, order, spread, codes.value, True):
             levels.append((key, of, c, whole, contexts[-1][line]))
@@ -851,7 +855,7 @@ def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     hot = tally.where(F.col("n") * buckets > everywhere).select("length", "word").collect()
     spread = Spread(buckets, [np.array([r["word"] for r in hot if r["length"] == k], np.int64).view(np.uint64) for k in range(1, order)])
     spec = {"folder": folder, "order": order, "docs": n_docs, "tokens": tokens, "vocabulary": different + (n_docs > 0)}
-    bucket = (F.expr("shiftrightunsigned(word, 16)") % buckets).cast("int").alias("bucket")
+    bucket = (F.expr("shiftrightunsigned(word, 16)") % spread.parts).cast("int").alias("bucket")
     words.where(is_word).select("word", F.col("learned").alias("n"), bucket).groupBy("bucket").applyInPandas(_save_words(folder), "n bigint").agg(F.sum("n")).first()
     codes = spark.sparkContext.broadcast(_codes(words, n_docs))
 
@@ -864,7 +868,7 @@ def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
         here = found.where(F.col("level") == level)
         if level == 1 or len(spread.hot[level - 2]):
             merged = here.where("kind = 'gram'") if handed is None else here.where("kind = 'gram'").unionByName(handed)
-            merged = via_table(merged.groupBy("target").applyInPandas(_merge_found(folder, level, buckets), _FOUND), f"found-{level}")
+            merged = via_table(merged.groupBy("target").applyInPandas(_merge_found(folder, level, spread.parts), _FOUND), f"found-{level}")
             handed = merged.where("kind = 'gram'")
             here = here.where("kind = 'sum'").unionByName(merged)
             hot_sums[level] = merged.where("kind = 'context'").groupBy("n").agg(*(F.sum(c) for c in ("c1", "c2", "c3", "c4"))).collect() if level > 1 else []
